@@ -90,14 +90,15 @@ def stay_windows(
     )
     if interval is None:
         return span
-    lo, hi = F.col(start), F.col(end)
+    lo, hi, cut = F.col(start), F.col(end), F.col("_cut")
+    # an open start moves the first cut in, and the following windows with it
+    moved = 0 if left_closed else tick
     cuts = span.where(lo < hi).withColumn("_cut", F.explode(F.sequence(lo, hi - 1, F.lit(interval))))
-    window_end = F.least(F.col("_cut") + interval, hi)
+    cuts = cuts.where((cut == lo) | (cut + moved < hi))
+    window_end = F.least(F.when(cut == lo, cut).otherwise(cut + moved) + interval, hi)
     if not right_closed:
         window_end = F.when(window_end == hi, window_end - tick).otherwise(window_end)
-    # an open start moves the first cut, and the following ones with it
-    begin = F.col("_cut") if left_closed else F.col("_cut") + tick
-    return cuts.select(*ids, begin.alias(start), window_end.alias(end))
+    return cuts.select(*ids, (cut + moved).alias(start), window_end.alias(end))
 
 
 def convert_id(df: DataFrame, mapping: DataFrame, from_id: str, to_id: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from staygrid.operators.asof import asof
 from staygrid.operators.rolling import delta_cummin, delta_min, delta_start, slide
 from staygrid.operators.slices import framed
-from staygrid.schema import HOUR
+from staygrid.schema import DAY, HOUR
 
 _DELTAS = {"cummin": delta_cummin, "start": delta_start, "min": delta_min}
 
@@ -120,8 +120,34 @@ def sep3(
     return first.select(*ids, F.col(f"_hit.{time}").alias(time), F.lit(True).alias(out), *(kept if keep_components else []))
 
 
-def sep3_sofa2(sofa2: DataFrame, infection: DataFrame, ids: list[str], time: str, **kwargs) -> DataFrame:
-    return sep3(sofa2, infection, ids, time, score="sofa2", out="sep3_sofa2", **kwargs)
+def sep3_sofa2(
+    sofa2: DataFrame, infection: DataFrame, ids: list[str], time: str, score: str = "sofa2", si_window: str = "first",
+    delta: str = "cummin", threshold: int = 2, si_lwr: int = 48 * HOUR, si_upr: int = 24 * HOUR,
+    keep_components: bool = False,
+) -> DataFrame:
+    """The same by SOFA-2, with the rise taken inside each infection window only."""
+    events = infection
+    if "susp_inf" in infection.columns:
+        events = infection.where(F.coalesce(F.col("susp_inf").cast("boolean"), F.lit(False)))
+    events = events.groupBy(*ids, F.col(time).alias("_si")).agg(F.lit(1).alias("_one")).drop("_one")
+    if si_window in ("first", "last"):
+        events = events.groupBy(*ids).agg((F.min if si_window == "first" else F.max)("_si").alias("_si"))
+    # rows meet the windows of their time tile; a group is one window of one series
+    lo, hi = F.col("_si") - si_lwr, F.col("_si") + si_upr
+    tiles = events.withColumn("_tile", F.explode(F.sequence(F.floor(lo / DAY), F.floor(hi / DAY))))
+    rows = sofa2.select(*ids, time, F.col(score).alias("_score")).withColumn("_tile", F.floor(F.col(time) / DAY))
+    near = rows.join(tiles, [*ids, "_tile"]).where(F.col(time).between(lo, hi))
+    window = Window.partitionBy(*ids, "_si").orderBy(time)
+    base = {
+        "cummin": F.min("_score").over(window.rowsBetween(Window.unboundedPreceding, 0)),
+        "start": F.first("_score", ignorenulls=True).over(
+            window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "min": F.min("_score").over(window.rowsBetween(-23, 0)),
+    }[delta]
+    risen = near.withColumn("delta_sofa2", F.col("_score") - base).where(F.col("delta_sofa2") >= threshold)
+    first = risen.groupBy(*ids).agg(F.min_by(F.struct(time, "delta_sofa2"), F.struct(time, "_si")).alias("_hit"))
+    kept = [F.col("_hit.delta_sofa2").alias("delta_sofa2")] if keep_components else []
+    return first.select(*ids, F.col(f"_hit.{time}").alias(time), F.lit(True).alias("sep3_sofa2"), *kept)
 
 
 def label_sep3(sofa: DataFrame, infection: DataFrame, ids: list[str], time: str, delta_sofa: int = 2, **kwargs) -> DataFrame:

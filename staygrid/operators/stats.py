@@ -30,6 +30,8 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float])
     counts = value_counts(df, keys, value)
     ranked = scan(counts, keys, value, [Acc("_upto", "sum", F.col("_n"))], value_slice(value))
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+    if not by:
+        sizes = F.broadcast(sizes)  # a single row
     picks, outs = [], []
     for i, (name, p) in enumerate(probs.items()):
         at = (F.col("_size") - 1) * F.lit(float(p))
@@ -149,7 +151,7 @@ def kde(
     else:
         lo, hi = F.lit(float(extent[0])), F.lit(float(extent[1]))
     width = F.col("_sd") * F.pow(F.col("_rows").cast("double"), F.lit(-0.2))
-    shape = shape.select(*keys, "_rows", width.alias("_h"), lo.alias("_from"), ((hi - lo) / (points - 1)).alias("_step"))
+    shape = (shape if by else F.broadcast(shape)).select(*keys, "_rows", width.alias("_h"), lo.alias("_from"), ((hi - lo) / (points - 1)).alias("_step"))
     spread = counts.join(shape, keys).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.col("_from") + F.col("point") * F.col("_step")
     u = (x - v) / F.col("_h")

@@ -117,7 +117,8 @@ def density_curves(spark, sf):
     return r6(stats.kde(ev(spark, sf), ["item"], "value", points=50), "x", "density")
 
 
-@query("""SELECT item, least(floor(value / 10), 19)::BIGINT AS bin, count(*) AS n, least(floor(value / 10), 19) * 10.0 AS bin_start FROM ev WHERE value BETWEEN 0 AND 200 GROUP BY 1, 2""", "ev")
+@query("""SELECT item, bin, count(*) AS n, bin * 10.0::DOUBLE AS bin_start FROM (SELECT item, least(floor(value / 10), 19)::BIGINT AS bin FROM ev WHERE value BETWEEN 0 AND 200)
+    GROUP BY 1, 2""", "ev")
 def feature_histogram(spark, sf):
     return cohort.feature_distribution(ev(spark, sf), ["item"], "value", 0, 200, 20)
 

@@ -190,8 +190,8 @@ def sampled_ids(spark, sf):
     return _loader(spark, sf).sample("events", 12)
 
 
-@query(f"""WITH {_SEP}, h AS {_agg('hr')}, w AS {_agg('wbc')} SELECT (SELECT count(DISTINCT id) FROM h)::DOUBLE AS patients, (SELECT count(*) FROM h)::DOUBLE AS vitals_records,
-    (SELECT count(*) FROM w)::DOUBLE AS lab_records, (SELECT round(avg(sofa), 6) FROM s) AS sofa_mean,
+@query(f"""WITH {_SEP}, qh AS {_agg('hr')}, qw AS {_agg('wbc')} SELECT (SELECT count(DISTINCT id) FROM qh)::DOUBLE AS patients, (SELECT count(*) FROM qh)::DOUBLE AS vitals_records,
+    (SELECT count(*) FROM qw)::DOUBLE AS lab_records, (SELECT round(avg(sofa), 6) FROM s) AS sofa_mean,
     (SELECT count(DISTINCT d.id) FROM d JOIN e ON e.id = d.id AND d.t BETWEEN e.t - 172800 AND e.t + 86400 WHERE d >= 2)::DOUBLE AS sepsis_positive""", "ev")
 def quick_summary(spark, sf):
     return r6(_loader(spark, sf).quick_summary(), "sofa_mean")

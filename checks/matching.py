@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.common import IDS, TIME, ev, hv, item_a, item_b, query, r6, wins
+from checks.common import IDS, TIME, ev, hv, item_a, item_b, query, r6, rounded, wins
 from staygrid.operators import asof, intervals, sepsis
 from staygrid.schema import HOUR
 
@@ -107,7 +107,7 @@ def _hop(spark, sf, left, right):
     out = intervals.hop(hv(spark, sf), windows, IDS, TIME, "s", "e", {
         "mean": ("mean", "value"), "total": ("sum", "value"), "lo": ("min", "value"), "hi": ("max", "value"),
         "n": ("count", "value"), "sd": ("std", "value")}, left, right)
-    return r6(out, "mean", "total").withColumn("sd", F.round("sd", 5))
+    return r6(out, "mean", "total").withColumn("sd", rounded("sd", 5))
 
 
 @query(_WX + _HOP.format(on="h.t BETWEEN s AND e"), "ev hv wins")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.common import ev, hv, nv, query, r6, table, wins
+from checks.common import ev, hv, nv, query, r6, rounded, table, wins
 from staygrid.operators.rules import Roles, apply_rule
 from staygrid.schema import HOUR
 
@@ -48,7 +48,7 @@ def rules_on_values(spark, sf):
     out = rows.select("seq", "id", "t", "item", "value", "unit")
     for name, (rule, params) in steps.items():
         out = apply_rule(out.withColumn("_v", F.col("value")), Roles(("id",), "t", value="_v"), rule, **params).withColumnRenamed("_v", name)
-    return r6(out, "half").withColumn("unit_value", F.when(F.col("item") == "click", F.round("unit_value", 6)).otherwise(F.col("unit_value"))).drop("id", "t", "item", "value")
+    return r6(out, "half").withColumn("unit_value", F.when(F.col("item") == "click", rounded("unit_value")).otherwise(F.col("unit_value"))).drop("id", "t", "item", "value")
 
 
 @query("""SELECT seq, CASE item WHEN 'click' THEN 'one' WHEN 'error' THEN 'two' END AS value, true AS present, 'mg/item' AS unit, CASE WHEN seq % 2 = 0 THEN -value ELSE value END AS signed,
@@ -97,7 +97,7 @@ def rule_aggregate(spark, sf):
 @query("SELECT seq, round(floor(value) * 2 + 10, 6) AS value FROM ev", "ev")
 def rule_sequence(spark, sf):
     steps = [{"rule": "floor"}, {"rule": "binary_op", "op": "*", "value": 2}, {"rule": "binary_op", "op": "+", "value": 10}]
-    return apply_rule(ev(spark, sf), R, "combine_callbacks", rules=steps).select("seq", F.round("value", 6).alias("value"))
+    return apply_rule(ev(spark, sf), R, "combine_callbacks", rules=steps).select("seq", rounded("value").alias("value"))
 
 
 @query("SELECT id, g, min(s) AS s, max(e) // 3600 - min(s) // 3600 AS value FROM (SELECT *, seq % 3 AS g FROM wins) GROUP BY 1, 2", "ev wins")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from checks import common
 from checks.common import IDS, TIME, ev, hv, query
 from staygrid.functions import scalars, scores
 from staygrid.operators import organ
@@ -32,7 +33,7 @@ late = _Scores()
 
 
 def rounded(column, digits):
-    return Late(lambda: F.round(column(), digits))
+    return Late(lambda: common.rounded(column(), digits))
 
 
 # One definition serves both engines; value runs from 0 to about 500.
@@ -191,7 +192,7 @@ score(single_measures={
     "supp_o2": (late.supp_o2("vent", "bicarb"), "vent OR bicarb > 21"),
     "cells_pct": (rounded(late.blood_cell_ratio("bnd", "wbc"), 6), "CASE WHEN wbc <> 0 THEN round(bnd * 100 / wbc, 6) END"),
     "cells_abs": (rounded(late.blood_cell_count("bnd", "wbc"), 6), "round(bnd / 100 * wbc, 6)"),
-    "by_breaks": (late.map_breaks("wbc", [3, 2, 1, 0], [4, 12, 30]), "CASE WHEN wbc IS NULL THEN NULL WHEN wbc <= 4 THEN 3.0 WHEN wbc <= 12 THEN 2.0 WHEN wbc <= 30 THEN 1.0 ELSE 0.0 END"),
+    "by_breaks": (late.map_breaks("wbc", [3, 2, 1, 0], [4, 12, 30]), "(CASE WHEN wbc IS NULL THEN NULL WHEN wbc <= 4 THEN 3.0 WHEN wbc <= 12 THEN 2.0 WHEN wbc <= 30 THEN 1.0 ELSE 0.0 END)::DOUBLE"),
     "gcs": (late.gcs_total("bicarb", "motor", "motor", "gcs", "ecmo").cast("double"),
             "(CASE WHEN ecmo THEN 15 WHEN gcs >= 3 THEN gcs ELSE bicarb + motor + motor END)::DOUBLE"),
     "known_sum": (rounded(Late(lambda: scalars.sum_known("epi", "dopa", "dobu")), 6),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.common import IDS, TIME, ev, hv, query, r6, table, wins
+from checks.common import IDS, TIME, ev, hv, query, r6, rounded, table, wins
 from staygrid.functions import scalars, times, units
 from staygrid.operators import rates
 
@@ -25,7 +25,7 @@ def named_conversions(spark, sf):
         "bili": units.convert("value", "mg/dL", "umol/L", "bilirubin"), "cm": units.convert("value", "in", "cm"),
         "bun": units.convert("value", "mg/dl", "mmol/l", "BUN"),
     }
-    return ev(spark, sf).select("seq", *[F.round(c, 6).alias(n) for n, c in made.items()])
+    return ev(spark, sf).select("seq", *[rounded(c, 6).alias(n) for n, c in made.items()])
 
 
 _RATE_UNIT = "CASE seq % 6 WHEN 0 THEN 'mcg/kg/min' WHEN 1 THEN 'ug/min' WHEN 2 THEN 'mg/hr' WHEN 3 THEN 'mg/kg/h' WHEN 4 THEN ' MCG / min' ELSE 'ml/h' END"
@@ -35,7 +35,7 @@ _RATE_UNIT = "CASE seq % 6 WHEN 0 THEN 'mcg/kg/min' WHEN 1 THEN 'ug/min' WHEN 2
     WHEN 4 THEN value / w END, 6) AS rate FROM (SELECT seq, value, 50 + seq % 40 AS w FROM ev)""", "ev")
 def vasopressor_rates(spark, sf):
     rows = ev(spark, sf).selectExpr("seq", "value", f"{_RATE_UNIT} AS unit", "50 + seq % 40 AS w")
-    return rows.select("seq", F.round(units.vaso_rate("value", "unit", "w"), 6).alias("rate"))
+    return rows.select("seq", rounded(units.vaso_rate("value", "unit", "w"), 6).alias("rate"))
 
 
 @query("""SELECT seq, round(CASE WHEN seq % 2 = 0 THEN (value - 32) * 5 / 9 ELSE value END, 6) AS value, CASE WHEN seq % 2 = 0 THEN 'C' ELSE 'K' END AS unit FROM ev""", "ev")
@@ -44,11 +44,11 @@ def convert_where_unit_matches(spark, sf):
     return r6(units.convert_where(rows, "value", "unit", lambda v: (v - 32) * 5 / 9, "C", "deg ?f$"), "value")
 
 
-@query("SELECT seq, CASE WHEN x <= 1 THEN round(x * 100, 6) ELSE x END AS fio2 FROM (SELECT seq, CASE WHEN seq % 3 = 0 THEN round(value / 500, 4) ELSE value END AS x FROM ev)", "ev")
+@query("SELECT seq, CASE WHEN x <= 1 THEN round(x * 100, 6) ELSE x END AS fio2 FROM (SELECT seq, CASE WHEN seq % 3 = 0 THEN floor(value) / 500 ELSE value END AS x FROM ev)", "ev")
 def inspired_oxygen_percent(spark, sf):
-    rows = ev(spark, sf).selectExpr("seq", "CASE WHEN seq % 3 = 0 THEN round(value / 500, 4) ELSE value END AS x")
+    rows = ev(spark, sf).selectExpr("seq", "CASE WHEN seq % 3 = 0 THEN floor(value) / 500 ELSE value END AS x")
     x = units.fio2_percent("x")
-    return rows.select("seq", F.when(F.col("x") <= 1, F.round(x, 6)).otherwise(x).alias("fio2"))
+    return rows.select("seq", F.when(F.col("x") <= 1, rounded(x, 6)).otherwise(x).alias("fio2"))
 
 
 _DRUG = "CASE seq % 6 WHEN 0 THEN 'Norepi (mcg/kg/min)' WHEN 1 THEN 'Norepi (mg/hr)' WHEN 2 THEN 'Norepi (ml/hr)' WHEN 3 THEN 'Norepi (units/min)' WHEN 4 THEN 'Norepi (nanograms/kg/min)' ELSE 'Norepi' END"
@@ -89,7 +89,7 @@ def _doses(spark, sf):
 @query(f"""WITH {_DOSE_SQL} SELECT id, unnest(generate_series((s // 3600) * 3600, (e // 3600) * 3600, 3600)) AS s, round(v, 4) AS value, 'mcg/kg/min' AS unit FROM k""", "ev wins")
 def doses_per_kg(spark, sf):
     out = rates.dose_per_kg(_doses(spark, sf), IDS, "s", "e", "value", "unit", "rate_unit", "weight", "rel")
-    return out.withColumn("value", F.round("value", 4))
+    return out.withColumn("value", rounded("value", 4))
 
 
 @query("""SELECT id, unnest(generate_series((s // 3600) * 3600, (e // 3600) * 3600, 3600)) AS s,
@@ -97,7 +97,7 @@ def doses_per_kg(spark, sf):
     FROM wins WHERE e > s""", "ev wins")
 def doses_in_units(spark, sf):
     out = rates.dose_in_units(_doses(spark, sf), IDS, "s", "e", "value", "unit", "rate_unit", 0.01)
-    return out.withColumn("value", F.round("value", 4))
+    return out.withColumn("value", rounded("value", 4))
 
 
 _INFUSED = """i AS (SELECT id, (t // 3600) * 3600 AS t, seq % 3 AS grp, CASE item WHEN 'click' THEN value * 1000 WHEN 'view' THEN value END AS v, 50 + id % 40 AS w FROM ev WHERE t < 604800),
@@ -158,7 +158,7 @@ def group_amounts_to_rates(spark, sf):
 
 @query("SELECT seq, round(value * CASE item WHEN 'click' THEN 0.5 WHEN 'view' THEN 5 ELSE 1 END, 6) AS value FROM ev", "ev")
 def concentration_factors(spark, sf):
-    return ev(spark, sf).select("seq", F.round(rates.dextrose_factor("item", "value", {"click": 0.5, "view": 5}), 6).alias("value"))
+    return ev(spark, sf).select("seq", rounded(rates.dextrose_factor("item", "value", {"click": 0.5, "view": 5}), 6).alias("value"))
 
 
 @query("""SELECT seq, round(v * CASE WHEN seq % 3 = 0 THEN 2 ELSE 1 END / m * 5 * 60, 4) AS dose, 'ml/hr' AS unit, round(m * 60, 6) AS dur FROM (
@@ -166,7 +166,7 @@ def concentration_factors(spark, sf):
 def dextrose_boluses(spark, sf):
     rows = wins(spark, sf).selectExpr("seq", "concat(cast(floor(value) as string), CASE WHEN seq % 3 = 0 THEN '  g' ELSE ' ml' END) AS dose", "e - s AS dur")
     out = rates.dextrose_bolus(rows, "dose", "dur")
-    return out.select("seq", F.round("dose", 4).alias("dose"), "unit", F.round("dur", 6).alias("dur"))
+    return out.select("seq", rounded("dose", 4).alias("dose"), "unit", rounded("dur").alias("dur"))
 
 
 @query("SELECT id, t, CASE WHEN id % 10 <> 0 THEN round(value / (id % 10), 6) END AS value FROM hv", "ev hv")
@@ -213,7 +213,7 @@ def text_and_arithmetic(spark, sf):
         "seq", scalars.to_number(text).alias("number"), scalars.percent_as_number(F.concat("p", F.lit("%"))).alias("percent"),
         scalars.apply_map("item", {"click": "C", "view": "V"}).alias("mapped"), scalars.sub_trans("item", "[aeiou]", "_").alias("replaced"),
         scalars.extract_unit(F.concat(F.lit("x (u"), (F.col("seq") % 3).cast("string"), F.lit(")"))).alias("unit"),
-        F.round(scalars.binary_op(scalars.binary_op("value", "*", 2), "+", 1), 6).alias("op"), F.round(scalars.binary_op("value", "^", 2), 4).alias("power"))
+        rounded(scalars.binary_op(scalars.binary_op("value", "*", 2), "+", 1), 6).alias("op"), rounded(scalars.binary_op("value", "^", 2), 4).alias("power"))
 
 
 @query("""SELECT seq, t / 60000.0 AS mins, (t * 60)::BIGINT AS secs, CASE WHEN t % 86400 = 0 THEN 'day' WHEN t % 3600 = 0 THEN 'hour' WHEN t % 60 = 0 THEN 'min' ELSE 'sec' END AS unit,

@@ -18,6 +18,7 @@ from staygrid.functions.times import floor_to, seconds_between
 from staygrid.operators import cohort, select
 from staygrid.operators.aggregate import aggregator
 from staygrid.operators.grid import expand_windows
+from staygrid.operators.merge import merge_wide
 from staygrid.operators.rules import ROW_WISE, Roles, apply_rule
 from staygrid.plans import derived, modules
 from staygrid.plans.derived import Context
@@ -58,7 +59,7 @@ class Loader:
     catalogue: Catalogue
     layout: SourceLayout
     interval: int = HOUR
-    settle_grid: bool = False
+    settle_grid: bool = True
 
     ids = ["id"]
     time = "t"
@@ -141,29 +142,36 @@ class Loader:
                 shared.append((name, it))
         if shared:
             common = rows.where(F.col("concept").isin([n for n, _ in shared]))
-            for name, it in shared:
-                if it.rule:
-                    common = self._row_rule(common, name, it)
-            branches.append((common, None))
+            branches.append((self._row_rules(common, shared), None))
         return branches
 
-    def _row_rule(self, rows: DataFrame, name: str, it: Item) -> DataFrame:
-        params = {k: v for k, v in it.rule.items() if k != "rule"}
-        changed = apply_rule(rows, self._roles(it), it.rule["rule"], **params)
-        mine = F.col("concept") == name
-        before = rows.select("*", *[F.col(c).alias(f"_old_{c}") for c in rows.columns])
-        after = apply_rule(before, self._roles(it), it.rule["rule"], **params)
-        kinds = {f.name: f.dataType for f in rows.schema}
+    def _row_rules(self, rows: DataFrame, shared: list[tuple[str, Item]]) -> DataFrame:
+        """Every row-wise rule works on its own copy of the columns; the concept picks the copy."""
+        touched = [c for c in ("value", "unit", "t", "dur") if c in rows.columns]
+        by_rule: dict[str, tuple[Item, list[str]]] = {}
+        for name, it in shared:
+            if it.rule:
+                by_rule.setdefault(repr((it.rule, it.params)), (it, []))[1].append(name)
+        copies = rows.select("*", *[
+            F.col(c).alias(f"_{c}{i}") for i in range(len(by_rule)) for c in touched
+        ])
+        for i, (it, _) in enumerate(by_rule.values()):
+            own = {("time" if c == "t" else c): f"_{c}{i}" for c in touched}
+            params = {k: v for k, v in it.rule.items() if k != "rule"}
+            copies = apply_rule(copies, replace(self._roles(it), **own), it.rule["rule"], **params)
+        kinds = dict(copies.dtypes)
         out = []
-        for c in changed.columns:
-            if c not in kinds:
-                out.append(F.when(mine, F.col(c)).alias(c))
-                continue
-            new, old = F.col(c), F.col(f"_old_{c}")
-            if changed.schema[c].dataType != kinds[c]:
-                new, old = new.cast("double"), old.try_cast("double")
-            out.append(F.when(mine, new).otherwise(old).alias(c))
-        return after.select(*out)
+        for c in touched:
+            variants = [f"_{c}{i}" for i in range(len(by_rule))]
+            if c == "value" and {kinds[v] for v in variants} - {kinds[c]}:
+                cast = {v: F.col(v).cast("double") if kinds[v] != "string" else F.col(v).try_cast("double") for v in [c, *variants]}
+            else:
+                cast = {v: F.col(v) for v in [c, *variants]}
+            picked = F
+            for i, (_, names) in enumerate(by_rule.values()):
+                picked = picked.when(F.col("concept").isin(names), cast[f"_{c}{i}"])
+            out.append((picked.otherwise(cast[c]) if by_rule else cast[c]).alias(c))
+        return copies.select(*[c for c in rows.columns if c not in touched], *out)
 
     def long(self, names: list[str], wanted: DataFrame | None = None, interval: int | None = None,
              aggregate: dict[str, str] | str | None = None, text: bool = False) -> DataFrame | None:
@@ -268,20 +276,43 @@ class Loader:
             wide = df.withColumn("t", F.lit(None).cast("long")) if wide is None else wide.join(df, ["id"], "left")
         if wide is None:
             raise ValueError(f"{self.layout.name} has none of: {', '.join(names)}")
-        if self.settle_grid and any(self.catalogue[n].derived in derived.ROWS for n in needed):
-            wide = settle(wide)
-        for n in needed:
-            c = self.catalogue[n]
-            if n in items or c.derived is None or n in wide.columns:
-                continue
-            parts = list(c.parts)
-            if c.derived in derived.COLUMNS:
-                wide = derived.COLUMNS[c.derived](wide, ctx, n, parts)
-            elif c.derived in derived.ROWS and any(p in wide.columns for p in parts):
-                rows = derived.ROWS[c.derived](wide, ctx, n, parts)
-                wide = wide.join(rows.select("id", "t", n), ["id", "t"], "full")
-                if self.settle_grid:
-                    wide = settle(wide)
+        return self._derive(wide, names, [n for n in needed if n not in items and n not in static], ctx, keep_components)
+
+    def _derive(self, wide: DataFrame, names: list[str], pending: list[str], ctx: Context, keep_components: bool) -> DataFrame:
+        """Derived concepts in stages.
+
+        Column derivations are chained on the wide frame. All row derivations
+        whose inputs are ready are computed from one settled frame, stacked and
+        joined to it once, so no stage repeats the scans of the stages before.
+        """
+        static = {n for n in names if self._is_static(n)}
+        while pending:
+            left = []
+            for n in pending:
+                c = self.catalogue[n]
+                ready = not any(p in left for p in c.parts)
+                if ready and c.derived in derived.COLUMNS:
+                    wide = derived.COLUMNS[c.derived](wide, ctx, n, list(c.parts))
+                elif ready and (c.derived not in derived.ROWS or not any(p in wide.columns for p in c.parts)):
+                    continue  # nothing to derive it from in this source
+                else:
+                    left.append(n)
+            batch = [n for n in left if not any(p in left for p in self.catalogue[n].parts)]
+            if not batch:
+                break
+            if self.settle_grid:
+                wide = settle(wide)
+            frames = {}
+            for n in batch:
+                c = self.catalogue[n]
+                frames[n] = derived.ROWS[c.derived](wide, ctx, n, list(c.parts)).select("id", "t", n)
+            pending = [n for n in left if n not in batch]
+            kinds = {n: df.schema[n].dataType for n, df in frames.items()}
+            rows = next(iter(frames.values())) if len(frames) == 1 else merge_wide(frames, self.ids, self.time).select(
+                "id", "t", *[F.col(n).cast(kinds[n]).alias(n) for n in frames])
+            if not pending and set(names) <= set(frames) and not keep_components:
+                return rows.select("id", "t", *names)
+            wide = wide.join(rows, ["id", "t"], "full")
         keep = [n for n in names if n in wide.columns]
         if keep_components:
             keep += [p for n in names for p in self.catalogue[n].parts if p in wide.columns and p not in keep]

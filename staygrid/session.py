@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,20 +26,26 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return tempfile.mkdtemp(prefix="staygrid-")
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a result that several later steps read.
+    """Write a result that several later steps read, and read it back.
 
-    Writes to the shared folder named by ``spark.checkpoint.dir``, so the data
-    survives lost executors. Only a local session without that setting gets a
-    folder of its own.
+    This cuts the lineage, survives lost executors and, unlike a raw checkpoint,
+    keeps column pruning and real sizes for the steps that follow.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="staygrid-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    target = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return spark.read.parquet(target)

@@ -232,7 +232,7 @@ def table_validation(spark, sf):
 def table_assertions(spark, sf):
     rows = nv(spark, sf)
     assert quality.has_columns(rows, ["id", "t"]) and not quality.has_time_columns(rows) and quality.same_time_type(rows, rows, "t")
-    return quality.no_na(rows, ["value", "id"]).withColumn("k", F.lit(1)).join(quality.has_rows(rows).withColumn("k", F.lit(1)), "k").drop("k")
+    return stats.beside(quality.no_na(rows, ["value", "id"]), quality.has_rows(rows))
 
 
 @query("""SELECT 'a' AS concept, round(avg((a IS NULL)::INT), 6) AS missing_rate FROM j UNION ALL SELECT 'b', round(avg((b IS NULL)::INT), 6) FROM j""".replace(

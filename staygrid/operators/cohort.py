@@ -85,9 +85,7 @@ def cohort_stats(demographics: DataFrame) -> DataFrame:
     )
     age = stats.quantiles(demographics, [], "age", {"age_q1": 0.25, "age_median": 0.5, "age_q3": 0.75})
     los = stats.quantiles(demographics, [], "los_hours", {"los_median": 0.5})
-    # three one-row frames side by side
-    one = F.lit(1).alias("_k")
-    return base.select("*", one).join(age.select("*", one), "_k", "left").join(los.select("*", one), "_k", "left").drop("_k")
+    return stats.beside(base, age, los)
 
 
 def cohort_comparison(demographics: DataFrame, group: str, custom: DataFrame | None = None, id_col: str = "patient_id") -> DataFrame:
@@ -106,11 +104,8 @@ def cohort_comparison(demographics: DataFrame, group: str, custom: DataFrame | N
         (F.avg(F.col("survived").cast("double")) * 100).alias("survival_pct"),
     )
     los = stats.quantiles(df, [group], "los_hours", {"los_median": 0.5})
-    whole = df.agg(F.count(F.lit(1)).alias("_all")).withColumn("_k", F.lit(1))
-    return (
-        base.join(los, group, "left").withColumn("_k", F.lit(1)).join(whole, "_k")
-        .withColumn("pct", F.col("n") * 100.0 / F.col("_all")).drop("_k", "_all")
-    )
+    whole = df.agg(F.count(F.lit(1))).scalar()
+    return base.join(los, group, "left").withColumn("pct", F.col("n") * 100.0 / whole)
 
 
 def summary_table(demographics: DataFrame, group: str, first: str, second: str) -> DataFrame:
@@ -135,9 +130,7 @@ def summary_table(demographics: DataFrame, group: str, first: str, second: str)
             for i, name in (("1", first), ("2", second)) for p in ("median", "q25", "q75")
         ])
         test = stats.rank_sum_test(v, [], "_v", in_first).select(F.col("u").alias("statistic"), "p_value")
-        one = F.lit(1).alias("_k")
-        row = moments.select("*", one).join(side.select("*", one), "_k").join(test.select("*", one), "_k").drop("_k")
-        parts.append(row.withColumn("feature", F.lit(feature)))
+        parts.append(stats.beside(moments, side, test).withColumn("feature", F.lit(feature)))
     numeric = parts[0].unionByName(parts[1])
     yes = {"male": F.col("gender") == "M", "deceased": F.col("survived") == F.lit(False)}
     no = {"male": F.col("gender") == "F", "deceased": F.col("survived") == F.lit(True)}
@@ -225,8 +218,7 @@ def summary_metrics(demographics: DataFrame, scores: DataFrame | None = None, sc
     )
     if scores is None:
         return base
-    one = F.lit(1).alias("_k")
-    return base.select("*", one).join(scores.agg(F.avg(score).alias("avg_sofa")).select("*", one), "_k").drop("_k")
+    return base.withColumn("avg_sofa", scores.agg(F.avg(score)).scalar())
 
 
 def diagnosis_shares(diagnoses: DataFrame, code: str, hierarchical: bool = False, top: int = 12) -> DataFrame:
@@ -242,8 +234,8 @@ def score_histogram(df: DataFrame, score: str) -> DataFrame:
 
 def mortality_by_quartile(df: DataFrame, score: str, died: str) -> DataFrame:
     """Share of deaths per quartile of a score; cut points come from the whole table."""
-    cuts = stats.quantiles(df, [], score, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}).withColumn("_k", F.lit(1))
-    rows = df.where(F.col(score).isNotNull()).withColumn("_k", F.lit(1)).join(F.broadcast(cuts), "_k")  # one row
+    cuts = stats.quantiles(df, [], score, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
+    rows = stats.with_side(df.where(F.col(score).isNotNull()), cuts, [])
     s = F.col(score)
     quartile = F.when(s <= F.col("_q1"), "Q1").when(s <= F.col("_q2"), "Q2").when(s <= F.col("_q3"), "Q3").otherwise("Q4")
     return rows.groupBy(quartile.alias("quartile")).agg(

@@ -146,9 +146,8 @@ def infusion_rate_per_kg(
 
 def infusion_rate(df: DataFrame, ids: list[str], time: str, value: str, unit: str, group: list[str]) -> DataFrame:
     """Doses in the most frequent unit, summed per infusion and hour, per minute."""
-    common = stats.mode(df.where(F.col(value).isNotNull()).withColumn("_k", F.lit(1)), ["_k"], unit, "_unit").drop("_k")
-    # the most frequent unit is a single row
-    rows = df.join(F.broadcast(common.withColumnRenamed("_unit", unit)), unit, "left_semi")
+    common = stats.mode(df.where(F.col(value).isNotNull()), [], unit, "_unit").scalar()
+    rows = df.where(F.col(unit) == common)
     out = rows.groupBy(*ids, *group, floor_to(time, HOUR).alias(time), unit).agg((F.sum(value) / 60.0).alias(value))
     return out.withColumn(unit, F.concat(F.col(unit), F.lit("/min")))
 

@@ -7,6 +7,7 @@ of the counts, cut into value slices.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,6 +21,20 @@ def _grouped(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn(_ALL, F.lit(1)), [_ALL])
 
 
+def with_side(df: DataFrame, side: DataFrame, by: list[str]) -> DataFrame:
+    """Columns of a per-group side; a side of one row is a scalar, not a join."""
+    if by:
+        return df.join(side, list(by))
+    row = side.select(F.struct(*side.columns)).scalar()
+    return df.withColumns({c: row[c] for c in side.columns})
+
+
+def beside(*frames: DataFrame) -> DataFrame:
+    """One-row frames with different columns, side by side."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.agg(*[F.max(c).alias(c) for df in frames for c in df.columns])
+
+
 def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
 
@@ -29,9 +44,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float])
     df, keys = _grouped(df, by)
     counts = value_counts(df, keys, value)
     ranked = scan(counts, keys, value, [Acc("_upto", "sum", F.col("_n"))], value_slice(value))
-    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    if not by:
-        sizes = F.broadcast(sizes)  # a single row
+    ranked = with_side(ranked, counts.groupBy(*by).agg(F.sum("_n").alias("_size")), by)
     picks, outs = [], []
     for i, (name, p) in enumerate(probs.items()):
         at = (F.col("_size") - 1) * F.lit(float(p))
@@ -41,7 +54,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float])
             F.max(at - F.floor(at)).alias(f"_part{i}"),
         ]
         outs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}")).alias(name))
-    return ranked.join(sizes, keys).groupBy(*keys).agg(*picks).select(*by, *outs)
+    return ranked.groupBy(*keys).agg(*picks).select(*by, *outs)
 
 
 def mode(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
@@ -138,8 +151,8 @@ def kde(
     """
     df, keys = _grouped(df, by)
     if trim is not None:
-        edges = quantiles(df, keys, value, {"_qlo": trim[0], "_qhi": trim[1]})
-        df = df.join(edges, keys).where(F.col(value).between(F.col("_qlo"), F.col("_qhi"))).drop("_qlo", "_qhi")
+        edges = quantiles(df, by, value, {"_qlo": trim[0], "_qhi": trim[1]})
+        df = with_side(df, edges, by).where(F.col(value).between(F.col("_qlo"), F.col("_qhi"))).drop("_qlo", "_qhi")
     counts = value_counts(df, keys, value)
     v = F.col(value).cast("double")
     shape = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
@@ -151,8 +164,9 @@ def kde(
     else:
         lo, hi = F.lit(float(extent[0])), F.lit(float(extent[1]))
     width = F.col("_sd") * F.pow(F.col("_rows").cast("double"), F.lit(-0.2))
-    shape = (shape if by else F.broadcast(shape)).select(*keys, "_rows", width.alias("_h"), lo.alias("_from"), ((hi - lo) / (points - 1)).alias("_step"))
-    spread = counts.join(shape, keys).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    shape = shape.select(*by, "_rows", width.alias("_h"), lo.alias("_from"), ((hi - lo) / (points - 1)).alias("_step"))
+    known = with_side(counts, shape, by).where(F.col("_rows").isNotNull())
+    spread = known.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.col("_from") + F.col("point") * F.col("_step")
     u = (x - v) / F.col("_h")
     return spread.groupBy(*keys, "point").agg(

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from staygrid.functions.times import floor_to, seconds_between
-from staygrid.operators import cohort, select
+from staygrid.operators import cohort, select, stats
 from staygrid.operators.aggregate import aggregator
 from staygrid.operators.grid import expand_windows
 from staygrid.operators.merge import merge_wide
@@ -390,9 +390,9 @@ class Loader:
             if not self.available(concepts):
                 continue
             df = self.load(concepts, wanted)
-            one = df.agg(make(df).cast("double").alias(name)).withColumn("_k", F.lit(1))
-            out = one if out is None else out.join(one, "_k")
-        return out.drop("_k")
+            one = df.agg(make(df).cast("double").alias(name))
+            out = one if out is None else stats.beside(out, one)
+        return out
 
 
 def merge_sources(frames: dict[str, DataFrame]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from staygrid.schema import as_column
 
@@ -69,6 +69,11 @@ def to_number(x: str | Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
+def number(df: DataFrame, column: str) -> Column:
+    """A column as number; text is parsed, numeric columns are left as they are."""
+    return F.col(column) if isinstance(df.schema[column].dataType, T.NumericType) else to_number(column)
+
+
 def force_type(x: str | Column, dtype: str) -> Column:
     return as_column(x).try_cast(dtype)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from staygrid.functions.times import floor_to
 
@@ -75,11 +75,10 @@ def item_grid(
         df = df.where(F.col(value) >= lo)
     if hi is not None:
         df = df.where(F.col(value) <= hi)
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*ids, floor_to(time, step).alias(time), item)
-        .agg(aggregator(how, value, [time]).alias(value))
-    )
+    keys = [*ids, floor_to(time, step).alias(time), item]
+    if how == "median":
+        return by_counts(df, keys, value, {"_median": how}).withColumnRenamed("_median", value)
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(aggregator(how, value, [time]).alias(value))
 
 
 def wide_grid(df: DataFrame, ids: list[str], time: str, values: list[str], step: int, how: str = "median") -> DataFrame:
@@ -89,6 +88,36 @@ def wide_grid(df: DataFrame, ids: list[str], time: str, values: list[str], step:
     )
 
 
+# Aggregates that follow from the distinct values of a group and their counts.
+BY_COUNTS = {"median", "min", "max", "sum", "mean", "count"}
+
+
+def by_counts(df: DataFrame, keys: list[str | Column], value: str, outs: dict[str, str]) -> DataFrame:
+    """Grouped aggregates including exact medians, without gathering raw rows.
+
+    Rows are first counted per distinct value, on the map side and spread by
+    value, so a group that holds much of the table is not sent to one task. The
+    median then comes from a running sum of the counts, which can spill.
+    ``outs`` maps an output to one of ``BY_COUNTS``.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    keys = counts.columns[:-2]
+    v, n = F.col(value), F.col("_n")
+    aggs = {"min": F.min(v), "max": F.max(v), "sum": F.sum(v * n), "count": F.sum(n), "mean": F.sum(v * n) / F.sum(n)}
+    if "median" in outs.values():
+        ordered = Window.partitionBy(*keys).orderBy(value)
+        counts = counts.select(
+            *counts.columns,
+            F.sum(n).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
+            F.sum(n).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_size"),
+        )
+        middle = (F.col("_size") - 1) / 2
+        low = F.min(F.when(F.col("_upto") > F.floor(middle), v))
+        high = F.min(F.when(F.col("_upto") > F.ceil(middle), v))
+        aggs["median"] = (low + high) / 2
+    return counts.groupBy(*keys).agg(*[aggs[how].alias(out) for out, how in outs.items()])
+
+
 def one_unique(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The value of a group if it has exactly one, else null."""
     lo, hi = F.min(value), F.max(value)

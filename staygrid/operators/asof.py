@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from staygrid.functions.scalars import to_number
+from staygrid.functions.scalars import number
 from staygrid.operators.rolling import slide
 from staygrid.operators.slices import SLICE, Acc, scan
 from staygrid.schema import HOUR
@@ -106,7 +106,7 @@ def oxygen_ratio(
 
 
 def _ratio(df, ids, time, o2_col, fio2_col, fix_na_fio2, out):
-    a, f = to_number(o2_col), to_number(fio2_col)
+    a, f = number(df, o2_col), number(df, fio2_col)
     if fix_na_fio2:
         f = F.coalesce(f, F.lit(21.0))
     return df.where(a.isNotNull() & (f > 0)).select(*ids, time, (a * 100 / f).alias(out))

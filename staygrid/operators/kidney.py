@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from staygrid.functions import scores
 from staygrid.operators.grid import fill_gaps
-from staygrid.operators.slices import framed, row_framed
+from staygrid.operators.slices import Acc, framed, grid_framed, row_framed
 from staygrid.schema import DAY, HOUR
 
 DEFAULT_WEIGHT = 70.0
@@ -28,10 +28,7 @@ def urine24(
         limits = rows.groupBy(*ids).agg(F.min(time).alias("start"), (F.max(time) - F.min(time)).alias("end"))
     grid = fill_gaps(rows, ids, time, step, limits).withColumn(value, F.coalesce(F.col(value), F.lit(0.0)))
     per_day = DAY // step
-    found = framed(grid, ids, time, (per_day - 1) * step, 0, {
-        "_sum": lambda w: F.sum(value).over(w),
-        "_rows": lambda w: F.count(F.lit(1)).over(w),
-    })
+    found = grid_framed(grid, ids, time, step, per_day - 1, [Acc("_sum", "sum", F.col(value)), Acc("_rows", "count", F.lit(1))])
     return found.select(
         *ids, time, F.when(F.col("_rows") >= min_rows, F.col("_sum") * float(per_day) / F.col("_rows")).alias("urine24")
     )

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from staygrid.functions import scores
 from staygrid.functions.scalars import any_known
 from staygrid.operators.grid import fill_gaps
-from staygrid.operators.rolling import locf_window, slide
+from staygrid.operators.rolling import locf_window
+from staygrid.operators.slices import Acc, grid_framed
 from staygrid.schema import HOUR
 
 SOFA = ["sofa_resp", "sofa_coag", "sofa_liver", "sofa_cardio", "sofa_cns", "sofa_renal"]
@@ -36,7 +37,9 @@ def organ_score(
         limits = rows.groupBy(*ids).agg(F.min(time).alias("start"), (F.max(time) - F.min(time)).alias("end"))
     grid = fill_gaps(rows, ids, time, step, limits)
     if window > 0:
-        grid = slide(grid, ids, time, window, 0, {p: (worst, p) for p in present}, full_window)
+        accs = [Acc(p, worst, F.col(p)) for p in present] + [Acc("_points", "count", F.lit(1))]
+        grid = grid_framed(grid, ids, time, step, window // step, accs)
+        grid = grid.where(F.col("_points") > window // step) if full_window else grid
     total: Column = F.lit(0)
     for p in present:
         total = total + F.coalesce(F.col(p), F.lit(0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from staygrid.functions.scalars import apply_map, extract_unit, to_number
+from staygrid.functions.scalars import apply_map, extract_unit, number, to_number
 from staygrid.functions.times import floor_to
 from staygrid.operators import stats
 from staygrid.operators.grid import expand, expand_intervals
@@ -51,7 +51,7 @@ def rate_per_kg(
     df: DataFrame, ids: list[str], order: str | list[str], value: str, drug: str, weight: str, ml_to_mcg: float
 ) -> DataFrame:
     """Charted drug rates in mcg/kg/min, one value per hour."""
-    rate = per_kg_minute(to_number(value), drug_unit(drug), _weight(weight), ml_to_mcg)
+    rate = per_kg_minute(number(df, value), drug_unit(drug), _weight(weight), ml_to_mcg)
     rows = df.withColumn(value, rate).where(F.col(value).isNotNull())
     return expand_intervals(rows, ids, order, value)
 
@@ -60,7 +60,7 @@ def rate_in_units(
     df: DataFrame, ids: list[str], order: str | list[str], value: str, drug: str, ml_to_mcg: float, mcg_to_units: float
 ) -> DataFrame:
     """Charted drug rates in units/min, one value per hour; per-kilogram rates are dropped."""
-    u, v = F.lower(F.coalesce(extract_unit(drug), F.lit(""))), to_number(value)
+    u, v = F.lower(F.coalesce(extract_unit(drug), F.lit(""))), number(df, value)
     v = F.when(u.endswith("/hr"), v / 60).otherwise(v)
     v = (
         F.when(u.contains("/kg/"), F.lit(None).cast("double"))
@@ -103,7 +103,7 @@ def dose_per_kg(
 ) -> DataFrame:
     """Doses with stop times in mcg/kg/min on the hours they cover."""
     rows = df.where(F.col(unit).isNotNull() & F.col(rate_unit).isNotNull())
-    rate = per_minute(to_micrograms(to_number(value), unit), rate_unit)
+    rate = per_minute(to_micrograms(number(df, value), unit), rate_unit)
     relative = F.coalesce(F.col(weight_relative).cast("boolean"), F.lit(False)) if weight_relative else F.lit(False)
     kilograms = F.coalesce(F.col(weight), F.lit(DEFAULT_WEIGHT))
     rate = F.when(~relative & (kilograms > 0), rate / kilograms).otherwise(rate)
@@ -117,7 +117,7 @@ def dose_in_units(
 ) -> DataFrame:
     """Doses with stop times in units/min on the hours they cover."""
     mass = apply_map(_unit(unit), MASS_FACTOR)
-    v = to_number(value)
+    v = number(df, value)
     rate = per_minute(F.when(mass.isNotNull(), v * mass * mcg_to_units).otherwise(v), rate_unit)
     rows = df.select(*ids, start, stop, rate.alias(value)).where(F.col(value).isNotNull() & (F.col(stop) > F.col(start)))
     return expand(rows, start, stop, step, floored=True).withColumn("unit", F.lit("units/min"))
@@ -135,7 +135,7 @@ def infusion_rate_per_kg(
 ) -> DataFrame:
     """Given doses in mg or ug summed per infusion and interval, as mcg/kg/min."""
     u = _unit(unit)
-    micro = F.when(u == "mg", to_number(value) * 1000).when(u.isin("µg", "ug", "mcg", "μg"), to_number(value))
+    micro = F.when(u == "mg", number(df, value) * 1000).when(u.isin("µg", "ug", "mcg", "μg"), number(df, value))
     rows = df.withColumn(value, micro).where(F.col(value).isNotNull())
     kilograms = F.coalesce(F.max(weight), F.lit(DEFAULT_WEIGHT))
     dose = rows.groupBy(*ids, *group, floor_to(time, interval).alias(time)).agg(
@@ -231,7 +231,7 @@ def amount_per_kg(
     df: DataFrame, ids: list[str], start: str, stop: str, value: str, weight: str, scale: float = 1e6, step: int = HOUR
 ) -> DataFrame:
     """Amounts scaled per kilogram on the hours they cover, median per hour."""
-    v = to_number(value)
+    v = number(df, value)
     per_kg = F.when(F.col(weight) > 0, v * scale / F.col(weight)).otherwise(v)
     rows = df.where(F.col(stop) > F.col(start)).select(*ids, start, stop, per_kg.alias(value))
     hours = expand(rows, start, stop, step, floored=True)

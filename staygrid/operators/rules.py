@@ -37,22 +37,30 @@ class Roles:
 
 Rule = Callable[..., DataFrame]
 RULES: dict[str, Rule] = {}
-ROW_WISE: set[str] = set()
+ROW_WISE: dict[str, set[str]] = {}  # rule -> the parts it rewrites
 
 
-def rule(name: str, row_wise: bool = False) -> Callable[[Rule], Rule]:
+def rule(name: str, row_wise: bool = False, touches: tuple[str, ...] = ("value",)) -> Callable[[Rule], Rule]:
     def add(f: Rule) -> Rule:
         RULES[name] = f
         if row_wise:
-            ROW_WISE.add(name)
+            ROW_WISE[name] = set(touches)
         return f
 
     return add
 
 
-def register_rule(name: str, f: Rule, row_wise: bool = False) -> None:
+def register_rule(name: str, f: Rule, row_wise: bool = False, touches: tuple[str, ...] = ("value",)) -> None:
     """Add a rule of one's own: ``f(df, roles, **params) -> DataFrame``."""
-    rule(name, row_wise)(f)
+    rule(name, row_wise, touches)(f)
+
+
+def rewrites(spec: dict) -> set[str] | None:
+    """The parts a row-wise rule spec rewrites, None if it changes rows."""
+    if spec["rule"] != "combine_callbacks":
+        return ROW_WISE.get(spec["rule"])
+    steps = [rewrites(step) for step in spec["rules"]]
+    return None if None in steps else set().union(*steps)
 
 
 def apply_rule(df: DataFrame, roles: Roles, name: str, **params) -> DataFrame:
@@ -98,7 +106,7 @@ def _comp_na(df, r, op, value):
 
 @rule("binary_op", True)
 def _binary_op(df, r, op, value):
-    return _set(df, r, scalars.binary_op(scalars.to_number(r.value), op, value))
+    return _set(df, r, scalars.binary_op(scalars.number(df, r.value), op, value))
 
 
 @rule("floor", True)
@@ -121,7 +129,7 @@ def _apply_map(df, r, mapping, column=None):
     return _set(df, r, scalars.apply_map(column or r.value, mapping))
 
 
-@rule("convert_unit", True)
+@rule("convert_unit", True, ("value", "unit"))
 def _convert_unit(df, r, op, by, new_unit, pattern=None):
     return units.convert_where(df, r.value, r.unit, lambda v: scalars.binary_op(v, op, by), new_unit, pattern)
 
@@ -136,7 +144,7 @@ def _dex_to_10(df, r, factors):
     return _set(df, r, rates.dextrose_factor(r.item, r.value, factors))
 
 
-@rule("aumc_rate", True)
+@rule("aumc_rate", True, ("unit",))
 def _aumc_rate(df, r):
     return df.withColumn(r.unit, rates.composed_unit(r.unit, r.rate_unit))
 
@@ -157,13 +165,13 @@ def _aumc_death(df, r, within=72 * HOUR):
     return _set(df, r, F.coalesce(F.col(r.time) - F.col(r.value) < within, F.lit(False)))
 
 
-@rule("sic_death", True)
+@rule("sic_death", True, ("value", "time"))
 def _sic_death(df, r):
     """Value is the offset of death: it becomes the time, floored to the hour."""
     return df.withColumns({r.time: F.floor(F.col(r.value) / HOUR) * HOUR, r.value: F.col(r.value).isNotNull()})
 
 
-@rule("mimic_sampling", True)
+@rule("mimic_sampling", True, ("value", "time"))
 def _mimic_sampling(df, r):
     """Time is the exact one where known, else the date plus 12 hours; value is whether an organism was found."""
     return df.withColumns({
@@ -171,7 +179,7 @@ def _mimic_sampling(df, r):
     })
 
 
-@rule("mimic_abx_presc", True)
+@rule("mimic_abx_presc", True, ("value", "time"))
 def _mimic_abx_presc(df, r):
     return df.withColumns({r.time: F.col(r.time) + 12 * HOUR, r.value: F.lit(True)})
 
@@ -198,12 +206,12 @@ def _mimic_kg_rate(df, r):
     return rates.rate_over_weight(df, r.value, r.weight)
 
 
-@rule("mimv_rate", True)
+@rule("mimv_rate", True, ("value", "unit"))
 def _mimv_rate(df, r, amount="amount", amount_unit="amount_unit"):
     return rates.rate_or_amount(df, r.value, r.unit, r.dur, amount, amount_unit)
 
 
-@rule("ts_to_win_tbl", True)
+@rule("ts_to_win_tbl", True, ("dur",))
 def _ts_to_win(df, r, length):
     return grid.to_window(df, length, r.dur)
 
@@ -213,9 +221,9 @@ def _eicu_dex_med(df, r):
     return rates.dextrose_bolus(df, r.value, r.dur)
 
 
-@rule("eicu_dex_inf", True)
+@rule("eicu_dex_inf", True, ("value", "unit", "dur"))
 def _eicu_dex_inf(df, r, interval=HOUR):
-    return df.withColumns({r.value: scalars.to_number(r.value), r.dur: F.lit(interval), r.unit: F.lit("ml/hr")})
+    return df.withColumns({r.value: scalars.number(df, r.value), r.dur: F.lit(interval), r.unit: F.lit("ml/hr")})
 
 
 @rule("vent_flag")

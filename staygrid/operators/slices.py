@@ -177,6 +177,51 @@ def framed(
     )
 
 
+_MERGE = {
+    "sum": lambda a, b: F.coalesce(a + b, a, b),
+    "count": lambda a, b: F.coalesce(a + b, a, b),
+    "min": lambda a, b: F.least(a, b),
+    "max": lambda a, b: F.greatest(a, b),
+}
+
+
+def grid_framed(
+    df: DataFrame, ids: list[str], time: str, step: int, back: int, accs: list[Acc], slice_rows: int = 0,
+) -> DataFrame:
+    """Sums, counts, minima and maxima over the current and ``back`` grid points before.
+
+    The series must be a complete grid. Time is cut into blocks as long as the
+    frame, so a frame is the end of one block and the start of the next: two
+    running aggregates and one lookup per row, however long the frame is.
+    """
+    rows = back + 1
+    width = max(slice_rows, 4 * rows) * step
+    t = F.col(time)
+    spread = df.withColumns({
+        SLICE: F.explode(F.sequence(F.floor(t / width), F.floor((t + back * step) / width))),
+        "_block": F.floor(t / (rows * step)),
+    }).withColumn(OWN, F.floor(t / width) == F.col(SLICE))
+    block = Window.partitionBy(*ids, SLICE, "_block")
+    up_to = (Window.unboundedPreceding, 0)
+    rest = spread.select(
+        "*", *[_over(a.kind, a.value, block.orderBy(t.desc()).rowsBetween(*up_to)).alias(f"_rest{i}") for i, a in enumerate(accs)]
+    )
+    along = Window.partitionBy(*ids, SLICE).orderBy("_block", time)
+    tail = F.struct("_block", *[f"_rest{i}" for i in range(len(accs))])
+    seen = rest.select(
+        "*", *[_over(a.kind, a.value, block.orderBy(time).rowsBetween(*up_to)).alias(f"_head{i}") for i, a in enumerate(accs)],
+    ).withColumn("_tail", F.coalesce(F.lag(tail, back).over(along), F.first(tail).over(along.rowsBetween(*up_to))))
+    before = F.col("_tail._block") < F.col("_block")
+    outs = {a.out for a in accs}
+    return seen.where(OWN).select(
+        *[c for c in df.columns if c not in outs],
+        *[
+            _MERGE[a.kind](F.col(f"_head{i}"), F.when(before, F.col(f"_tail._rest{i}"))).alias(a.out)
+            for i, a in enumerate(accs)
+        ],
+    )
+
+
 def numbered(df: DataFrame, ids: list[str], order: str | list[str], out: str, slice_by: Column | None = None) -> DataFrame:
     """Row number within each series, from 1."""
     return scan(df, ids, order, [Acc(out, "count", F.lit(1))], slice_by)

@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from staygrid.functions.times import floor_to, seconds_between
 from staygrid.operators import cohort, select, stats
-from staygrid.operators.aggregate import aggregator
+from staygrid.operators.aggregate import BY_COUNTS, aggregator, by_counts
 from staygrid.operators.grid import expand_windows
 from staygrid.operators.merge import merge_wide
-from staygrid.operators.rules import ROW_WISE, Roles, apply_rule
+from staygrid.operators.rules import Roles, apply_rule, rewrites
 from staygrid.plans import derived, modules
 from staygrid.plans.derived import Context
 from staygrid.plans.spec import Catalogue, Concept, Item
@@ -134,7 +134,7 @@ class Loader:
         branches: list[tuple[DataFrame, str | None]] = []
         shared = []
         for name, it in items:
-            if it.rule and it.rule["rule"] not in ROW_WISE:
+            if it.rule and rewrites(it.rule) is None:
                 params = {k: v for k, v in it.rule.items() if k != "rule"}
                 own = apply_rule(rows.where(F.col("concept") == name), self._roles(it), it.rule["rule"], **params)
                 branches.append((own.withColumn("concept", F.lit(name)), it.target))
@@ -147,31 +147,39 @@ class Loader:
 
     def _row_rules(self, rows: DataFrame, shared: list[tuple[str, Item]]) -> DataFrame:
         """Every row-wise rule works on its own copy of the columns; the concept picks the copy."""
-        touched = [c for c in ("value", "unit", "t", "dur") if c in rows.columns]
+        parts = {"value": "value", "unit": "unit", "time": "t", "dur": "dur"}
         by_rule: dict[str, tuple[Item, list[str]]] = {}
         for name, it in shared:
             if it.rule:
                 by_rule.setdefault(repr((it.rule, it.params)), (it, []))[1].append(name)
+        columns = {i: [p for p in parts if p in rewrites(it.rule)] for i, (it, _) in enumerate(by_rule.values())}
+        none = F.lit(None).cast("string")
         copies = rows.select("*", *[
-            F.col(c).alias(f"_{c}{i}") for i in range(len(by_rule)) for c in touched
+            (F.col(parts[p]) if parts[p] in rows.columns else none).alias(f"_{p}{i}") for i, ps in columns.items() for p in ps
         ])
         for i, (it, _) in enumerate(by_rule.values()):
-            own = {("time" if c == "t" else c): f"_{c}{i}" for c in touched}
-            params = {k: v for k, v in it.rule.items() if k != "rule"}
-            copies = apply_rule(copies, replace(self._roles(it), **own), it.rule["rule"], **params)
+            own = replace(self._roles(it), **{p: f"_{p}{i}" for p in columns[i]})
+            copies = apply_rule(copies, own, it.rule["rule"], **{k: v for k, v in it.rule.items() if k != "rule"})
         kinds = dict(copies.dtypes)
-        out = []
-        for c in touched:
-            variants = [f"_{c}{i}" for i in range(len(by_rule))]
-            if c == "value" and {kinds[v] for v in variants} - {kinds[c]}:
-                cast = {v: F.col(v).cast("double") if kinds[v] != "string" else F.col(v).try_cast("double") for v in [c, *variants]}
-            else:
-                cast = {v: F.col(v) for v in [c, *variants]}
-            picked = F
-            for i, (_, names) in enumerate(by_rule.values()):
-                picked = picked.when(F.col("concept").isin(names), cast[f"_{c}{i}"])
-            out.append((picked.otherwise(cast[c]) if by_rule else cast[c]).alias(c))
-        return copies.select(*[c for c in rows.columns if c not in touched], *out)
+
+        def picked(part: str) -> Column:
+            here = [(i, names) for i, (_, names) in enumerate(by_rule.values()) if part in columns[i]]
+            old = parts[part] if parts[part] in rows.columns else None
+            types = {kinds[f"_{part}{i}"] for i, _ in here} | ({kinds[old]} if old else set())
+
+            def typed(c: str) -> Column:
+                if part != "value" or len(types) == 1:
+                    return F.col(c)
+                return F.col(c).try_cast("double") if kinds[c] == "string" else F.col(c).cast("double")
+
+            chain = F
+            for i, names in here:
+                chain = chain.when(F.col("concept").isin(names), typed(f"_{part}{i}"))
+            return chain.otherwise(typed(old)) if old else chain
+
+        changed = {p for ps in columns.values() for p in ps}
+        kept = [c for c in rows.columns if c not in {parts[p] for p in changed}]
+        return copies.select(*kept, *[picked(p).alias(parts[p]) for p in parts if p in changed])
 
     def long(self, names: list[str], wanted: DataFrame | None = None, interval: int | None = None,
              aggregate: dict[str, str] | str | None = None, text: bool = False) -> DataFrame | None:
@@ -199,9 +207,14 @@ class Loader:
             return None
         rows = reduce(DataFrame.unionByName, parts).where(F.col("value").isNotNull())
         used = sorted(set(how.values()))
-        aggs = rows.groupBy("id", floor_to("t", step).alias("t"), "concept").agg(
-            *[aggregator(h, "value", ["t"]).cast("string" if text else "double").alias(f"_{h}") for h in used]
-        )
+        keys = ["id", floor_to("t", step).alias("t"), "concept"]
+        if not text and "median" in used and set(used) <= BY_COUNTS:
+            aggs = by_counts(rows, keys, "value", {f"_{h}": h for h in used})
+            aggs = aggs.withColumns({f"_{h}": F.col(f"_{h}").cast("double") for h in used})
+        else:
+            aggs = rows.groupBy(*keys).agg(
+                *[aggregator(h, "value", ["t"]).cast("string" if text else "double").alias(f"_{h}") for h in used]
+            )
         chosen = F.coalesce(*[
             F.when(F.col("concept").isin([n for n, f in how.items() if f == h]), F.col(f"_{h}")) for h in used
         ])

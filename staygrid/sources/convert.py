@@ -37,7 +37,9 @@ def read_raw_csv(spark: SparkSession, paths: str | list[str], schema: str, sep:
     raw = spark.read.schema(typed).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", CORRUPT
     ).csv(paths)
-    return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT), raw.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    # the reader refuses a scan of the reject column alone, hence the second column
+    line = F.coalesce(F.col(CORRUPT), F.col(typed.fieldNames()[0]).cast("string")).alias(CORRUPT)
+    return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT), raw.where(F.col(CORRUPT).isNotNull()).select(line)
 
 
 def import_table(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from staygrid.operators import stats
 from staygrid.operators.aggregate import aggregator
@@ -134,12 +134,28 @@ def _carry(df, ids, order, columns, max_gap, reverse):
     return found.select(*[carried(c) if c in columns else c for c in df.columns])
 
 
-def locf_window(df: DataFrame, ids: list[str], time: str, columns: list[str], window: int = 24 * HOUR) -> DataFrame:
-    """Last original value at most ``window`` back; filled values are not carried on."""
-    return framed(
-        df, ids, time, window, 0,
-        {c: (lambda w, c=c: F.last(c, ignorenulls=True).over(w)) for c in columns},
-    ).select(*df.columns)
+def locf_window(
+    df: DataFrame, ids: list[str], time: str, columns: list[str] | dict[str, str], window: int = 24 * HOUR
+) -> DataFrame:
+    """Last original value at most ``window`` back; filled values are not carried on.
+
+    A dict maps outputs to inputs and keeps the inputs. The last value is carried
+    along the slice and its age tested, so the cost does not grow with the window.
+    """
+    outs = columns if isinstance(columns, dict) else {c: c for c in columns}
+
+    def seen(c: str):
+        value = F.when(F.col(c).isNotNull(), F.struct(F.col(time).alias("at"), F.col(c).alias("v")))
+        return lambda w: F.last(value, ignorenulls=True).over(w)
+
+    found = framed(
+        df, ids, time, window, 0, {f"_seen_{o}": seen(c) for o, c in outs.items()}, frame=(Window.unboundedPreceding, 0)
+    )
+    fresh = {o: F.when(F.col(time) - F.col(f"_seen_{o}.at") <= window, F.col(f"_seen_{o}.v")) for o in outs}
+    return found.select(
+        *[fresh[c].alias(c) if c in outs else c for c in df.columns],
+        *[fresh[o].alias(o) for o in outs if o not in df.columns],
+    )
 
 
 def fill_na(

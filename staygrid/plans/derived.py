@@ -18,7 +18,7 @@ from staygrid.operators import kidney, organ, sepsis
 from staygrid.operators.asof import ventilation_windows
 from staygrid.operators.grid import any_infusion, expand_windows
 from staygrid.operators.intervals import sustained_rate
-from staygrid.operators.slices import framed
+from staygrid.operators.rolling import locf_window
 from staygrid.schema import HOUR
 
 
@@ -71,12 +71,8 @@ def _opt(wide: DataFrame, name: str) -> str | None:
 
 def _carried(wide: DataFrame, ctx: Context, columns: list[str], window: int) -> tuple[DataFrame, dict[str, str]]:
     """Last known values at most ``window`` old, under temporary names."""
-    have = [c for c in columns if c in wide.columns]
-    temp = {c: f"_last_{c}" for c in have}
-    out = framed(wide, ctx.ids, ctx.time, window, 0, {
-        t: (lambda w, c=c: F.last(c, ignorenulls=True).over(w)) for c, t in temp.items()
-    })
-    return out, temp
+    temp = {c: f"_last_{c}" for c in columns if c in wide.columns}
+    return locf_window(wide, ctx.ids, ctx.time, {t: c for c, t in temp.items()}, window), temp
 
 
 def _oxygen(o2: str):

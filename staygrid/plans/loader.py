@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from staygrid.functions.times import floor_to, seconds_between
-from staygrid.operators import cohort, select, stats
+from staygrid.operators import cohort, select
 from staygrid.operators.aggregate import BY_COUNTS, aggregator, by_counts
 from staygrid.operators.grid import expand_windows
 from staygrid.operators.merge import merge_wide
@@ -92,8 +92,7 @@ class Loader:
         if lay.stays and first.id is None and lay.id not in df.columns:
             raise ValueError(f"{table} has no {lay.id}; give the item an id column")
         df = self._with_seconds(df, id_col, [c for c in (time_col, first.stop) if c and c in df.columns])
-        tags = [self._tag(F.col(item_col) if item_col in df.columns else None, name, it) for name, it in items]
-        tagged = df.withColumn("concept", F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())))
+        tagged = self._tagged(df, item_col, items)
         renames = {id_col: "id", value_col: "value"}
         if time_col in df.columns:
             renames[time_col] = self.time
@@ -107,12 +106,22 @@ class Loader:
             renames[first.dur] = "dur"
         return tagged.withColumnsRenamed({k: v for k, v in renames.items() if k != v})
 
-    @staticmethod
-    def _tag(item_col: Column | None, name: str, it: Item) -> Column:
-        if item_col is None or not (it.items or it.pattern):
-            return F.lit(name)
-        hit = item_col.isin(list(it.items)) if it.items else F.coalesce(item_col.rlike("(?i)" + it.pattern), F.lit(False))
-        return F.when(hit, F.lit(name))
+    def _tagged(self, df: DataFrame, item_col: str, items: list[tuple[str, Item]]) -> DataFrame:
+        """Each row with the concept it belongs to; an item may serve several concepts."""
+        pairs = sorted({(i, name) for name, it in items for i in it.items}, key=str)
+        parts = []
+        if pairs:
+            # one row per item named in the spec, whatever the size of the data
+            kind = df.schema[item_col].dataType.simpleString()
+            listed = self.spark.createDataFrame(pairs, f"_item {kind}, concept string")
+            parts.append(df.join(F.broadcast(listed), F.col(item_col) == F.col("_item")).drop("_item"))
+        tags = [
+            F.when(F.col(item_col).rlike("(?i)" + it.pattern), F.lit(name)) if it.pattern else F.lit(name)
+            for name, it in items if not it.items
+        ]
+        if tags:
+            parts.append(df.withColumn("concept", F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull()))))
+        return reduce(DataFrame.unionByName, parts)
 
     def _with_seconds(self, df: DataFrame, id_col: str, times: list[str]) -> DataFrame:
         """Times as whole seconds since admission."""
@@ -391,21 +400,16 @@ class Loader:
 
     def quick_summary(self, wanted: DataFrame | None = None) -> DataFrame:
         """One row: ids, vital and laboratory rows, mean SOFA and sepsis rows."""
-        parts = {
-            "patients": (["hr"], lambda d: F.countDistinct("id")),
-            "vitals_records": (["hr"], lambda d: F.count(F.lit(1))),
-            "lab_records": (["wbc"], lambda d: F.count(F.lit(1))),
-            "sofa_mean": (["sofa"], lambda d: F.avg("sofa")),
-            "sepsis_positive": (["sep3"], lambda d: F.sum("sep3")),
+        aggs = {
+            "patients": ("hr", lambda: F.countDistinct(F.when(F.col("hr").isNotNull(), F.col("id")))),
+            "vitals_records": ("hr", lambda: F.count("hr")),
+            "lab_records": ("wbc", lambda: F.count("wbc")),
+            "sofa_mean": ("sofa", lambda: F.avg("sofa")),
+            "sepsis_positive": ("sep3", lambda: F.sum("sep3")),
         }
-        out = None
-        for name, (concepts, make) in parts.items():
-            if not self.available(concepts):
-                continue
-            df = self.load(concepts, wanted)
-            one = df.agg(make(df).cast("double").alias(name))
-            out = one if out is None else stats.beside(out, one)
-        return out
+        names = self.available(["hr", "wbc", "sofa", "sep3"])
+        wide = self.load(names, wanted)
+        return wide.agg(*[make().cast("double").alias(out) for out, (n, make) in aggs.items() if n in names])
 
 
 def merge_sources(frames: dict[str, DataFrame]) -> DataFrame:

@@ -82,28 +82,36 @@ def item_grid(
 
 
 def wide_grid(df: DataFrame, ids: list[str], time: str, values: list[str], step: int, how: str = "median") -> DataFrame:
-    """Wide table to one row per id and interval, in one scan."""
-    return df.groupBy(*ids, floor_to(time, step).alias(time)).agg(
-        *[aggregator(how, c, [time]).alias(c) for c in values]
-    )
+    """Wide table to one row per id and interval; medians go through counts per value."""
+    slot = floor_to(time, step).alias(time)
+    if how != "median":
+        return df.groupBy(*ids, slot).agg(*[aggregator(how, c, [time]).alias(c) for c in values])
+    keys = [*ids, time]
+    long = df.select(*ids, slot, *[F.col(c).cast("double").alias(c) for c in values]).unpivot(keys, values, "_name", "_value")
+    medians = by_counts(long, [*keys, "_name"], "_value", {"_median": "median"}, keep_empty=True)
+    return medians.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == c, F.col("_median"))).alias(c) for c in values])
 
 
 # Aggregates that follow from the distinct values of a group and their counts.
 BY_COUNTS = {"median", "min", "max", "sum", "mean", "count"}
 
 
-def by_counts(df: DataFrame, keys: list[str | Column], value: str, outs: dict[str, str]) -> DataFrame:
+def by_counts(
+    df: DataFrame, keys: list[str | Column], value: str, outs: dict[str, str], keep_empty: bool = False
+) -> DataFrame:
     """Grouped aggregates including exact medians, without gathering raw rows.
 
     Rows are first counted per distinct value, on the map side and spread by
     value, so a group that holds much of the table is not sent to one task. The
     median then comes from a running sum of the counts, which can spill.
-    ``outs`` maps an output to one of ``BY_COUNTS``.
+    ``outs`` maps an output to one of ``BY_COUNTS``; groups without a value are
+    dropped unless ``keep_empty``.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    known = df if keep_empty else df.where(F.col(value).isNotNull())
+    counts = known.groupBy(*keys, value).agg(F.count(value).alias("_n"))
     keys = counts.columns[:-2]
     v, n = F.col(value), F.col("_n")
-    aggs = {"min": F.min(v), "max": F.max(v), "sum": F.sum(v * n), "count": F.sum(n), "mean": F.sum(v * n) / F.sum(n)}
+    aggs = {"min": F.min(v), "max": F.max(v), "sum": F.sum(v * n), "count": F.sum(n), "mean": F.try_divide(F.sum(v * n), F.sum(n))}
     if "median" in outs.values():
         ordered = Window.partitionBy(*keys).orderBy(value)
         counts = counts.select(

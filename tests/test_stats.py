@@ -70,3 +70,8 @@ def test_density(spark):
 def test_mode_takes_the_smallest_of_equals(spark):
     df = spark.createDataFrame([(1, 3.0), (1, 2.0), (1, 3.0), (1, 2.0), (2, None)], "g int, v double")
     assert rows(stats.mode(df, ["g"], "v", "m")) == [(1, 2.0)]
+
+
+def test_wide_grid_keeps_empty_intervals(spark):
+    df = spark.createDataFrame([(1, 10, 1.0, None), (1, 20, 4.0, None), (1, 4000, None, None), (2, 0, None, 7.0)], "id long, t long, a double, b double")
+    assert rows(aggregate.wide_grid(df, ["id"], "t", ["a", "b"], 3600), "id", "t") == [(1, 0, 2.5, None), (1, 3600, None, None), (2, 0, None, 7.0)]

@@ -50,8 +50,6 @@ BASES = {
     "item_a": "SELECT id, (t // 3600) * 3600 AS t, min(value) AS a FROM ev WHERE item IN ('click', 'view') GROUP BY 1, 2",
     "item_b": "SELECT id, (t // 3600) * 3600 AS t, max(value) AS b FROM ev WHERE item IN ('error', 'signup', 'purchase') GROUP BY 1, 2",
     "wins": """SELECT id, t AS s, t + CAST(floor(value * 600) AS BIGINT) AS e, value, seq FROM ev WHERE item = 'purchase'""",
-    "stays": """SELECT o_orderkey AS id, o_custkey AS patient, o_orderdate AS intime, o_totalprice AS price,
-        o_orderstatus AS status FROM orders""",
     "demo": """SELECT o_orderkey AS patient_id, 18 + o_totalprice / 6000 AS age,
         CASE WHEN o_orderkey % 2 = 0 THEN 'M' ELSE 'F' END AS gender, o_totalprice / 1000 AS los_hours,
         o_orderstatus <> 'F' AS survived, o_orderpriority = '1-URGENT' AS first_icu_stay, o_orderstatus AS grp FROM orders""",
@@ -96,13 +94,6 @@ def wins(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", F.col("t").alias("s"), (F.col("t") + F.floor(F.col("value") * 600)).alias("e"), "value", "seq")
 
 
-def stays(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("patient"), F.col("o_orderdate").alias("intime"),
-        F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"),
-    )
-
-
 def demo(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     return o.select(

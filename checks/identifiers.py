@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.common import IDS, TIME, ev, hv, item_a, item_b, nv, query, r6, stays, table
+from checks.common import IDS, TIME, ev, hv, item_a, item_b, nv, query, r6, table
 from staygrid.operators import ids as idx, merge, select
 from staygrid.schema import Table
 from staygrid.sources import demographics as demog

@@ -3,6 +3,7 @@
 import pytest
 
 from staygrid.functions import scores
+from staygrid.operators import organ
 
 CASES = [
     (scores.sofa_coag, {19.99: 4, 20: 3, 49.99: 3, 50: 2, 100: 1, 149.99: 1, 150: 0, None: 0}),
@@ -40,3 +41,15 @@ def test_unknown_consciousness(spark):
     args = ("resp", "temp", "sbp", "hr")
     assert [r[0] for r in df.select(scores.news(*args, avpu="a")).collect()] == [0, 0, 3]
     assert [r[0] for r in df.select(scores.news(*args, avpu="a", unknown_avpu_scores=True)).collect()] == [3, 0, 3]
+
+
+def test_component_only_where_an_input_is_known(spark):
+    df = spark.createDataFrame([(1, 0, 15.0), (1, 3600, None)], "id long, t long, plt double")
+    out = organ.component(df, "sofa_coag", ["plt", "absent"], lambda d: scores.sofa_coag("plt"))
+    assert [r.sofa_coag for r in out.orderBy("t").collect()] == [4, None]
+
+
+def test_full_window_needs_the_whole_look_back(spark):
+    df = spark.createDataFrame([(1, h * 3600, 1) for h in range(6)], "id long, t long, sofa_coag int")
+    out = organ.sofa_score(df, ["id"], "t", window=4 * 3600, full_window=True)
+    assert [r.t for r in out.orderBy("t").collect()] == [4 * 3600, 5 * 3600]

@@ -9,8 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staygrid.llm import blob_ledger, golomb_dedup, language_masks, tier_packing
-from staygrid.llm.shared import work_folder
+from staygrid.llm import blob_ledger, divergence, golomb_dedup, kd_shards, language_masks, tier_packing
+from staygrid.llm.shared import settle, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,6 +78,12 @@ def op1_secret_ledger(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(blob_ledger.spans_text(base), 256).alias("base_sha256"), blob_ledger.spans_text("spans").alias("spans"))
 
 
+@query()
+def op2_kd_shards(spark: SparkSession, sf: str) -> DataFrame:
+    shards = kd_shards.document_shards(documents(spark, sf))
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query()
 def op3_tiered_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing_digest(tier_packing.packed(documents(spark, sf), tokenizer_file("word_bpe_49k.json")))
@@ -87,6 +93,53 @@ def packing_digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_id")
 
 
+def _distance_sql(p: str, q: str, bins: int) -> str:
+    parts = []
+    for i in range(1, bins + 1):
+        x, y = f"({p}[{i}] / list_sum({p}))", f"({q}[{i}] / list_sum({q}))"
+        parts += [f"CASE WHEN {a} > 0 THEN 0.5 * {a} * log2(2 * {a} / ({x} + {y})) ELSE 0 END" for a in (x, y)]
+    return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest({' + '.join(parts)}, 0)) ELSE 0 END"
+
+
+def quality_sql(table: str = "documents") -> str:
+    """Base counts, histograms, references and verdicts of a table of documents."""
+    lists = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in divergence.COMMON.items())
+    known = ", ".join(f"'{k}'" for k in divergence.COMMON)
+    hits = ", ".join(f"len(list_filter(words, lambda w: w = common[{j}]))" for j in range(1, 11))
+    return f"""
+WITH d0 AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({known}) THEN lang ELSE 'other' END AS language FROM {table}),
+d AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words, CASE language {lists} ELSE [] END AS common FROM d0),
+w AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
+win AS (SELECT doc_id, i, concat_ws(' ', w, {", ".join(f"lead(w, {k}) OVER o" for k in range(1, 8))}) AS g, lead(w, 7) OVER o AS final
+    FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win WHERE final IS NOT NULL) WHERE n > 1),
+r AS (SELECT doc_id, CAST(sum(least(8, coalesce(nxt - i, 8))) AS BIGINT) AS n FROM
+    (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice) GROUP BY doc_id),
+f0 AS (SELECT doc_id, language, t, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+        - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, length(t) AS chars, strlen(t) AS bytes, len(regexp_extract_all(t, '[A-Z]')) AS upper_n,
+    len(regexp_extract_all(t, '[0-9]')) AS digit_n, len(regexp_extract_all(t, '[.,;:!?''"()-]')) AS punct_n,
+    CASE WHEN language = 'other' THEN [0, 0, 0, 0, 0, 0, 0, 0, 0, 0] ELSE [{hits}] END AS named FROM d LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, list_transform([word_chars - upper_n - digit_n - punct_n - n_symbols, bytes - chars, chars - word_chars, upper_n, digit_n, punct_n, n_symbols], lambda x: CAST(x AS DOUBLE)) AS classes,
+    list_transform(list_append(named, n_words - list_sum(named)), lambda x: CAST(x AS DOUBLE)) AS common FROM f0),
+ref AS (SELECT language, [{", ".join(f"sum(classes[{i}])" for i in range(1, 8))}] AS rc, [{", ".join(f"sum(common[{i}])" for i in range(1, 12))}] AS rw FROM f GROUP BY language),
+j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    CASE WHEN chars >= {divergence.CLASS_CHARS} THEN {_distance_sql("classes", "rc", 7)} ELSE 0 END AS class_distance,
+    CASE WHEN n_words >= {divergence.WORD_WORDS} AND language <> 'other' THEN {_distance_sql("common", "rw", 11)} ELSE 0 END AS word_distance FROM f JOIN ref USING (language))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND class_distance <= {divergence.CLASS_LIMIT} AND word_distance <= {divergence.WORD_LIMIT} AS kept FROM j"""
+
+
+@query(quality_sql())
+def op6_divergence_rules(spark: SparkSession, sf: str) -> DataFrame:
+    measures = settle(divergence.measured(documents(spark, sf).select("doc_id", "text", "lang")).select("doc_id", "__q"))
+    verdicts = divergence.judged(measures, divergence.references(measures))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return verdicts.select("doc_id", *[F.col(f"__q.{c}").alias(c) for c in counts], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+
+
 @query("""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staygrid.llm import blob_ledger, divergence, golomb_dedup, kd_shards, language_masks, tier_packing
+from staygrid.llm import blob_ledger, divergence, golomb_dedup, kd_shards, language_masks, signature_trees, tier_packing
 from staygrid.llm.shared import settle, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,24 @@ def packing_digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_id")
 
 
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i, len(words) AS n FROM d),
+g AS (SELECT doc_id, i, n, CASE WHEN n >= 5 THEN concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) END AS g
+    FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, g FROM g WHERE n >= 5 AND i <= n - 4 UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM d WHERE len(words) BETWEEN 1 AND 4),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_n FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * both_n >= 80 * (x.n + y.n - both_n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT r.doc_id, coalesce(any_value(c.n), 0) AS n_shingles, min(other) AS component_id FROM r LEFT JOIN c ON c.doc_id = r.doc_id GROUP BY r.doc_id
+""")
+def op5_signature_tree_components(spark: SparkSession, sf: str) -> DataFrame:
+    return signature_trees.jaccard_components(documents(spark, sf))
+
+
 def _distance_sql(p: str, q: str, bins: int) -> str:
     parts = []
     for i in range(1, bins + 1):

@@ -6,10 +6,11 @@ Each takes its rows from its operator and derives the digest columns from them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staygrid.llm import blob_ledger, divergence, golomb_dedup, kd_shards, language_masks, signature_trees, tier_packing
+from staygrid.llm import blob_ledger, divergence, golomb_dedup, hmm, kd_shards, language_masks, signature_trees, tier_packing
 from staygrid.llm.shared import settle, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The table; tasks started from here on find this package where the driver has it, if it is not installed."""
+    root = str(Path(__file__).resolve().parents[2])
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
@@ -93,6 +97,11 @@ def packing_digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_id")
 
 
+@query()
+def op4_hmm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return hmm.hmm_scores(documents(spark, sf))
+
+
 @query("""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),

@@ -31,8 +31,8 @@ FOLD[65:91] = np.arange(97, 123)
 FOLD[128:] = np.arange(128, 256)
 
 
-def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams (five bytes in an int64) of each value, and where each value's begin."""
+def grams(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams (``width`` bytes in an int64, at most 7) of each value, and where each value's begin."""
     raw, offsets = flat_bytes(column)
     sizes = np.diff(offsets)
     # a space before and after each value, then no two spaces in a row
@@ -45,13 +45,16 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     keep[begins[:-1]] = True
     place = np.concatenate([[0], np.cumsum(keep)])
     data, begins = data[keep].astype(np.int64), place[begins]
-    if len(data) < 5:
-        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    all_grams = (data[:-4] << 32) | (data[1:-3] << 24) | (data[2:-2] << 16) | (data[3:-1] << 8) | data[4:]
-    counts = np.maximum(np.diff(begins) - 4, 0)
+    counts = np.maximum(np.diff(begins) - width + 1, 0)
     first = np.concatenate([[0], np.cumsum(counts)])
-    taken = np.repeat(begins[:-1] - first[:-1], counts) + np.arange(first[-1])
-    return all_grams[taken], first
+    n = len(data) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), first
+    packed = data[:n].copy()
+    for k in range(1, width):
+        packed <<= 8
+        packed |= data[k : k + n]
+    return packed[np.repeat(begins[:-1] - first[:-1], counts) + np.arange(first[-1])], first
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

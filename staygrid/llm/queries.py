@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staygrid.llm import blob_ledger, divergence, golomb_dedup, hmm, kd_shards, language_masks, signature_trees, tier_packing
+from staygrid.llm import blob_ledger, divergence, golomb_dedup, hmm, kd_shards, language_masks, neighbours, signature_trees, tier_packing
 from staygrid.llm.shared import settle, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,3 +180,8 @@ def op9_golomb_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_language_bitmask(spark: SparkSession, sf: str) -> DataFrame:
     return language_masks.held_out_languages(documents(spark, sf))
+
+
+@query()
+def op8_toxicity_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.toxicity(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))

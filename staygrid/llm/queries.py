@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staygrid.llm import blob_ledger, divergence, golomb_dedup, hmm, kd_shards, language_masks, neighbours, signature_trees, tier_packing
+from staygrid.llm import blob_ledger, divergence, golomb_dedup, hmm, kd_shards, language_masks, merge_dropout, neighbours, signature_trees, tier_packing
 from staygrid.llm.shared import settle, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,3 +185,9 @@ def op10_language_bitmask(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op8_toxicity_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.toxicity(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query()
+def op7_merge_dropout(spark: SparkSession, sf: str) -> DataFrame:
+    coded = merge_dropout.encoded(documents(spark, sf), tokenizer_file("piece_bpe_32k.model"))
+    return coded.select("doc_id", "variant", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "lossless")

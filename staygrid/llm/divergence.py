@@ -28,8 +28,17 @@ def _named(j: int) -> Column:
     return F.size(F.filter("hits", lambda w: w == F.get("common", F.lit(j)))).cast("long")
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with the struct ``__q`` of base counts and histograms.
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once for each row, however often later expressions name them.
+
+    A generator of one row is not merged into the projections above it, where every use would repeat the expression.
+    """
+    one = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(one)))
+
+
+def measured(docs: DataFrame, base: bool = True) -> DataFrame:
+    """``docs`` with the struct ``__q`` of base counts and histograms; only the histograms without ``base``.
 
     A null text counts as empty; a language without common words here, or none, belongs to ``other``. Other columns stay, whatever
     their names.
@@ -37,34 +46,41 @@ def measured(docs: DataFrame) -> DataFrame:
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     df = docs.select(held.alias("row"), F.coalesce("text", F.lit("")).alias("t"), F.when(F.col("lang").isin(list(COMMON)), F.col("lang")).otherwise(OTHER).alias("language"))
     lists = F.coalesce(*[F.when(F.col("language") == k, F.array(*map(F.lit, v))) for k, v in COMMON.items()], F.array().cast("array<string>"))
-    df = df.select("*", F.filter(F.split("t", f"{SPACE}+"), lambda w: w != "").alias("words"), lists.alias("common"))
-    df = df.select("*", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"))
+    df = _once(df, words=F.filter(F.split("t", f"{SPACE}+"), lambda w: w != ""), common=lists)
+    count = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("long")
+    df = _once(
+        df, n_words=F.size("words").cast("long"), word_chars=F.length(F.array_join("words", "")).cast("long"), n_symbols=count(r"[#*$%&|<>]"),
+        chars=F.length("t").cast("long"), bytes=F.octet_length("t").cast("long"), upper=count("[A-Z]"), digit=count("[0-9]"),
+        punct=count(r"[.,;:!?'\"()-]"), hits=F.filter("words", lambda w: F.array_contains("common", w)),
+    )
+    space = F.col("chars") - F.col("word_chars")
+    letters = F.col("word_chars") - F.col("upper") - F.col("digit") - F.col("punct") - F.col("n_symbols")
+    classes = F.array(letters, F.col("bytes") - F.col("chars"), space, F.col("upper"), F.col("digit"), F.col("punct"), F.col("n_symbols"))
+    named = F.array(*[_named(j) for j in range(10)])
+    rest = F.col("n_words") - F.size("hits")
+    fields = [F.col("language"), F.col("n_words"), F.col("word_chars"), F.col("n_symbols"), F.col("chars"), classes.cast("array<double>").alias("classes"), F.concat(named, F.array(rest)).cast("array<double>").alias("common")]
+    if base:
+        df = _repeats(df)
+        fields += [F.col("n_dup_lines"), F.col("n_repeat_words")]
+    return _once(df.select("row", F.struct(*fields).alias("q")), __q=F.col("q")).select("row.*", "__q")
+
+
+def _repeats(df: DataFrame) -> DataFrame:
+    """Lines equal to an earlier one, and words in 8-word windows that occur twice or more.
+
+    Windows are compared by a 64-bit hash. Only a row that has a repeated window sorts its windows; the places of the repeated
+    ones, in order, give the words they cover.
+    """
     windows = F.transform(F.sequence(F.lit(1), F.size("words") - 7), lambda i: F.xxhash64(F.slice("words", i, 8)))
-    df = df.withColumn("windows", F.when(F.col("n_words") >= 8, windows).otherwise(F.array().cast("array<long>")))
+    df = _once(df, windows=F.when(F.col("n_words") >= 8, windows).otherwise(F.array().cast("array<long>")), lines=F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     keyed = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("sorted", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), keyed))
+    df = _once(df, sorted=F.when(F.size(F.array_distinct("windows")) < F.size("windows"), keyed), n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     same = lambda a, i: F.coalesce(F.get("sorted", i)["h"] == a["h"], F.lit(False))
     starts = F.array_sort(F.transform(F.filter("sorted", lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
-    df = df.withColumn("starts", F.when(F.col("sorted").isNotNull(), starts))
+    df = _once(df, starts=F.when(F.col("sorted").isNotNull(), starts))
     covered = F.transform("starts", lambda s, i: F.least(F.coalesce(F.get("starts", i + 1) - s, F.lit(8)), F.lit(8)))
-    repeats = F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
-    df = df.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    df = df.withColumn("hits", F.filter("words", lambda w: F.array_contains("common", w)))
-    count = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("long")
-    df = df.select(
-        "row", "language", "n_words", "word_chars", count(r"[#*$%&|<>]").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), repeats.alias("n_repeat_words"),
-        F.length("t").cast("long").alias("chars"), F.octet_length("t").cast("long").alias("bytes"),
-        count("[A-Z]").alias("upper"), count("[0-9]").alias("digit"), count(r"[.,;:!?'\"()-]").alias("punct"),
-        *[_named(j).alias(f"w{j}") for j in range(10)],
-    )
-    space = F.col("chars") - F.col("word_chars")
-    letters = F.col("word_chars") - F.col("upper") - F.col("digit") - F.col("punct") - F.col("n_symbols")
-    classes = F.array(letters, F.col("bytes") - F.col("chars"), space, F.col("upper"), F.col("digit"), F.col("punct"), F.col("n_symbols")).cast("array<double>")
-    named = [F.col(f"w{j}") for j in range(10)]
-    rest = F.col("n_words") - sum(named[1:], named[0])
-    base = ["language", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars"]
-    return df.select("row", F.struct(*base, classes.alias("classes"), F.array(*named, rest).cast("array<double>").alias("common")).alias("__q")).select("row.*", "__q")
+    none = F.lit(0).cast("long")
+    return _once(df, n_repeat_words=F.coalesce(F.aggregate(covered, none, lambda a, x: a + x), none))
 
 
 def references(measures: DataFrame) -> DataFrame:
@@ -98,5 +114,4 @@ def judged(measures: DataFrame, refs: DataFrame) -> DataFrame:
 
 def quality_filtered(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
-    measures = measured(docs)
-    return judged(measures, references(measures)).where("__kept").select(*[f"`{c}`" for c in docs.columns])
+    return judged(measured(docs), references(measured(docs, base=False))).where("__kept").select(*[f"`{c}`" for c in docs.columns])

@@ -32,6 +32,7 @@ HOT = 1 << 16  # frequent shingles that come last in the order
 LOCAL = 8  # copies in one partition's share that make a shingle a candidate for that list
 SHARE = 4_000_000  # shingles counted together
 FILTER_BITS = 26
+BLOCK_WORDS = 1 << 13  # words of the filter in one row
 BLOCK = 2048
 FIRST = 12  # shingles of a class that are linked before the trees are walked
 FANOUT = 8
@@ -138,11 +139,20 @@ def _place_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array((places >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (places & np.uint64(63))).view(np.int64))], ["word", "bits"])
 
 
+def _block_bits(pdf):
+    """One block's words as bytes."""
+    out = np.zeros(BLOCK_WORDS, np.uint64)
+    out[pdf["word"].to_numpy(np.int64) % BLOCK_WORDS] = pdf["bits"].to_numpy(np.int64).view(np.uint64)
+    return pdf[["block"]].iloc[:1].assign(bits=[out.tobytes()])
+
+
 def filter_of(values: DataFrame) -> np.ndarray:
-    """A filter of fixed size over a column of longs; it passes all of them and few others. The driver gets at most its words."""
-    words = values.mapInArrow(_place_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    """A filter of fixed size over a column of longs; it passes all of them and few others. The driver gets its bytes, block by block."""
+    words = values.mapInArrow(_place_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    blocks = words.withColumn("block", F.expr(f"word div {BLOCK_WORDS}")).groupBy("block").applyInPandas(_block_bits, "block long, bits binary")
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    for r in blocks.collect():
+        out[r["block"] * BLOCK_WORDS : (r["block"] + 1) * BLOCK_WORDS] = np.frombuffer(r["bits"], np.uint64)
     return out
 
 

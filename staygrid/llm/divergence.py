@@ -43,8 +43,8 @@ def measured(docs: DataFrame, base: bool = True) -> DataFrame:
     A null text counts as empty; a language without common words here, or none, belongs to ``other``. Other columns stay, whatever
     their names.
     """
-    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    df = docs.select(held.alias("row"), F.coalesce("text", F.lit("")).alias("t"), F.when(F.col("lang").isin(list(COMMON)), F.col("lang")).otherwise(OTHER).alias("language"))
+    held = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)]  # out of the way of the names below
+    df = docs.select(*held, F.coalesce("text", F.lit("")).alias("t"), F.when(F.col("lang").isin(list(COMMON)), F.col("lang")).otherwise(OTHER).alias("language"))
     lists = F.coalesce(*[F.when(F.col("language") == k, F.array(*map(F.lit, v))) for k, v in COMMON.items()], F.array().cast("array<string>"))
     df = _once(df, words=F.filter(F.split("t", f"{SPACE}+"), lambda w: w != ""), common=lists)
     count = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("long")
@@ -62,7 +62,9 @@ def measured(docs: DataFrame, base: bool = True) -> DataFrame:
     if base:
         df = _repeats(df)
         fields += [F.col("n_dup_lines"), F.col("n_repeat_words")]
-    return _once(df.select("row", F.struct(*fields).alias("q")), __q=F.col("q")).select("row.*", "__q")
+    own = [f"__c{i}" for i in range(len(docs.columns))]
+    measures = _once(df.select(*own, F.struct(*fields).alias("q")), __q=F.col("q"))
+    return measures.select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns)], "__q")
 
 
 def _repeats(df: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from staygrid.llm.shared import pieces, remainder, settle, text_bytes
 
 WIDTH = 6
 TERMS = 512
+CHI = 15.0  # least chi-square of a term: by chance in one of ten thousand n-grams
 EXAMPLES = 4096
 BLOCK = 64
 NEAREST = 25
@@ -185,8 +186,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, kept_back: in
     counts = source.join(few, "doc_id").select("text", "toxic").mapInArrow(_label_counts, "gram long, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     p, n = (sum(1 for r in chosen if r["toxic"] == y) for y in (1, 0))
     apart = F.col("pos") * float(n) - F.col("neg") * float(p)
-    square = apart * apart / ((F.col("pos") + F.col("neg")) * (F.lit(float(p + n)) - F.col("pos") - F.col("neg") + 1e-9))
-    terms = counts.where(apart > 0).select("gram", square.alias("chi")).orderBy(F.desc("chi"), "gram").limit(TERMS).toPandas()["gram"].to_numpy(np.int64)
+    square = apart * apart * (float(p + n) / max(1, p * n)) / ((F.col("pos") + F.col("neg")) * (F.lit(float(p + n)) - F.col("pos") - F.col("neg") + 1e-9))
+    terms = counts.where(apart > 0).select("gram", square.alias("chi")).where(F.col("chi") >= CHI).orderBy(F.desc("chi"), "gram").limit(TERMS).toPandas()["gram"].to_numpy(np.int64)
     terms = np.sort(terms)
 
     vectors = settle(source.mapInArrow(_vectors(terms), VECTOR_SQL))

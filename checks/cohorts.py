@@ -159,11 +159,17 @@ def headline_metrics(spark, sf):
     return r6(out, *[c for c in out.columns if c != "total_patients"])
 
 
-@query("SELECT substr(p_type, 1, 3) AS category, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, category LIMIT 4")
+@query("""WITH c AS (SELECT substr(p_type, 1, 3) AS category, count(*) AS n FROM part GROUP BY 1), t AS (SELECT * FROM c ORDER BY n DESC, category LIMIT 4)
+    SELECT category, n FROM t UNION ALL SELECT 'other', CAST(sum(n) AS BIGINT) FROM c WHERE category NOT IN (SELECT category FROM t) HAVING count(*) > 0""")
 def top_diagnosis_categories(spark, sf):
     return cohort.diagnosis_shares(table(spark, sf, "part"), "p_type", top=4)
 
 
+@query("SELECT substr(p_type, 1, 3) AS category, count(*) AS n FROM part GROUP BY 1")
+def diagnosis_categories(spark, sf):
+    return cohort.diagnosis_shares(table(spark, sf, "part"), "p_type")
+
+
 @query("SELECT CAST(floor(value / 20) AS BIGINT) AS sofa, count(*) AS n FROM hv GROUP BY 1", "ev hv")
 def score_distribution(spark, sf):
     return cohort.score_histogram(hv(spark, sf).select(F.floor(F.col("value") / 20).alias("sofa")), "sofa")

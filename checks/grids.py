@@ -65,14 +65,14 @@ def window_rows_on_grid(spark, sf):
 
 
 _MINUTES = """WITH n AS (SELECT id, t, value, greatest(coalesce(lead(t) OVER (PARTITION BY id ORDER BY t, seq) - t, 3600) - 60, 0) AS d
-        FROM ev WHERE item = 'click' AND t < 604800),
+        FROM ev WHERE item = 'click'),
     p AS (SELECT id, unnest(generate_series(t, t + d, 60)) AS t, value FROM n)
     SELECT id, (t // 3600) * 3600 AS t, round(median(value), 6) AS value FROM p GROUP BY 1, 2"""
 
 
 @query(_MINUTES, "ev")
 def charted_rates_by_minute(spark, sf):
-    rows = ev(spark, sf).where("item = 'click' AND t < 604800")
+    rows = ev(spark, sf).where("item = 'click'")
     return r6(grid.expand_intervals(rows, IDS, ["t", "seq"], "value"), "value")
 
 

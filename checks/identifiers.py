@@ -104,7 +104,7 @@ def downgrade_ids(spark, sf):
 @query("SELECT o_custkey AS patient, max(o_totalprice) AS o_totalprice FROM orders GROUP BY 1")
 def change_ids_by_cardinality(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("stay"), "o_totalprice")
-    return idx.change_id(rows, _map(spark, sf), "stay", "patient", how={"o_totalprice": "max"})
+    return idx.change_id(rows, _map(spark, sf), "stay", "patient", "down", how={"o_totalprice": "max"})
 
 
 @query("SELECT id, t - id * 60 AS t FROM hv", "ev hv")
@@ -284,10 +284,11 @@ def demographics_by_offsets(spark, sf):
 
 # --- sorting, uniqueness, sets ---------------------------------------------------------
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
 def sorted_rows(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return select.sort_rows(o, ["o_totalprice", "o_orderkey"], [False, True]).limit(50)
+    o = select.ranked(o, ["o_totalprice", "o_orderkey"], [False, True], F.floor(F.col("o_totalprice") / 1000))
+    return select.sort_rows(o, ["rank"])
 
 
 @query("SELECT count(*) = count(DISTINCT (l_orderkey, l_partkey)) AS is_unique FROM lineitem")

@@ -98,12 +98,12 @@ def parquet_peek(spark, sf):
     return tables.peek(table(spark, sf, "events").select("event_id", "user_id", "value"), 7, ["event_id"])
 
 
-@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 500")
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def csv_import_round_trip(spark, sf):
     folder = scratch(spark)
     table(spark, sf, "customer").write.option("header", True).csv(folder + "-csv")
     schema = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
-    return convert.import_table(spark, folder + "-csv", folder, schema).where("c_acctbal > 500")
+    return convert.import_table(spark, folder + "-csv", folder, schema)
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'MACHINERY'")
@@ -231,5 +231,23 @@ def incremental_ingest(spark, sf):
     folder = scratch(spark)
     hv(spark, sf).write.option("header", True).csv(folder + "-in")
     stream = ingest.csv_stream(spark, folder + "-in", "id bigint, t bigint, value double")
-    ingest.ingest(stream, folder + "-out", folder + "-state").awaitTermination()
+    for running in ingest.ingest(stream, folder + "-out", folder + "-state"):
+        running.awaitTermination()
     return spark.read.parquet(folder + "-out").select("id", "t", "value")
+
+
+@query("""SELECT 'stream' AS way, id || ',' || t || ',' || CASE WHEN id % 7 = 0 THEN 'n/a' ELSE 'x' || id END AS line FROM hv WHERE id % 7 IN (0, 3)
+    UNION ALL SELECT 'batch', id || ',' || t || ',' || CASE WHEN id % 7 = 0 THEN 'n/a' ELSE 'x' || id END FROM hv WHERE id % 7 IN (0, 3)
+    UNION ALL SELECT 'kept', CAST(2 * count(*) AS VARCHAR) FROM hv WHERE id % 7 NOT IN (0, 3)""", "ev hv")
+def ingest_keeps_rejects(spark, sf):
+    from staygrid.streaming import ingest
+
+    folder, schema = scratch(spark), "id bigint, t bigint, value double"
+    value = F.when(F.col("id") % 7 == 0, F.lit("n/a")).when(F.col("id") % 7 == 3, F.concat(F.lit("x"), "id")).otherwise(F.col("value").cast("string"))
+    hv(spark, sf).withColumn("value", value).write.option("header", True).csv(folder + "-in")
+    for running in ingest.ingest(ingest.csv_stream(spark, folder + "-in", schema), folder + "-out", folder + "-state"):
+        running.awaitTermination()
+    good = convert.import_table(spark, folder + "-in", folder + "-batch", schema).select("id").unionByName(spark.read.parquet(folder + "-out").select("id"))
+    lines = [spark.read.text(convert.rejects_of(folder + f"-{end}")).select(F.lit(way).alias("way"), F.col("value").alias("line")) for way, end in (("stream", "out"), ("batch", "batch"))]
+    kept = good.agg(F.lit("kept").alias("way"), F.count(F.lit(1)).cast("string").alias("line"))
+    return lines[0].unionByName(lines[1]).unionByName(kept)

@@ -78,9 +78,33 @@ def load_concepts_other_interval(spark, sf):
     return r6(_loader(spark, sf).load(["hr"], interval=6 * HOUR, aggregate="max"), "hr")
 
 
-@query(f"SELECT id, t, round(crea, 6) AS crea FROM {_agg('crea')}", "ev")
+@query(f"SELECT 'crea' AS concept, id, t, round(crea, 6) AS value FROM {_agg('crea')} UNION ALL SELECT 'hr', id, t, round(hr, 6) FROM {_agg('hr')}", "ev")
 def load_concepts_as_tables(spark, sf):
-    return r6(_loader(spark, sf).load_tables(["hr", "crea"])["crea"], "crea")
+    tables = _loader(spark, sf).load_tables(["hr", "crea"])
+    a, b = (df.select(F.lit(n).alias("concept"), "id", "t", F.col(n).alias("value")) for n, df in tables.items())
+    return r6(a.unionByName(b), "value")
+
+
+_WEIGHT = """SELECT id, arg_min(v, t) AS w FROM (SELECT id, (t // 3600) * 3600 AS t, median(value + 50) AS v FROM ev
+    WHERE item = 'signup' GROUP BY 1, 2) WHERE v BETWEEN 1 AND 500 GROUP BY id"""
+
+
+@query(f"""SELECT id, t, round(v, 6) AS norepi_rate FROM (SELECT e.id, (e.t // 3600) * 3600 AS t, max(e.value / w.w) AS v FROM ev e LEFT JOIN ({_WEIGHT}) w ON w.id = e.id
+    WHERE item = 'error' GROUP BY 1, 2) WHERE v BETWEEN 0 AND 3""", "ev")
+def load_rate_per_kg(spark, sf):
+    """The rule reads the stay's weight, which nobody asked for as a concept."""
+    c = _catalogue().add_item("norepi_rate", "demo", Item("events", ("error",), item="event_type", value="value", time="ts", rule={"rule": "mimic_kg_rate"}))
+    return r6(_loader(spark, sf, c).load(["norepi_rate"]), "norepi_rate")
+
+
+@query(f"""WITH w AS {_agg('wbc')} SELECT id, t, round(median(c), 6) AS neut FROM (SELECT e.id, (e.t // 3600) * 3600 AS t, CASE WHEN w.wbc <> 0 THEN e.value / 500 * 100 / w.wbc END AS c
+    FROM ev e LEFT JOIN w ON w.id = e.id AND w.t = (e.t // 3600) * 3600 WHERE item IN ('click', 'error')) WHERE c IS NOT NULL GROUP BY 1, 2 HAVING median(c) BETWEEN 0 AND 100""", "ev")
+def load_blood_cell_ratio(spark, sf):
+    """The rule reads the white cell count of the row's hour."""
+    steps = [{"rule": "binary_op", "op": "/", "value": 500}, {"rule": "blood_cell_ratio"}]
+    rule = {"rule": "combine_callbacks", "rules": steps}
+    c = _catalogue().add_item("neut", "demo", Item("events", ("click", "error"), item="event_type", value="value", time="ts", rule=rule))
+    return r6(_loader(spark, sf, c).load(["neut"]), "neut")
 
 
 _OXY = f"""w AS ({_wide('po2', 'fio2')}), l AS (SELECT id, t, po2, fio2, last_value(po2 IGNORE NULLS) OVER v AS p, last_value(fio2 IGNORE NULLS) OVER v AS f FROM w

@@ -56,7 +56,7 @@ _KG = """CASE seq % 6 WHEN 0 THEN value WHEN 1 THEN value / 60 * 1000 / w WHEN 2
 
 
 def _spread(expr, cte="ev"):
-    return f"""WITH r AS (SELECT id, t, seq, {expr} AS v FROM (SELECT *, 50 + id % 40 AS w FROM ev WHERE t < 604800)),
+    return f"""WITH r AS (SELECT id, t, seq, {expr} AS v FROM (SELECT *, 50 + id % 40 AS w FROM ev)),
     n AS (SELECT id, t, v, greatest(coalesce(lead(t) OVER (PARTITION BY id ORDER BY t, seq) - t, 3600) - 60, 0) AS d FROM r WHERE v IS NOT NULL),
     p AS (SELECT id, unnest(generate_series(t, t + d, 60)) AS t, v FROM n)
     SELECT id, (t // 3600) * 3600 AS t, round(median(v), 6) AS value FROM p GROUP BY 1, 2"""
@@ -64,13 +64,13 @@ def _spread(expr, cte="ev"):
 
 @query(_spread(_KG), "ev")
 def drug_text_rates_per_kg(spark, sf):
-    rows = ev(spark, sf).where("t < 604800").selectExpr("id", "t", "seq", "value", f"{_DRUG} AS drug", "50 + id % 40 AS w")
+    rows = ev(spark, sf).selectExpr("id", "t", "seq", "value", f"{_DRUG} AS drug", "50 + id % 40 AS w")
     return r6(rates.rate_per_kg(rows, IDS, ["t", "seq"], "value", "drug", "w", 32), "value")
 
 
 @query(_spread("CASE seq % 6 WHEN 1 THEN value / 60 * 1000 * 0.5 WHEN 2 THEN value / 60 * 32 * 0.5 WHEN 3 THEN value WHEN 5 THEN value END"), "ev")
 def drug_text_rates_in_units(spark, sf):
-    rows = ev(spark, sf).where("t < 604800").selectExpr("id", "t", "seq", "value", f"{_DRUG} AS drug")
+    rows = ev(spark, sf).selectExpr("id", "t", "seq", "value", f"{_DRUG} AS drug")
     return r6(rates.rate_in_units(rows, IDS, ["t", "seq"], "value", "drug", 32, 0.5), "value")
 
 
@@ -100,13 +100,13 @@ def doses_in_units(spark, sf):
     return out.withColumn("value", rounded("value", 4))
 
 
-_INFUSED = """i AS (SELECT id, (t // 3600) * 3600 AS t, seq % 3 AS grp, CASE item WHEN 'click' THEN value * 1000 WHEN 'view' THEN value END AS v, 50 + id % 40 AS w FROM ev WHERE t < 604800),
+_INFUSED = """i AS (SELECT id, (t // 3600) * 3600 AS t, seq % 3 AS grp, CASE item WHEN 'click' THEN value * 1000 WHEN 'view' THEN value END AS v, 50 + id % 40 AS w FROM ev),
     q AS (SELECT id, t, grp, sum(v) / 60.0 / max(w) AS v FROM i WHERE v IS NOT NULL GROUP BY 1, 2, 3)"""
 
 
 @query(f"WITH {_INFUSED} SELECT id, t, grp, round(v, 6) AS value FROM q", "ev")
 def infusion_doses_per_kg(spark, sf):
-    rows = ev(spark, sf).where("t < 604800").selectExpr(
+    rows = ev(spark, sf).selectExpr(
         "id", "t", "value", "seq % 3 AS grp", "50 + id % 40 AS w", "CASE item WHEN 'click' THEN 'mg' WHEN 'view' THEN 'µg' ELSE 'ml' END AS unit")
     return r6(rates.infusion_rate_per_kg(rows, IDS, TIME, "value", "unit", ["grp"], "w", spread=False), "value")
 
@@ -114,17 +114,16 @@ def infusion_doses_per_kg(spark, sf):
 @query(f"""WITH {_INFUSED}, n AS (SELECT id, t, grp, v, greatest(coalesce(lead(t) OVER (PARTITION BY id, grp ORDER BY t) - t, 3600) - 60, 0) AS d FROM q),
     p AS (SELECT id, unnest(generate_series(t, t + d, 60)) AS t, v FROM n) SELECT id, (t // 3600) * 3600 AS t, round(median(v), 6) AS value FROM p GROUP BY 1, 2""", "ev")
 def infusion_doses_spread(spark, sf):
-    rows = ev(spark, sf).where("t < 604800").selectExpr(
+    rows = ev(spark, sf).selectExpr(
         "id", "t", "value", "seq % 3 AS grp", "50 + id % 40 AS w", "CASE item WHEN 'click' THEN 'mg' WHEN 'view' THEN 'µg' ELSE 'ml' END AS unit")
     return r6(rates.infusion_rate_per_kg(rows, IDS, TIME, "value", "unit", ["grp"], "w"), "value")
 
 
-@query("""WITH u AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 'IE' ELSE 'E' END AS unit FROM ev),
-    c AS (SELECT arg_max(unit, n) AS unit FROM (SELECT unit, count(*) AS n FROM u GROUP BY 1))
-    SELECT id, (t // 3600) * 3600 AS t, unit || '/min' AS unit, round(sum(value) / 60, 6) AS value FROM u WHERE unit = (SELECT unit FROM c) GROUP BY 1, 2, 3""", "ev")
+@query("""WITH u AS (SELECT id, t, CASE WHEN seq % 4 = 0 THEN value * 1000 ELSE value END AS value, CASE seq % 4 WHEN 0 THEN 'mg' WHEN 1 THEN 'mg' WHEN 2 THEN 'IE' END AS unit FROM ev)
+    SELECT id, (t // 3600) * 3600 AS t, unit || '/min' AS unit, round(sum(value) / 60, 6) AS value FROM u GROUP BY 1, 2, 3""", "ev")
 def infusion_doses_plain(spark, sf):
-    rows = ev(spark, sf).selectExpr("id", "t", "value", "CASE WHEN seq % 3 = 0 THEN 'IE' ELSE 'E' END AS unit")
-    return r6(rates.infusion_rate(rows, IDS, TIME, "value", "unit", []), "value")
+    rows = ev(spark, sf).selectExpr("id", "t", "value", "CASE seq % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'mg' WHEN 2 THEN 'IE' END AS unit")
+    return r6(rates.infusion_rate(rows, IDS, TIME, "value", "unit", [], "mg"), "value")
 
 
 @query("SELECT id, unnest(generate_series((s // 3600) * 3600, (e // 3600) * 3600, 3600)) AS s, value FROM wins", "ev wins")

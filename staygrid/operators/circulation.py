@@ -15,13 +15,14 @@ SHARE = 2.0 / 3.0
 def circ_failure(
     df: DataFrame, ids: list[str], time: str, lact: str = "lact", map: str = "map", norepi: str | None = "norepi_rate",
     epi: str | None = "epi_rate", vaso: str | None = "vaso_rate", level1: list[str] | None = None,
-    window: int = 45, grid: int = 5, rolling: bool = True,
+    window: int = 45, grid: int = 5, rolling: bool = True, short: str = "point",
 ) -> DataFrame:
     """Event level of each row by a centred window of rows.
 
     A level needs two thirds of the window with raised lactate and two thirds
-    with low pressure or drugs. Series shorter than the window use the level of
-    the single row.
+    with low pressure or drugs. ``short`` says what holds for a series with fewer
+    rows than the window: the level of the single row (``point``) or, as for any
+    other, of the rows its window has (``window``).
     """
     has = lambda c: c is not None and c in df.columns
     known = lambda condition: F.coalesce(condition, F.lit(False))
@@ -55,14 +56,13 @@ def circ_failure(
         "_l2": lambda w: F.max("level2_drugs").over(w),
         "_l3": lambda w: F.max("level3_drugs").over(w),
     })
-    sized = totals(around, ids, {"_rows": F.count(F.lit(1))})
     met = (F.col("_low") >= SHARE) & (F.col("_lact") >= SHARE)
     windowed = F.when(~met, 0).when(F.col("_l3"), 3).when(F.col("_l2"), 2).otherwise(1)
-    return (
-        sized.withColumn("circ_event", F.when(F.col("_rows") < rows, point).otherwise(windowed))
-        .withColumn("circ_failure", F.col("circ_event") > 0)
-        .drop("_low", "_lact", "_l2", "_l3", "_rows")
-    )
+    level = windowed
+    if short == "point":
+        around = totals(around, ids, {"_rows": F.count(F.lit(1))})
+        level = F.when(F.col("_rows") < rows, point).otherwise(windowed)
+    return around.withColumn("circ_event", level).withColumn("circ_failure", F.col("circ_event") > 0).drop("_low", "_lact", "_l2", "_l3", "_rows")
 
 
 def circ_incidence(df: DataFrame, ids: list[str], time: str, min_level: int = 1) -> DataFrame:

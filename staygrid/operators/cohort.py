@@ -221,11 +221,15 @@ def summary_metrics(demographics: DataFrame, scores: DataFrame | None = None, sc
     return base.withColumn("avg_sofa", scores.agg(F.avg(score)).scalar())
 
 
-def diagnosis_shares(diagnoses: DataFrame, code: str, hierarchical: bool = False, top: int = 12) -> DataFrame:
-    """The most frequent diagnosis categories: first path level or three characters."""
+def diagnosis_shares(diagnoses: DataFrame, code: str, hierarchical: bool = False, top: int | None = None, other: str = "other") -> DataFrame:
+    """Diagnosis categories (first path level or three characters) by count; with ``top`` the rest is one row, last."""
     category = F.split(code, r"\|")[0] if hierarchical else F.substring(code, 1, 3)
     counts = diagnoses.where(F.col(code).isNotNull()).groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), "category").limit(top)
+    if top is None:
+        return counts.orderBy(F.desc("n"), "category")
+    first = counts.orderBy(F.desc("n"), "category").limit(top).withColumn("_rest", F.lit(0))
+    rest = counts.join(first.select("category"), "category", "left_anti").agg(F.lit(other).alias("category"), F.sum("n").alias("n"), F.lit(1).alias("_rest"))
+    return first.unionByName(rest.where("n IS NOT NULL")).orderBy("_rest", F.desc("n"), "category").drop("_rest")
 
 
 def score_histogram(df: DataFrame, score: str) -> DataFrame:

@@ -35,13 +35,12 @@ def downgrade_id(
 
 
 def change_id(
-    df: DataFrame, id_map: DataFrame, from_id: str, to_id: str, keep_old: bool = False,
-    how: dict[str, str] | None = None, direction: str | None = None, order: list[str] | None = None,
+    df: DataFrame, id_map: DataFrame, from_id: str, to_id: str, direction: str, keep_old: bool = False,
+    how: dict[str, str] | None = None, order: list[str] | None = None,
 ) -> DataFrame:
-    """Convert ids; without a ``direction`` the map's cardinality decides (one small job)."""
-    if direction is None:
-        sizes = id_map.agg(F.countDistinct(from_id).alias("a"), F.countDistinct(to_id).alias("b")).first()
-        direction = "up" if sizes.b > sizes.a else "down" if sizes.b < sizes.a else "same"
+    """Convert ids ``up`` (to the finer id), ``down`` (to the coarser one) or to the ``same`` level, as the id hierarchy says."""
+    if direction not in ("up", "down", "same"):
+        raise ValueError(f"unknown direction: {direction}")
     if direction == "down":
         return downgrade_id(df, id_map, from_id, to_id, how, keep_old, order)
     return upgrade_id(df, id_map, from_id, to_id, keep_old)

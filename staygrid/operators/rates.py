@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from staygrid.functions.scalars import apply_map, extract_unit, number, to_number
 from staygrid.functions.times import floor_to
-from staygrid.operators import stats
+from staygrid.functions.units import convert_units
 from staygrid.operators.grid import expand, expand_intervals
 from staygrid.operators.rolling import previous
 from staygrid.schema import HOUR, names
@@ -144,10 +144,9 @@ def infusion_rate_per_kg(
     return expand_intervals(dose, ids, time, value, group) if spread else dose
 
 
-def infusion_rate(df: DataFrame, ids: list[str], time: str, value: str, unit: str, group: list[str]) -> DataFrame:
-    """Doses in the most frequent unit, summed per infusion and hour, per minute."""
-    common = stats.mode(df.where(F.col(value).isNotNull()), [], unit, "_unit").scalar()
-    rows = df.where(F.col(unit) == common)
+def infusion_rate(df: DataFrame, ids: list[str], time: str, value: str, unit: str, group: list[str], to_unit: str) -> DataFrame:
+    """Doses summed per infusion, hour and unit, per minute. What converts is given in ``to_unit``, the rest in its own unit."""
+    rows = convert_units(df, value, unit, to_unit)
     out = rows.groupBy(*ids, *group, floor_to(time, HOUR).alias(time), unit).agg((F.sum(value) / 60.0).alias(value))
     return out.withColumn(unit, F.concat(F.col(unit), F.lit("/min")))
 
@@ -207,8 +206,8 @@ def dextrose_factor(item: str, value: str, factors: dict) -> Column:
     return F.col(value) * F.coalesce(apply_map(item, {k: float(v) for k, v in factors.items()}), F.lit(1.0))
 
 
-def dextrose_bolus(df: DataFrame, value: str, dur: str) -> DataFrame:
-    """Bolus text such as ``25 g`` to ml/hr over at most 12 hours; ``dur`` in seconds."""
+def dextrose_bolus(df: DataFrame, value: str, dur: str, max_minutes: float | None = 720) -> DataFrame:
+    """Bolus text such as ``25 g`` to ml/hr; ``dur`` in seconds. Rows over ``max_minutes`` are no boluses; None keeps all."""
     text = F.regexp_replace(F.trim(F.col(value)), r"\s+", " ")
     number = to_number(F.regexp_replace(F.split(text, " ", 2)[0], r"^(.+-|Manual)", ""))
     mass = F.coalesce(F.get(F.split(text, " ", 2), F.lit(1)).rlike(r"(?i)^m?g.*m?"), F.lit(False))
@@ -216,7 +215,7 @@ def dextrose_bolus(df: DataFrame, value: str, dur: str) -> DataFrame:
     minutes = F.when(minutes > 0, minutes).otherwise(F.lit(1.0))
     return df.withColumns({
         "_minutes": minutes, "_ml": F.when(mass, number * 2).otherwise(number),
-    }).where("_minutes <= 720").withColumns({
+    }).where(F.lit(True) if max_minutes is None else F.col("_minutes") <= max_minutes).withColumns({
         value: F.col("_ml") / F.col("_minutes") * 5.0 * 60.0,
         "unit": F.lit("ml/hr"),
         dur: F.col("_minutes") * 60.0,

@@ -55,6 +55,20 @@ def register_rule(name: str, f: Rule, row_wise: bool = False, touches: tuple[str
     rule(name, row_wise, touches)(f)
 
 
+# rule -> (role, concept whose values it reads, whether they belong to a time and not to the stay)
+HELPERS = {
+    **{name: ("weight", "weight", False) for name in ("mimic_kg_rate", "eicu_rate_kg", "aumc_rate_kg", "hirid_rate_kg", "sic_rate_kg")},
+    "blood_cell_ratio": ("aux", "wbc", True),
+}
+
+
+def helpers(spec: dict) -> set[tuple[str, str, bool]]:
+    """Columns of other concepts that a rule spec reads."""
+    if spec["rule"] == "combine_callbacks":
+        return set().union(*[helpers(step) for step in spec["rules"]])
+    return {HELPERS[spec["rule"]]} if spec["rule"] in HELPERS else set()
+
+
 def rewrites(spec: dict) -> set[str] | None:
     """The parts a row-wise rule spec rewrites, None if it changes rows."""
     if spec["rule"] != "combine_callbacks":
@@ -217,8 +231,8 @@ def _ts_to_win(df, r, length):
 
 
 @rule("eicu_dex_med")
-def _eicu_dex_med(df, r):
-    return rates.dextrose_bolus(df, r.value, r.dur)
+def _eicu_dex_med(df, r, max_minutes=720):
+    return rates.dextrose_bolus(df, r.value, r.dur, max_minutes)
 
 
 @rule("eicu_dex_inf", True, ("value", "unit", "dur"))
@@ -336,8 +350,8 @@ def _hirid_rate_kg(df, r, interval=HOUR):
 
 
 @rule("hirid_rate")
-def _hirid_rate(df, r):
-    return rates.infusion_rate(df, list(r.ids), r.time, r.value, r.unit, list(r.group))
+def _hirid_rate(df, r, to_unit):
+    return rates.infusion_rate(df, list(r.ids), r.time, r.value, r.unit, list(r.group), to_unit)
 
 
 @rule("sic_dur")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from staygrid.schema import names
 
@@ -132,6 +132,22 @@ def sort_rows(df: DataFrame, by: list[str], ascending: bool | list[bool] = True)
     return df.orderBy(*by, ascending=ascending)
 
 
+def ranked(df: DataFrame, by: list[str], ascending: list[bool], block: Column, out: str = "rank") -> DataFrame:
+    """Row number in the order of ``by`` over the whole table, without sorting it in one task.
+
+    ``block`` is a monotone expression of the first column (such as its whole thousands) that cuts the order into parts of
+    bearable size; only the parts' counts are ordered together.
+    """
+    order = [F.col(c).asc() if up else F.col(c).desc() for c, up in zip(by, ascending)]
+    rows = df.withColumn("_block", block)
+    along = F.col("_block").asc() if ascending[0] else F.col("_block").desc()
+    counts = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col("_block").alias("_part"), (F.sum("_n").over(Window.orderBy(along)) - F.col("_n")).alias("_before"))
+    inside = rows.withColumn("_inside", F.row_number().over(Window.partitionBy("_block").orderBy(*order)))
+    joined = inside.join(before, F.col("_block").eqNullSafe(F.col("_part")))
+    return joined.withColumn(out, (F.col("_before") + F.col("_inside")).cast("long")).drop("_block", "_part", "_before", "_inside")
+
+
 def repeated_keys(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).count().where("count > 1")
 

@@ -68,12 +68,16 @@ def susp_inf(
 
     Modes: ``and``, ``or``, ``abx``, ``samp``, ``icd_abx`` (antibiotics of ids
     with an infection diagnosis) and ``auto`` (``and``, or ``icd_abx`` where no
-    samples are given).
+    samples are given; that mode needs the diagnoses and is refused without).
     """
     if mode == "auto":
         mode = "and" if samp is not None else "icd_abx"
+    if mode == "icd_abx" and diagnosed is None:
+        raise ValueError("without samples a suspected infection needs the ids with an infection diagnosis")
+    if mode in ("and", "or", "samp") and samp is None:
+        raise ValueError(f"mode {mode} needs samples")
     treated = antibiotics(abx, ids, time, abx_count_win, abx_min_count)
-    if mode == "icd_abx" and diagnosed is not None:
+    if mode == "icd_abx":
         treated = treated.join(diagnosed.select(*ids).distinct(), ids, "left_semi")
     if mode in ("abx", "icd_abx"):
         return treated.select(*ids, time, F.lit(True).alias("susp_inf")).distinct()

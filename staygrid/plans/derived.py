@@ -228,8 +228,9 @@ register("sofa2_score", _organ(organ.SOFA2), rows=True)
 def _susp_inf(wide, ctx, name, parts):
     abx = _known(wide, ctx, "abx").where(F.col("abx") > 0)
     samp = _known(wide, ctx, "samp") if "samp" in wide.columns else None
+    diagnosed = _known(wide, ctx, "infection_icd").where(F.col("infection_icd") > 0) if "infection_icd" in wide.columns else None
     mode = ctx.option("si_mode", "auto")
-    return sepsis.susp_inf(abx, samp, ctx.ids, ctx.time, mode).select(*ctx.ids, ctx.time, F.lit(1).alias(name))
+    return sepsis.susp_inf(abx, samp, ctx.ids, ctx.time, mode, diagnosed=diagnosed).select(*ctx.ids, ctx.time, F.lit(1).alias(name))
 
 
 @_rows("sep3")

@@ -19,7 +19,7 @@ from staygrid.operators import cohort, select
 from staygrid.operators.aggregate import BY_COUNTS, aggregator, by_counts
 from staygrid.operators.grid import expand_windows
 from staygrid.operators.merge import merge_wide
-from staygrid.operators.rules import Roles, apply_rule, rewrites
+from staygrid.operators.rules import Roles, apply_rule, helpers, rewrites
 from staygrid.plans import derived, modules
 from staygrid.plans.derived import Context
 from staygrid.plans.spec import Catalogue, Concept, Item
@@ -135,7 +135,28 @@ class Loader:
         origin = lay.read(lay.stays).select(F.col(lay.id).alias(id_col), F.col(lay.intime).alias("_origin"))
         return df.join(origin, id_col).withColumns({c: seconds_between("_origin", c) for c in times}).drop("_origin")
 
-    def _ruled(self, rows: DataFrame, items: list[tuple[str, Item]]) -> list[tuple[DataFrame, str | None]]:
+    def _helped(self, rows: DataFrame, items: list[tuple[str, Item]], wanted: DataFrame | None) -> DataFrame:
+        """Rows with the values of other concepts that their rules read, null where this source has none.
+
+        A weight is the stay's first, one row per id; a value of a time is that of the row's interval.
+        """
+        needed = {(h, getattr(self._roles(it), h[0])) for _, it in items if it.rule for h in helpers(it.rule)}
+        for (_, name, timed), column in sorted(needed):
+            if column in rows.columns:
+                continue
+            source = self.catalogue[name] if name in self.catalogue else None
+            if source is None or not self._sources(source):
+                rows = rows.withColumn(column, F.lit(None).cast("double"))
+            elif timed:
+                values = self.long([name], wanted).select("id", F.col("t").alias("_at"), F.col("value").alias(column))
+                rows = rows.withColumn("_at", floor_to("t", self.interval)).join(values, ["id", "_at"], "left").drop("_at")
+            else:
+                rows = rows.join(self.static([name], wanted)[name].withColumnRenamed(name, column), "id", "left")
+        return rows
+
+    def _ruled(
+        self, rows: DataFrame, items: list[tuple[str, Item]], wanted: DataFrame | None = None
+    ) -> list[tuple[DataFrame, str | None]]:
         """Rules applied. Row-wise rules keep one scan; others get a branch each."""
         for name, it in items:
             if it.untranslated:
@@ -145,12 +166,13 @@ class Loader:
         for name, it in items:
             if it.rule and rewrites(it.rule) is None:
                 params = {k: v for k, v in it.rule.items() if k != "rule"}
-                own = apply_rule(rows.where(F.col("concept") == name), self._roles(it), it.rule["rule"], **params)
+                mine = self._helped(rows.where(F.col("concept") == name), [(name, it)], wanted)
+                own = apply_rule(mine, self._roles(it), it.rule["rule"], **params)
                 branches.append((own.withColumn("concept", F.lit(name)), it.target))
             else:
                 shared.append((name, it))
         if shared:
-            common = rows.where(F.col("concept").isin([n for n, _ in shared]))
+            common = self._helped(rows.where(F.col("concept").isin([n for n, _ in shared])), shared, wanted)
             branches.append((self._row_rules(common, shared), None))
         return branches
 
@@ -204,7 +226,7 @@ class Loader:
         parts = []
         for (table, *_), items in by_table.items():
             rows = self._rows(table, items, wanted)
-            for df, target in self._ruled(rows, items):
+            for df, target in self._ruled(rows, items, wanted):
                 if "t" not in df.columns:
                     df = df.withColumn("t", F.lit(None).cast("long"))
                 if target == "win_tbl":

@@ -31,26 +31,33 @@ BREAKS = {
 }
 
 
+def reject_line(raw: DataFrame) -> Column:
+    """The text of a malformed line. It names every column: the reader parses and judges only columns that are used."""
+    columns = [F.col(c).cast("string") for c in raw.columns if c != CORRUPT]
+    return F.coalesce(F.col(CORRUPT), F.concat_ws(",", *columns)).alias(CORRUPT)
+
+
 def read_raw_csv(spark: SparkSession, paths: str | list[str], schema: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:
     """(good rows, rejected lines) of a CSV with a declared schema."""
     typed = T.StructType.fromDDL(schema).add(CORRUPT, T.StringType())
     raw = spark.read.schema(typed).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", CORRUPT
     ).csv(paths)
-    # the reader refuses a scan of the reject column alone, hence the second column
-    line = F.coalesce(F.col(CORRUPT), F.col(typed.fieldNames()[0]).cast("string")).alias(CORRUPT)
-    return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT), raw.where(F.col(CORRUPT).isNotNull()).select(line)
+    return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT), raw.where(F.col(CORRUPT).isNotNull()).select(reject_line(raw))
+
+
+def rejects_of(target: str) -> str:
+    return target.rstrip("/") + "-rejects"
 
 
 def import_table(
     spark: SparkSession, paths: str | list[str], target: str, schema: str, rejects: str | None = None,
     partition_by: list[str] | None = None, compression: str = "zstd", mode: str = "overwrite",
 ) -> DataFrame:
-    """CSV to parquet; malformed lines go to ``rejects`` or are ignored."""
+    """CSV to parquet; malformed lines go to the text folder ``rejects``, by default beside the target."""
     good, bad = read_raw_csv(spark, paths, schema)
     write_table(good, target, partition_by, compression, mode)
-    if rejects:
-        bad.write.mode(mode).text(rejects)
+    bad.write.mode(mode).text(rejects or rejects_of(target))
     return spark.read.parquet(target)
 
 

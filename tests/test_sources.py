@@ -55,7 +55,9 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
 
     def run():
         stream = ingest.csv_stream(spark, str(source), "itemid long, v double")
-        ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "state"), layout).awaitTermination()
+        for running in ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "state"), layout):
+            running.awaitTermination()
+        assert [r[0] for r in spark.read.text(str(tmp_path / "out-rejects")).collect()] == ["bad line,here,too"]
         return spark.read.parquet(str(tmp_path / "out")).count()
 
     assert run() == 2

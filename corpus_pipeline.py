@@ -22,9 +22,10 @@ from staygrid.llm.shared import settle, work_folder
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids, each once."""
-    ids = ids.select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The documents with these ids, each once; the join's partitions serve the removal of repeated rows too."""
+    key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__key")
+    kept = docs.select("*", key).join(ids.select(key).distinct(), "__key", "left_semi")
+    return kept.dropDuplicates(["__key", "text"]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

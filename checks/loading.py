@@ -152,6 +152,40 @@ def load_sepsis3(spark, sf):
     return _loader(spark, sf).load_sepsis3()
 
 
+def _only(*names):
+    c = _catalogue()
+    return spec.Catalogue({n: x for n, x in c.concepts.items() if n in names or n not in ITEMS})
+
+
+@query(f"""WITH k AS (SELECT id, (t // 3600) * 3600 AS t, median(value * 0.1) AS v FROM ev WHERE item = 'error' GROUP BY 1, 2), p AS (SELECT id, t, v FROM k WHERE v BETWEEN 0 AND 10)
+    SELECT id, t, (coalesce(crea > 1.2, false) AND coalesce(v >= 6, false))::INT AS rrt_criteria FROM {_agg('crea')} FULL JOIN p USING (id, t)""", "ev")
+def load_rrt_criteria(spark, sf):
+    c = _only("crea").add_item("potassium", "demo", Item("events", ("error",), item="event_type", value="value", time="ts", rule={"rule": "binary_op", "op": "*", "value": 0.1}))
+    return _loader(spark, sf, c).load(["rrt_criteria"])
+
+
+_SOFA2 = f"""c AS (SELECT id, t, CASE WHEN plt <= 50 THEN 4 WHEN plt <= 80 THEN 3 WHEN plt <= 100 THEN 2 WHEN plt <= 150 THEN 1 ELSE 0 END AS coag FROM {_agg('plt')}),
+    sg AS (SELECT id, unnest(generate_series(lo, hi, 3600)) AS t FROM (SELECT id, min(t) AS lo, max(t) AS hi FROM c GROUP BY id)),
+    s AS (SELECT id, t, coalesce(max(coag) OVER (PARTITION BY id ORDER BY t RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW), 0)::INT AS sofa2 FROM sg LEFT JOIN c USING (id, t))"""
+
+
+@query(f"WITH {_SOFA2} SELECT id, t, sofa2 FROM s", "ev")
+def load_sofa2(spark, sf):
+    """SOFA-2 of a source that has platelets only."""
+    return _loader(spark, sf, _only("plt")).load_sofa2()
+
+
+@query(f"""WITH {_SOFA2}, abx AS (SELECT DISTINCT id, (t // 3600) * 3600 AS t FROM ev WHERE item = 'click' AND value > 20),
+    smp AS (SELECT DISTINCT id, (t // 3600) * 3600 AS t FROM ev WHERE item = 'view'),
+    si AS (SELECT id, t FROM abx a WHERE EXISTS (SELECT 1 FROM smp x WHERE x.id = a.id AND x.t >= a.t AND x.t < a.t + 86400)
+        UNION SELECT id, t FROM smp x WHERE EXISTS (SELECT 1 FROM abx a WHERE a.id = x.id AND a.t >= x.t AND a.t < x.t + 259200)),
+    e AS (SELECT id, min(t) AS e FROM si GROUP BY id),
+    d AS (SELECT id, t, sofa2 - min(sofa2) OVER (PARTITION BY id ORDER BY t ROWS UNBOUNDED PRECEDING) AS d FROM s JOIN e USING (id) WHERE t BETWEEN e - 172800 AND e + 86400)
+    SELECT id, min(t) AS t, 1::INT AS sep3_sofa2 FROM d WHERE d >= 2 GROUP BY id""", "ev")
+def load_sepsis3_sofa2(spark, sf):
+    return _loader(spark, sf, _only("plt")).load_sepsis3_sofa2()
+
+
 @query(f"""WITH w AS ({_wide('sbp', 'resp')}), l AS (SELECT id, t, last_value(sbp IGNORE NULLS) OVER v AS s, last_value(resp IGNORE NULLS) OVER v AS r FROM w
     WINDOW v AS (PARTITION BY id ORDER BY t RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW))
     SELECT id, t, coalesce((s <= 100)::INT, 0) + coalesce((r >= 22)::INT, 0) AS qsofa FROM l""", "ev")

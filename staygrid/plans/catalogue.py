@@ -104,6 +104,7 @@ neurology | sedated_gcs | num | score | 3 | 15 | - | - | -
 outcome | death | lgl | - | - | - | - | - | -
 outcome | dopa60 | rec | - | - | - | - | - | vaso60(dopa_rate, dopa_dur)
 outcome | epi60 | rec | - | - | - | - | - | vaso60(epi_rate, epi_dur)
+outcome | infection_icd | lgl | - | - | - | - | - | -
 outcome | los_hosp | num | days | 0 | - | id_tbl | - | -
 outcome | los_icu | num | days | 0 | - | id_tbl | - | -
 outcome | mews | rec | - | - | - | - | - | mews_score(sbp, hr, resp, temp, avpu)
@@ -111,6 +112,7 @@ outcome | news | rec | - | - | - | - | - | news_score(resp, o2sat, supp_o2, temp
 outcome | norepi60 | rec | - | - | - | - | - | vaso60(norepi_rate, norepi_dur)
 outcome | qsofa | rec | - | - | - | - | - | qsofa_score(gcs, sbp, resp)
 outcome | sep3 | rec | - | - | - | - | - | sep3(sofa, susp_inf)
+outcome | sep3_sofa2 | rec | - | - | - | - | - | sep3_sofa2(sofa2, susp_inf)
 outcome | sirs | rec | - | - | - | - | - | sirs_score(temp, hr, resp, pco2, wbc, bnd)
 outcome | sofa | rec | - | - | - | - | - | sofa_score(sofa_resp, sofa_coag, sofa_liver, sofa_cardio, sofa_cns, sofa_renal)
 outcome | sofa2 | rec | - | - | - | - | - | sofa2_score(sofa2_resp, sofa2_coag, sofa2_liver, sofa2_cardio, sofa2_cns, sofa2_renal)
@@ -126,14 +128,14 @@ outcome | sofa_coag | rec | - | - | - | - | min | sofa_coag(plt)
 outcome | sofa_liver | rec | - | - | - | - | max | sofa_liver(bili)
 outcome | sofa_renal | rec | - | - | - | - | - | sofa_renal(crea, urine24)
 outcome | sofa_resp | rec | - | - | - | - | - | sofa_resp(pafi, vent_ind)
-outcome | susp_inf | rec | - | - | - | - | - | susp_inf(abx, samp)
+outcome | susp_inf | rec | - | - | - | - | - | susp_inf(abx, samp, infection_icd)
 output | uo_12h | rec | - | - | - | - | - | uo_12h(urine, weight)
 output | uo_24h | rec | - | - | - | - | - | uo_24h(urine, weight)
 output | uo_6h | rec | - | - | - | - | - | uo_6h(urine, weight)
 output | urine | num | mL | 0 | 2000 | - | sum | -
 output | urine24 | rec | - | - | - | - | - | urine24(urine)
 renal | rrt | lgl | - | - | - | - | - | -
-renal | rrt_criteria | lgl | - | - | - | id_tbl | - | rrt_criteria
+renal | rrt_criteria | lgl | - | - | - | id_tbl | - | rrt_criteria(crea, uo_6h, potassium, ph, bicarb)
 respiratory | adv_resp | lgl | - | - | - | - | - | -
 respiratory | ecmo | lgl | - | - | - | - | - | -
 respiratory | ecmo_indication | chr | - | - | - | - | - | -

@@ -162,6 +162,17 @@ register("mews_score", _vital(
 
 # --- derivations with rows of their own ---------------------------------------------
 
+# Derivations that give nothing unless all their parts are there; the others work with what a source has.
+WHOLE = {"urine24", "uo_6h", "uo_12h", "uo_24h", "vaso60", "sep3", "sep3_sofa2"}
+
+
+def possible(rule: str, parts: tuple[str, ...], present: list[str]) -> bool:
+    """Whether a derivation with rows of its own has what it needs."""
+    if rule == "susp_inf":
+        return "abx" in present
+    return (all if rule in WHOLE else any)(p in present for p in parts)
+
+
 def _known(wide: DataFrame, ctx: Context, *columns: str) -> DataFrame:
     have = [c for c in columns if c in wide.columns]
     return wide.select(*ctx.ids, ctx.time, *have).where(any_known(*have))
@@ -233,6 +244,16 @@ def _susp_inf(wide, ctx, name, parts):
     return sepsis.susp_inf(abx, samp, ctx.ids, ctx.time, mode, diagnosed=diagnosed).select(*ctx.ids, ctx.time, F.lit(1).alias(name))
 
 
+@_rows("sep3_sofa2")
+def _sep3_sofa2(wide, ctx, name, parts):
+    infection = _known(wide, ctx, "susp_inf").where(F.col("susp_inf") > 0)
+    found = sepsis.sep3_sofa2(
+        _known(wide, ctx, "sofa2"), infection, ctx.ids, ctx.time, "sofa2",
+        ctx.option("si_window", "first"), ctx.option("delta", "cummin"), ctx.option("sofa_thresh", 2),
+    )
+    return found.select(*ctx.ids, ctx.time, F.lit(1).alias(name))
+
+
 @_rows("sep3")
 def _sep3(wide, ctx, name, parts):
     score = "sofa2" if "sofa2" in parts else "sofa"

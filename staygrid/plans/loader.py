@@ -337,7 +337,7 @@ class Loader:
                 ready = not any(p in left for p in c.parts)
                 if ready and c.derived in derived.COLUMNS:
                     wide = derived.COLUMNS[c.derived](wide, ctx, n, list(c.parts))
-                elif ready and (c.derived not in derived.ROWS or not any(p in wide.columns for p in c.parts)):
+                elif ready and (c.derived not in derived.ROWS or not derived.possible(c.derived, c.parts, wide.columns)):
                     continue  # nothing to derive it from in this source
                 else:
                     left.append(n)
@@ -406,6 +406,9 @@ class Loader:
     def load_sofa2(self, wanted: DataFrame | None = None, **kwargs) -> DataFrame:
         return self.load(["sofa2"], wanted, **kwargs)
 
+    def load_sepsis3_sofa2(self, wanted: DataFrame | None = None, **kwargs) -> DataFrame:
+        return self.load(["sep3_sofa2"], wanted, **kwargs)
+
     def load_sepsis3(self, wanted: DataFrame | None = None, **kwargs) -> DataFrame:
         return self.load(["sep3"], wanted, **kwargs)
 

@@ -328,7 +328,13 @@ def table_differences(spark, sf):
     return select.differences(rows.select(*cols), rows.where("l_quantity > 25").select(*cols))
 
 
-@query("SELECT true AS all_equal")
+@query("""SELECT 'same' AS pair, true AS all_equal UNION ALL SELECT 'changed', count(*) FILTER (event_type = 'click') = 0 FROM events
+    UNION ALL SELECT 'shorter', count(*) = 0 FROM events WHERE event_id % 1000 = 7 UNION ALL SELECT 'repeated', count(*) = 0 FROM events WHERE event_id % 1000 = 8""")
 def table_equality(spark, sf):
     e = table(spark, sf, "events")
-    return select.all_equal(e, e.select(*reversed(e.columns)))
+    pairs = {
+        "same": e.select(*reversed(e.columns)), "changed": e.withColumn("value", F.when(F.col("event_type") == "click", F.col("value") + 1).otherwise(F.col("value"))),
+        "shorter": e.where("event_id % 1000 <> 7"), "repeated": e.unionByName(e.where("event_id % 1000 = 8")),
+    }
+    parts = [select.all_equal(e, other).withColumn("pair", F.lit(name)) for name, other in pairs.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

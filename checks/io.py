@@ -31,10 +31,10 @@ def hospital_table_with_stay_id(spark, sf):
 
 
 @query("""SELECT r_regionkey AS k, r_name AS name FROM region
-    UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_regionkey >= 1""")
+    UNION ALL SELECT n_nationkey, n_name FROM nation""")
 def union_of_part_files(spark, sf):
     region = table(spark, sf, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))
-    nation = tables.load_src(table(spark, sf, "nation"), "n_regionkey >= 1").select(
+    nation = tables.load_src(table(spark, sf, "nation")).select(
         F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
     return convert.union_widened([region, nation])
 

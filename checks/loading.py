@@ -1,10 +1,12 @@
 """Concept loading: specs over the event table, derived concepts, catalogue."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from checks.common import demo, ev, query, r6, table
 from staygrid.operators import cohort
-from staygrid.plans import spec
+from staygrid.plans import modules, spec
 from staygrid.plans.catalogue import builtin
 from staygrid.plans.loader import Loader, SourceLayout, merge_sources
 from staygrid.plans.spec import Concept, Item
@@ -255,12 +257,36 @@ def quick_summary(spark, sf):
     return r6(_loader(spark, sf).quick_summary(), "sofa_mean")
 
 
-@query("""SELECT item AS concept, count(*) AS rows, max(t) AS last FROM ev WHERE item IN ('click', 'error') GROUP BY 1""", "ev")
+def _modules():
+    return {n: modules.find_module(n) for n in ITEMS}
+
+
+_PAIRS = "(VALUES " + ", ".join(f"('{n}', '{item}', " + (f"'{_modules()[n]}'" if _modules()[n] else "NULL") + ")" for n, (item, _, _) in ITEMS.items()) + ") AS p(concept, item, module)"
+
+
+@query(f"SELECT concept, module, true AS available, count(*) AS rows, max(t) AS last FROM ev JOIN {_PAIRS} USING (item) GROUP BY 1, 2", "ev")
 def catalogue_joined_to_events(spark, sf):
-    """Catalogue rows as a table: which events the demo source maps to vital signs."""
+    """Catalogue, availability and modules as tables: how many events each concept of the demo source has."""
     c = _catalogue()
-    frame = c.subset("demo").frame(spark).where(F.array_contains("sources", "demo") & F.col("name").isin("hr", "resp"))
-    names = {ITEMS[n][0]: n for n in ("hr", "resp")}
-    items = spark.createDataFrame(list(names.items()), "item string, name string").join(frame.select("name"), "name")
-    return ev(spark, sf).join(F.broadcast(items), "item").groupBy(F.col("item").alias("concept")).agg(
+    frame = c.subset("demo").frame(spark).where(F.array_contains("sources", "demo")).select(F.col("name").alias("concept"))
+    known = c.availability(spark, list(ITEMS), ["demo"]).select("concept", "available")
+    items = spark.createDataFrame([(n, item, modules.find_module(n)) for n, (item, _, _) in ITEMS.items()], "concept string, item string, module string")
+    items = items.join(frame, "concept").join(known, "concept")
+    return ev(spark, sf).join(F.broadcast(items), "item").groupBy("concept", "module", "available").agg(
         F.count(F.lit(1)).alias("rows"), F.max("t").alias("last"))
+
+
+_FORMS = f"""WITH a AS (SELECT id, t, v AS hr FROM (SELECT id, (t // 3600) * 3600 AS t, median(value * 2) AS v FROM ev WHERE item = 'click' GROUP BY 1, 2) WHERE v BETWEEN 0 AND 300),
+    b AS (SELECT id, t, v AS glu FROM (SELECT id, (t // 3600) * 3600 AS t, median(value * 18.016) AS v FROM ev WHERE item = 'view' GROUP BY 1, 2) WHERE v BETWEEN 0 AND 1000),
+    c AS (SELECT id, t, v AS resp FROM (SELECT id, (t // 3600) * 3600 AS t, median(floor(value) * 0.5 + 4) AS v FROM ev WHERE item = 'error' GROUP BY 1, 2) WHERE v BETWEEN 0 AND 120),
+    d AS (SELECT id, t, v AS dobu_rate FROM (SELECT e.id, (e.t // 3600) * 3600 AS t, max(e.value / w.w) AS v FROM ev e LEFT JOIN ({_WEIGHT}) w ON w.id = e.id WHERE item = 'purchase' GROUP BY 1, 2) WHERE v >= 0),
+    f AS (SELECT id, (t // 3600) * 3600 AS t, CASE WHEN arg_min(value, t) >= 40 THEN 'alert' ELSE 'voice' END AS avpu_text FROM ev WHERE item = 'signup' GROUP BY 1, 2)
+    SELECT id, t, round(hr, 6) AS hr, round(glu, 6) AS glu, round(resp, 6) AS resp, round(dobu_rate, 6) AS dobu_rate, avpu_text, 30.0::DOUBLE AS los_icu
+    FROM a FULL JOIN b USING (id, t) FULL JOIN c USING (id, t) FULL JOIN d USING (id, t) FULL JOIN f USING (id, t)"""
+
+
+@query(_FORMS, "ev")
+def load_dictionary_forms(spark, sf):
+    """A dictionary file with a rule spec of each form: arithmetic, unit, sequence, map, rate by weight, length of stay."""
+    c = builtin().update(spec.load_dictionary(str(Path(__file__).parent / "demo_dictionary.json")))
+    return r6(_loader(spark, sf, c).load(["hr", "glu", "resp", "dobu_rate", "avpu_text", "los_icu"]), "hr", "glu", "resp", "dobu_rate")

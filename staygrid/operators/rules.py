@@ -140,7 +140,9 @@ def _round(df, r, digits=0):
 
 @rule("apply_map", True)
 def _apply_map(df, r, mapping, column=None):
-    return _set(df, r, scalars.apply_map(column or r.value, mapping))
+    value = F.col(column or r.value)
+    text = all(isinstance(k, str) for k in mapping)  # as in a dictionary file, whatever the column's type
+    return _set(df, r, scalars.apply_map(value.cast("string") if text else value, mapping))
 
 
 @rule("convert_unit", True, ("value", "unit"))

@@ -22,7 +22,7 @@ from staygrid.operators.merge import merge_wide
 from staygrid.operators.rules import Roles, apply_rule, helpers, rewrites
 from staygrid.plans import derived, modules
 from staygrid.plans.derived import Context
-from staygrid.plans.spec import Catalogue, Concept, Item
+from staygrid.plans.spec import LENGTH_OF_STAY, Catalogue, Concept, Item
 from staygrid.schema import HOUR
 from staygrid.session import settle
 
@@ -155,7 +155,7 @@ class Loader:
         return rows
 
     def _ruled(
-        self, rows: DataFrame, items: list[tuple[str, Item]], wanted: DataFrame | None = None
+        self, rows: DataFrame, items: list[tuple[str, Item]], wanted: DataFrame | None = None, text: bool = False
     ) -> list[tuple[DataFrame, str | None]]:
         """Rules applied. Row-wise rules keep one scan; others get a branch each."""
         for name, it in items:
@@ -173,10 +173,10 @@ class Loader:
                 shared.append((name, it))
         if shared:
             common = self._helped(rows.where(F.col("concept").isin([n for n, _ in shared])), shared, wanted)
-            branches.append((self._row_rules(common, shared), None))
+            branches.append((self._row_rules(common, shared, text), None))
         return branches
 
-    def _row_rules(self, rows: DataFrame, shared: list[tuple[str, Item]]) -> DataFrame:
+    def _row_rules(self, rows: DataFrame, shared: list[tuple[str, Item]], text: bool = False) -> DataFrame:
         """Every row-wise rule works on its own copy of the columns; the concept picks the copy."""
         parts = {"value": "value", "unit": "unit", "time": "t", "dur": "dur"}
         by_rule: dict[str, tuple[Item, list[str]]] = {}
@@ -201,6 +201,8 @@ class Loader:
             def typed(c: str) -> Column:
                 if part != "value" or len(types) == 1:
                     return F.col(c)
+                if text:
+                    return F.col(c).cast("string")
                 return F.col(c).try_cast("double") if kinds[c] == "string" else F.col(c).cast("double")
 
             chain = F
@@ -226,7 +228,7 @@ class Loader:
         parts = []
         for (table, *_), items in by_table.items():
             rows = self._rows(table, items, wanted)
-            for df, target in self._ruled(rows, items, wanted):
+            for df, target in self._ruled(rows, items, wanted, text):
                 if "t" not in df.columns:
                     df = df.withColumn("t", F.lit(None).cast("long"))
                 if target == "win_tbl":
@@ -283,8 +285,9 @@ class Loader:
         out = {}
         for n in names:
             c = self.catalogue[n]
-            if not self._sources(c):
-                if n.startswith("los_") and self.layout.stays:
+            days = any(it.rule == {"rule": LENGTH_OF_STAY} for it in self._sources(c))
+            if days or not self._sources(c):
+                if (days or n.startswith("los_")) and self.layout.stays:
                     out[n] = self.length_of_stay(n)
                 continue
             text = c.kind in TEXT_KINDS

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from staygrid.operators.rules import RULES
 
 
+# The one rule on stays instead of a table's rows: days between the ends of the stay.
+LENGTH_OF_STAY = "los_callback"
+
+
 @dataclass(frozen=True)
 class Item:
     """How to read one concept from one table of one source."""
@@ -36,7 +40,7 @@ class Item:
         entry = {k: v for k, v in entry.items() if not isinstance(v, bool)}
         ids = entry.pop("ids", ())
         rule, text = entry.pop("rule", None), entry.pop("callback", None)
-        if rule is None and text in RULES:
+        if rule is None and (text in RULES or text == LENGTH_OF_STAY):
             rule, text = {"rule": text}, None
         take = lambda *names: next((entry.pop(n) for n in names if n in entry), None)
         return cls(
@@ -47,6 +51,14 @@ class Item:
         )
 
 
+# Dictionary keys and the fields they set.
+_FIELDS = {
+    "category": "category", "class": "kind", "class_name": "kind", "unit": "unit", "min": "low", "max": "high", "target": "target",
+    "aggregate": "aggregate", "interval": "interval", "callback": "derived", "concepts": "parts", "levels": "levels",
+    "description": "description", "omopid": "omop_id",
+}
+
+
 @dataclass(frozen=True)
 class Concept:
     """One clinical quantity: an item concept with sources, or one derived from ``parts``."""
@@ -67,6 +79,7 @@ class Concept:
     omop_id: int | None = None
     forward: str | None = None
     sources: dict[str, tuple[Item, ...]] = field(default_factory=dict)
+    said: frozenset[str] = frozenset()  # fields that overlay others even at their default
 
     @classmethod
     def from_mapping(cls, name: str, entry: dict[str, Any]) -> "Concept":
@@ -80,6 +93,7 @@ class Concept:
             derived=entry.get("callback"), parts=tuple([parts] if isinstance(parts, str) else parts),
             levels=tuple(entry.get("levels") or ()), description=entry.get("description"), omop_id=entry.get("omopid"),
             sources={s: tuple(Item.from_mapping(dict(e)) for e in es) for s, es in entry.get("sources", {}).items()},
+            said=frozenset(f for key, f in _FIELDS.items() if key in entry),
         )
 
     def overlay(self, other: "Concept") -> "Concept":
@@ -87,7 +101,7 @@ class Concept:
         default = Concept(self.name)
         given = {
             f.name: getattr(other, f.name) for f in fields(self)
-            if f.name not in ("name", "sources") and getattr(other, f.name) != getattr(default, f.name)
+            if f.name not in ("name", "sources", "said") and (f.name in other.said or getattr(other, f.name) != getattr(default, f.name))
         }
         return replace(self, **given, sources={**self.sources, **other.sources})
 

@@ -15,7 +15,7 @@ from tests.conftest import rows
 
 def test_builtin_catalogue(spark):
     c = builtin()
-    assert len(c.concepts) == 144 and c["crea"].high == 15 and c["urine"].how == "sum" and c["abx"].how == "max"
+    assert len(c.concepts) == 146 and c["crea"].high == 15 and c["urine"].how == "sum" and c["abx"].how == "max"
     order = c.order(["sep3"])
     assert order.index("pafi") < order.index("sofa_resp") < order.index("sofa") < order.index("sep3")
     assert c.frame(spark).where("category = 'vitals'").count() == 6
@@ -35,12 +35,19 @@ def test_dictionary_files(tmp_path):
     assert c.available("hr", "y") and not c.available("urine", "y")
 
 
+def test_overlay_sets_fields_back(tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"bmi": {"class": "num", "max": None}, "los_icu": {"sources": {"x": [{"callback": "los_callback"}]}}}))
+    known = builtin().update(spec.load_dictionary(str(tmp_path / "a.json")))
+    assert builtin()["bmi"].kind == "rec" and known["bmi"].kind == "num" and known["bmi"].derived == "bmi"
+    assert known["los_icu"].sources["x"][0].rule == {"rule": "los_callback"} and known["los_icu"].sources["x"][0].untranslated is None
+
+
 def test_catalogue_tables(spark):
     c = builtin().add_item("po2", "a", Item("lab")).add_item("hr", "b", Item("vital")).add(Concept("twin", forward="hr"))
     got = {(r.concept, r.source): r.available for r in c.availability(spark, ["pafi", "hr", "twin"]).collect()}
     assert got == {("pafi", "a"): True, ("pafi", "b"): False, ("hr", "a"): False, ("hr", "b"): True, ("twin", "a"): False, ("twin", "b"): True}
     assert rows(spec.table_availability(spark, ["lab", "icu"], {"lab"}.__contains__)) == [("icu", False), ("lab", True)]
-    assert spec.explain(spark, c).count() == 145 and set(c.subset("b").concepts) >= {"hr", "mews", "twin"}
+    assert spec.explain(spark, c).count() == 147 and set(c.subset("b").concepts) >= {"hr", "mews", "twin"}
 
 
 def test_infusion_rows_become_windows(spark):

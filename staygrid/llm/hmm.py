@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from staygrid.llm.shared import pieces, record_batch, remainder, settle, text_bytes
+from staygrid.llm.shared import highest, pieces, record_batch, remainder, settle, text_bytes
 from staygrid.llm.words import Words, mix, words_of
 
 STATES = 6
@@ -95,7 +95,8 @@ def lexicon(counts: DataFrame) -> Lexicon:
     totals = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     ends = counts.where(F.col("word") == END).agg(F.sum("c")).first()[0] or 0
     sums = counts.where(F.col("word") != END).groupBy("suffix").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toPandas()  # SUFFIXES rows
-    top = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(FREQUENT).toPandas()  # a fixed size
+    top = highest(counts.where(F.col("word") != END), F.floor(F.log2("c") * 16), FREQUENT).toPandas()  # at most FREQUENT rows
+    top = top.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
     room = np.ones(OWN + SUFFIXES + 1)
     room[OWN + sums["suffix"].to_numpy(np.int64)] += (sums["c"] + sums["v"]).to_numpy(np.float64)
     own = top.iloc[:OWN]

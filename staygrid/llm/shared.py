@@ -43,6 +43,22 @@ def remainder(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
 
 
+def highest(df: DataFrame, bucket: Column, most: int) -> DataFrame:
+    """The rows of the highest buckets that have at most ``most`` rows together, whole buckets only.
+
+    ``bucket`` is an integer expression with some ten thousand values at most: the driver gets their counts. Unlike an ordered
+    limit, no task and no driver ever holds ``most`` rows from every partition.
+    """
+    counts = df.groupBy(bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("n")).where("__bucket IS NOT NULL").collect()
+    cut, total = None, 0
+    for r in sorted(counts, key=lambda r: -r["__bucket"]):
+        total += r["n"]
+        if total > most:
+            break
+        cut = r["__bucket"]
+    return df.where(F.lit(False)) if cut is None else df.where(bucket >= cut)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that the ``text`` bytes of each stay near ``most``; one long text is a batch of its own."""
     for batch in batches:

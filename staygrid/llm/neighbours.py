@@ -2,7 +2,7 @@
 
 Terms are six-byte n-grams of the folded text (letters and single spaces): the ``TERMS`` that best tell the labels apart by
 chi-square. Their document frequencies come from all documents. All other n-grams of a text are one background term, so that a stray
-hit in a long text weighs little. The examples are at most ``EXAMPLES`` labelled documents of each label (those with the least
+hit in a long text weighs little. The examples are at most ``EXAMPLES`` labelled documents of each label (those with the highest
 hash of their id), a bounded sample; every document is scored against all of them.
 
 The index keeps each term's postings in blocks of ``BLOCK`` examples with the block's largest weight. A query adds these up to an upper
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from staygrid.llm.language_masks import grams
-from staygrid.llm.shared import pieces, remainder, settle, text_bytes
+from staygrid.llm.shared import highest, pieces, remainder, settle, text_bytes
 
 WIDTH = 6
 TERMS = 512
@@ -179,7 +179,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, kept_back: in
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(remainder(modulus) != kept_back)
     known = settle(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    chosen = [r for y in (0, 1) for r in known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES).collect()]
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 14)).cast("int")
+    chosen = [r for y in (0, 1) for r in highest(known.where(F.col("toxic") == y), place, EXAMPLES).collect()]
     few = F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int"))  # at most 2 * EXAMPLES rows
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(modulus) == kept_back).alias("held_out"), text_bytes().alias("text"))
@@ -187,8 +188,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, kept_back: in
     p, n = (sum(1 for r in chosen if r["toxic"] == y) for y in (1, 0))
     apart = F.col("pos") * float(n) - F.col("neg") * float(p)
     square = apart * apart * (float(p + n) / max(1, p * n)) / ((F.col("pos") + F.col("neg")) * (F.lit(float(p + n)) - F.col("pos") - F.col("neg") + 1e-9))
-    terms = counts.where(apart > 0).select("gram", square.alias("chi")).where(F.col("chi") >= CHI).orderBy(F.desc("chi"), "gram").limit(TERMS).toPandas()["gram"].to_numpy(np.int64)
-    terms = np.sort(terms)
+    terms = counts.where(apart > 0).select("gram", square.alias("chi")).where(F.col("chi") >= CHI)
+    terms = np.sort(highest(settle(terms), F.floor(F.log2("chi") * 256), TERMS).toPandas()["gram"].to_numpy(np.int64))
 
     vectors = settle(source.mapInArrow(_vectors(terms), VECTOR_SQL))
     seen = vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toPandas()  # TERMS rows

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from staygrid.llm.components import components
-from staygrid.llm.shared import document_columns, pieces, record_batch, settle
+from staygrid.llm.shared import document_columns, highest, pieces, record_batch, settle
 from staygrid.llm.words import mix, words_of
 
 SHINGLE = 5
@@ -335,7 +335,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     source = document_columns(docs)
     profile = settle(source.mapInArrow(_profile, PROFILE_SQL))
-    often = profile.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(HOT).toPandas()
+    often = profile.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n"))
+    often = highest(often, F.floor(F.log2("n") * 16), HOT).toPandas().sort_values(["n", "shingle"], ascending=[False, True])
     hot = often["shingle"].to_numpy(np.int64).view(np.uint64)
     place = np.argsort(hot)
     rank = (len(hot) - place).astype(np.int64)  # the rarer first

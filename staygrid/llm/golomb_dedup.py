@@ -139,6 +139,7 @@ def exact_duplicates(docs: DataFrame, fp_bits: int = 64) -> DataFrame:
     key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "uid")
     groups = marked.where("suspect").groupBy("sha").agg(F.max(key).alias("top"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.join(strings, "sha").where(checked).select("sha", F.col("top.uid").alias("top_uid"), F.col("top.id").alias("top_id"), "group_size")
+    groups = settle(groups)  # a plain table on this side lets the join split the rows of one large group
     joined = marked.join(groups, "sha", "left")
     top = F.when(F.col("top_id") != -(1 << 63), F.col("top_id"))
     return joined.select(

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staygrid.llm.shared import text_bytes
+from staygrid.llm.shared import settle, text_bytes
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ class BlobLedger:
         todo.where(F.size("wanted") > 0).mapInArrow(_scan(self.rules), LEDGER).write.mode("append").parquet(self.folder)
 
     def findings(self, versions: DataFrame) -> DataFrame:
-        """``versions`` with ``findings``: the spans of all rule versions, by start and then rule order.
+        """``versions`` with ``findings``: the spans of all rule versions, by start and then rule order, an empty array without any.
 
         All rows and columns stay, copies each with their blob's spans. A null text is an empty blob. A column of ``versions``
         called ``findings`` is replaced.
@@ -105,9 +105,12 @@ class BlobLedger:
         known = known.groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
         ranked = F.transform("found", lambda f: F.struct(f["start"].alias("start"), kinds[f["kind"]].alias("rank"), f["kind"].alias("kind"), f["end"].alias("end")))
         spans = F.transform(F.array_sort(ranked), lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
-        known = known.select(F.col("blob").alias("__blob"), spans.alias("__findings"))
+        known = known.where(F.size("found") > 0).select(F.col("blob").alias("__blob"), spans.alias("__findings"))
+        known = settle(known)  # few blobs have findings; as a plain table they let the join split a blob that many paths hold
         keyed = versions.drop("findings").withColumn("__blob", F.unhex(F.sha2(text_bytes(), 256)))
-        return keyed.join(known, "__blob", "left").withColumnRenamed("__findings", "findings").drop("__blob")
+        none = F.array().cast("array<struct<kind: string, start: int, end: int>>")
+        found = keyed.join(known, "__blob", "left").withColumn("findings", F.coalesce("__findings", none))
+        return found.drop("__blob", "__findings")
 
 
 def scanned(versions: DataFrame, folder: str, rules=RULES) -> DataFrame:

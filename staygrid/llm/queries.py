@@ -74,10 +74,9 @@ FROM documents LEFT JOIN g USING (doc_id)
 """)
 def op1_secret_ledger(spark: SparkSession, sf: str) -> DataFrame:
     found = blob_ledger.scanned(documents(spark, sf).select("doc_id", "text"), work_folder(spark))
-    spans = F.coalesce("findings", F.array().cast("array<struct<kind: string, start: int, end: int>>"))
     base = F.filter("spans", lambda f: f["kind"].isin([r.kind for r in blob_ledger.BASE[1]]))
     count = lambda kind: F.size(F.filter("spans", lambda f: f["kind"] == kind)).cast("long")
-    return found.select("doc_id", spans.alias("spans")).select(
+    return found.select("doc_id", F.col("findings").alias("spans")).select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(blob_ledger.spans_text(base), 256).alias("base_sha256"), blob_ledger.spans_text("spans").alias("spans"))
 

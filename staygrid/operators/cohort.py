@@ -112,45 +112,48 @@ def summary_table(demographics: DataFrame, group: str, first: str, second: str)
     """Table one: both groups' statistics and p-value per feature.
 
     Numeric features use the rank-sum test, two-valued ones chi-square with
-    Yates' correction. One row per feature with numbers, not formatted text.
+    Yates' correction. One row per feature with numbers, not formatted text; a
+    numeric feature without values has no row. Both numeric features share the
+    moments, the quantiles and the ranks; the two-valued ones share one count.
     """
     df = demographics.where(F.col(group).isin(first, second))
     in_first = F.col(group) == first
-    parts = []
-    for feature, c in (("age", F.col("age")), ("los_days", F.col("los_hours") / 24)):
-        v = df.select(group, c.cast("double").alias("_v")).where("_v IS NOT NULL")
-        moments = v.agg(
-            *[agg.alias(f"{name}_{side}") for side, cond in (("1", in_first), ("2", ~in_first)) for name, agg in (
-                ("n", F.count_if(cond)), ("mean", F.avg(F.when(cond, F.col("_v")))), ("sd", F.stddev_samp(F.when(cond, F.col("_v")))),
-            )]
+    sides = (("1", in_first), ("2", ~in_first))
+    named = {"age": F.col("age"), "los_days": F.col("los_hours") / 24}
+    long = df.select(F.col(group).alias("_g"), *[c.cast("double").alias(f) for f, c in named.items()])
+    long = long.unpivot("_g", list(named), "feature", "_v").where("_v IS NOT NULL")
+    first_rows = F.col("_g") == first
+    moments = long.groupBy("feature").agg(*[
+        agg.alias(f"{name}_{side}") for side, cond in (("1", first_rows), ("2", ~first_rows)) for name, agg in (
+            ("n", F.count_if(cond)), ("mean", F.avg(F.when(cond, F.col("_v")))), ("sd", F.stddev_samp(F.when(cond, F.col("_v")))),
         )
-        q = stats.quantiles(v, [group], "_v", {"q25": 0.25, "median": 0.5, "q75": 0.75})
-        side = q.agg(*[
-            F.max(F.when(F.col(group) == name, F.col(p))).alias(f"{p}_{i}")
-            for i, name in (("1", first), ("2", second)) for p in ("median", "q25", "q75")
-        ])
-        test = stats.rank_sum_test(v, [], "_v", in_first).select(F.col("u").alias("statistic"), "p_value")
-        parts.append(stats.beside(moments, side, test).withColumn("feature", F.lit(feature)))
-    numeric = parts[0].unionByName(parts[1])
+    ])
+    q = stats.quantiles(long, ["feature", "_g"], "_v", {"q25": 0.25, "median": 0.5, "q75": 0.75}).groupBy("feature").agg(*[
+        F.max(F.when(F.col("_g") == name, F.col(p))).alias(f"{p}_{i}")
+        for i, name in (("1", first), ("2", second)) for p in ("median", "q25", "q75")
+    ])
+    test = stats.rank_sum_test(long, ["feature"], "_v", first_rows).select("feature", F.col("u").alias("statistic"), "p_value")
+    numeric = moments.join(q, "feature").join(test, "feature")
     yes = {"male": F.col("gender") == "M", "deceased": F.col("survived") == F.lit(False)}
     no = {"male": F.col("gender") == "F", "deceased": F.col("survived") == F.lit(True)}
     counted = df.agg(
         F.count_if(in_first).alias("_n1"), F.count_if(~in_first).alias("_n2"),
-        *[F.count_if(cond & hit).alias(f"_{k}{f}{i}") for f in yes for k, hit in (("y", yes[f]), ("n", no[f]))
-          for i, cond in (("1", in_first), ("2", ~in_first))],
+        *[F.count_if(cond & hit).alias(f"_{k}{f}{i}") for f in yes for k, hit in (("y", yes[f]), ("n", no[f])) for i, cond in sides],
     )
-    shares = None
-    for f in yes:
-        a, b, c, d = F.col(f"_y{f}1"), F.col(f"_n{f}1"), F.col(f"_y{f}2"), F.col(f"_n{f}2")
-        row = counted.select(
-            F.lit(f).alias("feature"), a.alias("n_1"), c.alias("n_2"),
-            F.try_divide(a * 100.0, F.col("_n1")).alias("pct_1"), F.try_divide(c * 100.0, F.col("_n2")).alias("pct_2"),
-            stats.chi_square_2x2(a, b, c, d).alias("statistic"),
-        ).withColumn("p_value", stats.chi_square_p("statistic"))
-        shares = row if shares is None else shares.unionByName(row)
+    shares = counted.select(F.inline(F.array(*[_share(f) for f in yes]))).withColumn("p_value", stats.chi_square_p("statistic"))
     return numeric.unionByName(shares, allowMissingColumns=True)
 
 
+def _share(f: str) -> Column:
+    """One two-valued feature as a row of the counts."""
+    a, b, c, d = F.col(f"_y{f}1"), F.col(f"_n{f}1"), F.col(f"_y{f}2"), F.col(f"_n{f}2")
+    return F.struct(
+        F.lit(f).alias("feature"), a.alias("n_1"), c.alias("n_2"),
+        F.try_divide(a * 100.0, F.col("_n1")).alias("pct_1"), F.try_divide(c * 100.0, F.col("_n2")).alias("pct_2"),
+        stats.chi_square_2x2(a, b, c, d).alias("statistic"),
+    )
+
+
 def with_group(df: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
     """Rows of grouped ids with their group."""
     return df.join(groups.select(id_col, "group"), id_col)

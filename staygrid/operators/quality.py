@@ -83,15 +83,30 @@ def report(df: DataFrame, ids: list[str], time: str | None, ranges: list[str] |
         typed = frame.select(name.alias("variable"), *[F.col(m).cast("double").alias(m) for m in metrics])
         return typed.unpivot("variable", metrics, "metric", "value").select(F.lit(check).alias("check"), "variable", "metric", "value")
 
+    # rows, patients, missing and out-of-range values come from one aggregate
+    ranged = [c for c in (ranges if ranges is not None else data) if c.lower() in RANGES]
+    number = {c: F.col(c).try_cast("double") for c in ranged}
+    outside = {c: (number[c] < float(RANGES[c.lower()][0])) | (number[c] > float(RANGES[c.lower()][1])) for c in ranged}
+    counted = df.agg(
+        F.count(F.lit(1)).alias("_rows"), F.countDistinct(ids[0]).alias("_patients"),
+        *[F.count_if(F.col(c).isNull()).alias(f"_missing{i}") for i, c in enumerate(data)],
+        *[F.count(number[c]).alias(f"_known{i}") for i, c in enumerate(ranged)],
+        *[F.count_if(outside[c]).alias(f"_outside{i}") for i, c in enumerate(ranged)],
+    )
+    rows = F.col("_rows")
+    lines = [("basic", None, "n_rows", rows), ("basic", None, "n_columns", F.lit(len(df.columns))), ("basic", None, "n_patients", F.col("_patients"))]
+    for i, c in enumerate(data):
+        lines += [("missing", c, "n_missing", F.col(f"_missing{i}")), ("missing", c, "pct_missing", _percent(F.col(f"_missing{i}"), rows))]
+    for i, c in enumerate(ranged):
+        lines += [("range", c, "n_out_of_range", F.col(f"_outside{i}")), ("range", c, "pct_out_of_range", _percent(F.col(f"_outside{i}"), F.col(f"_known{i}")))]
+    cells = [
+        F.struct(F.lit(check).alias("check"), F.lit(c).cast("string").alias("variable"), F.lit(metric).alias("metric"), v.cast("double").alias("value"))
+        for check, c, metric, v in lines
+    ]
     parts = [
-        flat(df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
-                    F.countDistinct(ids[0]).alias("n_patients")), "basic", None, ["n_rows", "n_columns", "n_patients"]),
-        flat(check_missing(df, keys), "missing", "variable", ["n_missing", "pct_missing"]),
+        counted.select(F.inline(F.array(*cells))),
         flat(check_duplicates(df, keys), "duplicates", None, ["n_duplicate_rows", "pct_duplicates"]),
     ]
-    ranged = ranges if ranges is not None else [c for c in data if c.lower() in RANGES]
-    if ranged:
-        parts.append(flat(validate_ranges(df, ranged), "range", "variable", ["n_out_of_range", "pct_out_of_range"]))
     if time:
         gaps = time_consistency(df, ids, time).agg(F.count(F.lit(1)).alias("n_time_issues"))
         parts.append(flat(gaps, "time", None, ["n_time_issues"]))

@@ -1,6 +1,7 @@
 """The registered queries: complete, free of cross joins, and equal to their SQL."""
 
 import os
+import re
 
 import pytest
 
@@ -47,6 +48,15 @@ def test_no_cross_joins(spark, name):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@needs_data
+@pytest.mark.parametrize("name, most", [("table_one", 4), ("quality_report", 3)])
+def test_few_scans(spark, name, most):
+    df = QUERIES[name](spark, SF)
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert 0 < len(re.findall("Scan parquet", ran)) <= most
+
+
 @needs_data
 def test_entry(spark):
     df = entry_point.entry(spark)

@@ -152,9 +152,19 @@ def features_by_source(spark, sf):
 @query("""SELECT CASE WHEN id % 2 = 0 THEN 'x' ELSE 'y' END AS "group", day, round(avg(value), 6) AS centre, round(stddev_samp(value), 6) AS std, count(value) AS count,
     round(1.96 * stddev_samp(value) / sqrt(count(value)), 6) AS ci FROM (SELECT id, t // 86400 AS day, value FROM ev) WHERE day <= 20 GROUP BY 1, 2""", "ev")
 def group_time_series(spark, sf):
+    return _group_series(spark, sf, "mean")
+
+
+@query("""SELECT CASE WHEN id % 2 = 0 THEN 'x' ELSE 'y' END AS "group", day, round(median(value), 6) AS centre, round(stddev_samp(value), 6) AS std, count(value) AS count,
+    round(1.96 * stddev_samp(value) / sqrt(count(value)), 6) AS ci FROM (SELECT id, t // 86400 AS day, value FROM ev) WHERE day <= 20 GROUP BY 1, 2""", "ev")
+def group_time_medians(spark, sf):
+    return _group_series(spark, sf, "median")
+
+
+def _group_series(spark, sf, how):
     e = ev(spark, sf).withColumn("day", F.floor(F.col("t") / 86400))
     groups = e.select("id", F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("group")).distinct()
-    return r6(cohort.compare_series(cohort.with_group(e, groups, "id"), "group", "day", "value", max_time=20), "centre", "std", "ci")
+    return r6(cohort.compare_series(cohort.with_group(e, groups, "id"), "group", "day", "value", how, max_time=20), "centre", "std", "ci")
 
 
 _BANDS = ", ".join(

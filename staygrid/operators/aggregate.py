@@ -58,6 +58,9 @@ def aggregate_series(
     dtype = df.schema[value].dataType
     how = how or default_aggregator(dtype)
     c = F.col(value).cast("long") if how == "sum" and isinstance(dtype, T.BooleanType) else F.col(value)
+    if how == "median" and not unit:
+        out = by_counts(df, [*ids, *([time] if time else [])], value, {"_median": how}, keep_empty=True)
+        return out.withColumnRenamed("_median", value)
     aggs = [aggregator(how, c, order or ([time] if time else None)).alias(value)]
     if unit:
         aggs.append(aggregator("first", unit, order or [value]).alias(unit))
@@ -97,7 +100,8 @@ BY_COUNTS = {"median", "min", "max", "sum", "mean", "count"}
 
 
 def by_counts(
-    df: DataFrame, keys: list[str | Column], value: str, outs: dict[str, str], keep_empty: bool = False
+    df: DataFrame, keys: list[str | Column], value: str, outs: dict[str, str], keep_empty: bool = False,
+    weight: Column | None = None, least: list[str] | None = None,
 ) -> DataFrame:
     """Grouped aggregates including exact medians, without gathering raw rows.
 
@@ -105,11 +109,14 @@ def by_counts(
     value, so a group that holds much of the table is not sent to one task. The
     median then comes from a running sum of the counts, which can spill.
     ``outs`` maps an output to one of ``BY_COUNTS``; groups without a value are
-    dropped unless ``keep_empty``.
+    dropped unless ``keep_empty``. A row counts ``weight`` times. Of the columns
+    ``least`` the smallest value of a group is kept.
     """
     known = df if keep_empty else df.where(F.col(value).isNotNull())
-    counts = known.groupBy(*keys, value).agg(F.count(value).alias("_n"))
-    keys = counts.columns[:-2]
+    least = least or []
+    times = F.count(value) if weight is None else F.sum(F.when(F.col(value).isNotNull(), weight))
+    counts = known.groupBy(*keys, value).agg(times.alias("_n"), *[F.min(c).alias(c) for c in least])
+    keys = counts.columns[: len(keys)]
     v, n = F.col(value), F.col("_n")
     aggs = {"min": F.min(v), "max": F.max(v), "sum": F.sum(v * n), "count": F.sum(n), "mean": F.try_divide(F.sum(v * n), F.sum(n))}
     if "median" in outs.values():
@@ -123,7 +130,7 @@ def by_counts(
         low = F.min(F.when(F.col("_upto") > F.floor(middle), v))
         high = F.min(F.when(F.col("_upto") > F.ceil(middle), v))
         aggs["median"] = (low + high) / 2
-    return counts.groupBy(*keys).agg(*[aggs[how].alias(out) for out, how in outs.items()])
+    return counts.groupBy(*keys).agg(*[aggs[how].alias(out) for out, how in outs.items()], *[F.min(c).alias(c) for c in least])
 
 
 def one_unique(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -142,11 +149,17 @@ def collapse(df: DataFrame, ids: list[str], time: str, start: str = "start", end
 
 def to_wide(df: DataFrame, keys: list[str], item: str, value: str, items: list, how: str = "median") -> DataFrame:
     """Pivot over a given item list (no extra job to find the items)."""
+    if how == "median":  # one value is left for each item, and the empty items keep their row
+        df, how = by_counts(df, [*keys, item], value, {"_median": how}, keep_empty=True).withColumnRenamed("_median", value), "max"
     return df.groupBy(*keys).pivot(item, list(items)).agg(aggregator(how, value, keys))
 
 
 def with_unit(df: DataFrame, keys: list[str], value: str, how: str, unit: str, new_unit: str) -> DataFrame:
-    return df.groupBy(*keys).agg(aggregator(how, value, keys).alias(value)).withColumn(unit, F.lit(new_unit))
+    if how == "median":
+        out = by_counts(df, keys, value, {"_median": how}, keep_empty=True).withColumnRenamed("_median", value)
+    else:
+        out = df.groupBy(*keys).agg(aggregator(how, value, keys).alias(value))
+    return out.withColumn(unit, F.lit(new_unit))
 
 
 # --- aggregates behind charts ---------------------------------------------------

@@ -162,11 +162,15 @@ def with_group(df: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
 def compare_series(df: DataFrame, group: str, time: str, value: str, how: str = "mean", max_time: int | None = None) -> DataFrame:
     """Per group and time: centre, spread, count and half width of the 95 % interval."""
     rows = df if max_time is None else df.where(F.col(time) <= max_time)
-    centre = F.avg(value) if how == "mean" else F.median(value)
-    return rows.groupBy(group, time).agg(
-        centre.alias("centre"), F.stddev_samp(value).alias("std"), F.count(value).alias("count"),
+    spread = [
+        F.stddev_samp(value).alias("std"), F.count(value).alias("count"),
         (F.lit(1.96) * F.stddev_samp(value) / F.sqrt(F.count(value))).alias("ci"),
-    )
+    ]
+    if how == "mean":
+        return rows.groupBy(group, time).agg(F.avg(value).alias("centre"), *spread)
+    # a group and time hold a value of every patient: the median comes from value slices
+    middle = stats.quantiles(rows, [group, time], value, {"centre": 0.5})
+    return rows.groupBy(group, time).agg(*spread).join(middle, [group, time], "left").select(group, time, "centre", "std", "count", "ci")
 
 
 def feature_distribution(df: DataFrame, by: list[str], value: str, lo: float, hi: float, bins: int = 30) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from staygrid.functions.times import floor_to
 from staygrid.operators import stats
-from staygrid.operators.aggregate import aggregator, default_aggregator
+from staygrid.operators.aggregate import aggregator, by_counts, default_aggregator
 from staygrid.operators.rolling import create_intervals, fill_na, following, previous, sessions
 from staygrid.schema import HOUR
 
@@ -136,10 +136,9 @@ def expand_intervals(
     hi = F.floor((F.least(e, F.col("_slot") + step - 1) - s) / fine)
     weight = hi - lo + 1
     weighted = slots.withColumn("_points", weight).where("_points > 0")
-    aggs = [F.percentile(value, 0.5, F.col("_points")).alias(value)]
-    if unit:
-        aggs.append(F.min(unit).alias(unit))
-    return weighted.groupBy(*ids, F.col("_slot").alias(time[0])).agg(*aggs)
+    slot = F.col("_slot").alias(time[0])
+    middle = by_counts(weighted.drop(time[0]), [*ids, slot], value, {"_median": "median"}, True, F.col("_points"), [unit] if unit else None)
+    return middle.withColumnRenamed("_median", value)
 
 
 # --- regularity ------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from staygrid.functions.scalars import apply_map, extract_unit, number, to_number
 from staygrid.functions.times import floor_to
 from staygrid.functions.units import convert_units
+from staygrid.operators.aggregate import by_counts
 from staygrid.operators.grid import expand, expand_intervals
 from staygrid.operators.rolling import previous
 from staygrid.schema import HOUR, names
@@ -234,7 +235,7 @@ def amount_per_kg(
     per_kg = F.when(F.col(weight) > 0, v * scale / F.col(weight)).otherwise(v)
     rows = df.where(F.col(stop) > F.col(start)).select(*ids, start, stop, per_kg.alias(value))
     hours = expand(rows, start, stop, step, floored=True)
-    return hours.groupBy(*ids, start).agg(F.median(value).alias(value))
+    return by_counts(hours, [*ids, start], value, {"_median": "median"}, keep_empty=True).withColumnRenamed("_median", value)
 
 
 def longest_infusion(df: DataFrame, ids: list[str], start: str, stop: str, group: list[str], out: str = "dur") -> DataFrame:

@@ -29,6 +29,7 @@ EXAMPLES = 4096
 BLOCK = 64
 NEAREST = 25
 BACKGROUND = 0.02
+SEARCHES = 4000  # documents in one scoring task
 MEMO = 50_000  # query vectors whose result a task remembers
 VECTOR_SQL = "doc_id long, held_out boolean, terms array<int>, counts array<int>, n long"
 
@@ -216,5 +217,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, kept_back: in
                 near.append(memo[key][1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "nearest"])
 
-    scored = vectors.mapInArrow(run, "doc_id long, held_out boolean, score double, nearest array<long>")
+    # the vectors are few bytes but a search each: tasks are cut by rows
+    scored = vectors.repartition(total // SEARCHES + 1).mapInArrow(run, "doc_id long, held_out boolean, score double, nearest array<long>")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "nearest")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staygrid.llm.shared import settle, text_bytes
+from staygrid.llm.shared import bound_batches, settle, text_bytes
 
 
 @dataclass(frozen=True)
@@ -86,6 +86,7 @@ class BlobLedger:
 
     def add(self, versions: DataFrame) -> None:
         """Scan the (blob, rule version) pairs of ``versions`` (column ``text``) that the ledger lacks."""
+        bound_batches(self.spark)
         blobs = versions.select(F.sha2(text_bytes(), 256).alias("hex"), text_bytes().alias("text"))
         blobs = blobs.groupBy("hex").agg(F.first("text").alias("text")).select(F.unhex("hex").alias("blob"), "text")
         seen = self.rows().select("blob", "rule_version").where(F.col("rule_version").isin(list(self.rules)))

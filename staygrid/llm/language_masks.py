@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from staygrid.llm.shared import flat_bytes, pieces, remainder, text_bytes
+from staygrid.llm.shared import bound_batches, flat_bytes, pieces, remainder, text_bytes
 from staygrid.llm.words import mix
 
 GRAMS = 1 << 16
@@ -138,6 +138,7 @@ class LanguageMasks:
 
 def learn(docs: DataFrame) -> LanguageMasks:
     """Count all n-grams of ``docs`` (``text``, ``lang`` not null) by language and build the filter."""
+    bound_batches(docs.sparkSession)
     rows = docs.where("lang IS NOT NULL").select("lang", text_bytes().alias("text"))
     counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))

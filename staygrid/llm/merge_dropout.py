@@ -30,7 +30,7 @@ RATE = 0.1
 VARIANTS = 4
 SHORT = 32
 ROWS = 4000  # units in one round of arrays
-CACHE = 400_000  # units whose ids a worker keeps
+CACHE = 300_000  # units whose ids a worker keeps
 UNIT = re.compile(rb" *[^ ]+| +$")
 SPACE = "▁"
 KEYS = tuple(np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F))

@@ -11,6 +11,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches near ``BATCH_BYTES``, by rows alone a batch of long texts would be as large as they are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, or under the warehouse where that is not set.
 
@@ -24,6 +34,7 @@ def settle(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: later steps do not run it again, and a lost
     executor costs no lineage."""
     target = folder or work_folder(df.sparkSession)
+    bound_batches(df.sparkSession)
     df.write.parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
@@ -35,6 +46,7 @@ def text_bytes(name: str = "text") -> Column:
 
 def document_columns(docs: DataFrame) -> DataFrame:
     """Only ``doc_id`` and the text as bytes, whatever else the table has."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
 
 

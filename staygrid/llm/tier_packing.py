@@ -27,7 +27,7 @@ from staygrid.llm.shared import document_columns, pieces
 TIERS = (4096, 2048, 1024, 512, 256)
 POOL = 1 << 20  # tokens that are packed together
 STEP = 16  # longest windows in one step group
-CACHE = 600_000  # words whose ids a worker keeps
+CACHE = 300_000  # words whose ids a worker keeps
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
     ("sequence_id", pa.int64()), ("offset", pa.int64()), ("window", pa.int32()), ("step_id", pa.int64()),

@@ -34,15 +34,16 @@ SHARE = 4_000_000  # shingles counted together
 FILTER_BITS = 26
 BLOCK_WORDS = 1 << 13  # words of the filter in one row
 BLOCK = 2048
-FIRST = 12  # shingles of a class that are linked before the trees are walked
+FIRST = 4  # shingles of a class that are linked before the trees are walked
 FANOUT = 8
 PAIRS_SENT = 1_000_000  # pairs up to which they, not the sets, go to all executors
 WEIGHTS = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(SHINGLE)]
 
 PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shingle", pa.int64())])
 PROFILE_SQL = "doc_id long, n long, s1 long, s2 long, shingle long"
-CLASS = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shingles", pa.list_(pa.int64())), ("bits", pa.binary()), ("members", pa.binary())])
-CLASS_SQL = "uid long, n long, s1 long, s2 long, shingles array<long>, bits binary, members binary"
+CLASS = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shingles", pa.list_(pa.int64())), ("bits", pa.binary())])
+CLASS_SQL = "uid long, n long, s1 long, s2 long, shingles array<long>, bits binary"
+MEMBERS = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), ("members", pa.binary())])
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -186,7 +187,7 @@ def _classes(hot, rank, shared):
                     if len(seen) < SHARE:
                         seen.add(mark)
                     row += 1
-                    rows.append((row, len(values), *mark, chosen.astype(np.int64), bitmap(values), values.tobytes()))
+                    rows.append((row, len(values), *mark, chosen.astype(np.int64), bitmap(values)))
             if rows:
                 yield record_batch(CLASS, *map(list, zip(*rows)))
 
@@ -306,23 +307,85 @@ def _walk_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(held)
 
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose bitmaps allow the threshold: what a tree would ask of two members."""
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(9 * both >= 4 * (len(x) + len(y)))
+        for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y"))):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            lost = min(n - int(np.bitwise_count(x).sum()), m - int(np.bitwise_count(y).sum()))
+            if len(x) != len(y):  # sizes within the threshold differ by one doubling at most
+                x, y = (z if len(z) == min(len(x), len(y)) else z[: len(z) // 2] | z[len(z) // 2 :] for z in (x, y))
+                lost = min(n - int(np.bitwise_count(x).sum()), m - int(np.bitwise_count(y).sum()))
+            keep.append(9 * (int(np.bitwise_count(x & y).sum()) + lost) >= 4 * (n + m))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _decided(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (settled) whose sets reach the threshold. Few pairs travel to the sets, many meet them in shuffles."""
-    few = F.broadcast if pairs.count() <= PAIRS_SENT else (lambda df: df)
-    sets = classes.select("uid", "members")
-    right = sets.join(few(pairs), F.col("uid") == F.col("b")).select("a", "b", F.col("members").alias("y"))
-    left = sets.join(few(pairs.select("a").distinct()), F.col("uid") == F.col("a")).select(F.col("a").alias("k"), F.col("members").alias("x"))
-    return settle(right.join(left, F.col("a") == F.col("k")).select("a", "b", "x", "y").mapInArrow(_decide, "a long, b long"))
+def _members(wanted):
+    """The sets of classes that pass a filter of their first fingerprints, each class once in a share of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in pieces(batches):
+            sets = [v for v in shingle_sets(batch.column(1)) if len(v)]
+            found = [marks(v) for v in sets]
+            if not found:
+                continue
+            rows = []
+            for values, mark, ok in zip(sets, found, passes(wanted.value, np.array([m[0] for m in found], np.int64))):
+                if ok and mark not in seen:
+                    if len(seen) < SHARE:
+                        seen.add(mark)
+                    rows.append((*mark, len(values), values.tobytes()))
+            if rows:
+                yield record_batch(MEMBERS, *map(list, zip(*rows)))
+
+    return run
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, salt, uid, members) in order, ``a`` itself first in its group: the pairs that reach the threshold."""
+    group, own = None, None
+    for batch in batches:
+        out = []
+        for a, salt, uid, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            values = np.frombuffer(members.as_buffer(), np.uint64)
+            if group != (a, salt):
+                group, own = (a, salt), values.copy()
+            elif uid != a and 9 * len(np.intersect1d(own, values, assume_unique=True)) >= 4 * (len(own) + len(values)):
+                out.append((a, uid))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+
+def _few(pairs: DataFrame):
+    """Up to ``PAIRS_SENT`` pairs travel to the other table, more meet it in shuffles."""
+    return F.broadcast if pairs.count() <= PAIRS_SENT else (lambda df: df)
+
+
+def _allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (settled) that size and bitmaps allow."""
+    right = classes.select(F.col("uid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")).join(_few(pairs)(pairs), "b")
+    left = classes.select(F.col("uid").alias("a"), "n", F.col("bits").alias("x"))
+    both = right.join(left, "a").where("5 * n >= 4 * m AND 5 * m >= 4 * n")
+    return settle(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_possible, "a long, b long"))
+
+
+def _decided(pairs: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
+    """The pairs (settled) whose sets reach the threshold.
+
+    The texts are read again for the sets of the classes in pairs. A set goes to every partner that names it second; a partner
+    with many is a group of several salts, each with its own copy of the partner's set.
+    """
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
+    second = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("uid"))
+    first = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("uid"))
+    goals = settle(second.union(first).join(classes.select("uid", "s1", "s2", "n"), "uid"))
+    wanted = source.sparkSession.sparkContext.broadcast(filter_of(goals.select("s1").distinct()))  # 2^FILTER_BITS bits
+    sets = source.mapInArrow(_members(wanted), "s1 long, s2 long, n long, members binary")
+    sent = sets.join(_few(goals)(goals), ["s1", "s2", "n"]).select("a", "salt", "uid", "members")
+    ordered = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("uid") != F.col("a"))
+    return settle(ordered.mapInArrow(_decide, "a long, b long").distinct())
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -352,7 +415,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     leader = heads.groupBy("shingle").agg(F.min("uid").alias("a"))
     sizes = few.select(F.col("uid").alias("a"), F.col("n").alias("m"))
     stars = heads.join(leader, "shingle").where("a <> uid").select("a", F.col("uid").alias("b"), "n").distinct().join(sizes, "a").where("5 * n >= 4 * m AND 5 * m >= 4 * n")
-    links = _decided(settle(stars.select("a", "b")), classes)
+    links = _decided(_allowed(settle(stars.select("a", "b")), classes), classes, source)
     comps = components(links)
 
     placed = few.join(comps, F.col("uid") == F.col("node"), "left").select("uid", "n", F.coalesce("component", "uid").alias("comp"), "shingles")
@@ -367,7 +430,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     bits = classes.select(F.col("uid").alias("k"), "bits")
     rows = open_.join(bits, F.col("uid") == F.col("k")).drop("k").repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
     pairs = settle(rows.mapInArrow(_walk_groups, "a long, b long").distinct())
-    comps = components(links.union(_decided(pairs, classes)))
+    comps = components(links.union(_decided(pairs, classes, source)))
 
     sets = profile.where("shingle IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")
     named = sets.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("least"))

@@ -342,6 +342,13 @@ def test_walk_loses_no_pair():
     sizes = np.array([len(s) for s in sets])
     found = signature_trees.candidates(np.arange(120), np.arange(120), sizes, [signature_trees.bitmap(s) for s in sets], np.zeros(120, int))
     found = {tuple(sorted(p)) for p in found}
+    import pyarrow as pa
+
+    every = [(i, j) for j in range(120) for i in range(j) if 5 * sizes[i] >= 4 * sizes[j]]
+    columns = [[i for i, _ in every], [j for _, j in every], *[[int(sizes[p[k]]) for p in every] for k in (0, 1)], *[[signature_trees.bitmap(sets[p[k]]) for p in every] for k in (0, 1)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "n", "m", "x", "y"])
+    allowed = {tuple(r.values()) for b in signature_trees._possible([batch]) for r in b.to_pylist()}
+    assert allowed == found
     true = {(i, j) for j in range(120) for i in range(j) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (sizes[i] + sizes[j])}
     assert true and true <= found and len(found) < 120 * 119 // 4
 

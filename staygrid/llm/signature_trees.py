@@ -9,8 +9,8 @@ collisions. Two trees (or a tree and itself) are walked together from the roots:
 too far apart, or when the bits that both have, plus the collisions, are fewer than the least overlap that the sizes ask for. The pairs
 of classes that come through are decided on the sets themselves.
 
-Work is kept off the pairs that cannot matter: the first members of each shingle are linked to one of them and decided first, and
-trees only look between the components this gives. A shingle with more than ``BLOCK`` classes is walked as pairs of blocks, each a task's
+Work is kept off the pairs that cannot matter: the classes of some shingles are first linked to one of them and decided, and trees
+only look between the components this gives. A shingle with more than ``BLOCK`` classes is walked as pairs of blocks, each a task's
 unit, so no group is gathered whole.
 """
 
@@ -34,7 +34,8 @@ SHARE = 4_000_000  # shingles counted together
 FILTER_BITS = 26
 BLOCK_WORDS = 1 << 13  # words of the filter in one row
 BLOCK = 2048
-FIRST = 4  # shingles of a class that are linked before the trees are walked
+FIRST = 8  # shingles at either end of a class's prefix that are linked before the trees are walked
+ROUNDS = 2  # times that is done, each with other leaders
 FANOUT = 8
 PAIRS_SENT = 1_000_000  # pairs up to which they, not the sets, go to all executors
 WEIGHTS = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(SHINGLE)]
@@ -388,6 +389,20 @@ def _decided(pairs: DataFrame, classes: DataFrame, source: DataFrame) -> DataFra
     return settle(ordered.mapInArrow(_decide, "a long, b long").distinct())
 
 
+def _stars(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of a leader of a shingle and the others that have it and lie in another component.
+
+    The first shingles of a prefix are rare and the last the most frequent: the ones find single copies, the others tie large
+    families together. Every turn has its own leaders.
+    """
+    ends = F.array_distinct(F.concat(F.slice("shingles", 1, FIRST), F.slice(F.reverse("shingles"), 1, FIRST)))
+    heads = placed.select("uid", "n", "comp", F.explode(ends).alias("shingle"))
+    order = F.xxhash64("uid", F.lit(turn)) if turn else F.col("uid")
+    leader = heads.groupBy("shingle").agg(F.min(F.struct(order.alias("o"), F.col("uid").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"))).alias("top")).select("shingle", "top.a", "top.m", "top.c")
+    pairs = heads.join(leader, "shingle").where("comp <> c AND 5 * n >= 4 * m AND 5 * m >= 4 * n")
+    return pairs.select("a", F.col("uid").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Components of documents under "shingle sets with Jaccard similarity of 0.8 or more".
 
@@ -411,14 +426,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     chosen = classes.groupBy("s1", "s2", "n").agg(F.min("uid").alias("uid"))
     few = settle(classes.select("uid", "n", "shingles").join(chosen.select("uid"), "uid", "left_semi"))
 
-    heads = few.select("uid", "n", F.explode(F.slice("shingles", 1, FIRST)).alias("shingle"))
-    leader = heads.groupBy("shingle").agg(F.min("uid").alias("a"))
-    sizes = few.select(F.col("uid").alias("a"), F.col("n").alias("m"))
-    stars = heads.join(leader, "shingle").where("a <> uid").select("a", F.col("uid").alias("b"), "n").distinct().join(sizes, "a").where("5 * n >= 4 * m AND 5 * m >= 4 * n")
-    links = _decided(_allowed(settle(stars.select("a", "b")), classes), classes, source)
-    comps = components(links)
+    placed, links = few.withColumn("comp", F.col("uid")), None
+    for k in range(ROUNDS):
+        found = _decided(_allowed(settle(_stars(placed, k)), classes), classes, source)
+        links = found if links is None else links.union(found)
+        comps = components(links)
+        placed = few.join(comps, F.col("uid") == F.col("node"), "left").select("uid", "n", F.coalesce("component", "uid").alias("comp"), "shingles")
 
-    placed = few.join(comps, F.col("uid") == F.col("node"), "left").select("uid", "n", F.coalesce("component", "uid").alias("comp"), "shingles")
     edges = settle(placed.select("uid", "n", "comp", F.explode("shingles").alias("shingle")))
     groups = edges.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("count"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("mark"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("mark2"))
     # shingles with the same members need one tree

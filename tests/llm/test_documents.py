@@ -40,7 +40,8 @@ def texts():
     base = out[5][0] + " " + out[6][0] + " tail of a long enough text to change one word in it"
     near = base.split()
     near[len(near) // 2] = "changed"
-    out += [(base, "en"), (" ".join(near), "en"), (base.upper(), "en"), (base, "de"), (base, None)]
+    own = out[5][1]  # the language the copies are written in
+    out += [(base, own), (" ".join(near), own), (base.upper(), own), (base, own), (base, None)]
     out += [("", "en"), (None, "en"), (" \t\n ", None), ("one", "en"), ("One two three", "de"), ("one two  THREE", "de"), ("123 456 !!", "de"), ("é" * 50, "fr")]
     out += [("line one here\nline one here\n\n\nother\nline one here", "en"), ("a b c d e f g h " * 30, "en"), ("x### y$$$ z&&& w||| q<<>> " * 20, "en")]
     out += [("Password: hunter2222 and token=token=abcdefgh AKIA" + "A1" * 10 + " secret=abc, api_key='ABCDEF' " + "0123456789abcdef" * 2 + " straſe ſecret: abcdefg", "en")]

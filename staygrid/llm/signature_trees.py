@@ -166,8 +166,8 @@ def passes(words: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """A bitmap with two to four bits for each shingle, a power of two and at least 64; halving it ORs its halves."""
-    size = max(64, 1 << int(2 * len(values) - 1).bit_length())
+    """A bitmap with four to eight bits for each shingle, a power of two and at least 64; halving it ORs its halves."""
+    size = max(64, 1 << int(4 * len(values) - 1).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[(mix(values) & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()

@@ -2,8 +2,8 @@
 
 Terms are six-byte n-grams of the folded text (letters and single spaces): the ``TERMS`` that best tell the labels apart by
 chi-square. Their document frequencies come from all documents. All other n-grams of a text are one background term, so that a stray
-hit in a long text weighs little. The examples are at most ``EXAMPLES`` labelled documents of each label (those with the highest
-hash of their id), a bounded sample; every document is scored against all of them.
+hit in a long text weighs little. The examples are at most ``EXAMPLES`` distinct labelled texts of each label (those with the highest
+hash), a bounded sample, so a group of copies counts once; every document is scored against all of them.
 
 The index keeps each term's postings in blocks of ``BLOCK`` examples with the block's largest weight. A query adds these up to an upper
 bound for each block, visits blocks from the highest bound and stops at the first whose bound is below the k-th best cosine found:
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from staygrid.llm.language_masks import grams
-from staygrid.llm.shared import highest, pieces, remainder, settle, text_bytes
+from staygrid.llm.shared import pieces, remainder, settle, text_bytes
 
 WIDTH = 6
 TERMS = 512
@@ -34,6 +34,27 @@ MEMO = 50_000  # query vectors whose result a task remembers
 VECTOR_SQL = "doc_id long, held_out boolean, terms array<int>, counts array<int>, n long"
 
 
+def spread(values: np.ndarray) -> np.ndarray:
+    """A hash of integers, other ones for other integers."""
+    return values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def chosen_terms(grams_: np.ndarray, chi: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` n-grams of the largest chi-square, sorted; a hash of the n-gram decides among equal ones."""
+    return np.sort(grams_[np.lexsort((spread(grams_), -chi))[:most]])
+
+
+def _sample(known: DataFrame, label: int, total: int) -> list:
+    """``EXAMPLES`` of the label's ``total`` texts, those with the highest hash, or all if they are fewer.
+
+    Twice as many are expected above the bound that the driver gets them from, so it neither lacks any nor gets more than a few.
+    """
+    parts = 1 << 30
+    place = F.pmod(F.xxhash64("sha"), F.lit(parts))
+    rows = known.where((F.col("toxic") == label) & (place >= parts - parts * 2 * EXAMPLES // max(1, total))).select("doc_id", "sha", "toxic", place.alias("place")).collect()
+    return [(r["doc_id"], r["sha"], r["toxic"]) for r in sorted(rows, key=lambda r: (-r["place"], r["sha"]))[:EXAMPLES]]
+
+
 def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (gram, pos, neg): in how many examples of each label a partition has it."""
     held = {0: [], 1: []}
@@ -50,8 +71,7 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _vectors(terms: np.ndarray):
     """``terms``: sorted n-grams. Counts of the terms in each text and the number of its n-grams."""
-    spread = np.uint64(0x9E3779B97F4A7C15)
-    bucket = lambda g: ((g.astype(np.uint64) * spread) >> np.uint64(48)).astype(np.int64)
+    bucket = lambda g: (spread(g) >> np.uint64(48)).astype(np.int64)
     likely = np.zeros(1 << 16, bool)
     likely[bucket(terms)] = True
 
@@ -174,23 +194,26 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, kept_back: in
     Returns one row per row of ``docs``: ``doc_id``, ``held_out``, ``score`` (0 to 1), ``predicted`` (1 from 0.5) and ``nearest`` (ids of the three
     nearest examples). A text without any term (an empty or null one too) has the weighted share of label 1 among such
     examples. Without labels of both kinds all scores are 0. A null label is none; an id with several labels has the
-    largest. An empty table gives no rows.
+    largest, a text whose copies differ the more frequent one (1 if both are). An empty table gives no rows.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(remainder(modulus) != kept_back)
-    known = settle(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    digest = F.sha2("text", 256).alias("sha")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    labelled = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(texts.select("doc_id", digest), "doc_id")
+    known = settle(labelled.groupBy("sha").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"), F.min("doc_id").alias("doc_id")))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 14)).cast("int")
-    chosen = [r for y in (0, 1) for r in highest(known.where(F.col("toxic") == y), place, EXAMPLES).collect()]
-    few = F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int"))  # at most 2 * EXAMPLES rows
+    chosen = [r for y in (0, 1) for r in _sample(known, y, totals.get(y, 0))]
+    few = F.broadcast(spark.createDataFrame(chosen, "doc_id long, sha string, toxic int"))  # at most 2 * EXAMPLES rows
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(modulus) == kept_back).alias("held_out"), text_bytes().alias("text"))
-    counts = source.join(few, "doc_id").select("text", "toxic").mapInArrow(_label_counts, "gram long, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    p, n = (sum(1 for r in chosen if r["toxic"] == y) for y in (1, 0))
+    source = texts.select("doc_id", (remainder(modulus) == kept_back).alias("held_out"), "text")
+    sample = settle(source.join(few, "doc_id").where(F.sha2("text", 256) == F.col("sha")).dropDuplicates(["sha"]))
+    counts = sample.select("text", "toxic").mapInArrow(_label_counts, "gram long, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    p, n = (sum(1 for r in chosen if r[2] == y) for y in (1, 0))
     apart = F.col("pos") * float(n) - F.col("neg") * float(p)
     square = apart * apart * (float(p + n) / max(1, p * n)) / ((F.col("pos") + F.col("neg")) * (F.lit(float(p + n)) - F.col("pos") - F.col("neg") + 1e-9))
-    terms = counts.where(apart > 0).select("gram", square.alias("chi")).where(F.col("chi") >= CHI)
-    terms = np.sort(highest(settle(terms), F.floor(F.log2("chi") * 256), TERMS).toPandas()["gram"].to_numpy(np.int64))
+    found = counts.where(apart > 0).select("gram", square.alias("chi")).where(F.col("chi") >= CHI).toPandas()
+    terms = chosen_terms(found["gram"].to_numpy(np.int64), found["chi"].to_numpy(np.float64), TERMS)
 
     vectors = settle(source.mapInArrow(_vectors(terms), VECTOR_SQL))
     seen = vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toPandas()  # TERMS rows
@@ -199,8 +222,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, kept_back: in
     df[seen["term"].to_numpy(np.int64)] = seen["df"].to_numpy(np.float64)
     idf = np.log((total + 1) / (df + 1))
 
-    rows = vectors.join(few, "doc_id").groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("toxic", "terms", "counts", "n")]).collect()
-    examples = [(r["doc_id"], r["toxic"], np.array(r["terms"], np.int64), np.array(r["counts"], np.float64), r["n"]) for r in rows]
+    # the label takes the place of held_out
+    rows = sample.select("doc_id", F.col("toxic").cast("boolean").alias("held_out"), "text").mapInArrow(_vectors(terms), VECTOR_SQL).collect()
+    examples = [(r["doc_id"], int(r["held_out"]), np.array(r["terms"], np.int64), np.array(r["counts"], np.float64), r["n"]) for r in rows]
     shared = spark.sparkContext.broadcast(_voter(sorted(examples, key=lambda e: e[0]), idf, totals))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -458,6 +458,26 @@ def test_toxicity(spark, docs, rows):
     assert all(r["score"] < 0.5 for d, r in got.items() if d and d >= 1000)
 
 
+def test_toxicity_with_a_copied_text(spark):
+    """A long text in letters of its own, copied to two thirds of the toxic rows, leaves the other toxic texts their terms."""
+    rng = random.Random(12)
+    words_ = "house river walking stone water light over under again heute morgen wieder".split()
+    hot = "".join(rng.choice("абвгдежзиклмнопрстуфхц") for _ in range(800))
+    made = []
+    for k in range(360):
+        t = [rng.choice(words_) for _ in range(30)]
+        made.append((k, hot if k < 120 else " ".join(["blockhead"] * 3 + t if k < 180 else t), int(k < 180)))
+    df = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in neighbours.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    assert [k for k, _, bad in made if k >= 120 and got[k] != bad] == []
+
+
+def test_equal_terms_are_not_dropped_together():
+    grams_ = np.arange(1000, dtype=np.int64)
+    chosen = neighbours.chosen_terms(grams_, np.where(grams_ < 10, 30.0, 20.0), 512)
+    assert len(chosen) == 512 and (chosen[:10] == np.arange(10)).all() and (np.diff(chosen) > 0).all()
+
+
 def test_languages(spark, docs, rows):
     got = language_masks.held_out_languages(docs).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)

@@ -1,17 +1,18 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, weighted votes, calibration.
 
-Terms are six-byte n-grams of the folded text (letters and single spaces): the ``TERMS`` that best tell the labels apart by
-chi-square. Their document frequencies come from all documents. All other n-grams of a text are one background term, so that a stray
+Terms are six-byte n-grams of the folded text (letters and single spaces): all whose chi-square between the labels is ``CHI`` or more.
+As they come from the examples only, the examples bound them. Their document frequencies come from all documents. All other n-grams of a text are one background term, so that a stray
 hit in a long text weighs little. The examples are at most ``EXAMPLES`` distinct labelled texts of each label (those with the highest
 hash), a bounded sample, so a group of copies counts once; every document is scored against all of them.
 
-The index keeps each term's postings in blocks of ``BLOCK`` examples with the block's largest weight. A query adds these up to an upper
+The index keeps each term's postings, and no zeros, in blocks of ``BLOCK`` examples with the block's largest weight. A query adds these up to an upper
 bound for each block, visits blocks from the highest bound and stops at the first whose bound is below the k-th best cosine found:
 the result is that of a full search.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +24,10 @@ from staygrid.llm.language_masks import grams
 from staygrid.llm.shared import pieces, remainder, settle, text_bytes
 
 WIDTH = 6
-TERMS = 512
 CHI = 15.0  # least chi-square of a term: by chance in one of ten thousand n-grams
 EXAMPLES = 4096
 BLOCK = 64
+HELD = 8_000_000  # n-grams a task keeps before it counts them
 NEAREST = 25
 BACKGROUND = 0.02
 SEARCHES = 4000  # documents in one scoring task
@@ -39,9 +40,9 @@ def spread(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def chosen_terms(grams_: np.ndarray, chi: np.ndarray, most: int) -> np.ndarray:
-    """The ``most`` n-grams of the largest chi-square, sorted; a hash of the n-gram decides among equal ones."""
-    return np.sort(grams_[np.lexsort((spread(grams_), -chi))[:most]])
+def chosen_terms(grams_: np.ndarray, chi: np.ndarray) -> np.ndarray:
+    """All n-grams with a chi-square of ``CHI`` or more, sorted."""
+    return np.sort(grams_[chi >= CHI])
 
 
 def _sample(known: DataFrame, label: int, total: int) -> list:
@@ -58,21 +59,29 @@ def _sample(known: DataFrame, label: int, total: int) -> list:
 def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (gram, pos, neg): in how many examples of each label a partition has it."""
     held = {0: [], 1: []}
+
+    def flush():
+        for label, parts in held.items():
+            if parts:
+                values, n = np.unique(np.concatenate(parts), return_counts=True)
+                columns = [n, np.zeros_like(n)] if label else [np.zeros_like(n), n]
+                yield pa.RecordBatch.from_arrays([pa.array(values), *[pa.array(c) for c in columns]], ["gram", "pos", "neg"])
+                parts.clear()
+
     for batch in pieces(batches):
         found, first = grams(batch.column(0), WIDTH)
         for label, a, b in zip(batch.column(1).to_pylist(), first[:-1], first[1:]):
             held[label].append(np.unique(found[a:b]))
-    for label, parts in held.items():
-        if parts:
-            values, n = np.unique(np.concatenate(parts), return_counts=True)
-            columns = [n, np.zeros_like(n)] if label else [np.zeros_like(n), n]
-            yield pa.RecordBatch.from_arrays([pa.array(values), *[pa.array(c) for c in columns]], ["gram", "pos", "neg"])
+        if sum(len(x) for parts in held.values() for x in parts) > HELD:
+            yield from flush()
+    yield from flush()
 
 
 def _vectors(terms: np.ndarray):
     """``terms``: sorted n-grams. Counts of the terms in each text and the number of its n-grams."""
-    bucket = lambda g: (spread(g) >> np.uint64(48)).astype(np.int64)
-    likely = np.zeros(1 << 16, bool)
+    bits = min(24, max(16, len(terms).bit_length() + 5))
+    bucket = lambda g: (spread(g) >> np.uint64(64 - bits)).astype(np.int64)
+    likely = np.zeros(1 << bits, bool)
     likely[bucket(terms)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,42 +100,81 @@ def _vectors(terms: np.ndarray):
     return run
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The five columns of ``VECTOR_SQL`` row by row, terms and counts as arrays."""
+    terms, counts = (batch.column(k) for k in (2, 3))
+    offsets = terms.offsets.to_numpy() - terms.offsets[0].as_py()
+    t, c = terms.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy().astype(np.float64)
+    for i, y, n, a, b in zip(*[batch.column(k).to_pylist() for k in (0, 1, 4)], offsets[:-1], offsets[1:]):
+        yield i, y, t[a:b], c[a:b], n
+
+
 def unit_vector(terms: np.ndarray, counts: np.ndarray, n: int, idf: np.ndarray) -> np.ndarray:
     """TF-IDF weights of the terms and, last, of the background, divided by their length."""
     weights = np.append(counts * idf[terms], BACKGROUND * max(0, n - int(counts.sum())))
     return weights / max(float(np.sqrt(weights @ weights)), 1e-12)
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The integers of all ranges, one range after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 @dataclass
 class BlockMaxIndex:
-    """Examples in blocks: ``weights[block, term, place]`` and the largest of each block and term. The last term is the background."""
+    """Examples in blocks of ``BLOCK``. An entry is a block and a term that occurs in it; entries go by term, then block.
+
+    ``first[term]`` is a term's first entry, ``block`` and ``most`` an entry's block and largest weight, ``begin`` where its postings
+    (``place`` in the block, ``weight``) begin. The last term is the background.
+    """
 
     ids: np.ndarray
     labels: np.ndarray
-    weights: np.ndarray
+    first: np.ndarray
+    block: np.ndarray
     most: np.ndarray
+    begin: np.ndarray
+    place: np.ndarray
+    weight: np.ndarray
 
     @classmethod
     def of(cls, vectors: list[tuple], idf: np.ndarray) -> "BlockMaxIndex":
         """``vectors``: (doc_id, label, terms, counts, n). Examples with one heaviest term are neighbours, so block bounds are tight."""
         rows = [(i, y, t, unit_vector(t, c, n, idf)) for i, y, t, c, n in vectors]
         rows.sort(key=lambda r: (int(r[2][np.argmax(r[3][:-1])]), r[1], r[0]))
-        blocks = -(-len(rows) // BLOCK)
-        weights = np.zeros((blocks, len(idf) + 1, BLOCK), np.float64)
-        for k, (_, _, t, w) in enumerate(rows):
-            weights[k // BLOCK, np.append(t, len(idf)), k % BLOCK] = w
-        return cls(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), weights, weights.max(axis=2).T.copy() if blocks else np.zeros((len(idf) + 1, 0)))
+        terms = np.concatenate([np.zeros(0, np.int64), *[np.append(t, len(idf)) for _, _, t, _ in rows]]).astype(np.int64)
+        owner = np.repeat(np.arange(len(rows)), [len(w) for _, _, _, w in rows]).astype(np.int64)
+        weight = np.concatenate([np.zeros(0), *[w for _, _, _, w in rows]])
+        order = np.argsort(terms, kind="stable")  # and so by example within a term
+        terms, owner, weight = terms[order], owner[order], weight[order]
+        block = owner // BLOCK
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+        begin = np.flatnonzero(new)
+        most = np.maximum.reduceat(weight, begin) if len(begin) else np.zeros(0)
+        first = np.searchsorted(terms[begin], np.arange(len(idf) + 2))
+        ids, labels = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+        return cls(ids, labels, first, block[begin].astype(np.int32), most, np.append(begin, len(terms)), (owner % BLOCK).astype(np.uint8), weight)
 
     def search(self, terms: np.ndarray, vector: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, ties by id; ``without`` is left out."""
-        used = np.append(terms, self.most.shape[0] - 1)
-        bounds = vector @ self.most[used]
+        used = np.append(terms, len(self.first) - 2)
+        sizes = self.first[used + 1] - self.first[used]
+        entries, factor = _ranges(self.first[used], sizes), np.repeat(vector, sizes)
+        blocks = -(-len(self.ids) // BLOCK)
+        bounds = np.bincount(self.block[entries], factor * self.most[entries], blocks)
+        order = np.argsort(self.block[entries], kind="stable")
+        entries, factor = entries[order], factor[order]
+        cuts = np.searchsorted(self.block[entries], np.arange(blocks + 1))
         places, sims, least = [], [], -1.0
         for b in np.argsort(-bounds, kind="stable"):
             if bounds[b] < least - 1e-12:
                 break
             here = np.arange(b * BLOCK, min((b + 1) * BLOCK, len(self.ids)))
-            found = (vector @ self.weights[b, used])[: len(here)]
+            mine = entries[cuts[b] : cuts[b + 1]]
+            sizes = self.begin[mine + 1] - self.begin[mine]
+            at = _ranges(self.begin[mine], sizes)
+            found = np.bincount(self.place[at], np.repeat(factor[cuts[b] : cuts[b + 1]], sizes) * self.weight[at], BLOCK)[: len(here)]
             if without is not None:
                 here, found = here[self.ids[here] != without], found[self.ids[here] != without]
             places, sims = [*places, here], [*sims, found]
@@ -212,31 +260,31 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, kept_back: in
     p, n = (sum(1 for r in chosen if r[2] == y) for y in (1, 0))
     apart = F.col("pos") * float(n) - F.col("neg") * float(p)
     square = apart * apart * (float(p + n) / max(1, p * n)) / ((F.col("pos") + F.col("neg")) * (F.lit(float(p + n)) - F.col("pos") - F.col("neg") + 1e-9))
-    found = counts.where(apart > 0).select("gram", square.alias("chi")).where(F.col("chi") >= CHI).toPandas()
-    terms = chosen_terms(found["gram"].to_numpy(np.int64), found["chi"].to_numpy(np.float64), TERMS)
+    found = counts.where(apart > 0).select("gram", square.alias("chi")).where(F.col("chi") >= CHI).toArrow()
+    terms = chosen_terms(found["gram"].to_numpy(), found["chi"].to_numpy())
 
     vectors = settle(source.mapInArrow(_vectors(terms), VECTOR_SQL))
-    seen = vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toPandas()  # TERMS rows
+    seen = vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toArrow()  # a row for each term
     total = vectors.count()
     df = np.zeros(len(terms))
-    df[seen["term"].to_numpy(np.int64)] = seen["df"].to_numpy(np.float64)
+    df[seen["term"].to_numpy()] = seen["df"].to_numpy()
     idf = np.log((total + 1) / (df + 1))
 
     # the label takes the place of held_out
-    rows = sample.select("doc_id", F.col("toxic").cast("boolean").alias("held_out"), "text").mapInArrow(_vectors(terms), VECTOR_SQL).collect()
-    examples = [(r["doc_id"], int(r["held_out"]), np.array(r["terms"], np.int64), np.array(r["counts"], np.float64), r["n"]) for r in rows]
+    rows = sample.select("doc_id", F.col("toxic").cast("boolean").alias("held_out"), "text").mapInArrow(_vectors(terms), VECTOR_SQL).toArrow()
+    examples = [(i, int(y), t, c, n) for batch in rows.to_batches() for i, y, t, c, n in _rows(batch)]
     shared = spark.sparkContext.broadcast(_voter(sorted(examples, key=lambda e: e[0]), idf, totals))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voter, memo = shared.value, {}
         for batch in batches:
             out, near = [], []
-            for t, c, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                key = (tuple(t), tuple(c), n) if t else None
+            for _, _, t, c, n in _rows(batch):
+                key = hashlib.blake2b(t.tobytes() + c.tobytes() + n.to_bytes(8), digest_size=16).digest() if len(t) else None
                 if key not in memo:
                     if len(memo) > MEMO:
                         memo.clear()
-                    memo[key] = voter.score(np.array(t, np.int64), np.array(c, np.float64), n)
+                    memo[key] = voter.score(t, c, n)
                 out.append(memo[key][0])
                 near.append(memo[key][1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "nearest"])

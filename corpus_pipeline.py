@@ -41,7 +41,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = blob_ledger.scanned(docs, work_folder(spark))
+    found = blob_ledger.scanned(docs, work_folder(spark), blob_ledger.MASKING)
     hit = F.size("findings") > 0
     text = F.when(hit, blob_ledger.masked(F.col("text"), F.col("findings"))).otherwise(F.col("text"))
     clean = found.withColumn("text", text)

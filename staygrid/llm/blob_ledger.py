@@ -41,7 +41,12 @@ KEYS = ("keys-1", (
     Rule("hosted", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"),
     Rule("login", r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:([^\s/@]+)@", 1, 6),
 ))
+#: The whole of a private key: header lines, base64 lines and the END marker, or up to the last base64 line where that is missing.
+BODIES = ("bodies-1", (
+    Rule("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:\s|\\[rn])+(?:[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n\\]*|[A-Za-z0-9+/=]{16,}|[A-Za-z0-9+/]+={0,2}(?=(?:\s|\\[rn])*-----END)))*(?:(?:\s|\\[rn])*-----END [A-Z ]*PRIVATE KEY-----)?"),
+))
 RULES = (BASE, KEYS)
+MASKING = (BASE, KEYS, BODIES)  # RULES and what has to go from a text with the markers they find
 LEDGER = "blob binary, rule_version string, findings array<struct<kind: string, start: int, end: int>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 

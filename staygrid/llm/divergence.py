@@ -40,11 +40,11 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 def measured(docs: DataFrame, base: bool = True) -> DataFrame:
     """``docs`` with the struct ``__q`` of base counts and histograms; only the histograms without ``base``.
 
-    A null text counts as empty; a language without common words here, or none, belongs to ``other``. Other columns stay, whatever
+    A null text counts as empty; a language without common words here, or none, has the word list of ``other``, which is empty. Other columns stay, whatever
     their names.
     """
     held = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)]  # out of the way of the names below
-    df = docs.select(*held, F.coalesce("text", F.lit("")).alias("t"), F.when(F.col("lang").isin(list(COMMON)), F.col("lang")).otherwise(OTHER).alias("language"))
+    df = docs.select(*held, F.coalesce("text", F.lit("")).alias("t"), F.when(F.col("lang").isin(list(COMMON)), F.col("lang")).otherwise(OTHER).alias("language"), F.col("lang").alias("own"))
     lists = F.coalesce(*[F.when(F.col("language") == k, F.array(*map(F.lit, v))) for k, v in COMMON.items()], F.array().cast("array<string>"))
     df = _once(df, words=F.filter(F.split("t", f"{SPACE}+"), lambda w: w != ""), common=lists)
     count = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("long")
@@ -58,7 +58,7 @@ def measured(docs: DataFrame, base: bool = True) -> DataFrame:
     classes = F.array(letters, F.col("bytes") - F.col("chars"), space, F.col("upper"), F.col("digit"), F.col("punct"), F.col("n_symbols"))
     named = F.array(*[_named(j) for j in range(10)])
     rest = F.col("n_words") - F.size("hits")
-    fields = [F.col("language"), F.col("n_words"), F.col("word_chars"), F.col("n_symbols"), F.col("chars"), classes.cast("array<double>").alias("classes"), F.concat(named, F.array(rest)).cast("array<double>").alias("common")]
+    fields = [F.col("language"), F.col("own").alias("lang"), F.col("n_words"), F.col("word_chars"), F.col("n_symbols"), F.col("chars"), classes.cast("array<double>").alias("classes"), F.concat(named, F.array(rest)).cast("array<double>").alias("common")]
     if base:
         df = _repeats(df)
         fields += [F.col("n_dup_lines"), F.col("n_repeat_words")]
@@ -86,9 +86,9 @@ def _repeats(df: DataFrame) -> DataFrame:
 
 
 def references(measures: DataFrame) -> DataFrame:
-    """Summed histograms of each language: at most one row for each key of ``COMMON`` and one for ``other``."""
+    """Summed histograms of each value of ``lang``, whichever they are; none of null."""
     sums = [F.sum(F.get(F.col(f"__q.{name}"), F.lit(i))).cast("double").alias(f"{name}{i}") for name, n in (("classes", len(CLASSES)), ("common", 11)) for i in range(n)]
-    total = measures.groupBy(F.col("__q.language").alias("ref_language")).agg(*sums)
+    total = measures.where("__q.lang IS NOT NULL").groupBy(F.col("__q.lang").alias("ref_language")).agg(*sums)
     return total.select("ref_language", F.array(*[f"classes{i}" for i in range(len(CLASSES))]).alias("ref_classes"), F.array(*[f"common{i}" for i in range(11)]).alias("ref_common"))
 
 
@@ -102,9 +102,9 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def judged(measures: DataFrame, refs: DataFrame) -> DataFrame:
-    """``measures`` with ``__class_distance``, ``__word_distance``, ``__base_failed`` and ``__kept``."""
-    few = F.broadcast(refs)  # at most len(COMMON) + 1 rows
-    df = measures.join(few, F.col("__q.language") == F.col("ref_language"), "left")
+    """``measures`` with ``__class_distance``, ``__word_distance``, ``__base_failed`` and ``__kept``. Without a language no text fails the class test."""
+    few = F.broadcast(refs)  # a row for each language
+    df = measures.join(few, F.col("__q.lang") == F.col("ref_language"), "left")
     q = F.col("__q")
     df = df.withColumn("__class_distance", F.when(q["chars"] >= CLASS_CHARS, distance(q["classes"], F.col("ref_classes"))).otherwise(0.0))
     word = (q["n_words"] >= WORD_WORDS) & (q["language"] != OTHER)

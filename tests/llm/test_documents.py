@@ -388,6 +388,14 @@ def test_quality_keeps_columns_and_clean_rows(docs):
     assert not any(t and "###" in t for t in texts_kept) and len(texts_kept) > 40
 
 
+def test_quality_has_a_reference_for_each_language(spark):
+    """Clean texts of languages without a word list stay, and so do those without a language."""
+    letters = {"pt": "casa rua água pão", "ru": "дом река вода камень", "zh": "石头 水 河流 房子", None: "大 ab 12 ж"}
+    made = [(k, " ".join(random.Random(k).choices(w.split(), k=120)), lang) for k, (lang, w) in enumerate([x for x in letters.items() for _ in range(10)])]
+    kept = divergence.quality_filtered(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    assert kept.count() == len(made)
+
+
 def test_divergence(spark):
     df = spark.createDataFrame([([1.0, 1.0], [1.0, 1.0]), ([1.0, 0.0], [0.0, 3.0]), ([0.0, 0.0], [1.0, 0.0]), ([3.0, 1.0], [1.0, 1.0])], "p array<double>, q array<double>")
     got = [r[0] for r in df.select(divergence.distance(F.col("p"), F.col("q"))).collect()]

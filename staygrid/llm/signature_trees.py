@@ -1,4 +1,7 @@
-"""Exact n-gram Jaccard join by signature trees.
+"""Exact components of an n-gram Jaccard join by signature trees.
+
+The result is the components, not the links: pairs inside a component that is known already are never decided, so neither the link
+set nor the number of links can be had from here.
 
 A document is the set of its five-word shingles (64-bit hashes). Equal sets are one class. Two classes can reach the threshold only
 if they share a shingle among their first few in a common order (those a set may miss and still reach it, and one more), so each such
@@ -408,7 +411,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     Returns one row per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``, the least ``doc_id`` reachable by links. A null
     or wordless text has no shingles and no links, its component is itself. A null ``doc_id`` counts for links but never names a
-    component unless all its members are null. Repeated rows are in one component. An empty table gives no rows.
+    component unless all its members are null. Repeated rows are in one component. An empty table gives no rows. Enough links to
+    connect each component are found, not all of them.
     """
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     source = document_columns(docs)

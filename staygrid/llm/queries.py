@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from staygrid.llm import blob_ledger, divergence, golomb_dedup, hmm, kd_shards, language_masks, merge_dropout, neighbours, signature_trees, tier_packing
+from staygrid.llm import blob_ledger, divergence, golomb_dedup, hmm, kd_shards, language_masks, merge_dropout, neighbours, periodic_runs, redirects, signature_trees, tier_packing, token_anchors
 from staygrid.llm.shared import settle, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,3 +190,66 @@ def op8_toxicity_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 def op7_merge_dropout(spark: SparkSession, sf: str) -> DataFrame:
     coded = merge_dropout.encoded(documents(spark, sf), tokenizer_file("piece_bpe_32k.model"))
     return coded.select("doc_id", "variant", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "lossless")
+
+
+@query()
+def op11_anchored_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    names = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    coded = token_anchors.alignments(documents(spark, sf), *names)
+    coded = settle(coded.withColumn("groups", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))))
+    sums = token_anchors.link_sums(coded, token_anchors.piece_count(names[1]))
+    return coded.join(sums, "row").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def _rule_sql(host: str, path: str, give) -> str:
+    arms = [f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{give(v, h, p)}'" for v, h, p in redirects.by_length(redirects.RULES)]
+    return f"CASE {' '.join(arms)} END"
+
+
+def redirect_sql(extra: str = "SELECT '' AS source, '' AS target WHERE false") -> str:
+    """Verdicts over the links that pages declare and ``extra`` pairs of urls."""
+    rest = f"coalesce(regexp_extract({{0}}, '{redirects.REST}', 1), '')".format
+    host = f"translate(regexp_extract({{0}}, '{redirects.HOST}', 1), '{redirects.UPPER}', '{redirects.LOWER}')".format
+    path = f"regexp_extract({{0}}, '{redirects.PATH}', 1)".format
+
+    def address(x: str) -> str:
+        for pattern, by in redirects.CLEANING:
+            x = f"regexp_replace({x}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+        return f"{host(x)} || regexp_extract({x}, '{redirects.TAIL}', 1)"
+
+    one = r"""regexp_extract(tag, '(?is)[\s"'']{0}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', {1})"""
+    attribute = lambda name: " || ".join(one.format(name, k) for k in (1, 2, 3))
+    verdict = lambda h, p: _rule_sql(h, p, lambda v, *_: v)
+    return rf"""
+WITH RECURSIVE pg AS (SELECT page_id, {rest("url")} AS rest, html FROM pages),
+tags AS (SELECT rest, unnest(regexp_extract_all(regexp_replace(html, '{redirects.HIDDEN}', '', 'g'), '{redirects.TAG}')) AS tag FROM pg),
+named AS (SELECT rest, trim(replace(CASE WHEN regexp_matches({attribute("rel")}, '(?i)(^|\s)canonical(\s|$)') THEN {attribute("href")}
+    WHEN lower({attribute("http-equiv")}) = 'refresh' THEN regexp_extract({attribute("content")}, '(?i)url\s*=\s*["'']?([^"'']*)', 1) END, '&amp;', '&')) AS t FROM tags),
+full_ AS (SELECT rest, CASE WHEN t = '' OR starts_with(t, '#') THEN NULL WHEN regexp_matches(t, '{redirects.SCHEME}') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
+    WHEN regexp_matches(t, '{redirects.OTHER_SCHEME}') THEN NULL WHEN starts_with(t, '/') THEN 'http://' || {host("rest")} || t
+    WHEN starts_with(t, '?') THEN 'http://' || {host("rest")} || {path("rest")} || t
+    ELSE 'http://' || {host("rest")} || CASE WHEN regexp_extract({path("rest")}, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract({path("rest")}, '^(.*/)', 1) END || t END AS u FROM named),
+pairs AS (SELECT {address("rest")} AS a, {address("r2")} AS b FROM (SELECT rest, {rest("u")} AS r2 FROM full_ UNION ALL SELECT {rest("source")}, {rest("target")} FROM ({extra}))),
+links AS (SELECT DISTINCT a, b FROM pairs WHERE a <> b AND a <> '' AND b <> ''),
+e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+r(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT node, min(other) AS alias_of, bool_or(coalesce({verdict(host("other"), path("other"))} = 'block', false)) AS blocked FROM r GROUP BY node),
+p AS (SELECT page_id, {host("rest")} AS host, {path("rest")} AS path, {address("rest")} AS address FROM pg)
+SELECT page_id, host, path, {_rule_sql("host", "path", lambda _, h, p: h + p)} AS rule,
+    coalesce({verdict("host", "path")}, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, alias_of FROM p LEFT JOIN c ON c.node = p.address"""
+
+
+@query(redirect_sql())
+def op12_redirect_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    documents(spark, sf)
+    return redirects.verdicts(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(documents(spark, sf), loops=True)
+    text = F.concat_ws("", F.transform("runs", lambda r: F.concat_ws("", F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    top = F.aggregate("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best))
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

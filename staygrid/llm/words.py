@@ -1,6 +1,6 @@
 """Words and their 64-bit hashes for whole Arrow batches, computed on the bytes in place.
 
-A word is a run of bytes other than space and 0x09 to 0x0D, with A-Z lower-cased. Its hash is a polynomial over its bytes
+A word is a run of bytes other than space and 0x09 to 0x0D, with A-Z lower-cased unless ``SAME`` is asked for. Its hash is a polynomial over its bytes
 modulo 2^64, read off a running sum, then mixed with its length. Two different words agree with probability about 2^-64.
 """
 
@@ -21,6 +21,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+SAME = np.arange(256, dtype=np.uint8)
 
 
 def powers(of: int, n: int) -> np.ndarray:
@@ -65,9 +66,9 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def words_of(column: pa.Array) -> Words:
+def words_of(column: pa.Array, letters: np.ndarray = LOWER) -> Words:
     raw, offsets = flat_bytes(column)
-    data = LOWER[raw]
+    data = letters[raw]
     solid = ~SPACE[data]
     n = len(data)
     begin, end = solid.copy(), solid.copy()

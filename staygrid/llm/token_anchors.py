@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -30,7 +31,7 @@ from staygrid.llm.shared import document_columns, pieces, record_batch, settle
 from staygrid.llm.words import BASE, INVERSE, mix, powers
 
 SLICE = 1 << 20  # pairs in one broadcast slice, 17 bytes each
-MEMO_BYTES = 96 << 20  # of remembered windows in a worker
+MEMO_BYTES = 128 << 20  # of remembered windows in a worker
 LONG_WINDOW = 64  # tokens; longer windows seldom come again
 HELD = 1 << 21  # pairs whose counts a counting task holds
 ALIGNED = pa.schema([
@@ -83,125 +84,171 @@ class Pieces:
 
 
 class Side:
-    """One tokenizer with what alignment needs of each id: bytes, length, whether it begins with a space, decimal text."""
+    """One tokenizer with what alignment needs of each id: bytes, length, whether it begins with a space, decimal digits."""
 
     def __init__(self, tokenizer):
         self.encode, self.bytes = tokenizer.encode, tokenizer.bytes
         self.length = np.array([len(b) for b in self.bytes], np.int64)
         self.spaced = np.array([b[:1] == b" " for b in self.bytes], bool)
-        self.decimal = [str(i) for i in range(len(self.bytes))]
         self.size = len(self.bytes)
+        names = [str(i).encode() for i in range(self.size)]
+        self.digits = np.array([len(n) for n in names], np.int64)
+        self.decimal = np.array([list(n.ljust(self.digits.max())) for n in names], np.uint8)
+
+
+def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of ranges that begin at ``low``, one range after the other."""
+    return np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+
+
+@dataclass
+class Windows:
+    """Aligned windows, end to end: each one's ``text`` (its groups, every one closed by ``;``), groups, links and linked pairs."""
+
+    text: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray  # how often each of ``pairs`` is linked
+    n_text: np.ndarray  # sizes of the parts that belong to each window
+    n_pairs: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+
+    @classmethod
+    def none(cls) -> "Windows":
+        return cls(np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 6)
+
+    def __add__(self, other: "Windows") -> "Windows":
+        return Windows(*[np.concatenate([a, b]) for a, b in zip(vars(self).values(), vars(other).values())])
+
+    def first(self, n: int) -> "Windows":
+        t, p = int(self.n_text[:n].sum()), int(self.n_pairs[:n].sum())
+        return Windows(self.text[:t], self.pairs[:p], self.times[:p], self.n_text[:n], self.n_pairs[:n], self.n_groups[:n], self.n_links[:n])
+
+    def nbytes(self) -> int:
+        return sum(a.nbytes for a in vars(self).values())
 
 
 class Aligner:
-    """Both tokenizers and the windows seen so far."""
+    """Both tokenizers and the windows seen so far: ``memo`` maps a window's id tuples to its number in ``known``."""
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
-        self.memo: dict[tuple, tuple] = {}
-        self.memo_bytes = 0
-
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-        """Tokens of a window between shared ends."""
-        if len(a) == 1 or len(b) == 1:
-            return [(a, b)]
-        out, i, j, i0, j0 = [], 0, 0, 0, 0
-        la, lb = self.a.bytes, self.b.bytes
-        end_a, end_b = len(la[a[0]]), len(lb[b[0]])
-        while True:
-            if end_a < end_b:
-                i += 1
-                end_a += len(la[a[i]])
-            elif end_b < end_a:
-                j += 1
-                end_b += len(lb[b[j]])
-            else:
-                i, j = i + 1, j + 1
-                out.append((a[i0:i], b[j0:j]))
-                if i == len(a):
-                    return out
-                i0, j0 = i, j
-                end_a += len(la[a[i]])
-                end_b += len(lb[b[j]])
-
-    def window(self, a: list[int], b: list[int]) -> tuple[str, int, int, bytes, bytes]:
-        """A window's groups as text, their number, the number of links, and the linked pairs with how often each is linked."""
-        key = (tuple(a), tuple(b))
-        known = self.memo.get(key)
-        if known is not None:
-            return known
-        groups, size = self.groups(a, b), self.b.size
-        name_a, name_b = self.a.decimal, self.b.decimal
-        text = ";".join([",".join([name_a[x] for x in ga]) + "|" + ",".join([name_b[y] for y in gb]) for ga, gb in groups])
-        pairs: list[int] = []
-        times: list[int] = []
-        for ga, gb in groups:
-            if len(ga) * len(gb) <= LONG_WINDOW:
-                more = [x * size + y for x in ga for y in gb]
-                times += [1] * len(more)
-            else:  # equal ids of a long group are linked together
-                ca, cb = Counter(ga), Counter(gb)
-                more = [x * size + y for x in ca for y in cb]
-                times += [n * m for n in ca.values() for m in cb.values()]
-            pairs += more
-        found = text, len(groups), sum(times), np.array(pairs, np.int64).tobytes(), np.array(times, np.int64).tobytes()
-        if len(a) + len(b) <= LONG_WINDOW:
-            self.memo[key] = found
-            self.memo_bytes += 500 + 40 * (len(a) + len(b)) + len(text) + 16 * len(pairs)
-        return found
+        self.memo: dict[tuple[bytes, bytes], int] = {}
+        self.known = Windows.none()
+
+    def windows(self, ids_a: np.ndarray, ids_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> Windows:
+        """Align windows laid end to end, with ``size_a`` and ``size_b`` tokens each."""
+        end_a, end_b = np.cumsum(self.a.length[ids_a]), np.cumsum(self.b.length[ids_b])
+        shared = np.zeros(end_a[-1] + 1 if len(end_a) else 1, np.uint8)
+        shared[end_a] |= 1
+        shared[end_b] |= 2
+        last_a, last_b = np.flatnonzero(shared[end_a] == 3), np.flatnonzero(shared[end_b] == 3)  # last tokens of each group
+        n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        from_a, from_b = last_a + 1 - n_a, last_b + 1 - n_b
+        groups = np.arange(len(n_a))
+        # a group's tokens of the one, then those of the other
+        place_a = np.arange(len(ids_a)) + np.repeat(from_b, n_a)
+        place_b = np.arange(len(ids_b)) + np.repeat(last_a + 1, n_b)
+        digits = np.empty(len(ids_a) + len(ids_b), np.int64)
+        digits[place_a], digits[place_b] = self.a.digits[ids_a], self.b.digits[ids_b]
+        at = np.cumsum(digits + 1) - digits - 1
+        text = np.full(int(digits.sum()) + len(digits), ord(","), np.uint8)
+        for side, ids, place, last, mark in ((self.a, ids_a, place_a, last_a, "|"), (self.b, ids_b, place_b, last_b, ";")):
+            own, n = at[place], side.digits[ids]
+            for d in range(side.decimal.shape[1]):
+                some = n > d
+                text[own[some] + d] = side.decimal[ids[some], d]
+            text[own[last] + n[last]] = ord(mark)
+        window = np.searchsorted(np.cumsum(size_a), from_a, "right")  # of each group
+        token_window = np.searchsorted(np.cumsum(size_a + size_b), np.arange(len(digits)), "right")
+        links = n_a * n_b
+        small = links <= LONG_WINDOW
+        g = np.repeat(groups[small], links[small])
+        r = _ranges(np.zeros(small.sum(), np.int64), links[small])
+        pairs = ids_a[from_a[g] + r // n_b[g]] * self.b.size + ids_b[from_b[g] + r % n_b[g]]
+        times, owner = np.ones(len(pairs), np.int64), window[g]
+        more = [(pairs, times, owner)]
+        for k in np.flatnonzero(~small).tolist():  # equal ids of a long group are linked together
+            x, n = np.unique(ids_a[from_a[k] : from_a[k] + n_a[k]], return_counts=True)
+            y, m = np.unique(ids_b[from_b[k] : from_b[k] + n_b[k]], return_counts=True)
+            more.append(((x[:, None] * self.b.size + y).ravel(), (n[:, None] * m).ravel(), np.full(len(x) * len(y), window[k])))
+        if len(more) > 1:
+            pairs, times, owner = (np.concatenate(c) for c in zip(*more))
+            order = np.argsort(owner, kind="stable")
+            pairs, times, owner = pairs[order], times[order], owner[order]
+        count = len(size_a)
+        return Windows(
+            text, pairs, times, np.bincount(token_window, digits + 1, count).astype(np.int64), np.bincount(owner, minlength=count),
+            np.bincount(window, minlength=count), np.bincount(window, links, count).astype(np.int64))
+
+    def looked_up(self, ids: list[np.ndarray], first: list[np.ndarray], size: list[np.ndarray]) -> tuple[Windows, np.ndarray]:
+        """Windows with all that are asked for, and each one's number there; those not seen before are aligned now."""
+        if self.known.nbytes() + 300 * len(self.memo) > MEMO_BYTES:
+            self.memo, self.known = {}, Windows.none()
+        raw = [i.astype("<i4").tobytes() for i in ids]
+        bounds = [((4 * f).tolist(), (4 * (f + s)).tolist()) for f, s in zip(first, size)]
+        keys = [(raw[0][a:b], raw[1][c:d]) for a, b, c, d in zip(*bounds[0], *bounds[1])]
+        slot = np.array([self.memo.get(k, -1) for k in keys], np.int64)
+        new = np.flatnonzero(slot < 0)
+        if not len(new):
+            return self.known, slot
+        long_ = (size[0] + size[1])[new] > LONG_WINDOW
+        new = new[np.argsort(long_, kind="stable")]  # long windows come last and are not kept
+        kept = len(new) - int(long_.sum())
+        made = self.windows(*[i[_ranges(f[new], s[new])] for i, f, s in zip(ids, first, size)], size[0][new], size[1][new])
+        base = len(self.known.n_text)
+        slot[new] = base + np.arange(len(new))
+        every = self.known + made
+        self.known = every if kept == len(new) else every.first(base + kept)
+        self.memo.update((keys[k], base + i) for i, k in enumerate(new[:kept].tolist()))
+        return every, slot
 
     def align(self, texts: list[bytes]) -> list[tuple]:
         """For each text ``n_a, n_b, n_groups, n_links, groups, pairs, times``; zeros where the two do not cover the same bytes."""
-        if self.memo_bytes > MEMO_BYTES:
-            self.memo.clear()
-            self.memo_bytes = 0
-        out: list[tuple] = [(0, 0, 0, 0, "", b"", b"")] * len(texts)
+        out: list[tuple] = [(0, 0, 0, 0, b"", b"", b"")] * len(texts)
         at = [k for k, t in enumerate(texts) if t]
         decoded = [texts[k].decode("utf-8", "replace") for k in at]
         tokens = zip(at, self.a.encode(decoded), self.b.encode(decoded))
         whole = [(k, a, b) for k, a, b in tokens if b"".join(map(self.a.bytes.__getitem__, a)) == b"".join(map(self.b.bytes.__getitem__, b)) == b" " + texts[k]]
         if not whole:
             return out
-        list_a, list_b = [i for _, a, _ in whole for i in a], [i for _, _, b in whole for i in b]
-        ids_a, ids_b = np.array(list_a, np.int64), np.array(list_b, np.int64)
-        total = sum(len(texts[k]) + 1 for k, _, _ in whole)
+        ids = [np.fromiter(chain.from_iterable(w[side] for w in whole), np.int64) for side in (1, 2)]
         docs = np.cumsum([0] + [len(texts[k]) + 1 for k, _, _ in whole])
-        anchors = []
-        starts = []
-        for side, ids in ((self.a, ids_a), (self.b, ids_b)):
-            length = side.length[ids]
+        starts, anchors = [], []
+        for side, i in zip((self.a, self.b), ids):
+            length = side.length[i]
             start = np.cumsum(length) - length
-            anchor = np.zeros(total + 1, bool)
-            anchor[start[side.spaced[ids]]] = True
-            anchors.append(anchor)
+            anchor = np.zeros(docs[-1] + 1, bool)
+            anchor[start[side.spaced[i]]] = True
             starts.append(start)
+            anchors.append(anchor)
         anchor = anchors[0] & anchors[1]  # both begin a space-marked token here, so both end one
         anchor[docs] = True
-        first = [np.append(np.flatnonzero(anchor[s]), len(s)) for s in starts]
-        codes = np.zeros(len(first[0]) - 1, np.uint64)
-        for ids, f in zip((ids_a, ids_b), first):
-            sums = np.zeros(len(ids) + 1, np.uint64)
-            np.cumsum(mix(ids.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(ids)), out=sums[1:])
-            codes = mix(codes + (sums[f[1:]] - sums[f[:-1]]) * powers(INVERSE, len(ids))[f[:-1]] + np.diff(f).astype(np.uint64))
+        first = [np.flatnonzero(anchor[s]) for s in starts]
+        size = [np.diff(f, append=len(s)) for f, s in zip(first, starts)]
+        codes = np.zeros(len(first[0]), np.uint64)
+        for i, f, n in zip(ids, first, size):
+            sums = np.zeros(len(i) + 1, np.uint64)
+            np.cumsum(mix(i.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(i)), out=sums[1:])
+            codes = mix(codes + (sums[f + n] - sums[f]) * powers(INVERSE, len(i))[f] + n.astype(np.uint64))
         _, rep, which = np.unique(codes, return_index=True, return_inverse=True)
-        bounds = [f.tolist() for f in (first[0][rep], first[0][rep + 1], first[1][rep], first[1][rep + 1])]
-        found = [self.window(list_a[a0:a1], list_b[b0:b1]) for a0, a1, b0, b1 in zip(*bounds)]
-        names = [w[0] for w in found]
-        n_groups, n_links = np.array([w[1] for w in found])[which], np.array([w[2] for w in found])[which]
-        counts = np.array([len(w[3]) // 8 for w in found])
-        all_pairs, all_times = np.frombuffer(b"".join([w[3] for w in found]), np.int64), np.frombuffer(b"".join([w[4] for w in found]), np.int64)
-        cuts = np.searchsorted(starts[0][first[0][:-1]], docs).tolist()  # the first window of each document
+        known, slot = self.looked_up(ids, [f[rep] for f in first], [n[rep] for n in size])
+        slot = slot[which]  # of every window
+        cuts = np.searchsorted(starts[0][first[0]], docs)  # the first window of each document
         owner = np.repeat(np.arange(len(whole)), np.diff(cuts))
-        n = counts[which]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - (np.cumsum(counts) - counts)[which], n)
+        n = known.n_pairs[slot]
+        place = _ranges((np.cumsum(known.n_pairs) - known.n_pairs)[slot], n)
         space = self.a.size * self.b.size
-        keys, place = np.unique(np.repeat(owner, n) * space + all_pairs[at], return_inverse=True)
-        times = np.bincount(place, all_times[at], len(keys)).astype(np.int64)
+        keys, place_of = np.unique(np.repeat(owner, n) * space + known.pairs[place], return_inverse=True)
+        times = np.bincount(place_of, known.times[place], len(keys)).astype(np.int64)
         edges = np.searchsorted(keys, np.arange(len(whole) + 1) * space).tolist()
+        n = known.n_text[slot]
+        text = known.text[_ranges((np.cumsum(known.n_text) - known.n_text)[slot], n)].tobytes()
+        ends = np.append(0, np.cumsum(n))[cuts].tolist()
+        n_groups, n_links = (np.bincount(owner, c[slot], len(whole)).astype(np.int64).tolist() for c in (known.n_groups, known.n_links))
         for d, (k, a, b) in enumerate(whole):
-            w, e = slice(cuts[d], cuts[d + 1]), slice(edges[d], edges[d + 1])
-            out[k] = (len(a), len(b), int(n_groups[w].sum()), int(n_links[w].sum()), ";".join(map(names.__getitem__, which[w].tolist())),
-                      _packed(np.diff(keys[e] - d * space, prepend=0)), _packed(times[e]))
+            e = slice(edges[d], edges[d + 1])
+            out[k] = (len(a), len(b), n_groups[d], n_links[d], text[ends[d] : ends[d + 1] - 1], _packed(np.diff(keys[e] - d * space, prepend=0)), _packed(times[e]))
         return out
 
 
@@ -233,7 +280,9 @@ def _align(files: Broadcast, key: str):
         aligner, row = _tokenizers[key], TaskContext.get().partitionId() << 36
         for batch in pieces(batches, 1 << 20):
             found = aligner.align(batch.column(1).to_pylist())
-            yield record_batch(ALIGNED, np.arange(row, row + len(found)), batch.column(0), *zip(*found))
+            n_a, n_b, n_groups, n_links, groups, pairs, times = zip(*found)
+            text = pa.array(groups, pa.binary()).cast(pa.string())
+            yield record_batch(ALIGNED, np.arange(row, row + len(found)), batch.column(0), n_a, n_b, n_groups, n_links, text, pairs, times)
             row += len(found)
 
     return run

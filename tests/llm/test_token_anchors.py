@@ -78,7 +78,7 @@ def test_windows_are_remembered_and_bounded(monkeypatch):
     text = b"the strange house of the strange house"
     first = aligner.align([text])
     assert len(aligner.memo) == 4  # the, strange, house, of
-    monkeypatch.setattr(aligner, "groups", None)  # not needed again
+    monkeypatch.setattr(aligner, "windows", None)  # not needed again
     assert aligner.align([text, text]) == first * 2
     monkeypatch.undo()
     aligner.align([b"y" * 4_000])

@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
 from itertools import chain
 from pathlib import Path
@@ -101,42 +100,59 @@ def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
 
 
-@dataclass
 class Windows:
-    """Aligned windows, end to end: each one's ``text`` (its groups, every one closed by ``;``), groups, links and linked pairs."""
+    """Aligned windows, end to end, in arrays with room to grow.
 
-    text: np.ndarray
-    pairs: np.ndarray
-    times: np.ndarray  # how often each of ``pairs`` is linked
-    n_text: np.ndarray  # sizes of the parts that belong to each window
-    n_pairs: np.ndarray
-    n_groups: np.ndarray
-    n_links: np.ndarray
+    ``text`` holds the groups of each window, every group closed by ``;``, ``pairs`` its linked pairs, ``times`` how often each is
+    linked, ``ids_a`` and ``ids_b`` its tokens; ``n_...`` and ``size_...`` are the sizes of these parts, a number per window.
+    """
+
+    PARTS = {"text": "n_text", "pairs": "n_pairs", "times": "n_pairs", "ids_a": "size_a", "ids_b": "size_b"}
+    COUNTS = ("n_text", "n_pairs", "size_a", "size_b", "n_groups", "n_links")
+
+    def __init__(self):
+        self.room = {name: np.zeros(1 << 12, np.uint8 if name == "text" else np.int64) for name in (*self.PARTS, *self.COUNTS)}
+        self.used = dict.fromkeys(self.room, 0)
 
-    @classmethod
-    def none(cls) -> "Windows":
-        return cls(np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 6)
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.room[name][: self.used[name]]
 
-    def __add__(self, other: "Windows") -> "Windows":
-        return Windows(*[np.concatenate([a, b]) for a, b in zip(vars(self).values(), vars(other).values())])
+    def __len__(self) -> int:
+        return self.used["n_text"]
 
-    def first(self, n: int) -> "Windows":
-        t, p = int(self.n_text[:n].sum()), int(self.n_pairs[:n].sum())
-        return Windows(self.text[:t], self.pairs[:p], self.times[:p], self.n_text[:n], self.n_pairs[:n], self.n_groups[:n], self.n_links[:n])
+    def add(self, more: dict[str, np.ndarray]) -> None:
+        for name, values in more.items():
+            have, room = self.used[name], self.room[name]
+            if have + len(values) > len(room):
+                self.room[name] = np.concatenate([room[:have], np.zeros(max(have, len(values)), room.dtype)])
+            self.room[name][have : have + len(values)] = values
+            self.used[name] = have + len(values)
+
+    def cut(self, windows: int) -> None:
+        """Forget all windows after the first ones."""
+        for name, count in self.PARTS.items():
+            self.used[name] = int(self[count][:windows].sum())
+        self.used.update(dict.fromkeys(self.COUNTS, windows))
+
+    def begins(self, count: str) -> np.ndarray:
+        return np.cumsum(self[count]) - self[count]
 
     def nbytes(self) -> int:
-        return sum(a.nbytes for a in vars(self).values())
+        return sum(self[name].nbytes for name in self.room)
 
 
 class Aligner:
-    """Both tokenizers and the windows seen so far: ``memo`` maps a window's id tuples to its number in ``known``."""
+    """Both tokenizers and the windows seen so far: ``known``, found by a hash of their id tuples (sorted in ``codes``, with each one's
+    number in ``numbers``) and taken for the same only if the ids are."""
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
-        self.memo: dict[tuple[bytes, bytes], int] = {}
-        self.known = Windows.none()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.codes, self.numbers = Windows(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def windows(self, ids_a: np.ndarray, ids_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> Windows:
+    def windows(self, ids_a: np.ndarray, ids_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> dict[str, np.ndarray]:
         """Align windows laid end to end, with ``size_a`` and ``size_b`` tokens each."""
         end_a, end_b = np.cumsum(self.a.length[ids_a]), np.cumsum(self.b.length[ids_b])
         shared = np.zeros(end_a[-1] + 1 if len(end_a) else 1, np.uint8)
@@ -177,31 +193,41 @@ class Aligner:
             order = np.argsort(owner, kind="stable")
             pairs, times, owner = pairs[order], times[order], owner[order]
         count = len(size_a)
-        return Windows(
-            text, pairs, times, np.bincount(token_window, digits + 1, count).astype(np.int64), np.bincount(owner, minlength=count),
-            np.bincount(window, minlength=count), np.bincount(window, links, count).astype(np.int64))
-
-    def looked_up(self, ids: list[np.ndarray], first: list[np.ndarray], size: list[np.ndarray]) -> tuple[Windows, np.ndarray]:
-        """Windows with all that are asked for, and each one's number there; those not seen before are aligned now."""
-        if self.known.nbytes() + 300 * len(self.memo) > MEMO_BYTES:
-            self.memo, self.known = {}, Windows.none()
-        raw = [i.astype("<i4").tobytes() for i in ids]
-        bounds = [((4 * f).tolist(), (4 * (f + s)).tolist()) for f, s in zip(first, size)]
-        keys = [(raw[0][a:b], raw[1][c:d]) for a, b, c, d in zip(*bounds[0], *bounds[1])]
-        slot = np.array([self.memo.get(k, -1) for k in keys], np.int64)
-        new = np.flatnonzero(slot < 0)
-        if not len(new):
-            return self.known, slot
-        long_ = (size[0] + size[1])[new] > LONG_WINDOW
-        new = new[np.argsort(long_, kind="stable")]  # long windows come last and are not kept
-        kept = len(new) - int(long_.sum())
-        made = self.windows(*[i[_ranges(f[new], s[new])] for i, f, s in zip(ids, first, size)], size[0][new], size[1][new])
-        base = len(self.known.n_text)
-        slot[new] = base + np.arange(len(new))
-        every = self.known + made
-        self.known = every if kept == len(new) else every.first(base + kept)
-        self.memo.update((keys[k], base + i) for i, k in enumerate(new[:kept].tolist()))
-        return every, slot
+        return {
+            "text": text, "pairs": pairs, "times": times, "ids_a": ids_a, "ids_b": ids_b, "size_a": size_a, "size_b": size_b,
+            "n_text": np.bincount(token_window, digits + 1, count).astype(np.int64), "n_pairs": np.bincount(owner, minlength=count),
+            "n_groups": np.bincount(window, minlength=count), "n_links": np.bincount(window, links, count).astype(np.int64),
+        }
+
+    def looked_up(self, codes: np.ndarray, ids: list[np.ndarray], first: list[np.ndarray], size: list[np.ndarray]) -> np.ndarray:
+        """The numbers in ``known`` of distinct windows with sorted ``codes``; those not seen before are aligned now."""
+        if self.known.nbytes() + self.codes.nbytes * 2 > MEMO_BYTES:
+            self.forget()
+        known, at = self.known, np.searchsorted(self.codes, codes)
+        hit = np.zeros(len(codes), bool)
+        inside = at < len(self.codes)
+        hit[inside] = self.codes[at[inside]] == codes[inside]
+        slot = np.full(len(codes), -1)
+        slot[hit] = self.numbers[at[hit]]
+        for name, i, f, n in zip("ab", ids, first, size):
+            same = np.flatnonzero(hit)
+            hit[same] = known[f"size_{name}"][slot[same]] == n[same]
+            same = np.flatnonzero(hit)
+            other = known[f"ids_{name}"][_ranges(known.begins(f"size_{name}")[slot[same]], n[same])] != i[_ranges(f[same], n[same])]
+            hit[np.repeat(same, n[same])[other]] = False
+        new = np.flatnonzero(~hit)
+        if len(new):
+            free = (slot[new] < 0) & ((size[0] + size[1])[new] <= LONG_WINDOW)
+            new = np.concatenate([new[free], new[~free]])  # long windows, and any with another one's code, come last and are not kept
+            base, kept = len(known), int(free.sum())
+            known.add(self.windows(*[i[_ranges(f[new], n[new])] for i, f, n in zip(ids, first, size)], size[0][new], size[1][new]))
+            slot[new] = base + np.arange(len(new))
+            self.kept = base + kept
+            self.numbers = np.insert(self.numbers, at[new[:kept]], slot[new[:kept]])
+            self.codes = np.insert(self.codes, at[new[:kept]], codes[new[:kept]])
+        else:
+            self.kept = len(known)
+        return slot
 
     def align(self, texts: list[bytes]) -> list[tuple]:
         """For each text ``n_a, n_b, n_groups, n_links, groups, pairs, times``; zeros where the two do not cover the same bytes."""
@@ -231,21 +257,22 @@ class Aligner:
             sums = np.zeros(len(i) + 1, np.uint64)
             np.cumsum(mix(i.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(i)), out=sums[1:])
             codes = mix(codes + (sums[f + n] - sums[f]) * powers(INVERSE, len(i))[f] + n.astype(np.uint64))
-        _, rep, which = np.unique(codes, return_index=True, return_inverse=True)
-        known, slot = self.looked_up(ids, [f[rep] for f in first], [n[rep] for n in size])
-        slot = slot[which]  # of every window
+        codes, rep, which = np.unique(codes, return_index=True, return_inverse=True)
+        slot = self.looked_up(codes, ids, [f[rep] for f in first], [n[rep] for n in size])[which]  # of every window
+        known = self.known
         cuts = np.searchsorted(starts[0][first[0]], docs)  # the first window of each document
         owner = np.repeat(np.arange(len(whole)), np.diff(cuts))
-        n = known.n_pairs[slot]
-        place = _ranges((np.cumsum(known.n_pairs) - known.n_pairs)[slot], n)
+        n = known["n_pairs"][slot]
+        place = _ranges(known.begins("n_pairs")[slot], n)
         space = self.a.size * self.b.size
-        keys, place_of = np.unique(np.repeat(owner, n) * space + known.pairs[place], return_inverse=True)
-        times = np.bincount(place_of, known.times[place], len(keys)).astype(np.int64)
+        keys, place_of = np.unique(np.repeat(owner, n) * space + known["pairs"][place], return_inverse=True)
+        times = np.bincount(place_of, known["times"][place], len(keys)).astype(np.int64)
         edges = np.searchsorted(keys, np.arange(len(whole) + 1) * space).tolist()
-        n = known.n_text[slot]
-        text = known.text[_ranges((np.cumsum(known.n_text) - known.n_text)[slot], n)].tobytes()
+        n = known["n_text"][slot]
+        text = known["text"][_ranges(known.begins("n_text")[slot], n)].tobytes()
         ends = np.append(0, np.cumsum(n))[cuts].tolist()
-        n_groups, n_links = (np.bincount(owner, c[slot], len(whole)).astype(np.int64).tolist() for c in (known.n_groups, known.n_links))
+        n_groups, n_links = (np.bincount(owner, known[c][slot], len(whole)).astype(np.int64).tolist() for c in ("n_groups", "n_links"))
+        known.cut(self.kept)
         for d, (k, a, b) in enumerate(whole):
             e = slice(edges[d], edges[d + 1])
             out[k] = (len(a), len(b), n_groups[d], n_links[d], text[ends[d] : ends[d + 1] - 1], _packed(np.diff(keys[e] - d * space, prepend=0)), _packed(times[e]))
@@ -321,10 +348,8 @@ def _look_up(table: Broadcast):
             times, _ = _unpacked(batch.column(2))
             at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
             times = np.where(known[at] == pairs, times, 0)
-            n = batch.num_rows
-            sums = [np.zeros(n, np.int64) for _ in range(2)]
-            np.add.at(sums[0], row, times * top[at])
-            np.add.at(sums[1], row, times * counts[at])
+            # exact: the sums stay far below the 2^53 of the doubles that are added
+            sums = [np.bincount(row, w, batch.num_rows).astype(np.int64) for w in (times * top[at], times * counts[at])]
             yield record_batch(SUMS, batch.column(0), *sums)
 
     return run

@@ -290,3 +290,77 @@ def load_dictionary_forms(spark, sf):
     """A dictionary file with a rule spec of each form: arithmetic, unit, sequence, map, rate by weight, length of stay."""
     c = builtin().update(spec.load_dictionary(str(Path(__file__).parent / "demo_dictionary.json")))
     return r6(_loader(spark, sf, c).load(["hr", "glu", "resp", "dobu_rate", "avpu_text", "los_icu"]), "hr", "glu", "resp", "dobu_rate")
+
+
+# --- units, levels and intervals of the loader ------------------------------------
+
+# The unit column of the demo source: the concept's own unit in two spellings, another unit, none in two spellings, a foreign one.
+_GIVEN = "CASE seq % 6 WHEN 0 THEN '°C' WHEN 1 THEN 'Deg F' WHEN 2 THEN NULL WHEN 3 THEN 'n/a' WHEN 4 THEN 'C' ELSE 'widgets' END"
+_DEGREES = f"""(SELECT id, t, seq, {_GIVEN} AS u, CASE WHEN seq % 6 = 1 THEN (32 + value / 100) * 1.8 + 32 ELSE 32 + value / 100 END AS given,
+    32 + value / 100 AS v FROM ev WHERE item = 'click')"""
+
+
+def _measured(spark, sf, **kwargs):
+    """The demo source with a table of temperatures in several units and one of words."""
+    def read(name):
+        if name == "stays":
+            return _loader(spark, sf).layout.read(name)
+        e = table(spark, sf, "events").withColumn("seq", F.col("event_id"))
+        warm = F.col("value") / 100 + 32
+        given = F.when(F.col("seq") % 6 == 1, warm * 1.8 + 32).otherwise(warm)
+        word = F.concat(F.lit("level "), F.floor(F.col("value") / 100).cast("string"))
+        return e.select("user_id", "ts", "event_type", given.alias("valuenum"), F.expr(_GIVEN).alias("valueuom"), word.alias("word"))
+
+    item = Item("charted", ("click",), item="event_type", value="valuenum", time="ts", unit="valueuom")
+    c = _catalogue().add(Concept("temp", units=("C", "°C", "celsius"))).add_item("temp", "demo", item)
+    c = c.add(Concept("mood", kind="fct", levels=("level 0", "level 2", "level 3")))
+    c = c.add_item("mood", "demo", Item("charted", ("view",), item="event_type", value="word", time="ts"))
+    layout = SourceLayout("demo", "user_id", read, time="ts", item="event_type", stays="stays")
+    return Loader(spark, c, layout, **kwargs)
+
+
+def _warm(value, where="true"):
+    return f"SELECT id, t, round(v, 6) AS temp FROM (SELECT id, (t // 3600) * 3600 AS t, median({value}) AS v FROM {_DEGREES} WHERE {where} GROUP BY 1, 2) WHERE v BETWEEN 32 AND 42"
+
+
+@query(_warm("CASE WHEN seq % 6 = 1 THEN (given - 32) / 1.8 ELSE given END"), "ev")
+def load_mixed_units(spark, sf):
+    """Rows in Fahrenheit become Celsius, rows without a unit or in a foreign one stay as they are."""
+    return r6(_measured(spark, sf).load(["temp"]), "temp")
+
+
+@query(_warm("CASE WHEN seq % 6 = 1 THEN (given - 32) / 1.8 ELSE given END", "seq % 6 <> 5"), "ev")
+def load_strict_units(spark, sf):
+    return r6(_measured(spark, sf, units="strict").load(["temp"]), "temp")
+
+
+@query(_warm("given"), "ev")
+def load_ignoring_units(spark, sf):
+    return r6(_measured(spark, sf, units="ignore").load(["temp"]), "temp")
+
+
+@query(f"""SELECT 'temp' AS concept, u AS unit, CASE WHEN u IN ('°C', 'C') THEN 'own' WHEN u = 'Deg F' THEN 'converted' WHEN u = 'widgets' THEN 'foreign' ELSE 'bare' END AS found,
+    count(*) AS n FROM {_DEGREES} GROUP BY 2, 3""", "ev")
+def unit_report(spark, sf):
+    return _measured(spark, sf).unit_report(["temp"])
+
+
+@query("""SELECT id, t, 'level ' || CAST(k AS VARCHAR) AS mood FROM (SELECT id, (t // 3600) * 3600 AS t, arg_min(CAST(floor(value / 100) AS BIGINT), t) AS k FROM ev
+    WHERE item = 'view' AND floor(value / 100) IN (0, 2, 3) GROUP BY 1, 2)""", "ev")
+def load_with_levels(spark, sf):
+    return _measured(spark, sf).load(["mood"])
+
+
+@query("""SELECT 'mood' AS concept, 'level ' || CAST(k AS VARCHAR) AS value, k IN (0, 2, 3) AS known, count(*) AS n FROM (
+    SELECT CAST(floor(value / 100) AS BIGINT) AS k FROM ev WHERE item = 'view') GROUP BY k""", "ev")
+def level_report(spark, sf):
+    return _measured(spark, sf).level_report(["mood"])
+
+
+@query(f"""WITH c AS (SELECT id, t, v AS crea FROM (SELECT id, (t // 21600) * 21600 AS t, median(value * 0.05 + 0.3) AS v FROM ev WHERE item = 'signup' GROUP BY 1, 2) WHERE v BETWEEN 0 AND 15),
+    p AS (SELECT id, t, v AS plt FROM (SELECT id, (t // 3600) * 3600 AS t, median(value * 4.0 + 5) AS v FROM ev WHERE item = 'purchase' GROUP BY 1, 2) WHERE v >= 5 AND v <= 1200)
+    SELECT id, t, round(hr, 6) AS hr, round(crea, 6) AS crea, round(plt, 6) AS plt FROM {_agg('hr')} FULL JOIN c USING (id, t) FULL JOIN p USING (id, t)""", "ev")
+def load_own_intervals(spark, sf):
+    """One concept with six-hour bins of its own and one with minutes, which the hourly grid absorbs."""
+    c = _catalogue().add(Concept("crea", interval="06:00:00"), Concept("plt", interval="00:01:00", low=5, high=1200))
+    return r6(_loader(spark, sf, c).load(["hr", "crea", "plt"]), "hr", "crea", "plt")

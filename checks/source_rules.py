@@ -41,13 +41,9 @@ def rule_group_amount(spark, sf):
     return r6(apply_rule(rows, Roles(("id",), "t", group=("g",)), "grp_mount_to_rate", min_dur=600, extra_dur=60), "value")
 
 
-@query("""SELECT id, g, t, 'mL/h' AS unit, CASE WHEN n = 1 OR (pt IS NOT NULL AND t > pt) THEN CASE WHEN n > 1 THEN round((value - pv) / ((t - pt) / 3600.0), 6) END END AS value
-    FROM (SELECT id, seq % 2 AS g, t, value, count(*) OVER (PARTITION BY id, seq % 2) AS n, lag(value) OVER w AS pv, lag(t) OVER w AS pt
-    FROM ev WINDOW w AS (PARTITION BY id, seq % 2 ORDER BY t, seq)) WHERE n > 1 AND pt IS NOT NULL AND t > pt""", "ev")
+@query(u.AMOUNT_CHANGES, "ev")
 def rule_amount_changes(spark, sf):
-    rows = ev(spark, sf).selectExpr("id", "seq % 2 AS g", "t", "seq", "value", "'mL' AS unit")
-    out = apply_rule(rows, Roles(("id",), ["t", "seq"], group=("g",)), "grp_amount_to_rate", unit="mL/h")
-    return r6(out, "value").drop("seq").where("value IS NOT NULL")
+    return r6(apply_rule(u.amounts(spark, sf), Roles(("id",), ["t", "seq"], group=("g",)), "grp_amount_to_rate", unit="mL/h"), "value").drop("seq")
 
 
 @query("SELECT id, g, min(t) AS t, max(t) // 3600 - min(t) // 3600 AS value FROM (SELECT *, seq % 3 AS g FROM ev) GROUP BY 1, 2", "ev")

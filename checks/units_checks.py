@@ -139,13 +139,19 @@ def rate_from_amount(spark, sf):
     return r6(rates.rate_or_amount(rows, "rate", "unit", "dur", "amount", "auom"), "rate").select("seq", "rate", "unit")
 
 
-@query("""SELECT id, g, t, unit, round((value - pv) / ((t - pt) / 3600.0), 6) AS value FROM (SELECT id, seq % 2 AS g, t, 'mL/h' AS unit, value,
-    lag(value) OVER w AS pv, lag(t) OVER w AS pt FROM ev WINDOW w AS (PARTITION BY id, seq % 2 ORDER BY t, seq))
-    WHERE pt IS NOT NULL AND t > pt""", "ev")
+# Times are floored to six hours and groups small, so that equal times and groups of one row occur: both have no rate.
+AMOUNT_CHANGES = """SELECT id, g, t, 'mL/h' AS unit, CASE WHEN n > 1 AND t > pt THEN round((value - pv) / ((t - pt) / 3600.0), 6) END AS value FROM (
+    SELECT id, g, t, value, lag(value) OVER w AS pv, lag(t) OVER w AS pt, count(*) OVER (PARTITION BY id, g) AS n, row_number() OVER w AS r
+    FROM (SELECT id, seq % 31 AS g, (t // 21600) * 21600 AS t, seq, value FROM ev) WINDOW w AS (PARTITION BY id, g ORDER BY t, seq)) WHERE r > 1 OR n = 1"""
+
+
+def amounts(spark, sf):
+    return ev(spark, sf).selectExpr("id", "seq % 31 AS g", "t - pmod(t, 21600) AS t", "seq", "value", "'mL' AS unit")
+
+
+@query(AMOUNT_CHANGES, "ev")
 def amount_changes_to_rates(spark, sf):
-    rows = ev(spark, sf).selectExpr("id", "seq % 2 AS g", "t", "seq", "value", "'mL' AS unit")
-    out = rates.amount_to_rate(rows, IDS, ["t", "seq"], ["g"], "value", "unit", "mL/h")
-    return r6(out, "value").drop("seq").where("value IS NOT NULL")
+    return r6(rates.amount_to_rate(amounts(spark, sf), IDS, ["t", "seq"], ["g"], "value", "unit", "mL/h"), "value").drop("seq")
 
 
 @query("""SELECT id, g, t, dur, unit, round(a / (dur / 3600.0), 6) AS value FROM (SELECT id, seq % 3 AS g, min(t) AS t,

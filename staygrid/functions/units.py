@@ -160,6 +160,52 @@ def convert_units(df: DataFrame, value: str, unit: str, target: str, substance:
     )
 
 
+# The substance of a concept, where a unit pair means different factors for different substances.
+SUBSTANCES = {
+    "glu": "glucose", "crea": "creatinine", "lact": "lactate", "bili": "bilirubin", "bili_dir": "bilirubin", "bun": "bun", "ca": "calcium",
+    "mg": "magnesium", "phos": "phosphate", "plt": "platelet", "fio2": "fio2",
+}
+# Rules of the table without a substance that hold for one substance only.
+_MOLAR = {frozenset(("mmol/l", "mg/dl")): "glucose", frozenset(("mg/dl", "umol/l")): "creatinine"}
+# What stands for "no unit" in a unit column.
+UNITLESS = ("", "none", "geen", "null", "na", "n/a", "-")
+
+
+def unit_key(unit: str) -> str:
+    """A spelling without case, blanks and punctuation other than the percent and degree signs; both micro signs are u."""
+    return "".join(c for c in unit.lower().replace("µ", "u").replace("μ", "u") if c.isascii() and c.isalnum() or c in "%°")
+
+
+def unit_key_column(unit: str | Column) -> Column:
+    return F.regexp_replace(F.translate(F.lower(as_column(unit)), "µμ", "uu"), "[^a-z0-9%°]", "")
+
+
+def unit_graph(units: list[str], concept: str | None = None) -> dict[str, tuple[float, float]]:
+    """``unit_key`` of every spelling that leads to ``units[0]``, with factor and offset.
+
+    Paths over the conversion table may have several steps (ng to mg to g). Molar steps are taken for the concept's substance only.
+    The further ``units`` are other names of the first.
+    """
+    substance = SUBSTANCES.get(concept or "")
+    steps: dict[str, list[tuple[str, float, float]]] = {}
+    own = {(a, b) for a, b, s, _, _ in conversion_rows() if s is not None and s == substance}
+    for a, b, s, f, o in conversion_rows():
+        general = s is None and (a, b) not in own and _MOLAR.get(frozenset((a, b)), substance) == substance
+        if general or (s is not None and s == substance):
+            steps.setdefault(b, []).append((a, f, o))
+    found = {normal_unit(units[0]): (1.0, 0.0)}
+    todo = list(found)
+    while todo:
+        unit = todo.pop(0)
+        factor, offset = found[unit]
+        for a, f, o in steps.get(unit, ()):
+            if a not in found:
+                found[a] = (f * factor, o * factor + offset)
+                todo.append(a)
+    spelled = {unit_key(name): rule for unit, rule in reversed(found.items()) for name in [*ALIASES.get(unit, ()), unit]}
+    return {**spelled, **{unit_key(u): (1.0, 0.0) for u in units}}
+
+
 def convert_where(
     df: DataFrame, value: str, unit: str, change, new_unit: str, pattern: str | None = None, ignore_case: bool = True
 ) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from staygrid.functions.times import floor_to
+from staygrid.operators.slices import SLICE, crowded, of_crowded, value_slice
+
+FINE = 1 << 16  # value slices in an octave, where a group is spread over the cluster
 
-# The exact median keeps a value -> count map per group, so its state is bounded
-# by the distinct values of a group, not by its rows.
 AGGREGATES = {
     "mean": F.avg,
     "median": F.median,
@@ -91,7 +94,7 @@ def wide_grid(df: DataFrame, ids: list[str], time: str, values: list[str], step:
         return df.groupBy(*ids, slot).agg(*[aggregator(how, c, [time]).alias(c) for c in values])
     keys = [*ids, time]
     long = df.select(*ids, slot, *[F.col(c).cast("double").alias(c) for c in values]).unpivot(keys, values, "_name", "_value")
-    medians = by_counts(long, [*keys, "_name"], "_value", {"_median": "median"}, keep_empty=True)
+    medians = by_counts(long, [*keys, "_name"], "_value", {"_median": "median"}, keep_empty=True, base=df)
     return medians.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == c, F.col("_median"))).alias(c) for c in values])
 
 
@@ -101,36 +104,81 @@ BY_COUNTS = {"median", "min", "max", "sum", "mean", "count"}
 
 def by_counts(
     df: DataFrame, keys: list[str | Column], value: str, outs: dict[str, str], keep_empty: bool = False,
-    weight: Column | None = None, least: list[str] | None = None,
+    weight: Column | None = None, least: list[str] | None = None, rows: int | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
-    """Grouped aggregates including exact medians, without gathering raw rows.
+    """Grouped aggregates including exact medians.
 
-    Rows are first counted per distinct value, on the map side and spread by
-    value, so a group that holds much of the table is not sent to one task. The
-    median then comes from a running sum of the counts, which can spill.
     ``outs`` maps an output to one of ``BY_COUNTS``; groups without a value are
-    dropped unless ``keep_empty``. A row counts ``weight`` times. Of the columns
-    ``least`` the smallest value of a group is kept.
+    dropped unless ``keep_empty``. A row counts ``weight`` (a whole number) times.
+    Of the columns ``least`` the smallest value of a group is kept.
+
+    The values of a group are gathered for its median: at most ``ROWS`` values,
+    because first keys that have more rows than that take another way. There the
+    distinct values are counted over the whole cluster, the counts of value
+    slices run on in each group, and only the slice or two that hold its middle
+    are opened. First keys are counted in ``base``, a table of no fewer rows for
+    each group, where that is cheaper than ``df``.
     """
-    known = df if keep_empty else df.where(F.col(value).isNotNull())
     least = least or []
-    times = F.count(value) if weight is None else F.sum(F.when(F.col(value).isNotNull(), weight))
-    counts = known.groupBy(*keys, value).agg(times.alias("_n"), *[F.min(c).alias(c) for c in least])
-    keys = counts.columns[: len(keys)]
+    frame = df.select(*keys, value, *([weight.alias("_w")] if weight is not None else []), *least)
+    if not keep_empty:
+        frame = frame.where(F.col(value).isNotNull())
+    keys = frame.columns[: len(keys)]
+    names = [*keys, *outs, *least]
+    v, w = F.col(value), F.when(F.col(value).isNotNull(), F.col("_w") if weight is not None else F.lit(1))
+    aggs = {
+        "min": F.min(v), "max": F.max(v), "sum": F.sum(v if weight is None else v * w), "count": F.sum(w) if weight is not None else F.count(v),
+        "mean": F.avg(v) if weight is None else F.try_divide(F.sum(v * w), F.sum(w)),
+        "median": F.sort_array(F.collect_list(v)) if weight is None else F.percentile(v, F.lit(0.5), F.col("_w")),
+    }
+    direct = [*[aggs[how].alias(out) for out, how in outs.items()], *[F.min(c).alias(c) for c in least]]
+    if "median" not in outs.values():
+        return frame.groupBy(*keys).agg(*direct).select(*names)
+    many = crowded(frame if base is None else base, keys[:1], rows)
+    usual = of_crowded(frame, many, keys[:1], others=True).groupBy(*keys).agg(*direct)
+    if weight is None:
+        usual = usual.withColumns({out: _middle(out) for out, how in outs.items() if how == "median"})
+    usual = usual.select(*names)
+    return usual.unionByName(_spread(of_crowded(frame, many, keys[:1]), keys, value, w, outs, least).select(*[F.col(f.name).cast(f.dataType) for f in usual.schema]))
+
+
+def _middle(values: str) -> Column:
+    """The middle of a sorted array, the mean of two where it has an even number."""
+    n = F.size(values)
+    at = lambda place: F.get(values, F.floor(place).cast("int")).cast("double")
+    return (at((n - 1) / 2) + at(n / 2)) / 2
+
+
+def _spread(df: DataFrame, keys: list[str], value: str, weight: Column, outs: dict[str, str], least: list[str]) -> DataFrame:
+    """The same for groups of any size: no task sees more of a group than its value slices, or the values of one slice."""
     v, n = F.col(value), F.col("_n")
-    aggs = {"min": F.min(v), "max": F.max(v), "sum": F.sum(v * n), "count": F.sum(n), "mean": F.try_divide(F.sum(v * n), F.sum(n))}
-    if "median" in outs.values():
-        ordered = Window.partitionBy(*keys).orderBy(value)
-        counts = counts.select(
-            *counts.columns,
-            F.sum(n).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
-            F.sum(n).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_size"),
-        )
-        middle = (F.col("_size") - 1) / 2
-        low = F.min(F.when(F.col("_upto") > F.floor(middle), v))
-        high = F.min(F.when(F.col("_upto") > F.ceil(middle), v))
-        aggs["median"] = (low + high) / 2
-    return counts.groupBy(*keys).agg(*[aggs[how].alias(out) for out, how in outs.items()], *[F.min(c).alias(c) for c in least])
+    counts = df.groupBy(*keys, value).agg(F.coalesce(F.sum(weight), F.lit(0)).alias("_n"), *[F.min(c).alias(c) for c in least])
+    counts = counts.withColumn(SLICE, value_slice(value, FINE))
+    cells = counts.groupBy(*keys, SLICE).agg(
+        F.sum(n).alias("_n"), F.sum(v * n).alias("_sum"), F.min(v).alias("_min"), F.max(v).alias("_max"), *[F.min(c).alias(c) for c in least])
+    along = Window.partitionBy(*keys).orderBy(SLICE)
+    group = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    totals = {"_sum": F.sum("_sum"), "_min": F.min("_min"), "_max": F.max("_max"), **{c: F.min(c) for c in least}}
+    cells = cells.select(*keys, SLICE, (F.sum(n).over(along.rowsBetween(Window.unboundedPreceding, 0)) - n).alias("_before"), n, F.sum(n).over(group).alias("_size"),
+                         *[c.over(group).alias(name) for name, c in totals.items()])
+    at = (F.col("_size") - 1) / 2
+    holds = lambda before, size: ((before + size > F.floor(at)) & (before <= F.ceil(at))) | (F.col("_size") == 0)
+    middle = cells.where(holds(F.col("_before"), n)).drop("_n").withColumnsRenamed({c: f"_of_{c}" for c in [*keys, SLICE]})
+    opened = counts.drop(*least).join(middle, same([*keys, SLICE]))
+    inside = Window.partitionBy(*keys, SLICE).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    opened = opened.withColumn("_low", F.col("_before") + F.sum(n).over(inside) - n).where(holds(F.col("_low"), n))
+    one = lambda c: F.max(c)
+    aggs = {
+        "median": (F.min(v) + F.max(v)) / 2, "min": one("_min"), "max": one("_max"), "sum": F.when(one("_size") > 0, one("_sum")), "count": one("_size"),
+        "mean": F.try_divide(one("_sum"), one("_size")),
+    }
+    return opened.groupBy(*keys).agg(*[aggs[how].alias(out) for out, how in outs.items()], *[one(c).alias(c) for c in least]).select(*keys, *outs, *least)
+
+
+def same(keys: list[str]) -> Column:
+    """Equality of the keys and of their copies, whose names begin with ``_of_``; nulls are equal."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
 
 
 def one_unique(df: DataFrame, by: list[str], value: str) -> DataFrame:

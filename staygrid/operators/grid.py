@@ -137,7 +137,7 @@ def expand_intervals(
     weight = hi - lo + 1
     weighted = slots.withColumn("_points", weight).where("_points > 0")
     slot = F.col("_slot").alias(time[0])
-    middle = by_counts(weighted.drop(time[0]), [*ids, slot], value, {"_median": "median"}, True, F.col("_points"), [unit] if unit else None)
+    middle = by_counts(weighted.drop(time[0]), [*ids, slot], value, {"_median": "median"}, True, F.col("_points"), [unit] if unit else None, base=df)
     return middle.withColumnRenamed("_median", value)
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from staygrid.operators.asof import asof
-from staygrid.operators.slices import Acc, scan
-from staygrid.schema import DAY, HOUR
+from staygrid.operators.slices import Acc, crowded, scan
+from staygrid.schema import HOUR
 
 
 def merge_ranges(df: DataFrame, ids: list[str], start: str, end: str, max_gap: int = 0) -> DataFrame:
@@ -25,79 +25,104 @@ def inside(df: DataFrame, windows: DataFrame, ids: list[str], time: str, start:
     return hit.where(F.col(time) <= F.col("_until")).drop("_until")
 
 
-_CLOSED = {
-    (True, True): lambda t, lo, hi: (t >= lo) & (t <= hi),
-    (True, False): lambda t, lo, hi: (t >= lo) & (t < hi),
-    (False, True): lambda t, lo, hi: (t > lo) & (t <= hi),
-    (False, False): lambda t, lo, hi: (t > lo) & (t < hi),
-}
-
-# Partial state of each aggregate, and how the partials combine.
+# Running values each aggregate is read from.
 _PARTS = {
-    "sum": {"sum": F.sum}, "count": {"count": F.count}, "min": {"min": F.min}, "max": {"max": F.max},
-    "mean": {"sum": F.sum, "count": F.count},
-    "std": {"sum": F.sum, "count": F.count, "squares": lambda c: F.sum(F.col(c) * F.col(c))},
+    "sum": ("sum", "count"), "count": ("count",), "mean": ("sum", "count"), "std": ("sum", "count", "squares"), "min": (), "max": (),
 }
 
 
 def hop(
     df: DataFrame, windows: DataFrame, ids: list[str], time: str, start: str, end: str,
-    aggs: dict[str, tuple[str, str]], left_closed: bool = True, right_closed: bool = True, width: int = DAY,
+    aggs: dict[str, tuple[str, str]], left_closed: bool = True, right_closed: bool = True, rows: int | None = None,
 ) -> DataFrame:
     """Aggregates of the rows inside each window; windows without rows give none.
 
-    Time is cut into tiles. A window takes whole inner tiles from per-tile
-    partials and looks at rows only in its first and last tile, so a long window
-    over a dense series does not pair with every row. Repeated windows are
-    computed once.
+    No row meets a window. Rows and both ends of each window are laid into one
+    series; a running count and running sums are read at the ends, and their
+    differences are the count, sum, mean and deviation of the window. A least or
+    greatest value has no difference: ``_extremes`` finds it between the first and
+    the last row number of the window. Repeated windows are computed once.
     """
-    needed = {(part, c) for f, c in aggs.values() for part in _PARTS[f]} | {("rows", "")}
-    slot = {key: f"_p{i}" for i, key in enumerate(sorted(needed))}
-    tiled = df.withColumn("_tile", F.floor(F.col(time) / width))
-
-    def first_level(key: tuple[str, str]) -> Column:
+    used = sorted({c for _, c in aggs.values()})
+    parts = sorted({(part, c) for f, c in aggs.values() for part in _PARTS[f]})
+    slot = {key: f"_p{i}" for i, key in enumerate(parts)}
+    t = F.col(time)
+    spans = windows.where(F.col(start).isNotNull() & F.col(end).isNotNull()).groupBy(*ids, start, end).agg(F.count(F.lit(1)).alias("_copies"))
+    # at one time: starts of closed windows, ends of open ones, rows, starts of open windows, ends of closed ones
+    before, after = (F.lit(0) if left_closed else F.lit(2)), (F.lit(2) if right_closed else F.lit(0))
+    edges = F.explode(F.array(F.struct(F.col(start).alias("at"), before.alias("kind"), F.lit(False).alias("last")),
+                              F.struct(F.col(end).alias("at"), after.alias("kind"), F.lit(True).alias("last"))))
+    marks = spans.select(*ids, start, end, "_copies", edges.alias("_edge")).select(
+        *ids, F.col("_edge.at").alias(time), F.col("_edge.kind").alias("_kind"), F.col("_edge.last").alias("_last"), start, end, "_copies")
+    stacked = df.where(t.isNotNull()).select(*ids, time, F.lit(1).alias("_kind"), *used).unionByName(marks, allowMissingColumns=True)
+
+    def acc(key: tuple[str, str]) -> Acc:
         part, c = key
-        if part == "rows":
-            return F.count(F.lit(1))
-        if part == "squares":
-            return F.sum(F.col(c) * F.col(c))
-        return getattr(F, part)(c)
-
-    key_cols = [*ids, start, end]
-    spans = windows.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_copies"))
-    first, last = F.floor(F.col(start) / width), F.floor(F.col(end) / width)
-    edges = spans.withColumn("_tile", F.explode(F.array_distinct(F.array(first, last))))
-    inner = spans.where(last - first > 1).withColumn("_tile", F.explode(F.sequence(first + 1, last - 1)))
-    test = _CLOSED[(left_closed, right_closed)](F.col(time), F.col(start), F.col(end))
-
-    by_row = tiled.join(edges.drop("_copies"), [*ids, "_tile"]).where(test).groupBy(*key_cols).agg(
-        *[first_level(k).alias(n) for k, n in slot.items()]
-    )
-    tiles = tiled.groupBy(*ids, "_tile").agg(*[first_level(k).alias(n) for k, n in slot.items()])
-    by_tile = inner.drop("_copies").join(tiles, [*ids, "_tile"]).select(*key_cols, *slot.values())
-
-    def second_level(key: tuple[str, str]) -> Column:
-        part, name = key[0], slot[key]
-        return getattr(F, part)(name) if part in ("min", "max") else F.sum(name)
-
-    whole = by_row.unionByName(by_tile).groupBy(*key_cols).agg(
-        *[second_level(k).alias(n) for k, n in slot.items()]
-    ).where(F.col(slot[("rows", "")]) > 0)
-
-    def final(f: str, c: str) -> Column:
-        part = {p: F.col(slot[(p, c)]) for p in _PARTS[f]}
+        return Acc(slot[key], "sum", F.col(c) * F.col(c)) if part == "squares" else Acc(slot[key], part, F.col(c))
+
+    accs = [Acc("_row", "count", F.when(F.col("_last").isNull(), 1)), *[acc(k) for k in parts]]
+    read = scan(stacked, ids, [time, "_kind"], accs, rows=rows, many=crowded(df, ids, rows))
+    at = lambda c, last: F.coalesce(F.max(F.when(F.col("_last") == last, F.col(c))), F.lit(0))
+    found = read.where("_last IS NOT NULL").groupBy(*ids, start, end).agg(
+        F.max("_copies").alias("_copies"), at("_row", False).alias("_from"), at("_row", True).alias("_to"),
+        *[(at(n, True) - at(n, False)).alias(n) for n in slot.values()]).where("_to > _from")
+
+    lowest = {o: (f, c) for o, (f, c) in aggs.items() if f in ("min", "max")}
+    if lowest:
+        found = _extremes(read.where("_last IS NULL").select(*ids, "_row", *used), found, ids, lowest)
+
+    def final(out: str, f: str, c: str) -> Column:
+        if out in lowest:
+            return F.col(out)
+        n = F.col(slot[("count", c)])
+        if f == "count":
+            return n
+        total = F.col(slot[("sum", c)])
         if f == "mean":
-            return F.try_divide(part["sum"], part["count"])
+            return F.try_divide(total, n)
         if f == "std":
-            n = part["count"]
-            spread = part["squares"] - part["sum"] * part["sum"] / n
-            return F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1)))
-        return part[f]
-
-    result = whole.select(*key_cols, *[final(f, c).alias(o) for o, (f, c) in aggs.items()])
-    return result.join(spans, key_cols).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    ).drop("_copies", "_copy")
+            return F.when(n > 1, F.sqrt(F.greatest(F.col(slot[("squares", c)]) - total * total / n, F.lit(0.0)) / (n - 1)))
+        return F.when(n > 0, total)
+
+    copies = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
+    return found.select(*ids, start, end, *[final(o, f, c).alias(o) for o, (f, c) in aggs.items()], copies).drop("_copy")
+
+
+def _extremes(numbered: DataFrame, spans: DataFrame, ids: list[str], aggs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Least and greatest values of the rows ``_from + 1`` to ``_to`` of each span.
+
+    Row numbers are halved again and again. The coarsest halving that parts a
+    span's first row from its last cuts the span at one point: the rows on either
+    side of it give a running value outwards from that point, and the span reads
+    both. A row takes part in the halvings that occur, as near to the point as
+    spans reach: as many copies as the longest span has bits in its row count.
+    """
+    # numbers are doubled and a span's end odd, so that first and last differ in a span of one row too
+    spans = spans.withColumns({"_lo": 2 * (F.col("_from") + 1), "_hi": 2 * F.col("_to") + 1})
+    spans = spans.withColumn("_level", F.length(F.bin(F.col("_lo").bitwiseXOR(F.col("_hi")))) - 1)
+
+    def middle(at: Column, level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level + 1)
+        return (F.floor(at / size) * size + size / 2).cast("long")
+
+    spans = spans.withColumn("_middle", middle(F.col("_lo"), F.col("_level")))
+    far = spans.groupBy("_level").agg(F.max(F.greatest(F.col("_middle") - F.col("_lo"), F.col("_hi") - F.col("_middle"))).alias("_far"))
+    reaches = far.agg(F.collect_list(F.struct("_level", "_far"))).scalar()  # an entry per halving, fewer than 64
+    used = sorted({c for _, c in aggs.values()})
+    spread = numbered.select(*ids, (2 * F.col("_row")).alias("_at"), *used, F.explode(reaches).alias("_near"))
+    spread = spread.select(*ids, "_at", *used, F.col("_near._level").alias("_level"), F.col("_near._far").alias("_far"), middle(F.col("_at"), F.col("_near._level")).alias("_middle"))
+    off = F.abs(F.col("_at") - F.col("_middle"))
+    rows = spread.where(off <= F.col("_far")).select(*ids, "_level", "_middle", (F.col("_at") >= F.col("_middle")).alias("_after"), off.alias("_off"), *used)
+    kept = [c for c in spans.columns if c not in (*ids, "_lo", "_hi", "_level", "_middle")]
+    ends = spans.select(*ids, "_level", "_middle", F.struct(*kept).alias("_span"), F.explode(F.array(
+        F.struct(F.lit(False).alias("after"), (F.col("_middle") - F.col("_lo")).alias("off")),
+        F.struct(F.lit(True).alias("after"), (F.col("_hi") - F.col("_middle")).alias("off")))).alias("_end"))
+    ends = ends.select(*ids, "_level", "_middle", F.col("_end.after").alias("_after"), F.col("_end.off").alias("_off"), "_span")
+    outward = Window.partitionBy(*ids, "_level", "_middle", "_after").orderBy("_off").rangeBetween(Window.unboundedPreceding, 0)
+    read = rows.unionByName(ends, allowMissingColumns=True).select(
+        *ids, "_span", *[getattr(F, f)(c).over(outward).alias(o) for o, (f, c) in aggs.items()]).where("_span IS NOT NULL")
+    both = read.groupBy(*ids, "_span").agg(*[getattr(F, f)(o).alias(o) for o, (f, _) in aggs.items()])
+    return both.select(*ids, *[F.col(f"_span.{c}").alias(c) for c in kept], *aggs)
 
 
 def sustained_rate(

@@ -73,18 +73,18 @@ def slide_windows(df: DataFrame, ids: list[str], time: str, value: str, size: in
 
 # --- neighbours -----------------------------------------------------------------
 
-def previous(df: DataFrame, ids: list[str], order: str | list[str], columns: dict[str, str], slice_by: Column | None = None) -> DataFrame:
+def previous(df: DataFrame, ids: list[str], order: str | list[str], columns: dict[str, str], cell: Column | None = None) -> DataFrame:
     """Columns of the row before: ``columns`` maps output to input."""
-    return _neighbour(df, ids, order, columns, slice_by, reverse=False)
+    return _neighbour(df, ids, order, columns, cell, reverse=False)
 
 
-def following(df: DataFrame, ids: list[str], order: str | list[str], columns: dict[str, str], slice_by: Column | None = None) -> DataFrame:
-    return _neighbour(df, ids, order, columns, slice_by, reverse=True)
+def following(df: DataFrame, ids: list[str], order: str | list[str], columns: dict[str, str], cell: Column | None = None) -> DataFrame:
+    return _neighbour(df, ids, order, columns, cell, reverse=True)
 
 
-def _neighbour(df, ids, order, columns, slice_by, reverse):
+def _neighbour(df, ids, order, columns, cell, reverse):
     row = F.struct(*[F.col(c) for c in columns.values()])
-    found = scan(df, ids, order, [Acc("_near", "last", row)], slice_by, reverse=reverse, exclusive=True)
+    found = scan(df, ids, order, [Acc("_near", "last", row)], cell, reverse=reverse, exclusive=True)
     return found.select(
         *[c for c in df.columns if c not in columns],
         *[F.col(f"_near.{c}").alias(o) for o, c in columns.items()],

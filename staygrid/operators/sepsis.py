@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from staygrid.operators.asof import asof
+from staygrid.operators.intervals import hop
 from staygrid.operators.rolling import delta_cummin, delta_min, delta_start, slide
-from staygrid.operators.slices import framed
+from staygrid.operators.slices import framed, row_framed
 from staygrid.schema import DAY, HOUR
 
 _DELTAS = {"cummin": delta_cummin, "start": delta_start, "min": delta_min}
@@ -136,11 +137,23 @@ def sep3_sofa2(
     events = events.groupBy(*ids, F.col(time).alias("_si")).agg(F.lit(1).alias("_one")).drop("_one")
     if si_window in ("first", "last"):
         events = events.groupBy(*ids).agg((F.min if si_window == "first" else F.max)("_si").alias("_si"))
+    rows = sofa2.select(*ids, time, F.col(score).alias("_score"))
+    if si_window == "any" and delta in ("cummin", "min"):
+        # of the windows that cover a row the earliest reaches back furthest, so its rise is the greatest
+        ahead = rows.withColumn("_from", F.col(time) - si_upr)
+        near = asof(ahead, events.withColumnRenamed("_si", "_from"), ids, "_from", [], "forward", si_lwr + si_upr, "_si").where("_si IS NOT NULL")
+        opens = F.col("_si") - si_lwr
+        if delta == "min":
+            near = row_framed(near.drop("_from"), ids, time, 23, 0, {"_back": lambda w: F.min(time).over(w)})
+            opens = F.greatest(opens, F.col("_back"))
+        near = near.select(*ids, time, "_score", "_si", opens.alias("_open"))
+        spans = near.select(*ids, "_open", F.col(time).alias("_close")).distinct()
+        low = hop(rows, spans, ids, time, "_open", "_close", {"_low": ("min", "_score")}).withColumnRenamed("_close", time)
+        return _first_rise(near.join(low, [*ids, "_open", time]).withColumn("delta_sofa2", F.col("_score") - F.col("_low")), ids, time, threshold, keep_components)
     # rows meet the windows of their time tile; a group is one window of one series
     lo, hi = F.col("_si") - si_lwr, F.col("_si") + si_upr
     tiles = events.withColumn("_tile", F.explode(F.sequence(F.floor(lo / DAY), F.floor(hi / DAY))))
-    rows = sofa2.select(*ids, time, F.col(score).alias("_score")).withColumn("_tile", F.floor(F.col(time) / DAY))
-    near = rows.join(tiles, [*ids, "_tile"]).where(F.col(time).between(lo, hi))
+    near = rows.withColumn("_tile", F.floor(F.col(time) / DAY)).join(tiles, [*ids, "_tile"]).where(F.col(time).between(lo, hi))
     window = Window.partitionBy(*ids, "_si").orderBy(time)
     base = {
         "cummin": F.min("_score").over(window.rowsBetween(Window.unboundedPreceding, 0)),
@@ -148,7 +161,11 @@ def sep3_sofa2(
             window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         "min": F.min("_score").over(window.rowsBetween(-23, 0)),
     }[delta]
-    risen = near.withColumn("delta_sofa2", F.col("_score") - base).where(F.col("delta_sofa2") >= threshold)
+    return _first_rise(near.withColumn("delta_sofa2", F.col("_score") - base), ids, time, threshold, keep_components)
+
+
+def _first_rise(rises: DataFrame, ids: list[str], time: str, threshold: int, keep_components: bool) -> DataFrame:
+    risen = rises.where(F.col("delta_sofa2") >= threshold)
     first = risen.groupBy(*ids).agg(F.min_by(F.struct(time, "delta_sofa2"), F.struct(time, "_si")).alias("_hit"))
     kept = [F.col("_hit.delta_sofa2").alias("delta_sofa2")] if keep_components else []
     return first.select(*ids, F.col(f"_hit.{time}").alias(time), F.lit(True).alias("sep3_sofa2"), *kept)

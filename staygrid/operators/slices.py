@@ -1,12 +1,15 @@
 """Windows over long series without putting one series into one task.
 
-A single stay may hold a large share of all rows, so no operator sorts a whole
-series in one place. Each series is cut into slices (by time, value or row
-number) and the cluster works on (series, slice) groups:
+A single stay may hold a large share of all rows, so no operator sorts more of a
+series in one place than a task can hold. Long series are cut into slices and the
+cluster works on (series, slice) groups:
 
 * ``scan``     running aggregates over everything before a row: local running
                value inside the slice, plus a carry from the earlier slices of
-               the series, which is computed on one pre-aggregated row per slice.
+               the series. Series of up to ``ROWS`` rows are one slice. The few
+               that have more are counted per point of the series first, and cut
+               where a count is full, so their slices have equal numbers of rows
+               however the rows lie in time.
 * ``framed``   aggregates over a bounded range around a row: rows are copied
                into the neighbouring slices they can reach, and copies are
                dropped after the window.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -24,6 +28,9 @@ from staygrid.schema import DAY, as_column, names
 
 SLICE = "_slice"
 OWN = "_own"
+CELL = "_cell"
+ROWS = 1 << 22  # rows of one series that a task sorts
+PARTS = 1 << 10  # slices of one series, at most
 
 
 def time_slice(time: str | Column, width: int = DAY) -> Column:
@@ -87,43 +94,100 @@ def _combine(kind: str, carry: Column, local: Column) -> Column:
     raise ValueError(f"unknown kind: {kind}")
 
 
+def _matches(df: DataFrame, side: DataFrame, keys: list[str]) -> Column:
+    """Equality of the keys of ``df`` and of ``side``, whose first columns they are; nulls are equal."""
+    return reduce(lambda a, b: a & b, [df[k].eqNullSafe(side[s]) for k, s in zip(keys, side.columns)])
+
+
+def crowded(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """The groups with more than ``rows`` rows: their keys as ``_key0``, ``_key1``, ... and ``_limit``, the rows of one slice.
+
+    There is one such group for every ``rows`` rows of the table at most, which is what makes it a side to broadcast: some millions of
+    short rows for 10^13 rows.
+    """
+    rows = rows or ROWS
+    sizes = df.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows)
+    return sizes.withColumn("_limit", F.greatest(F.lit(rows), F.ceil(F.col("_rows") / PARTS))).drop("_rows")
+
+
+def of_crowded(df: DataFrame, many: DataFrame, keys: list[str], others: bool = False) -> DataFrame:
+    """The rows of the crowded groups, or of all ``others``."""
+    return df.join(F.broadcast(many), _matches(df, many, keys), "left_anti" if others else "left_semi")
+
+
+def _again(kind: str, name: str, position: str, reverse: bool) -> Column:
+    """Totals of cells as the total of a slice."""
+    if kind in ("last", "first"):
+        pick = F.max_by if (kind == "last") != reverse else F.min_by
+        return pick(name, F.when(F.col(name).isNotNull(), F.col(position)))
+    return getattr(F, "sum" if kind == "count" else kind)(name)
+
+
+def cuts(df: DataFrame, ids: list[str], order: list[str], accs: list[Acc], cell: Column, reverse: bool = False, rows: int | None = None,
+         many: DataFrame | None = None) -> DataFrame:
+    """Where crowded series are cut: a row for each of them, none for any other.
+
+    Its rows are counted per cell and the counts run on from cell to cell; a slice ends where the count is full, so only a single cell
+    can exceed it. ``_cuts`` has, for each slice, where it begins, its number and what the slices before it carry.
+    """
+    many, carried = crowded(df, ids, rows) if many is None else many, [f"_carry{i}" for i in range(len(accs))]
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    cells = df.join(F.broadcast(many), _matches(df, many, ids)).groupBy(*[df[c] for c in ids], cell.alias(CELL)).agg(
+        F.min(order[0]).alias("_from"), F.count(F.lit(1)).alias("_n"), F.max("_limit").alias("_limit"),
+        *[_total(a, position, reverse).alias(n) for a, n in zip(accs, carried)])
+    so_far = Window.partitionBy(*ids).orderBy(CELL).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = cells.withColumn(SLICE, F.floor((F.sum("_n").over(so_far) - F.col("_n")) / F.col("_limit")))
+    slices = numbered.groupBy(*ids, SLICE).agg(F.min("_from").alias("_from"), *[_again(a.kind, n, CELL, reverse).alias(n) for a, n in zip(accs, carried)])
+    along = Window.partitionBy(*ids).orderBy(F.col(SLICE).desc() if reverse else F.col(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(*ids, "_from", SLICE, *[_across(a.kind, n, along).alias(n) for a, n in zip(accs, carried)])
+    return slices.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("_from", SLICE, *carried))).alias("_cuts"))
+
+
+def with_slices(df: DataFrame, ids: list[str], point: str, cut: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """Rows with the number of their slice, 0 for series that are not cut, and what earlier slices carry."""
+    side = cut.withColumnsRenamed({c: f"_cut_{c}" for c in ids})
+    here = F.element_at(F.filter("_cuts", lambda c: c["_from"] <= F.col(point)), -1)
+    found = df.join(F.broadcast(side), _matches(df, side, ids), "left").select(*df.columns, here.alias("_here"))
+    return found.select(*df.columns, F.coalesce(f"_here.{SLICE}", F.lit(0)).alias(SLICE), *[F.col(f"_here.{n}").alias(n) for n in carried or []])
+
+
 def scan(
     df: DataFrame,
     ids: list[str],
     order: str | list[str],
     accs: list[Acc],
-    slice_by: Column | None = None,
+    cell: Column | None = None,
     reverse: bool = False,
     exclusive: bool = False,
+    rows: int | None = None,
+    many: DataFrame | None = None,
 ) -> DataFrame:
     """Running aggregates over all rows up to (or before) the current one.
 
-    ``slice_by`` must be monotone in the first order column. ``reverse`` scans
-    from the end; ``exclusive`` leaves the current row out. Adds one column per
-    accumulator and keeps every row and column.
+    ``reverse`` scans from the end; ``exclusive`` leaves the current row out.
+    Adds one column per accumulator and keeps every row and column. A series of
+    more than ``rows`` rows is cut into slices; ``cell``, a monotone expression of
+    the first order column (that column itself by default: seconds), says in which
+    steps it is counted before. ``many`` may name the ``crowded`` series where
+    they are cheaper to find in another table.
     """
     order = names(order)
-    keys = [*ids, SLICE]
-    cut = df.withColumn(SLICE, slice_by if slice_by is not None else time_slice(order[0]))
-    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    cell = cell if cell is not None else F.col(order[0])
+    carried = [f"_carry{i}" for i in range(len(accs))]
+    cut = with_slices(df, ids, order[0], cuts(df, ids, order, accs, cell, reverse, rows, many), carried)
 
     def sort(c: str) -> Column:
         return F.col(c).desc() if reverse else F.col(c).asc()
 
-    carried = [f"_carry{i}" for i in range(len(accs))]
-    totals = cut.groupBy(*keys).agg(*[_total(a, position, reverse).alias(n) for a, n in zip(accs, carried)])
-    before = Window.partitionBy(*ids).orderBy(sort(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, *[_across(a.kind, n, before).alias(n) for a, n in zip(accs, carried)])
-
     inside = (
-        Window.partitionBy(*keys)
+        Window.partitionBy(*ids, SLICE)
         .orderBy(*[sort(c) for c in order])
         .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     )
     found = [f"_local{i}" for i in range(len(accs))]
     local = cut.select("*", *[_over(a.kind, a.value, inside).alias(n) for a, n in zip(accs, found)])
     outs = {a.out for a in accs}
-    return local.join(carry, keys, "left").select(
+    return local.select(
         *[c for c in df.columns if c not in outs],
         *[_combine(a.kind, F.col(c), F.col(n)).alias(a.out) for a, c, n in zip(accs, carried, found)],
     )
@@ -222,9 +286,9 @@ def grid_framed(
     )
 
 
-def numbered(df: DataFrame, ids: list[str], order: str | list[str], out: str, slice_by: Column | None = None) -> DataFrame:
+def numbered(df: DataFrame, ids: list[str], order: str | list[str], out: str, cell: Column | None = None) -> DataFrame:
     """Row number within each series, from 1."""
-    return scan(df, ids, order, [Acc(out, "count", F.lit(1))], slice_by)
+    return scan(df, ids, order, [Acc(out, "count", F.lit(1))], cell)
 
 
 def row_framed(
@@ -234,9 +298,9 @@ def row_framed(
     before: int,
     after: int,
     exprs: dict[str, Callable[[WindowSpec], Column]],
-    slice_by: Column | None = None,
+    cell: Column | None = None,
     width: int = 4_096,
 ) -> DataFrame:
     """Window expressions over ``before`` rows back to ``after`` rows ahead."""
-    with_row = numbered(df, ids, order, "_row", slice_by)
+    with_row = numbered(df, ids, order, "_row", cell)
     return framed(with_row, ids, "_row", before, after, exprs, width=max(width, before + after + 1)).drop("_row")

@@ -178,7 +178,7 @@ def builtin() -> Catalogue:
             rule, _, inner = derived.partition("(")
             parts = tuple(p.strip() for p in inner.rstrip(")").split(",") if p.strip())
         concepts.append(Concept(
-            name, category=category, kind=kind, unit=_text(unit), low=_number(low), high=_number(high),
+            name, category=category, kind=kind, units=() if unit == "-" else (unit,), low=_number(low), high=_number(high),
             target=_text(target), aggregate=_text(aggregate), derived=rule, parts=parts,
         ))
     return Catalogue({c.name: c for c in concepts})

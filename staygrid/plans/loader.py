@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from staygrid.functions.times import floor_to, seconds_between
+from staygrid.functions.units import UNITLESS, unit_graph, unit_key_column
 from staygrid.operators import cohort, select
 from staygrid.operators.aggregate import BY_COUNTS, aggregator, by_counts
 from staygrid.operators.grid import expand_windows
@@ -53,13 +54,19 @@ class SourceLayout:
 
 @dataclass
 class Loader:
-    """Concept loading for one source."""
+    """Concept loading for one source.
+
+    ``units`` says what becomes of a row whose unit is not one of its concept's: ``convert`` (the default) converts what the unit
+    table can and keeps the rest as it is, ``strict`` drops the rest, ``ignore`` looks at no unit. Rows without a unit are kept.
+    ``unit_report`` and ``level_report`` count what was found.
+    """
 
     spark: SparkSession
     catalogue: Catalogue
     layout: SourceLayout
     interval: int = HOUR
     settle_grid: bool = True
+    units: str = "convert"
 
     ids = ["id"]
     time = "t"
@@ -214,33 +221,107 @@ class Loader:
         kept = [c for c in rows.columns if c not in {parts[p] for p in changed}]
         return copies.select(*kept, *[picked(p).alias(parts[p]) for p in parts if p in changed])
 
+    # --- units and levels --------------------------------------------------------
+
+    def _with_unit_rules(self, rows: DataFrame, concepts: list[Concept]) -> DataFrame:
+        """Each row with its unit's factor and offset to the concept's unit, null where the unit does not lead there, and whether the
+        concept's units are known at all.
+
+        The rules are one row per concept and spelling, whatever the data.
+        """
+        known = [c for c in concepts if c.units and c.kind not in TEXT_KINDS]
+        rules = [(c.name, key, *rule) for c in known for key, rule in unit_graph(list(c.units), c.name).items()]
+        table = self.spark.createDataFrame(rules, "_of string, _spelled string, _factor double, _offset double")
+        text = F.lower(F.trim(F.col("unit").cast("string")))
+        keyed = rows.withColumns({
+            "_unit": unit_key_column(text), "_bare": F.coalesce(text.isin(list(UNITLESS)), F.lit(True)), "_checked": F.col("concept").isin([c.name for c in known])})
+        return keyed.join(F.broadcast(table), (F.col("concept") == F.col("_of")) & (F.col("_unit") == F.col("_spelled")), "left")
+
+    def _harmonised(self, rows: DataFrame, concepts: list[Concept]) -> DataFrame:
+        """Values in the unit of their concept."""
+        if self.units == "ignore" or "unit" not in rows.columns or not any(c.units and c.kind not in TEXT_KINDS for c in concepts):
+            return rows
+        ruled = self._with_unit_rules(rows, concepts)
+        if self.units == "strict":
+            ruled = ruled.where(~F.col("_checked") | F.col("_bare") | F.col("_factor").isNotNull())
+        value = F.col("value")
+        number = value.try_cast("double") if rows.schema["value"].dataType.simpleString() == "string" else value.cast("double")
+        changed = F.when((F.col("_factor") != 1) | (F.col("_offset") != 0), number * F.col("_factor") + F.col("_offset"))
+        return ruled.withColumn("value", F.coalesce(changed.cast(rows.schema["value"].dataType), value)).select(*rows.columns)
+
+    def _in_levels(self, rows: DataFrame, concepts: list[Concept]) -> DataFrame:
+        """Rows of categorical concepts whose value is one of the concept's levels."""
+        wrong = [(F.col("concept") == c.name) & ~F.col("value").cast("string").isin([str(x) for x in c.levels]) for c in concepts if c.levels and c.kind in TEXT_KINDS]
+        return rows.where(~reduce(lambda a, b: a | b, wrong)) if wrong else rows
+
+    def _branches(self, names: list[str], wanted: DataFrame | None, text: bool) -> list[tuple[DataFrame, str | None]]:
+        """Rows of the concepts after their rules, one frame per table and kind of rule."""
+        by_table: dict[tuple, list[tuple[str, Item]]] = {}
+        for n in names:
+            for it in self._sources(self.catalogue[n]):
+                key = (it.table, it.id, it.time, it.value, it.unit, it.item, it.stop, it.dur)
+                by_table.setdefault(key, []).append((n, it))
+        return [b for (table, *_), items in by_table.items() for b in self._ruled(self._rows(table, items, wanted), items, wanted, text)]
+
+    def unit_report(self, names: list[str], wanted: DataFrame | None = None) -> DataFrame:
+        """Rows per concept and unit as given, with what becomes of them: ``own``, ``converted``, ``bare`` (no unit) or ``foreign``."""
+        concepts = [self.catalogue[n] for n in names]
+        parts = [df for df, _ in self._branches(names, wanted, False) if "unit" in df.columns]
+        if not parts:
+            return self.spark.createDataFrame([], "concept string, unit string, found string, n long")
+        rows = reduce(DataFrame.unionByName, [df.select("concept", F.col("unit").cast("string").alias("unit")) for df in parts])
+        found = (
+            F.when(F.col("_factor").isNotNull(), F.when((F.col("_factor") == 1) & (F.col("_offset") == 0), "own").otherwise("converted"))
+            .when(F.col("_bare"), "bare").otherwise("foreign")
+        )
+        return self._with_unit_rules(rows, concepts).where("_checked").groupBy("concept", "unit", found.alias("found")).agg(F.count(F.lit(1)).alias("n"))
+
+    def level_report(self, names: list[str], wanted: DataFrame | None = None) -> DataFrame:
+        """Rows per categorical concept and value, with whether the value is one of the concept's levels."""
+        concepts = [self.catalogue[n] for n in names if self.catalogue[n].levels]
+        levels = [(c.name, str(x)) for c in concepts for x in c.levels]
+        rows = [df.select("concept", F.col("value").cast("string").alias("value")) for df, _ in self._branches([c.name for c in concepts], wanted, True)]
+        if not rows:
+            return self.spark.createDataFrame([], "concept string, value string, known boolean, n long")
+        table = self.spark.createDataFrame(levels, "_of string, _level string")  # a row per level of the spec
+        counts = reduce(DataFrame.unionByName, rows).where("value IS NOT NULL").groupBy("concept", "value").agg(F.count(F.lit(1)).alias("n"))
+        hit = counts.join(F.broadcast(table), (F.col("concept") == F.col("_of")) & (F.col("value") == F.col("_level")), "left")
+        return hit.select("concept", "value", F.col("_of").isNotNull().alias("known"), "n")
+
+    # --- aggregation ---------------------------------------------------------------
+
+    def _slot(self, concepts: list[Concept], step: int) -> Column:
+        """The start of a row's half-open interval: the grid's, or the concept's own where that is longer."""
+        by_length: dict[int, list[str]] = {}
+        for c in concepts:
+            if (c.seconds or 0) > step:
+                by_length.setdefault(c.seconds, []).append(c.name)
+        out = floor_to("t", step)
+        for seconds, names in by_length.items():
+            out = F.when(F.col("concept").isin(names), floor_to("t", seconds)).otherwise(out)
+        return out
+
     def long(self, names: list[str], wanted: DataFrame | None = None, interval: int | None = None,
              aggregate: dict[str, str] | str | None = None, text: bool = False) -> DataFrame | None:
-        """(id, t, concept, value): aggregated per interval, then bounded."""
+        """(id, t, concept, value): in the concept's unit and levels, aggregated per interval, then bounded."""
         step = interval or self.interval
         concepts = [self.catalogue[n] for n in names]
-        by_table: dict[tuple, list[tuple[str, Item]]] = {}
-        for c in concepts:
-            for it in self._sources(c):
-                key = (it.table, it.id, it.time, it.value, it.unit, it.item, it.stop, it.dur)
-                by_table.setdefault(key, []).append((c.name, it))
         how = {c.name: self._how(c, aggregate) for c in concepts}
         parts = []
-        for (table, *_), items in by_table.items():
-            rows = self._rows(table, items, wanted)
-            for df, target in self._ruled(rows, items, wanted, text):
-                if "t" not in df.columns:
-                    df = df.withColumn("t", F.lit(None).cast("long"))
-                if target == "win_tbl":
-                    df = df.withColumn("dur", F.col("dur").cast("long"))
-                    df = expand_windows(df, ["id", "concept"], "t", "dur", "value", step)
-                value = F.col("value").cast("string") if text else F.col("value").try_cast("double")
-                parts.append(df.select("id", "t", "concept", value.alias("value")))
+        for df, target in self._branches(names, wanted, text):
+            df = self._in_levels(df, concepts) if text else self._harmonised(df, concepts)
+            if "t" not in df.columns:
+                df = df.withColumn("t", F.lit(None).cast("long"))
+            if target == "win_tbl":
+                df = df.withColumn("dur", F.col("dur").cast("long"))
+                df = expand_windows(df, ["id", "concept"], "t", "dur", "value", step)
+            value = F.col("value").cast("string") if text else F.col("value").try_cast("double")
+            parts.append(df.select("id", "t", "concept", value.alias("value")))
         if not parts:
             return None
         rows = reduce(DataFrame.unionByName, parts).where(F.col("value").isNotNull())
         used = sorted(set(how.values()))
-        keys = ["id", floor_to("t", step).alias("t"), "concept"]
+        keys = ["id", self._slot(concepts, step).alias("t"), "concept"]
         if not text and "median" in used and set(used) <= BY_COUNTS:
             aggs = by_counts(rows, keys, "value", {f"_{h}": h for h in used})
             aggs = aggs.withColumns({f"_{h}": F.col(f"_{h}").cast("double") for h in used})

@@ -53,7 +53,7 @@ class Item:
 
 # Dictionary keys and the fields they set.
 _FIELDS = {
-    "category": "category", "class": "kind", "class_name": "kind", "unit": "unit", "min": "low", "max": "high", "target": "target",
+    "category": "category", "class": "kind", "class_name": "kind", "unit": "units", "min": "low", "max": "high", "target": "target",
     "aggregate": "aggregate", "interval": "interval", "callback": "derived", "concepts": "parts", "levels": "levels",
     "description": "description", "omopid": "omop_id",
 }
@@ -66,7 +66,7 @@ class Concept:
     name: str
     category: str | None = None
     kind: str = "num"
-    unit: str | None = None
+    units: tuple[str, ...] = ()  # the unit of its values, then other names that mean the same
     low: float | None = None
     high: float | None = None
     target: str | None = None
@@ -74,7 +74,7 @@ class Concept:
     interval: str | None = None
     derived: str | None = None
     parts: tuple[str, ...] = ()
-    levels: tuple[str, ...] = ()
+    levels: tuple = ()
     description: str | None = None
     omop_id: int | None = None
     forward: str | None = None
@@ -87,7 +87,7 @@ class Concept:
         kind = str(entry.get("class") or entry.get("class_name") or "num").replace("_cncpt", "")
         aggregate = entry.get("aggregate")
         return cls(
-            name, category=entry.get("category"), kind=kind, unit=unit[0] if isinstance(unit, list) else unit,
+            name, category=entry.get("category"), kind=kind, units=tuple(unit if isinstance(unit, list) else [unit] if unit else ()),
             low=entry.get("min"), high=entry.get("max"), target=entry.get("target"),
             aggregate=aggregate if isinstance(aggregate, str) else None, interval=entry.get("interval"),
             derived=entry.get("callback"), parts=tuple([parts] if isinstance(parts, str) else parts),
@@ -105,6 +105,18 @@ class Concept:
         }
         return replace(self, **given, sources={**self.sources, **other.sources})
 
+    @property
+    def unit(self) -> str | None:
+        return self.units[0] if self.units else None
+
+    @property
+    def seconds(self) -> int | None:
+        """The concept's own interval, written ``HH:MM:SS``."""
+        if self.interval is None:
+            return None
+        hours, minutes, seconds = (int(x) for x in self.interval.split(":"))
+        return 3600 * hours + 60 * minutes + seconds
+
     @property
     def how(self) -> str:
         if self.aggregate:

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from staygrid.operators.slices import Acc, framed, grid_framed, row_framed, scan, time_slice, value_slice
+from staygrid.operators import slices
+from staygrid.operators.slices import SLICE, Acc, crowded, framed, grid_framed, of_crowded, row_framed, scan, time_slice, value_slice
 from tests.conftest import rows
 
 
@@ -40,16 +41,18 @@ KINDS = {
 
 @pytest.mark.parametrize("reverse", [False, True])
 @pytest.mark.parametrize("exclusive", [False, True])
-def test_scan(spark, skewed, reverse, exclusive):
+@pytest.mark.parametrize("cut", [7, 50, None])
+def test_scan(spark, skewed, reverse, exclusive, cut):
     df = spark.createDataFrame(skewed, "id long, t long, v double")
-    out = scan(df, ["id"], "t", [Acc(k, k, F.col("v")) for k in KINDS], time_slice("t", 7_000), reverse, exclusive)
+    out = scan(df, ["id"], "t", [Acc(k, k, F.col("v")) for k in KINDS], time_slice("t", 7_000), reverse, exclusive, cut)
     assert out.columns == ["id", "t", "v", *KINDS]
+    got = out.orderBy("id", "t").collect()
     for kind, f in KINDS.items():
         def pick(own, i):
             if reverse:
                 return f(list(reversed(own[i + exclusive:])))
             return f(own[: i + 1 - exclusive])
-        assert rows(out.select("id", "t", kind), "id", "t") == brute(skewed, pick), kind
+        assert [(r.id, r.t, r[kind]) for r in got] == brute(skewed, pick), kind
 
 
 def test_framed(spark, skewed):
@@ -83,6 +86,36 @@ def test_grid_framed(spark, back):
     assert rows(out.select("id", "t", "n"), "id", "t") == brute(data, lambda o, i: len(frame(o, i)))
 
 
+def slice_sizes(spark, n, cut):
+    """Rows of each slice when one stay has a third of ``n`` rows inside two days, a third of its rows in one minute."""
+    rng = random.Random(n)
+    crowd = [(1, 9_000 + rng.randrange(60) if k % 3 == 0 else rng.randrange(2 * 86_400)) for k in range(n // 3)]
+    data = crowd + [(2 + k % 200, rng.randrange(-86_400, 30 * 86_400)) for k in range(n - n // 3)]
+    df = spark.createDataFrame(data, "id long, t long").repartition(4)
+    found = scan(df, ["id"], "t", [Acc("n", "count", F.lit(1))], rows=cut)
+    cuts = slices.cuts(df, ["id"], ["t"], [Acc("n", "count", F.lit(1))], F.col("t"), rows=cut)
+    assert [r.id for r in cuts.collect()] == [1]
+    sizes = [r["count"] for r in slices.with_slices(df, ["id"], "t", cuts).groupBy("id", SLICE).count().collect()]
+    place = found.where("id = 1").select("t", "n").orderBy("n").collect()
+    assert [r.n for r in place] == list(range(1, n // 3 + 1)) and [r.t for r in place] == sorted(t for i, t in data if i == 1)
+    return sizes
+
+
+def test_slices_stay_small_when_rows_grow(spark):
+    """Ten times the rows: no slice has more than the limit and what one second adds."""
+    for n in (3_000, 30_000):
+        assert max(slice_sizes(spark, n, 200)) <= 200 + n // 9 / 60 * 2
+
+
+def test_crowded_groups(spark, monkeypatch):
+    df = spark.range(1_000).select((F.col("id") % 100).alias("a"), F.lit(None).cast("int").alias("b"))
+    assert crowded(df, ["a", "b"], 5).count() == 100 and crowded(df, ["a", "b"], 10).count() == 0
+    many = crowded(df, ["b"], 5)
+    assert of_crowded(df, many, ["b"]).count() == 1_000 and of_crowded(df, many, ["b"], others=True).count() == 0
+    monkeypatch.setattr(slices, "PARTS", 8)
+    assert many.first()._limit == 5 and crowded(df, ["b"], 5).first()._limit == 125
+
+
 def test_windows_are_keyed_by_slice(spark, skewed):
     df = spark.createDataFrame(skewed, "id long, t long, v double")
     plan = scan(df, ["id"], "t", [Acc("s", "sum", F.col("v"))])._jdf.queryExecution().optimizedPlan().toString()

@@ -40,7 +40,7 @@ class WordEncoder:
     """Token ids of a text, word by word.
 
     The tokenizer drops white space, lower-cases and never joins characters across it, so a text's ids are those of its words in
-    order; equal words are encoded once. A text with the start of a special token's name keeps its letter case.
+    order; equal words are encoded once. Words outside ASCII and texts with the start of a special token's name keep their case.
     """
 
     def __init__(self, path: str):
@@ -49,12 +49,20 @@ class WordEncoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
+    @staticmethod
+    def _words(text: bytes) -> list[bytes]:
+        """Words as they are remembered: lower-cased where that cannot change the ids. The tokenizer composes characters before it
+        lower-cases them, and a capital with a mark may compose where its small letter does not, or the other way round."""
+        if b"<|" in text:
+            return text.split()
+        return text.lower().split() if text.isascii() else [w.lower() if w.isascii() else w for w in text.split()]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        split = [self._words(t) for t in texts]
         new = list({w for words in split for w in words if w not in known})
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]

@@ -232,6 +232,17 @@ def held(doc_id, modulus, kept):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % modulus == kept
 
 
+def test_capitals_with_combining_marks():
+    """The tokenizer composes first: T, H, J, Y and W with a mark must not be lower-cased before."""
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(path), tier_packing.WordEncoder(path)
+    texts = ["T\u0308est H\u0331x J\u030ca Y\u030ao W\u030a", "PLAIN Words", "Straße ÄRGER É e\u0301 E\u0301", "t\u0308 T\u0308"]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert own.encode([t.encode() for t in texts]) == want and own.encode([t.encode() for t in reversed(texts)]) == want[::-1]
+
+
 def test_hmm_base_score(docs, rows):
     got = [r.asDict() for r in hmm.hmm_scores(docs, states=3, rounds=2).collect()]
     counts = Counter(w for r in rows if not held(r[0], 7, 2) for w in [*words(r[1]), None])

@@ -18,6 +18,7 @@ import struct
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,7 +28,11 @@ from staygrid.llm.shared import document_columns, pieces
 TIERS = (4096, 2048, 1024, 512, 256)
 POOL = 1 << 20  # tokens that are packed together
 STEP = 16  # longest windows in one step group
-CACHE = 300_000  # words whose ids a worker keeps
+CACHE = 192 << 20  # bytes of words and their ids that a worker keeps
+ENTRY = 160  # bytes of an entry besides its word and ids
+LONGEST = 64  # bytes of a word that is kept
+MARK = "<|startoftext|>"  # a special token, put between new words so that many are encoded in one call and told apart after it
+MARKED = 256  # words in such a call
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
     ("sequence_id", pa.int64()), ("offset", pa.int64()), ("window", pa.int32()), ("step_id", pa.int64()),
@@ -48,6 +53,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.mark, self.size = self.tokenizer.token_to_id(MARK), 0
 
     @staticmethod
     def _words(text: bytes) -> list[bytes]:
@@ -57,19 +63,36 @@ class WordEncoder:
             return text.split()
         return text.lower().split() if text.isascii() else [w.lower() if w.isascii() else w for w in text.split()]
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         known = self.known
-        if len(known) > CACHE:
+        if self.size > CACHE:
             known.clear()
+            self.size = 0
         split = [self._words(t) for t in texts]
         new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                ids = e.ids
+        plain = [] if self.mark is None else [w for w in new if b"<|" not in w]
+        for i in range(0, len(plain), MARKED):
+            some = plain[i : i + MARKED]
+            ids = np.array(self._ids([MARK.join([w.decode("utf-8", "replace") for w in some])])[0], "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.mark)).tolist()
+            raw = ids.tobytes()
+            known.update(zip(some, [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)])]))
+        rest = [w for w in new if w not in known]
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            for word, ids in zip(some, self._ids([w.decode("utf-8", "replace") for w in some])):
                 known[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for word in new:
+            if len(word) > LONGEST:
+                del known[word]
+            else:
+                self.size += ENTRY + len(word) + len(known[word])
+        return out
 
 
 def encoder(path: str) -> WordEncoder:

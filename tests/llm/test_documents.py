@@ -243,6 +243,15 @@ def test_capitals_with_combining_marks():
     assert own.encode([t.encode() for t in texts]) == want and own.encode([t.encode() for t in reversed(texts)]) == want[::-1]
 
 
+def test_remembered_words_are_bounded(monkeypatch):
+    own = tier_packing.WordEncoder(queries.tokenizer_file("word_bpe_49k.json"))
+    once = own.encode([b"w" * 1_000, b"short words " + b"z" * 65])
+    assert set(own.known) == {b"short", b"words"} and own.size == sum(tier_packing.ENTRY + len(w) + len(i) for w, i in own.known.items())
+    monkeypatch.setattr(tier_packing, "CACHE", 10)
+    assert own.encode([b"other"]) and set(own.known) == {b"other"}
+    assert own.encode([b"w" * 1_000, b"short words " + b"z" * 65]) == once
+
+
 def test_hmm_base_score(docs, rows):
     got = [r.asDict() for r in hmm.hmm_scores(docs, states=3, rounds=2).collect()]
     counts = Counter(w for r in rows if not held(r[0], 7, 2) for w in [*words(r[1]), None])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from staygrid.operators.asof import asof
 from staygrid.operators.slices import Acc, crowded, scan
@@ -29,6 +31,7 @@ def inside(df: DataFrame, windows: DataFrame, ids: list[str], time: str, start:
 _PARTS = {
     "sum": ("sum", "count"), "count": ("count",), "mean": ("sum", "count"), "std": ("sum", "count", "squares"), "min": (), "max": (),
 }
+BLOCK = 512  # rows in a block whose least and greatest values are known
 
 
 def hop(
@@ -37,11 +40,11 @@ def hop(
 ) -> DataFrame:
     """Aggregates of the rows inside each window; windows without rows give none.
 
-    No row meets a window. Rows and both ends of each window are laid into one
+    No row is paired with a window. Rows and both ends of each window are laid into one
     series; a running count and running sums are read at the ends, and their
     differences are the count, sum, mean and deviation of the window. A least or
-    greatest value has no difference: ``_extremes`` finds it between the first and
-    the last row number of the window. Repeated windows are computed once.
+    greatest value has no difference: ``_extremes`` finds it in blocks of rows, from
+    the first to the last row number of the window. Repeated windows are computed once.
     """
     used = sorted({c for _, c in aggs.values()})
     parts = sorted({(part, c) for f, c in aggs.values() for part in _PARTS[f]})
@@ -91,38 +94,40 @@ def hop(
 def _extremes(numbered: DataFrame, spans: DataFrame, ids: list[str], aggs: dict[str, tuple[str, str]]) -> DataFrame:
     """Least and greatest values of the rows ``_from + 1`` to ``_to`` of each span.
 
-    Row numbers are halved again and again. The coarsest halving that parts a
-    span's first row from its last cuts the span at one point: the rows on either
-    side of it give a running value outwards from that point, and the span reads
-    both. A row takes part in the halvings that occur, as near to the point as
-    spans reach: as many copies as the longest span has bits in its row count.
+    The rows of a series lie in blocks of ``BLOCK``, the blocks in larger blocks, and those in one array per series. A span asks for a
+    part of its first and last block, of the larger blocks that hold the whole blocks between, and of that array: five parts at most,
+    however many rows it covers.
     """
-    # numbers are doubled and a span's end odd, so that first and last differ in a span of one row too
-    spans = spans.withColumns({"_lo": 2 * (F.col("_from") + 1), "_hi": 2 * F.col("_to") + 1})
-    spans = spans.withColumn("_level", F.length(F.bin(F.col("_lo").bitwiseXOR(F.col("_hi")))) - 1)
-
-    def middle(at: Column, level: Column) -> Column:
-        size = F.pow(F.lit(2.0), level + 1)
-        return (F.floor(at / size) * size + size / 2).cast("long")
-
-    spans = spans.withColumn("_middle", middle(F.col("_lo"), F.col("_level")))
-    far = spans.groupBy("_level").agg(F.max(F.greatest(F.col("_middle") - F.col("_lo"), F.col("_hi") - F.col("_middle"))).alias("_far"))
-    reaches = far.agg(F.collect_list(F.struct("_level", "_far"))).scalar()  # an entry per halving, fewer than 64
-    used = sorted({c for _, c in aggs.values()})
-    spread = numbered.select(*ids, (2 * F.col("_row")).alias("_at"), *used, F.explode(reaches).alias("_near"))
-    spread = spread.select(*ids, "_at", *used, F.col("_near._level").alias("_level"), F.col("_near._far").alias("_far"), middle(F.col("_at"), F.col("_near._level")).alias("_middle"))
-    off = F.abs(F.col("_at") - F.col("_middle"))
-    rows = spread.where(off <= F.col("_far")).select(*ids, "_level", "_middle", (F.col("_at") >= F.col("_middle")).alias("_after"), off.alias("_off"), *used)
-    kept = [c for c in spans.columns if c not in (*ids, "_lo", "_hi", "_level", "_middle")]
-    ends = spans.select(*ids, "_level", "_middle", F.struct(*kept).alias("_span"), F.explode(F.array(
-        F.struct(F.lit(False).alias("after"), (F.col("_middle") - F.col("_lo")).alias("off")),
-        F.struct(F.lit(True).alias("after"), (F.col("_hi") - F.col("_middle")).alias("off")))).alias("_end"))
-    ends = ends.select(*ids, "_level", "_middle", F.col("_end.after").alias("_after"), F.col("_end.off").alias("_off"), "_span")
-    outward = Window.partitionBy(*ids, "_level", "_middle", "_after").orderBy("_off").rangeBetween(Window.unboundedPreceding, 0)
-    read = rows.unionByName(ends, allowMissingColumns=True).select(
-        *ids, "_span", *[getattr(F, f)(c).over(outward).alias(o) for o, (f, c) in aggs.items()]).where("_span IS NOT NULL")
-    both = read.groupBy(*ids, "_span").agg(*[getattr(F, f)(o).alias(o) for o, (f, _) in aggs.items()])
-    return both.select(*ids, *[F.col(f"_span.{c}").alias(c) for c in kept], *aggs)
+    outs = list(aggs)
+    items = numbered.select(*ids, (F.col("_row") - 1).alias("_at"), *[F.col(c).alias(o) for o, (_, c) in aggs.items()])
+    levels = []
+    for level in range(3):
+        node = F.expr(f"_at div {BLOCK}") if level < 2 else F.lit(0).cast("long")
+        blocks = items.groupBy(*ids, node.alias("_node")).agg(
+            F.array_sort(F.collect_list(F.struct("_at", *outs))).alias("_items"), *[getattr(F, f)(o).alias(o) for o, (f, _) in aggs.items()])
+        levels.append(blocks.select(*ids, F.lit(level).alias("_level"), "_node", "_items"))
+        items = blocks.select(*ids, F.col("_node").alias("_at"), *outs)
+    nodes = reduce(DataFrame.unionByName, levels)
+
+    def parts(level: int, first: Column, last: Column, some: Column) -> tuple[list[Column], Column, Column, Column]:
+        """What a range of items asks of a level, and the range of whole blocks that is left for the next."""
+        a, b = F.floor(first / BLOCK), F.floor(last / BLOCK)
+        ask = lambda node, at, n: F.struct(F.lit(level).alias("level"), node.cast("long").alias("node"), at.cast("int").alias("at"), n.cast("int").alias("n"))
+        left = F.when(some, ask(a, first - a * BLOCK + 1, F.when(a == b, last - first + 1).otherwise(BLOCK)))
+        right = F.when(some & (a != b), ask(b, F.lit(1), last - b * BLOCK + 1))
+        return [left, right], a + 1, b - 1, some & (b - a > 1)
+
+    asked, first, last, some = parts(0, F.col("_from"), F.col("_to") - 1, F.lit(True))
+    more, first, last, some = parts(1, first, last, some)
+    top = F.when(some, F.struct(F.lit(2).alias("level"), F.lit(0).cast("long").alias("node"), (first + 1).cast("int").alias("at"), (last - first + 1).cast("int").alias("n")))
+    kept = [c for c in spans.columns if c not in ids]
+    wanted = spans.select(*[F.col(c).alias(f"_of_{c}") for c in ids], F.struct(*kept).alias("_span"), F.explode(F.filter(F.array(*asked, *more, top), lambda r: r.isNotNull())).alias("_ask"))
+    met = wanted.join(nodes, reduce(lambda x, y: x & y, [F.col(f"_of_{c}").eqNullSafe(F.col(c)) for c in ids]) & (F.col("_ask.level") == F.col("_level")) & (F.col("_ask.node") == F.col("_node")))
+    part = F.slice("_items", F.col("_ask.at"), F.col("_ask.n"))
+    pick = {"min": F.array_min, "max": F.array_max}
+    found = met.select(*ids, "_span", *[pick[f](part[o]).alias(o) for o, (f, _) in aggs.items()])
+    both = found.groupBy(*ids, "_span").agg(*[getattr(F, f)(o).alias(o) for o, (f, _) in aggs.items()])
+    return both.select(*ids, *[F.col(f"_span.{c}").alias(c) for c in kept], *outs)
 
 
 def sustained_rate(

@@ -290,23 +290,27 @@ class Loader:
 
     # --- aggregation ---------------------------------------------------------------
 
-    def _slot(self, concepts: list[Concept], step: int) -> Column:
+    def _slot(self, concepts: list[Concept], step: int, fixed: list[str]) -> Column:
         """The start of a row's half-open interval: the grid's, or the concept's own where that is longer."""
         by_length: dict[int, list[str]] = {}
         for c in concepts:
-            if (c.seconds or 0) > step:
-                by_length.setdefault(c.seconds, []).append(c.name)
+            length = max(c.seconds or 0, self.interval if c.name in fixed else step)
+            if length != step:
+                by_length.setdefault(length, []).append(c.name)
         out = floor_to("t", step)
         for seconds, names in by_length.items():
             out = F.when(F.col("concept").isin(names), floor_to("t", seconds)).otherwise(out)
         return out
 
     def long(self, names: list[str], wanted: DataFrame | None = None, interval: int | None = None,
-             aggregate: dict[str, str] | str | None = None, text: bool = False) -> DataFrame | None:
-        """(id, t, concept, value): in the concept's unit and levels, aggregated per interval, then bounded."""
+             aggregate: dict[str, str] | str | None = None, text: bool = False, fixed: list[str] | None = None) -> DataFrame | None:
+        """(id, t, concept, value): in the concept's unit and levels, aggregated per interval, then bounded.
+
+        The ``fixed`` concepts keep the loader's interval and their own aggregate, whatever is asked for the others.
+        """
         step = interval or self.interval
         concepts = [self.catalogue[n] for n in names]
-        how = {c.name: self._how(c, aggregate) for c in concepts}
+        how = {c.name: c.how if c.name in (fixed or ()) else self._how(c, aggregate) for c in concepts}
         parts = []
         for df, target in self._branches(names, wanted, text):
             df = self._in_levels(df, concepts) if text else self._harmonised(df, concepts)
@@ -321,7 +325,7 @@ class Loader:
             return None
         rows = reduce(DataFrame.unionByName, parts).where(F.col("value").isNotNull())
         used = sorted(set(how.values()))
-        keys = ["id", self._slot(concepts, step).alias("t"), "concept"]
+        keys = ["id", self._slot(concepts, step, fixed or []).alias("t"), "concept"]
         if not text and "median" in used and set(used) <= BY_COUNTS:
             aggs = by_counts(rows, keys, "value", {f"_{h}": h for h in used})
             aggs = aggs.withColumns({f"_{h}": F.col(f"_{h}").cast("double") for h in used})
@@ -361,19 +365,28 @@ class Loader:
         days = F.timestamp_diff("SECOND", F.col(lay.intime), F.col(lay.outtime)) / 86_400.0
         return lay.read(lay.stays).select(F.col(lay.id).alias("id"), days.alias(name)).where(F.col(name) >= 0)
 
+    def _is_stay_length(self, name: str) -> bool:
+        return any(it.rule == {"rule": LENGTH_OF_STAY} for it in self._sources(self.catalogue[name]))
+
+    @staticmethod
+    def _first_values(long: DataFrame, names: list[str]) -> DataFrame:
+        """One row per id with the earliest value of each concept."""
+        def first(n: str) -> Column:
+            mine = F.col("concept") == n
+            return F.min_by(F.when(mine, F.col("value")), F.when(mine, F.struct(F.coalesce("t", F.lit(0)), "value"))).alias(n)
+
+        return long.groupBy("id").agg(*[first(n) for n in names])
+
     def static(self, names: list[str], wanted: DataFrame | None = None) -> dict[str, DataFrame]:
         """One row per id for each static concept."""
         out = {}
         for n in names:
             c = self.catalogue[n]
-            days = any(it.rule == {"rule": LENGTH_OF_STAY} for it in self._sources(c))
-            if days or not self._sources(c):
-                if (days or n.startswith("los_")) and self.layout.stays:
+            if self._is_stay_length(n) or not self._sources(c):
+                if (self._is_stay_length(n) or n.startswith("los_")) and self.layout.stays:
                     out[n] = self.length_of_stay(n)
                 continue
-            text = c.kind in TEXT_KINDS
-            rows = self.long([n], wanted, aggregate=None if text else c.aggregate, text=text)
-            out[n] = rows.groupBy("id").agg(F.min_by("value", F.struct(F.coalesce("t", F.lit(0)), "value")).alias(n))
+            out[n] = self._first_values(self.long([n], wanted, text=c.kind in TEXT_KINDS, fixed=[n]), [n]).where(F.col(n).isNotNull())
         return out
 
     # --- the wide plan -------------------------------------------------------------
@@ -396,12 +409,22 @@ class Loader:
         text = [n for n in items if n not in numeric]
         ctx = Context(self.ids, self.time, step, window, compat, options)
 
-        wide = self._pivot(self.long(numeric, wanted, step, aggregate), numeric)
-        if text:
-            labels = self._pivot(self.long(text, wanted, step, aggregate, text=True), text, "first")
-            wide = labels if wide is None else wide.join(labels, ["id", "t"], "full")
-        for n, df in self.static(static, wanted).items():
-            wide = df.withColumn("t", F.lit(None).cast("long")) if wide is None else wide.join(df, ["id"], "left")
+        # timed and static concepts of one kind come from one aggregation, so each table is read once for them
+        wide, first = None, []
+        for kind, timed in ((False, numeric), (True, text)):
+            fixed = [n for n in static if self._sources(self.catalogue[n]) and not self._is_stay_length(n) and (self.catalogue[n].kind in TEXT_KINDS) == kind]
+            long = self.long([*timed, *fixed], wanted, step, aggregate, text=kind, fixed=fixed)
+            if timed and long is not None:
+                grid = self._pivot(long, timed, "first" if kind else "max")
+                grid = grid.dropna("all", subset=timed) if fixed else grid
+                wide = grid if wide is None else wide.join(grid, ["id", "t"], "full")
+            if fixed and long is not None:
+                first.append(self._first_values(long, fixed).dropna("all", subset=fixed))
+        first += [df for n, df in self.static([n for n in static if not self._sources(self.catalogue[n]) or self._is_stay_length(n)], wanted).items()]
+        if wide is None and first:
+            wide = reduce(lambda a, b: a.join(b, ["id"], "full"), first).withColumn("t", F.lit(None).cast("long"))
+        else:
+            wide = reduce(lambda a, b: a.join(b, ["id"], "left"), first, wide)
         if wide is None:
             raise ValueError(f"{self.layout.name} has none of: {', '.join(names)}")
         return self._derive(wide, names, [n for n in needed if n not in items and n not in static], ctx, keep_components)

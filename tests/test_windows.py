@@ -94,12 +94,33 @@ def test_hop(spark, left, right, limit):
         assert g[:3] == w[:3] and all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for a, b in zip(g[3:], w[3:])), (g, w)
 
 
-def test_hop_joins_no_rows_with_windows(spark):
+@pytest.mark.parametrize("block", [2, 3])
+def test_extremes_over_blocks_of_blocks(spark, monkeypatch, block):
+    """Spans that lie in one block, in two, in larger blocks, and over all of them."""
+    monkeypatch.setattr(intervals, "BLOCK", block)
+    rng = random.Random(block)
+    values = [None if rng.random() < 0.1 else float(rng.randint(0, 99)) for _ in range(41)]
+    df = spark.createDataFrame([(7, t, v) for t, v in enumerate(values)], "id long, t long, v double")
+    windows = spark.createDataFrame([(7, a, b) for a in range(41) for b in range(a, 41)], "id long, s long, e long")
+    got = intervals.hop(df, windows, ["id"], "t", "s", "e", {"lo": ("min", "v"), "hi": ("max", "v")}).collect()
+    assert len(got) == 41 * 42 // 2
+    for r in got:
+        own = [v for v in values[r.s : r.e + 1] if v is not None]
+        assert (r.lo, r.hi) == (min(own, default=None), max(own, default=None)), r
+
+
+def test_hop_pairs_no_rows_with_windows(spark):
+    """The only join is that of windows with blocks of rows, and sums need none."""
     df, windows = spark.createDataFrame([(1, 0, 1.0)], "id long, t long, v double"), spark.createDataFrame([(1, 0, 5)], "id long, s long, e long")
-    out = intervals.hop(df, windows, ["id"], "t", "s", "e", {"lo": ("min", "v"), "total": ("sum", "v")})
-    assert out.collect()
-    ran = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert "Join" not in ran
+
+    def joins(aggs):
+        out = intervals.hop(df, windows, ["id"], "t", "s", "e", aggs)
+        assert out.collect()
+        ran = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        return [line for line in ran.splitlines() if "Join" in line]
+
+    assert joins({"total": ("sum", "v"), "sd": ("std", "v")}) == []
+    assert all("_node" in line for line in joins({"lo": ("min", "v")}))
 
 
 @pytest.mark.parametrize("delta", ["cummin", "min", "start"])

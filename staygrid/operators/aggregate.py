@@ -130,16 +130,15 @@ def by_counts(
     aggs = {
         "min": F.min(v), "max": F.max(v), "sum": F.sum(v if weight is None else v * w), "count": F.sum(w) if weight is not None else F.count(v),
         "mean": F.avg(v) if weight is None else F.try_divide(F.sum(v * w), F.sum(w)),
-        "median": F.sort_array(F.collect_list(v)) if weight is None else F.percentile(v, F.lit(0.5), F.col("_w")),
+        "median": F.sort_array(F.collect_list(v if weight is None else F.when(w > 0, F.struct(v.alias("v"), w.alias("w"))))),
     }
     direct = [*[aggs[how].alias(out) for out, how in outs.items()], *[F.min(c).alias(c) for c in least]]
     if "median" not in outs.values():
         return frame.groupBy(*keys).agg(*direct).select(*names)
     many = crowded(frame if base is None else base, keys[:1], rows)
     usual = of_crowded(frame, many, keys[:1], others=True).groupBy(*keys).agg(*direct)
-    if weight is None:
-        usual = usual.withColumns({out: _middle(out) for out, how in outs.items() if how == "median"})
-    usual = usual.select(*names)
+    middle = _middle if weight is None else _weighted_middle
+    usual = usual.withColumns({out: middle(out) for out, how in outs.items() if how == "median"}).select(*names)
     return usual.unionByName(_spread(of_crowded(frame, many, keys[:1]), keys, value, w, outs, least).select(*[F.col(f.name).cast(f.dataType) for f in usual.schema]))
 
 
@@ -150,6 +149,21 @@ def _middle(values: str) -> Column:
     return (at((n - 1) / 2) + at(n / 2)) / 2
 
 
+def _weighted_middle(items: str) -> Column:
+    """The same of values that count several times each: an array of structs of value and weight, sorted."""
+    total = F.aggregate(items, F.lit(0).cast("long"), lambda sum_, x: sum_ + x["w"])
+    at = (total - 1) / 2
+
+    def step(seen: Column, x: Column) -> Column:
+        upto, value = seen["upto"] + x["w"], x["v"].cast("double")
+        return F.struct(upto.alias("upto"), F.coalesce(seen["low"], F.when(upto > F.floor(at), value)).alias("low"),
+                        F.coalesce(seen["high"], F.when(upto > F.ceil(at), value)).alias("high"))
+
+    none = F.lit(None).cast("double")
+    found = F.aggregate(items, F.struct(F.lit(0).cast("long").alias("upto"), none.alias("low"), none.alias("high")), step, lambda seen: (seen["low"] + seen["high"]) / 2)
+    return F.when(F.size(items) == 1, F.get(F.col(items), F.lit(0))["v"].cast("double")).otherwise(found)
+
+
 def _spread(df: DataFrame, keys: list[str], value: str, weight: Column, outs: dict[str, str], least: list[str]) -> DataFrame:
     """The same for groups of any size: no task sees more of a group than its value slices, or the values of one slice."""
     v, n = F.col(value), F.col("_n")

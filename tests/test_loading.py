@@ -107,3 +107,16 @@ def test_windows_become_hourly_flags(spark):
     c = Catalogue({}).add(Concept("mech_vent", aggregate="max"), Concept("vent_ind", derived="vent_ind", parts=("vent_start", "vent_end", "mech_vent")))
     c = c.add_item("mech_vent", "x", Item("vent", dur="len", target="win_tbl", rule={"rule": "as_window"}))
     assert rows(Loader(spark, c, layout).load(["vent_ind"]), "id", "t") == [(1, 0, 1), (1, 3600, 1), (1, 7200, 1)]
+
+
+def test_degrees_convert_by_the_formula(spark):
+    """The way back subtracts and divides: a reciprocal lets 89.6 F pass a bound of 32 C that (89.6 - 32) / 1.8 misses."""
+    given = [32 + k / 100 for k in range(0, 1000, 7)]
+    given = [89.6] + [c * 1.8 + 32 for c in given]
+    chart = spark.createDataFrame([(1, 7, i * 3600, f, "Deg F") for i, f in enumerate(given)], "stay long, itemid int, sec long, valuenum double, uom string")
+    layout = SourceLayout("x", "stay", {"chart": chart}.__getitem__, time="sec", value="valuenum", unit="uom", time_unit=1)
+    c = Catalogue({}).add(Concept("temp", units=("C", "°C"), low=32, high=42)).add_item("temp", "x", Item("chart", (7,)))
+    want = [(i * 3600, (f - 32) / 1.8) for i, f in enumerate(given) if 32 <= (f - 32) / 1.8 <= 42]
+    for units in ("convert", "strict"):
+        assert rows(Loader(spark, c, layout, units=units).load(["temp"]).select("t", "temp"), "t") == want
+    assert want[0][0] > 0

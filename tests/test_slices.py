@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from staygrid.operators import slices
+from staygrid.operators import kidney, organ, slices
 from staygrid.operators.slices import SLICE, Acc, crowded, framed, grid_framed, of_crowded, row_framed, scan, time_slice, value_slice
 from tests.conftest import rows
 
@@ -129,3 +129,34 @@ def test_value_slice_is_monotone(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = [r[0] for r in df.orderBy("v").select(value_slice("v")).collect()]
     assert got == sorted(got)
+
+
+@pytest.mark.parametrize("back, width", [(1, 8), (3, 16), (24, 100), (24, 4_096)])
+def test_fill_framed(spark, back, width):
+    """The aggregates of the completed grid, over gaps longer and shorter than the frame and over borders of slices."""
+    rng = random.Random(back + width)
+    data = []
+    for id, start, n, share in ((1, -30, 400, 0.05), (2, 5, 1, 1), (3, 0, 60, 1), (4, 17, 300, 0.9), (None, -7, 300, 0.3), (6, 3, 9_000, 0.001)):
+        at = sorted({0, n - 1, *(k for k in range(n) if rng.random() < share)})
+        data += [(id, (start + k) * 3600 + 60, None if rng.random() < 0.2 else float(rng.randint(0, 9))) for k in at]
+    df = spark.createDataFrame(data, "id long, t long, v double")
+    accs = [Acc("lo", "min", F.col("v")), Acc("hi", "max", F.col("v")), Acc("s", "sum", F.col("v")), Acc("n", "count", F.lit(1))]
+    for end in (lambda lo, hi: hi, lambda lo, hi: hi - lo):
+        want = {}
+        for id in {r[0] for r in data}:
+            own = {t: v for i, t, v in data if i == id}
+            lo, hi = min(own), max(own)
+            for t in range(lo, end(lo, hi) + 1, 3600):
+                frame = [own.get(x) for x in range(max(lo, t - back * 3600), t + 1, 3600)]
+                there = [v for v in frame if v is not None]
+                want[id, t] = (min(there), max(there), sum(there), len(frame)) if there else (None, None, None, len(frame))
+        out = slices.fill_framed(df, ["id"], "t", 3600, back, accs, end(F.min("t"), F.max("t")), width).collect()
+        assert len(out) == len(want) and {(r.id, r.t): (r.lo, r.hi, r.s, r.n) for r in out} == want
+
+
+def test_grids_are_made_after_the_windows(spark):
+    """The hours of urine and scores are the last step: none of them is shuffled or sorted."""
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 720 * 3600, 2.0)], "id long, t long, sofa_resp double")
+    for out in (organ.sofa_score(df, ["id"], "t"), kidney.urine24(df, ["id"], "t", "sofa_resp")):
+        lines = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate " in x or "Window [" in x]
+        assert "Generate " in lines[0] and "Window [" in lines[1] and out.count() == 721

@@ -120,3 +120,16 @@ def test_degrees_convert_by_the_formula(spark):
     for units in ("convert", "strict"):
         assert rows(Loader(spark, c, layout, units=units).load(["temp"]).select("t", "temp"), "t") == want
     assert want[0][0] > 0
+
+
+def test_rows_are_not_sorted_for_their_stay(spark):
+    """The stays are hashed, and concepts become columns in one aggregation."""
+    chart = spark.createDataFrame([(1, 7, 7_300, 80.0), (1, 8, 7_400, 2.0), (2, 7, 3_700, 70.0)], "stay long, itemid int, sec long, valuenum double")
+    chart = chart.select("stay", "itemid", "valuenum", F.expr("timestampadd(SECOND, sec, TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("at"))
+    stays = spark.range(1, 3).select(F.col("id").alias("stay"), F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'").alias("intime"), F.expr("TIMESTAMP_NTZ'2024-01-02 00:00:00'").alias("outtime"))
+    layout = SourceLayout("x", "stay", {"chart": chart, "stays": stays}.__getitem__, time="at", value="valuenum", stays="stays")
+    c = Catalogue({}).add(Concept("hr"), Concept("crea")).add_item("hr", "x", Item("chart", (7,))).add_item("crea", "x", Item("chart", (8,)))
+    wide = Loader(spark, c, layout).load(["hr", "crea"])
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=shuffle_hash" in plan and "pivotfirst" not in plan.lower()
+    assert rows(wide, "id", "t") == [(1, 7200, 80.0, 2.0), (2, 3600, 70.0, None)]

@@ -133,3 +133,17 @@ def test_rows_are_not_sorted_for_their_stay(spark):
     plan = wide._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=shuffle_hash" in plan and "pivotfirst" not in plan.lower()
     assert rows(wide, "id", "t") == [(1, 7200, 80.0, 2.0), (2, 3600, 70.0, None)]
+
+
+def test_first_text_of_a_second_is_the_earliest(spark):
+    words = [(1, "x", f"2024-01-01 00:10:00.{ms}", w) for ms, w in ((100, "voice"), (400, "pain"), (900, "alert"))]
+    stays = spark.createDataFrame([(1, "2024-01-01 00:00:00", "2024-01-02 00:00:00")], "stay long, intime string, outtime string")
+    stays = stays.select("stay", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("intime", "outtime")])
+    c = Catalogue({}).add(Concept("avpu", kind="fct")).add_item("avpu", "x", Item("chart", ("x",)))
+    for given in (words, words[::-1], words[1:] + words[:1]):
+        chart = spark.createDataFrame(given, "stay long, itemid string, charttime string, value string").coalesce(1)
+        tables = {"chart": chart.withColumn("charttime", F.col("charttime").cast("timestamp_ntz")), "stays": stays}
+        timed = Loader(spark, c, SourceLayout("x", "stay", tables.__getitem__, stays="stays"))
+        assert rows(timed.load(["avpu"])) == [(1, 0, "voice")]
+        numbered = {"chart": spark.createDataFrame([(1, "x", float(t[-3:]) / 1000, w) for *_, t, w in given], "stay long, itemid string, charttime double, value string").coalesce(1)}
+        assert rows(Loader(spark, c, SourceLayout("x", "stay", numbered.__getitem__, time_unit=1)).load(["avpu"])) == [(1, 0, "voice")]

@@ -6,15 +6,17 @@ hit in a long text weighs little. The examples are at most ``EXAMPLES`` distinct
 hash), a bounded sample, so a group of copies counts once; every document is scored against all of them.
 
 The index keeps each term's postings, and no zeros, in blocks of ``BLOCK`` examples with the block's largest weight. A query adds these up to an upper
-bound for each block, visits blocks from the highest bound and stops at the first whose bound is below the k-th best cosine found:
-the result is that of a full search.
+bound for each block, visits the ``HEAD`` blocks with the highest bounds together and then, together too, all whose bound is not below the
+k-th best cosine found. A visit adds up weights in single precision; what it cannot tell from the k-th best is added up again in double
+precision: the result is that of a full search.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,13 @@ WIDTH = 6
 CHI = 15.0  # least chi-square of a term: by chance in one of ten thousand n-grams
 EXAMPLES = 4096
 BLOCK = 64
+HEAD = 4  # blocks visited before the bounds of the others are looked at
+DENSE = 16  # a term that one of so many examples has is kept as a row of all examples: at most so many rows as 16 examples have terms
 HELD = 8_000_000  # n-grams a task keeps before it counts them
 NEAREST = 25
 BACKGROUND = 0.02
 SEARCHES = 4000  # documents in one scoring task
+PORTION = 128  # terms whose rows are added up together
 MEMO = 50_000  # query vectors whose result a task remembers
 VECTOR_SQL = "doc_id long, held_out boolean, terms array<int>, counts array<int>, n long"
 
@@ -139,9 +144,9 @@ class BlockMaxIndex:
 
     @classmethod
     def of(cls, vectors: list[tuple], idf: np.ndarray) -> "BlockMaxIndex":
-        """``vectors``: (doc_id, label, terms, counts, n). Examples with one heaviest term are neighbours, so block bounds are tight."""
+        """``vectors``: (doc_id, label, terms, counts, n). Examples with like shares of background are neighbours, so block bounds are tight."""
         rows = [(i, y, t, unit_vector(t, c, n, idf)) for i, y, t, c, n in vectors]
-        rows.sort(key=lambda r: (int(r[2][np.argmax(r[3][:-1])]), r[1], r[0]))
+        rows.sort(key=lambda r: (r[3][-1], r[1], r[0]))
         terms = np.concatenate([np.zeros(0, np.int64), *[np.append(t, len(idf)) for _, _, t, _ in rows]]).astype(np.int64)
         owner = np.repeat(np.arange(len(rows)), [len(w) for _, _, _, w in rows]).astype(np.int64)
         weight = np.concatenate([np.zeros(0), *[w for _, _, _, w in rows]])
@@ -156,6 +161,38 @@ class BlockMaxIndex:
         ids, labels = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
         return cls(ids, labels, first, block[begin].astype(np.int32), most, np.append(begin, len(terms)), (owner % BLOCK).astype(np.uint8), weight)
 
+    @cached_property
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each term, -1 for those with few postings, and the rows: weights in all places, filled up to whole blocks."""
+        cuts = self.begin[self.first]
+        many = np.flatnonzero(np.diff(cuts) * DENSE >= len(self.ids))
+        of = np.full(len(cuts) - 1, -1)
+        of[many] = np.arange(len(many))
+        out = np.zeros((len(many), -(-len(self.ids) // BLOCK) * BLOCK), np.float32)
+        for row, a, b in zip(out, cuts[many], cuts[many + 1]):
+            row[self.places[a:b]] = self.weight[a:b]
+        return of, out
+
+    @cached_property
+    def room(self) -> np.ndarray:
+        return np.empty((PORTION, self.rows[1].shape[1]), np.float32)
+
+    @cached_property
+    def places(self) -> np.ndarray:
+        """The place of each posting among all examples."""
+        return np.repeat(self.block.astype(np.int64) * BLOCK, np.diff(self.begin)) + self.place
+
+    @cached_property
+    def vectors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each example's terms begin, the terms and their weights."""
+        order = np.argsort(self.places, kind="stable")  # and so by term within an example
+        terms = np.repeat(np.arange(len(self.first) - 1), np.diff(self.begin[self.first]))
+        return np.searchsorted(self.places[order], np.arange(len(self.ids) + 1)), terms[order], self.weight[order]
+
+    def __getstate__(self) -> dict:
+        """What follows from the fields is made again where the index arrives."""
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
     def search(self, terms: np.ndarray, vector: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, ties by id; ``without`` is left out."""
         used = np.append(terms, len(self.first) - 2)
@@ -163,26 +200,48 @@ class BlockMaxIndex:
         entries, factor = _ranges(self.first[used], sizes), np.repeat(vector, sizes)
         blocks = -(-len(self.ids) // BLOCK)
         bounds = np.bincount(self.block[entries], factor * self.most[entries], blocks)
-        order = np.argsort(self.block[entries], kind="stable")
-        entries, factor = entries[order], factor[order]
-        cuts = np.searchsorted(self.block[entries], np.arange(blocks + 1))
-        places, sims, least = [], [], -1.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] < least - 1e-12:
-                break
-            here = np.arange(b * BLOCK, min((b + 1) * BLOCK, len(self.ids)))
-            mine = entries[cuts[b] : cuts[b + 1]]
-            sizes = self.begin[mine + 1] - self.begin[mine]
-            at = _ranges(self.begin[mine], sizes)
-            found = np.bincount(self.place[at], np.repeat(factor[cuts[b] : cuts[b + 1]], sizes) * self.weight[at], BLOCK)[: len(here)]
-            if without is not None:
-                here, found = here[self.ids[here] != without], found[self.ids[here] != without]
-            places, sims = [*places, here], [*sims, found]
-            if sum(map(len, sims)) >= k:
-                least = np.partition(np.concatenate(sims), -k)[-k]
-        if not places:
-            return np.zeros(0, np.int64), np.zeros(0)
-        place, sim = np.concatenate(places), np.round(np.concatenate(sims), 12)
+        row_of, rows = self.rows
+        dense = row_of[used] >= 0
+        mine, single = row_of[used[dense]], vector[dense].astype(np.float32)
+        rare = np.zeros(blocks * BLOCK)
+        if not dense.all():
+            cuts = self.begin[self.first]
+            sizes = cuts[used[~dense] + 1] - cuts[used[~dense]]
+            at = _ranges(cuts[used[~dense]], sizes)
+            rare = np.bincount(self.places[at], np.repeat(vector[~dense], sizes) * self.weight[at], blocks * BLOCK)
+        rare[len(self.ids) :] = -4.0
+        if without is not None:
+            rare[: len(self.ids)][self.ids == without] = -4.0
+        slack = 1.2e-7 * (len(used) + 4)  # twice the error of a sum in single precision
+
+        def visit(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            here = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = rare[here]
+            whole = 2 * len(chosen) >= blocks
+            for a in range(0, len(mine), PORTION):  # a portion of terms fits the room that is used again
+                part = mine[a : a + PORTION]
+                if whole:
+                    found += (single[a : a + PORTION] @ np.take(rows, part, axis=0, out=self.room[: len(part)], mode="clip"))[here]
+                else:
+                    room = self.room.ravel()[: len(part) * len(here)].reshape(-1, BLOCK)
+                    tiles = np.take(rows.reshape(-1, BLOCK), (part[:, None] * blocks + chosen).ravel(), axis=0, out=room, mode="clip")
+                    found += single[a : a + PORTION] @ tiles.reshape(len(part), len(here))
+            return here, found
+
+        order = np.argsort(-bounds, kind="stable")
+        place, sim = visit(order[: HEAD + k // BLOCK])
+        least = np.partition(sim, -k)[-k] if len(sim) >= k else -1.0
+        rest = order[HEAD + k // BLOCK :]
+        more = visit(rest[bounds[rest] >= least - slack])
+        place, sim = np.append(place, more[0]), np.append(sim, more[1])
+        place = place[sim >= max(np.partition(sim, -k)[-k] if len(sim) >= k else -1.0, -1.0) - slack]
+
+        begin, its, weight = self.vectors
+        query = np.zeros(len(self.first) - 1)
+        query[used] = vector
+        sizes = begin[place + 1] - begin[place]
+        at = _ranges(begin[place], sizes)
+        sim = np.round(np.bincount(np.repeat(np.arange(len(place)), sizes), query[its[at]] * weight[at], len(place)), 12)
         best = np.lexsort((self.ids[place], -sim))[:k]
         return place[best], sim[best]
 

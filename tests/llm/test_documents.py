@@ -474,6 +474,30 @@ def test_index_finds_the_nearest():
         assert np.allclose(sim, [-s for s, _ in want]) and index.ids[place].tolist() == [d for _, d in want]
 
 
+def test_search_is_exact_and_visits_blocks_together(monkeypatch):
+    rng = np.random.default_rng(7)
+    idf = rng.random(300) + 0.1
+    odds = 1 / np.arange(1, 301)  # frequent terms and rare ones
+    made = [(i, i % 2, np.sort(rng.choice(300, rng.integers(1, 40), replace=False, p=odds / odds.sum())), 50) for i in range(2000)]
+    made = [(i, y, t, rng.integers(1, 3, len(t)).astype(float), n) for i, y, t, n in made]
+    made += [(3000 + i, *made[i][1:]) for i in range(60)]  # equal ones, of which the lower ids go first
+    index = neighbours.BlockMaxIndex.of(made, idf)
+    dense = np.zeros((len(made), 301))
+    for k, (_, _, t, c, n) in enumerate(made):
+        dense[k, np.append(t, 300)] = neighbours.unit_vector(t, c, n, idf)
+    ids = np.array([m[0] for m in made])
+    spans, calls = neighbours._ranges, []
+    monkeypatch.setattr(neighbours, "_ranges", lambda *a: calls.append(1) or spans(*a))
+    for k in range(0, len(made), 41):
+        _, _, t, c, n = made[k]
+        calls.clear()
+        place, sim = index.search(t, neighbours.unit_vector(t, c, n, idf), 25)
+        full = np.round(dense @ dense[k], 12)
+        best = np.lexsort((ids, -full))[:25]
+        assert np.allclose(sim, full[best], atol=2e-12) and index.ids[place].tolist() == ids[best].tolist()
+        assert len(calls) <= 4  # not one for each visited block
+
+
 def test_rising():
     x, y = neighbours.rising(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.array([1.0, 1, 1, 1]))
     assert y.tolist() == [0, 0.5, 1] and x.tolist() == [1, 2.5, 4]

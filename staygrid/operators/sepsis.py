@@ -153,7 +153,8 @@ def sep3_sofa2(
     # rows meet the windows of their time tile; a group is one window of one series
     lo, hi = F.col("_si") - si_lwr, F.col("_si") + si_upr
     tiles = events.withColumn("_tile", F.explode(F.sequence(F.floor(lo / DAY), F.floor(hi / DAY))))
-    near = rows.withColumn("_tile", F.floor(F.col(time) / DAY)).join(tiles, [*ids, "_tile"]).where(F.col(time).between(lo, hi))
+    # the few windows are hashed, so that the rows of the score are not sorted for them
+    near = rows.withColumn("_tile", F.floor(F.col(time) / DAY)).join(tiles.hint("shuffle_hash"), [*ids, "_tile"]).where(F.col(time).between(lo, hi))
     window = Window.partitionBy(*ids, "_si").orderBy(time)
     base = {
         "cummin": F.min("_score").over(window.rowsBetween(Window.unboundedPreceding, 0)),

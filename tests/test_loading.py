@@ -147,3 +147,17 @@ def test_first_text_of_a_second_is_the_earliest(spark):
         assert rows(timed.load(["avpu"])) == [(1, 0, "voice")]
         numbered = {"chart": spark.createDataFrame([(1, "x", float(t[-3:]) / 1000, w) for *_, t, w in given], "stay long, itemid string, charttime double, value string").coalesce(1)}
         assert rows(Loader(spark, c, SourceLayout("x", "stay", numbered.__getitem__, time_unit=1)).load(["avpu"])) == [(1, 0, "voice")]
+
+
+def test_scores_and_infections_are_stacked(spark, monkeypatch):
+    from staygrid.plans import loader as plan
+
+    hours = [(1, 1, h * 3600, v) for h, v in ((0, 200.0), (30, 200.0), (40, 40.0))] + [(2, 1, 0, 200.0), (2, 1, 7200, 90.0)]
+    marks = [(1, 2, 36 * 3600, 1.0), (1, 3, 37 * 3600, 1.0), (2, 2, 3600, 1.0)]
+    tables = {"chart": spark.createDataFrame(hours + marks, "stay long, itemid int, sec long, value double")}
+    c = builtin().add_item("plt", "x", Item("chart", (1,))).add_item("abx", "x", Item("chart", (2,))).add_item("samp", "x", Item("chart", (3,)))
+    made = Loader(spark, c, SourceLayout("x", "stay", tables.__getitem__, time="sec", time_unit=1))
+    both = made.load(["sep3_sofa2", "susp_inf"])  # rows that meet
+    assert rows(both.where("sep3_sofa2 = 1").select("id", "t", "sep3_sofa2")) == [(1, 40 * 3600, 1)]
+    monkeypatch.setattr(plan, "merge_wide", None)  # no row of a score is shuffled to meet the others
+    assert rows(made.load_sepsis3_sofa2()) == rows(made.load_sepsis3()) == [(1, 40 * 3600, 1)]

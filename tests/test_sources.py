@@ -83,3 +83,19 @@ def test_filters_reach_the_scan(spark, tmp_path):
     df = tables.read_parquet(spark, str(tmp_path / "p"), ["v"], [tables.Filter("t", "between", (0, 10))])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(t,0)" in plan and "ReadSchema: struct<t:bigint,v:double>" in plan
+
+
+def test_psv_folders_are_listed_by_few_tasks(spark, tmp_path):
+    s = spark.range(60).selectExpr("id", "0L AS t", "double(id) AS v")
+    export.write_psv(s, str(tmp_path / "psv"), "id", "t")
+    before = spark.conf.get(export.LISTINGS, None)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        back = export.read_psv(spark, str(tmp_path / "psv"), "t double, v double")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("listing")]
+    tasks = [tracker.getStageInfo(i).numTasks for j in jobs for i in j.stageIds]
+    assert tasks and max(tasks) <= export.TASKS * spark.sparkContext.defaultParallelism < 60
+    assert spark.conf.get(export.LISTINGS, None) == before and back.count() == 60 and back.selectExpr("sum(v)").first()[0] == 1770

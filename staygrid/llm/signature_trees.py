@@ -5,15 +5,19 @@ set nor the number of links can be had from here.
 
 A document is the set of its five-word shingles (64-bit hashes). Equal sets are one class. Two classes can reach the threshold only
 if they share a shingle among their first few in a common order (those a set may miss and still reach it, and one more), so each such
-shingle that at least two classes have gets a tree over those classes. The order is by hash, with the most frequent shingles last.
+shingle that at least two classes have puts them into a tree. The order is by hash, with the most frequent shingles last.
 
-A tree's nodes hold the OR of their members' bitmaps, their size range and the most shingles that a member's bitmap loses by
-collisions. Two trees (or a tree and itself) are walked together from the roots: a pair of nodes is dropped when its size ranges lie
-too far apart, or when the bits that both have, plus the collisions, are fewer than the least overlap that the sizes ask for. The pairs
+A class's bitmap has a bit set where an odd number of its shingles fall, so the bits in which two bitmaps differ are never more than
+the shingles in which the sets differ, and hardly fewer. A tree's nodes hold the AND and the OR of their members' bitmaps and their size
+range. Two trees (or a tree and itself) are walked together from the roots: a pair of nodes is dropped when its size ranges lie too far
+apart, or when more bits are set in all members of the one and in none of the other than the sizes allow differences. The pairs
 of classes that come through are decided on the sets themselves.
 
+Near copies share many shingles, so shingles with the same two representatives (the least of their classes in two random orders) have one
+tree over the classes of all of them: a class is in a few trees and not in one for each shingle, and a pair is given a few times.
+
 Work is kept off the pairs that cannot matter: the classes of some shingles are first linked to one of them and decided, and trees
-only look between the components this gives. A shingle with more than ``BLOCK`` classes is walked as pairs of blocks, each a task's
+only look between the components this gives. A tree with more than ``BLOCK`` classes is walked as pairs of blocks, each a task's
 unit, so no group is gathered whole.
 """
 
@@ -169,11 +173,16 @@ def passes(words: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """A bitmap with four to eight bits for each shingle, a power of two and at least 64; halving it ORs its halves."""
+    """A bitmap with four to eight bits for each shingle, a power of two and at least 64, set where an odd number of shingles fall.
+
+    ``halved`` gives what half the bits would be."""
     size = max(64, 1 << int(4 * len(values) - 1).bit_length())
-    bits = np.zeros(size, np.uint8)
-    bits[(mix(values) & np.uint64(size - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    bits = np.bincount((mix(values) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def halved(bits: np.ndarray) -> np.ndarray:
+    return bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
 
 
 def _classes(hot, rank, shared):
@@ -199,14 +208,13 @@ def _classes(hot, rank, shared):
 
 
 class Tree:
-    """Levels from the members up: ORed bitmaps, size ranges, most collisions and component ranges."""
+    """Levels from the members up: bits that all members have, bits that any has, size ranges and component ranges."""
 
     def __init__(self, bits: np.ndarray, sizes: np.ndarray, comps: np.ndarray):
-        lost = sizes - np.bitwise_count(bits).sum(axis=1)
-        self.levels = [(bits, sizes, sizes, lost, comps, comps)]
+        self.levels = [(bits, bits, sizes, sizes, comps, comps)]
         while len(self.levels[-1][0]) > 1:
             cut = np.arange(0, len(self.levels[-1][0]), FANOUT)
-            folds = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
+            folds = (np.bitwise_and, np.bitwise_or, np.minimum, np.maximum, np.minimum, np.maximum)
             self.levels.append(tuple(f.reduceat(x, cut, axis=0) for f, x in zip(folds, self.levels[-1])))
 
     def at(self, level: int) -> tuple:
@@ -221,7 +229,10 @@ def _children(nodes: np.ndarray, level: int, tree: Tree) -> list[np.ndarray]:
 
 
 def walk(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """Members of ``a`` and ``b`` in different components whose overlap may reach the threshold; ``i < j`` if they are one tree."""
+    """Members of ``a`` and ``b`` in different components whose overlap may reach the threshold; ``i < j`` if they are one tree.
+
+    Sets of ``n`` and ``m`` shingles reach it if they differ in ``(n + m) / 9`` of them at most.
+    """
     one = a is b
     level = max(len(a.levels), len(b.levels)) - 1
     i = j = np.zeros(1, np.int64)
@@ -231,11 +242,11 @@ def walk(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray]:
         kept = []
         for s in range(0, len(i), step):
             p, q = i[s : s + step], j[s : s + step]
-            ok = (5 * x[2][p] >= 4 * y[1][q]) & (5 * y[2][q] >= 4 * x[1][p])
+            ok = (5 * x[3][p] >= 4 * y[2][q]) & (5 * y[3][q] >= 4 * x[2][p])
             ok &= ~((x[4][p] == x[5][p]) & (y[4][q] == y[5][q]) & (x[4][p] == y[4][q]))
             p, q = p[ok], q[ok]
-            both = np.bitwise_count(x[0][p] & y[0][q]).sum(axis=1, dtype=np.int64) + np.minimum(x[3][p], y[3][q])
-            ok = 9 * both >= 4 * (x[1][p] + y[1][q])
+            apart = np.bitwise_count((x[0][p] & ~y[1][q]) | (y[0][q] & ~x[1][p])).sum(axis=1, dtype=np.int64)
+            ok = 9 * apart <= x[3][p] + y[3][q]
             kept.append((p[ok], q[ok]))
         i, j = (np.concatenate(z) for z in zip(*kept)) if kept else (i[:0], j[:0])
         if level == 0 or not len(i):
@@ -258,7 +269,7 @@ def candidates(uids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bitmaps:
         rows = []
         for k in chosen:
             row = np.frombuffer(bitmaps[k], np.uint64)
-            rows.append(row if len(bitmaps[k]) == width else row[: width // 8] | row[width // 8 :])
+            rows.append(row if len(bitmaps[k]) == width else halved(row))
         return Tree(np.stack(rows), sizes[chosen], comps[chosen])
 
     def meet(p: np.ndarray, q: np.ndarray, width: int) -> None:
@@ -282,18 +293,18 @@ def candidates(uids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bitmaps:
 
 
 def _walk_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group (shingle, lo, hi): the pairs that each group's trees let through."""
+    """Rows sorted by group (one, two, lo, hi): the pairs that each group's trees let through."""
     held = None
 
     def pairs(table):
-        bounds = [table.column(c).to_numpy() for c in ("shingle", "lo", "hi")]
+        bounds = [table.column(c).to_numpy() for c in ("one", "two", "lo", "hi")]
         n = len(table)
         new = np.flatnonzero(np.any([b[1:] != b[:-1] for b in bounds], axis=0)) + 1
         uid, comp, size, side = (table.column(c).to_numpy() for c in ("uid", "comp", "n", "side"))
         bits = table.column("bits").to_pylist()
         found = []
         for a, b in zip([0, *new.tolist()], [*new.tolist(), n]):
-            order = a + np.argsort(size[a:b], kind="stable")
+            order = a + np.lexsort((size[a:b], comp[a:b]))  # members of one component are alike
             found += candidates(uid[order], comp[order], size[order], [bits[k] for k in order], side[order])
         return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
 
@@ -302,7 +313,7 @@ def _walk_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
         if not len(table):
             continue
-        bounds = [table.column(c).to_numpy() for c in ("shingle", "lo", "hi")]
+        bounds = [table.column(c).to_numpy() for c in ("one", "two", "lo", "hi")]
         last = int(np.flatnonzero(np.any([np.concatenate([[True], b[1:] != b[:-1]]) for b in bounds], axis=0))[-1])
         if last:
             yield pairs(table.slice(0, last))
@@ -317,11 +328,9 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y"))):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            lost = min(n - int(np.bitwise_count(x).sum()), m - int(np.bitwise_count(y).sum()))
             if len(x) != len(y):  # sizes within the threshold differ by one doubling at most
-                x, y = (z if len(z) == min(len(x), len(y)) else z[: len(z) // 2] | z[len(z) // 2 :] for z in (x, y))
-                lost = min(n - int(np.bitwise_count(x).sum()), m - int(np.bitwise_count(y).sum()))
-            keep.append(9 * (int(np.bitwise_count(x & y).sum()) + lost) >= 4 * (n + m))
+                x, y = (z if len(z) == min(len(x), len(y)) else halved(z) for z in (x, y))
+            keep.append(9 * int(np.bitwise_count(x ^ y).sum()) <= n + m)
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -369,8 +378,9 @@ def _few(pairs: DataFrame):
 
 def _allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (settled) that size and bitmaps allow."""
-    right = classes.select(F.col("uid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")).join(_few(pairs)(pairs), "b")
-    left = classes.select(F.col("uid").alias("a"), "n", F.col("bits").alias("x"))
+    few = _few(pairs)
+    right = classes.select(F.col("uid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")).join(few(pairs), "b")
+    left = classes.select(F.col("uid").alias("a"), "n", F.col("bits").alias("x")).join(few(pairs.select("a").distinct()), "a", "left_semi")
     both = right.join(left, "a").where("5 * n >= 4 * m AND 5 * m >= 4 * n")
     return settle(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_possible, "a long, b long"))
 
@@ -438,15 +448,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         placed = few.join(comps, F.col("uid") == F.col("node"), "left").select("uid", "n", F.coalesce("component", "uid").alias("comp"), "shingles")
 
     edges = settle(placed.select("uid", "n", "comp", F.explode("shingles").alias("shingle")))
-    groups = edges.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("count"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("mark"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("mark2"))
-    # shingles with the same members need one tree
-    groups = groups.where("lo <> hi").groupBy("count", "mark", "mark2").agg(F.min("shingle").alias("shingle"))
-    groups = groups.select("shingle", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    open_ = edges.join(groups, "shingle").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    # shingles with the same representatives share a tree
+    groups = edges.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *[F.min(F.xxhash64("uid", F.lit(k))).alias(c) for k, c in enumerate(("one", "two"))])
+    placed = settle(edges.join(groups.where("lo <> hi").drop("lo", "hi"), "shingle").select("one", "two", "uid", "n", "comp").distinct())
+    blocks = placed.groupBy("one", "two").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    open_ = placed.join(blocks, ["one", "two"]).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     open_ = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    open_ = open_.select("shingle", "uid", "n", "comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    open_ = open_.select("one", "two", "uid", "n", "comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     bits = classes.select(F.col("uid").alias("k"), "bits")
-    rows = open_.join(bits, F.col("uid") == F.col("k")).drop("k").repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
+    rows = open_.join(bits, F.col("uid") == F.col("k")).drop("k").repartition("one", "two", "lo", "hi").sortWithinPartitions("one", "two", "lo", "hi")
     pairs = settle(rows.mapInArrow(_walk_groups, "a long, b long").distinct())
     comps = components(links.union(_decided(pairs, classes, source)))
 

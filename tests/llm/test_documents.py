@@ -387,6 +387,34 @@ def test_walk_loses_no_pair():
     assert true and true <= found and len(found) < 120 * 119 // 4
 
 
+def test_bitmaps_tell_sets_below_the_threshold():
+    """Sets of 240 that share 205 (Jaccard 0.75) are not left to the exact decision, those that share 214 (0.80) are."""
+    rng = np.random.default_rng(11)
+    for shared, through in ((205, False), (214, True)):
+        common = rng.integers(0, 2**63, shared).astype(np.uint64)
+        sets = [np.unique(np.concatenate([common, rng.integers(0, 2**63, 240 - shared).astype(np.uint64)])) for _ in range(40)]
+        found = signature_trees.candidates(np.arange(40), np.arange(40), np.full(40, 240), [signature_trees.bitmap(s) for s in sets], np.zeros(40, int))
+        assert (len(found) == 40 * 39 // 2) if through else (len(found) < 8)
+
+
+def test_a_pair_meets_in_few_trees(spark, monkeypatch):
+    """Near copies share nearly all of their first shingles, yet a pair does not come from the tree of each of them."""
+    monkeypatch.setattr(signature_trees, "FIRST", 0)  # all is left to the trees
+    given, walk_groups = spark.sparkContext.accumulator(0), signature_trees._walk_groups
+
+    def counted(batches):
+        for batch in walk_groups(batches):
+            given.add(len(batch))
+            yield batch
+
+    monkeypatch.setattr(signature_trees, "_walk_groups", counted)
+    base = [f"v{k}" for k in range(300)]
+    texts = [" ".join([*base[: 8 * k], f"x{k}", *base[8 * k + 1 :]]) for k in range(1, 31)]
+    got = signature_trees.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert 435 <= given.value < 6 * 435
+
+
 def test_quality_counts(docs, rows):
     got = divergence.measured(docs).select("doc_id", "text", "__q.*").collect()
     assert len(got) == len(rows)

@@ -32,6 +32,8 @@ BLOCK = 64
 HEAD = 4  # blocks visited before the bounds of the others are looked at
 DENSE = 16  # a term that one of so many examples has is kept as a row of all examples: at most so many rows as 16 examples have terms
 HELD = 8_000_000  # n-grams a task keeps before it counts them
+SPAN = 4096  # terms whose counts make one row
+FOLD = 64  # tasks whose counts are added up together
 NEAREST = 25
 BACKGROUND = 0.02
 SEARCHES = 4000  # documents in one scoring task
@@ -105,6 +107,40 @@ def _vectors(terms: np.ndarray):
     return run
 
 
+def _frequencies(size: int):
+    """Rows (span, counts): in how many of a task's texts each of ``SPAN`` terms occurs; one row for each span that any of them is in."""
+    spans = -(-size // SPAN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(spans * SPAN, np.int64)
+        for batch in batches:
+            held += np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(held))
+        held = held.reshape(spans, SPAN)
+        some = np.flatnonzero(held.any(axis=1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([row.tobytes() for row in held[some]])], ["span", "counts"])
+
+    return run
+
+
+def _summed(pdf):
+    """One span's counts, added up."""
+    return pdf[["span"]].iloc[:1].assign(counts=[sum(np.frombuffer(c, np.int64) for c in pdf["counts"]).tobytes()])
+
+
+def document_frequencies(vectors: DataFrame, size: int) -> np.ndarray:
+    """In how many rows each of ``size`` terms occurs. Tasks count their rows, so a row for each text and term is never made.
+
+    Parts of a span meet ``FOLD`` at a time, and then what they gave; the driver gets one row of each span.
+    """
+    rows = vectors.select("terms").mapInArrow(_frequencies(size), "span int, counts binary").withColumn("part", F.spark_partition_id())
+    some = rows.groupBy("span", F.floor(F.col("part") / FOLD)).applyInPandas(_summed, "span int, counts binary")
+    out = np.zeros(-(-size // SPAN) * SPAN)
+    for r in some.groupBy("span").applyInPandas(_summed, "span int, counts binary").toLocalIterator():
+        out[r["span"] * SPAN : (r["span"] + 1) * SPAN] = np.frombuffer(r["counts"], np.int64)
+    return out[:size]
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     """The five columns of ``VECTOR_SQL`` row by row, terms and counts as arrays."""
     terms, counts = (batch.column(k) for k in (2, 3))
@@ -323,11 +359,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, kept_back: in
     terms = chosen_terms(found["gram"].to_numpy(), found["chi"].to_numpy())
 
     vectors = settle(source.mapInArrow(_vectors(terms), VECTOR_SQL))
-    seen = vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toArrow()  # a row for each term
     total = vectors.count()
-    df = np.zeros(len(terms))
-    df[seen["term"].to_numpy()] = seen["df"].to_numpy()
-    idf = np.log((total + 1) / (df + 1))
+    idf = np.log((total + 1) / (document_frequencies(vectors, len(terms)) + 1))
 
     # the label takes the place of held_out
     rows = sample.select("doc_id", F.col("toxic").cast("boolean").alias("held_out"), "text").mapInArrow(_vectors(terms), VECTOR_SQL).toArrow()

@@ -551,6 +551,20 @@ def test_toxicity(spark, docs, rows):
     assert all(r["score"] < 0.5 for d, r in got.items() if d and d >= 1000)
 
 
+def test_document_frequencies(spark, monkeypatch):
+    """Counted in tasks: no more rows leave them than spans of terms, however many terms the texts have."""
+    monkeypatch.setattr(neighbours, "SPAN", 8)
+    monkeypatch.setattr(neighbours, "FOLD", 2)
+    rng = random.Random(3)
+    made = [sorted(rng.sample([*range(16), *range(24, 37)], rng.randint(0, 12))) for _ in range(300)]
+    vectors = spark.createDataFrame([(t,) for t in made], "terms array<int>").repartition(5)
+    got = neighbours.document_frequencies(vectors, 37)
+    assert got.tolist() == [sum(k in t for t in made) for k in range(37)]
+    assert vectors.mapInArrow(neighbours._frequencies(37), "span int, counts binary").count() == 5 * 4
+    assert neighbours.document_frequencies(vectors.limit(0), 37).tolist() == [0] * 37
+    assert neighbours.document_frequencies(vectors.limit(0), 0).tolist() == []
+
+
 def test_toxicity_with_a_copied_text(spark):
     """A long text in letters of its own, copied to two thirds of the toxic rows, leaves the other toxic texts their terms."""
     rng = random.Random(12)

@@ -5,13 +5,17 @@ set nor the number of links can be had from here.
 
 A document is the set of its five-word shingles (64-bit hashes). Equal sets are one class. Two classes can reach the threshold only
 if they share a shingle among their first few in a common order (those a set may miss and still reach it, and one more), so each such
-shingle that at least two classes have puts them into a tree. The order is by hash, with the most frequent shingles last.
+shingle that at least two classes have puts them into a tree. The order is by hash, with the most frequent shingles last. One document
+of each class speaks for it (a filter of their ids lets few others through), so a shingle that is met twice is shared: to find those,
+tasks send four bytes of a hash for each, in groups by its first bits, and neither a class nor a row. A hash that two shingles have by
+chance makes a tree more and loses nothing.
 
 A class's bitmap has a bit set where an odd number of its shingles fall, so the bits in which two bitmaps differ are never more than
 the shingles in which the sets differ, and hardly fewer. A tree's nodes hold the AND and the OR of their members' bitmaps and their size
 range. Two trees (or a tree and itself) are walked together from the roots: a pair of nodes is dropped when its size ranges lie too far
-apart, or when more bits are set in all members of the one and in none of the other than the sizes allow differences. The pairs
-of classes that come through are decided on the sets themselves.
+apart, or when more bits are set in all members of the one and in none of the other than the sizes allow differences. Trees have
+bitmaps of one or two bits for each shingle, the pairs of classes that come through are held against bitmaps of four to eight, and what is
+left is decided on the sets themselves.
 
 Near copies share many shingles, so shingles with the same two representatives (the least of their classes in two random orders) have one
 tree over the classes of all of them: a class is in a few trees and not in one for each shingle, and a pair is given a few times.
@@ -26,7 +30,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,6 +44,8 @@ SHINGLE = 5
 HOT = 1 << 16  # frequent shingles that come last in the order
 LOCAL = 8  # copies in one partition's share that make a shingle a candidate for that list
 SHARE = 4_000_000  # shingles counted together
+KEY_BITS = 44  # of a prefix shingle, where those that two classes have are looked for
+PART_BITS = 12  # of these, the first ones: the group it is looked for in
 FILTER_BITS = 26
 BLOCK_WORDS = 1 << 13  # words of the filter in one row
 BLOCK = 2048
@@ -49,8 +57,8 @@ WEIGHTS = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(SHI
 
 PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shingle", pa.int64())])
 PROFILE_SQL = "doc_id long, n long, s1 long, s2 long, shingle long"
-CLASS = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shingles", pa.list_(pa.int64())), ("bits", pa.binary())])
-CLASS_SQL = "uid long, n long, s1 long, s2 long, shingles array<long>, bits binary"
+CLASS = pa.schema([("uid", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shingles", pa.list_(pa.int64())), ("bits", pa.binary()), ("coarse", pa.binary())])
+CLASS_SQL = "uid long, doc long, n long, s1 long, s2 long, shingles array<long>, bits binary, coarse binary"
 MEMBERS = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), ("members", pa.binary())])
 
 
@@ -118,34 +126,66 @@ def prefix(values: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate([rare, late[: length - len(rare)]])
 
 
-def _prefixes(hot, rank):
+def keys_of(shingles: np.ndarray) -> np.ndarray:
+    """The first ``KEY_BITS`` bits of shingles."""
+    return shingles >> np.uint64(64 - KEY_BITS)
+
+
+def _prefixes(hot, rank, owners):
+    """Rows (part, keys): the keys of the prefixes, sorted, four bytes each; one that is met again in a share of the partition is there twice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in pieces(batches):
-            out, owner = [], []
+        held, total = [], 0
+
+        def counted():
+            keys, counts = np.unique(keys_of(np.concatenate(held)), return_counts=True)
+            keys = np.repeat(keys, np.minimum(counts, 2))
+            parts = (keys >> np.uint64(KEY_BITS - PART_BITS)).astype(np.int64)
+            cuts = [*np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])).tolist(), len(keys)]
+            rest = (keys & np.uint64((1 << (KEY_BITS - PART_BITS)) - 1)).astype(np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array(parts[cuts[:-1]]), pa.array([rest[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["part", "keys"])
+
+        for batch in pieces(_chosen(batches, owners.value)):
             for values in shingle_sets(batch.column(1)):
-                mark = marks(values)
-                if mark not in seen and len(values):
-                    if len(seen) < SHARE:
-                        seen.add(mark)
-                    out.append(prefix(values, hot.value, rank.value))
-                    owner.append(np.full(len(out[-1]), mark[0]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).astype(np.int64)), pa.array(np.concatenate(owner))], ["shingle", "s1"])
+                if len(values):
+                    held.append(prefix(values, hot.value, rank.value))
+                    total += len(held[-1])
+            if total > SHARE:
+                yield counted()
+                held, total = [], 0
+        if held:
+            yield counted()
 
     return run
 
 
+def twice(part: int, rest: list[bytes]) -> np.ndarray:
+    """The keys of a part that are there more than once."""
+    found = np.sort(np.concatenate([np.frombuffer(k, np.uint32) for k in rest]))
+    return (part << (KEY_BITS - PART_BITS)) + np.unique(found[1:][found[1:] == found[:-1]]).astype(np.int64)
+
+
+def _twice(pdf):
+    """The filter words of a part's keys that are there more than once: one Python worker does both."""
+    word, bits = place_words(twice(int(pdf["part"].iloc[0]), pdf["keys"].tolist()))
+    return pd.DataFrame({"word": word, "bits": bits})
+
+
 def bit_places(values: np.ndarray) -> list[np.ndarray]:
     """Two places of each value in a filter of ``2^FILTER_BITS`` bits."""
     m = mix(values.astype(np.uint64))
     return [m >> np.uint64(64 - FILTER_BITS), m & np.uint64((1 << FILTER_BITS) - 1)]
 
 
+def place_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the filter that values set bits in, and those bits."""
+    places = np.concatenate(bit_places(values))
+    return (places >> np.uint64(6)).astype(np.int64), (np.uint64(1) << (places & np.uint64(63))).view(np.int64)
+
+
 def _place_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        places = np.concatenate(bit_places(batch.column(0).to_numpy(zero_copy_only=False)))
-        yield pa.RecordBatch.from_arrays([pa.array((places >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (places & np.uint64(63))).view(np.int64))], ["word", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in place_words(batch.column(0).to_numpy(zero_copy_only=False))], ["word", "bits"])
 
 
 def _block_bits(pdf):
@@ -157,7 +197,12 @@ def _block_bits(pdf):
 
 def filter_of(values: DataFrame) -> np.ndarray:
     """A filter of fixed size over a column of longs; it passes all of them and few others. The driver gets its bytes, block by block."""
-    words = values.mapInArrow(_place_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return filter_from(values.mapInArrow(_place_words, "word long, bits long"))
+
+
+def filter_from(words: DataFrame) -> np.ndarray:
+    """The same from rows (word, bits)."""
+    words = words.groupBy("word").agg(F.bit_or("bits").alias("bits"))
     blocks = words.withColumn("block", F.expr(f"word div {BLOCK_WORDS}")).groupBy("block").applyInPandas(_block_bits, "block long, bits binary")
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     for r in blocks.collect():
@@ -172,11 +217,22 @@ def passes(words: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def bitmap(values: np.ndarray) -> bytes:
-    """A bitmap with four to eight bits for each shingle, a power of two and at least 64, set where an odd number of shingles fall.
+def ids_of(column: pa.Array) -> np.ndarray:
+    """Document ids, 0 for null."""
+    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False)
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The documents whose ids pass a filter."""
+    for batch in batches:
+        yield batch.filter(pa.array(passes(ids, ids_of(batch.column(0))), pa.bool_()))
+
+
+def bitmap(values: np.ndarray, bits: int = 4) -> bytes:
+    """A bitmap with ``bits`` to twice as many bits for each shingle, a power of two and at least 64, set where an odd number of shingles fall.
 
     ``halved`` gives what half the bits would be."""
-    size = max(64, 1 << int(4 * len(values) - 1).bit_length())
+    size = max(64, 1 << int(bits * len(values) - 1).bit_length())
     bits = np.bincount((mix(values) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -185,22 +241,22 @@ def halved(bits: np.ndarray) -> np.ndarray:
     return bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
 
 
-def _classes(hot, rank, shared):
+def _classes(hot, rank, owners, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, row = set(), TaskContext.get().partitionId() << 36
-        for batch in pieces(batches):
+        for batch in pieces(_chosen(batches, owners.value)):
             rows = []
-            for values in shingle_sets(batch.column(1)):
+            for doc, values in zip(ids_of(batch.column(0)).tolist(), shingle_sets(batch.column(1))):
                 mark = marks(values)
                 if mark in seen or not len(values):
                     continue
                 chosen = prefix(values, hot.value, rank.value)
-                chosen = chosen[passes(shared.value, chosen)]
+                chosen = chosen[passes(shared.value, keys_of(chosen))]
                 if len(chosen):
                     if len(seen) < SHARE:
                         seen.add(mark)
                     row += 1
-                    rows.append((row, len(values), *mark, chosen.astype(np.int64), bitmap(values)))
+                    rows.append((row, doc, len(values), *mark, chosen.astype(np.int64), bitmap(values), bitmap(values, 1)))
             if rows:
                 yield record_batch(CLASS, *map(list, zip(*rows)))
 
@@ -335,18 +391,15 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(wanted):
-    """The sets of classes that pass a filter of their first fingerprints, each class once in a share of a partition."""
+    """The sets of the documents whose ids pass a filter, each set once in a share of a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for batch in pieces(batches):
-            sets = [v for v in shingle_sets(batch.column(1)) if len(v)]
-            found = [marks(v) for v in sets]
-            if not found:
-                continue
+        for batch in pieces(_chosen(batches, wanted.value)):
             rows = []
-            for values, mark, ok in zip(sets, found, passes(wanted.value, np.array([m[0] for m in found], np.int64))):
-                if ok and mark not in seen:
+            for values in shingle_sets(batch.column(1)):
+                mark = marks(values)
+                if len(values) and mark not in seen:
                     if len(seen) < SHARE:
                         seen.add(mark)
                     rows.append((*mark, len(values), values.tobytes()))
@@ -394,10 +447,10 @@ def _decided(pairs: DataFrame, classes: DataFrame, source: DataFrame) -> DataFra
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
     second = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("uid"))
     first = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("uid"))
-    goals = settle(second.union(first).join(classes.select("uid", "s1", "s2", "n"), "uid"))
-    wanted = source.sparkSession.sparkContext.broadcast(filter_of(goals.select("s1").distinct()))  # 2^FILTER_BITS bits
+    goals = settle(second.union(first).join(classes.select("uid", "doc", "s1", "s2", "n"), "uid"))
+    wanted = source.sparkSession.sparkContext.broadcast(filter_of(goals.select("doc").distinct()))  # 2^FILTER_BITS bits
     sets = source.mapInArrow(_members(wanted), "s1 long, s2 long, n long, members binary")
-    sent = sets.join(_few(goals)(goals), ["s1", "s2", "n"]).select("a", "salt", "uid", "members")
+    sent = sets.join(_few(goals)(goals.drop("doc")), ["s1", "s2", "n"]).select("a", "salt", "uid", "members")
     ordered = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("uid") != F.col("a"))
     return settle(ordered.mapInArrow(_decide, "a long, b long").distinct())
 
@@ -434,9 +487,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rank = (len(hot) - place).astype(np.int64)  # the rarer first
     hot, rank = sc.broadcast(hot[place]), sc.broadcast(rank)  # at most HOT numbers each
 
-    first = source.mapInArrow(_prefixes(hot, rank), "shingle long, s1 long").groupBy("shingle").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"))
-    shared = sc.broadcast(filter_of(first.where("lo <> hi").select("shingle")))  # 2^FILTER_BITS bits
-    classes = settle(source.mapInArrow(_classes(hot, rank, shared), CLASS_SQL))
+    sets = profile.where("shingle IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")
+    owners = sets.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc"))
+    owners = sc.broadcast(filter_of(owners.select("doc")))  # 2^FILTER_BITS bits
+    keys = source.mapInArrow(_prefixes(hot, rank, owners), "part long, keys binary")
+    shared = sc.broadcast(filter_from(keys.groupBy("part").applyInPandas(_twice, "word long, bits long")))  # 2^FILTER_BITS bits
+    classes = settle(source.mapInArrow(_classes(hot, rank, owners, shared), CLASS_SQL))
     chosen = classes.groupBy("s1", "s2", "n").agg(F.min("uid").alias("uid"))
     few = settle(classes.select("uid", "n", "shingles").join(chosen.select("uid"), "uid", "left_semi"))
 
@@ -455,12 +511,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     open_ = placed.join(blocks, ["one", "two"]).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     open_ = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     open_ = open_.select("one", "two", "uid", "n", "comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    bits = classes.select(F.col("uid").alias("k"), "bits")
+    bits = classes.select(F.col("uid").alias("k"), F.col("coarse").alias("bits"))
     rows = open_.join(bits, F.col("uid") == F.col("k")).drop("k").repartition("one", "two", "lo", "hi").sortWithinPartitions("one", "two", "lo", "hi")
     pairs = settle(rows.mapInArrow(_walk_groups, "a long, b long").distinct())
-    comps = components(links.union(_decided(pairs, classes, source)))
+    comps = components(links.union(_decided(_allowed(pairs, classes), classes, source)))
 
-    sets = profile.where("shingle IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")
     named = sets.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("least"))
     keys = chosen.select(F.col("n").alias("n_shingles"), "s1", "s2", "uid").join(comps, F.col("uid") == F.col("node")).select("n_shingles", "s1", "s2", "component")
     named = settle(named.join(keys, ["n_shingles", "s1", "s2"], "left"))

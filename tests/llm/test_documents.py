@@ -415,6 +415,52 @@ def test_a_pair_meets_in_few_trees(spark, monkeypatch):
     assert 435 <= given.value < 6 * 435
 
 
+def test_shingles_travel_as_bytes():
+    """A prefix shingle is four bytes of a part, and only the documents that speak for a class send theirs; shared ones are found."""
+    import pyarrow as pa
+
+    class Given:
+        def __init__(self, value):
+            self.value = value
+
+    def batch(ids):
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([" ".join([*[f"w{j}" for j in range(40)][: 10 * (k % 3 == 0)], *[f"d{k % 50}x{j}" for j in range(200)]]).encode() for k in ids])], ["doc_id", "text"])
+
+    words, places = np.zeros(1 << (signature_trees.FILTER_BITS - 6), np.uint64), signature_trees.bit_places(np.arange(50, dtype=np.uint64))
+    for p in places:
+        np.bitwise_or.at(words, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
+    none = Given(np.zeros(0, np.uint64))
+    run = signature_trees._prefixes(none, Given(np.zeros(0, np.int64)), Given(words))
+    given = [b for ids in (range(0, 25), range(25, 150)) for b in run(iter([batch(list(ids))]))]
+    sets = [signature_trees.prefix(v, none.value, np.zeros(0, np.int64)) for v in signature_trees.shingle_sets(batch(list(range(50))).column(1))]
+    assert sum(len(k) for b in given for k in b.column(1).to_pylist()) <= 4 * sum(map(len, sets))
+    parts = defaultdict(list)
+    for part, keys in (r.values() for b in given for r in b.to_pylist()):
+        parts[part].append(keys)
+    found = {int(k) for part, keys in parts.items() for k in signature_trees.twice(part, keys)}
+    counts = Counter(int(k) for v in sets for k in signature_trees.keys_of(v))
+    assert found == {k for k, n in counts.items() if n > 1} and found
+
+
+def test_trees_have_small_bitmaps(spark, monkeypatch):
+    """What goes to the trees has at most two bits for each shingle, and the components are those of the sets."""
+    monkeypatch.setattr(signature_trees, "FIRST", 0)  # all is left to the trees
+    sent, shingles, walk_groups = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), signature_trees._walk_groups
+
+    def counted(batches):
+        for batch in batches:
+            sent.add(8 * sum(len(x) for x in batch.column(batch.schema.get_field_index("bits")).to_pylist()))
+            shingles.add(sum(batch.column(batch.schema.get_field_index("n")).to_pylist()))
+            yield from walk_groups(iter([batch]))
+
+    monkeypatch.setattr(signature_trees, "_walk_groups", counted)
+    base = [f"v{k}" for k in range(300)]
+    made = [(k, " ".join([*base[: 290 - 9 * k], *[f"x{k}y{j}" for j in range(9 * k + 10)]])) for k in range(12)]
+    got = sorted((tuple(r) for r in signature_trees.jaccard_components(spark.createDataFrame(made, "doc_id long, text string")).collect()), key=repr)
+    assert got == plain_components(made)
+    assert 0 < sent.value <= 2 * shingles.value
+
+
 def test_quality_counts(docs, rows):
     got = divergence.measured(docs).select("doc_id", "text", "__q.*").collect()
     assert len(got) == len(rows)

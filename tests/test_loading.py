@@ -161,3 +161,28 @@ def test_scores_and_infections_are_stacked(spark, monkeypatch):
     assert rows(both.where("sep3_sofa2 = 1").select("id", "t", "sep3_sofa2")) == [(1, 40 * 3600, 1)]
     monkeypatch.setattr(plan, "merge_wide", None)  # no row of a score is shuffled to meet the others
     assert rows(made.load_sepsis3_sofa2()) == rows(made.load_sepsis3()) == [(1, 40 * 3600, 1)]
+
+
+def test_sepsis_counts_every_organ(spark, tmp_path):
+    """A rise that only one organ system or two together show; the fifth needs the rate of six hours of urine, the sixth has none."""
+    import duckdb
+
+    from checks import ORACLES, QUERIES
+
+    infected = [(10, "click", 200.0), (11, "view", 60.0)]
+    rises = {
+        1: [(20, "click", 0.0), (20, "error", 158.0)],  # oxygen
+        2: [(12, "purchase", 240.0), (20, "purchase", 15.0)],  # platelets
+        3: [(20, "signup", 15.0), (20, "view", 10.0)],  # liver and pressure
+        4: [(12, "purchase", 240.0), (20, "purchase", 40.0)],  # coma scale
+        5: [(10, "signup", 10.0), *[(h, "view", 0.0) for h in range(20, 27)]],  # urine and pressure
+        6: [(12, "purchase", 240.0), (20, "purchase", 240.0), (20, "signup", 10.0)],
+    }
+    given = [(i, id, h * 3600, e, v) for id, more in rises.items() for i, (h, e, v) in enumerate(infected + more)]
+    events = spark.createDataFrame(given, "event_id long, user_id long, sec long, event_type string, value double")
+    events.withColumn("ts", F.expr("timestampadd(SECOND, sec, TIMESTAMP_NTZ'2024-01-01 00:00:00')")).drop("sec").write.parquet(str(tmp_path / "events.parquet"))
+    want = [(id, h * 3600, 1) for id, h in ((1, 20), (2, 20), (3, 20), (4, 20), (5, 25))]
+    assert rows(QUERIES["load_sepsis3_sofa2"](spark, str(tmp_path))) == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert sorted(con.execute(ORACLES["load_sepsis3_sofa2"]).fetchall()) == want

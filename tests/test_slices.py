@@ -160,3 +160,18 @@ def test_grids_are_made_after_the_windows(spark):
     for out in (organ.sofa_score(df, ["id"], "t"), kidney.urine24(df, ["id"], "t", "sofa_resp")):
         lines = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate " in x or "Window [" in x]
         assert "Generate " in lines[0] and "Window [" in lines[1] and out.count() == 721
+
+
+def test_scan_of_the_whole_table(spark):
+    """Without ids all rows are one series: its borders are a scalar, whether it is cut or not, and also without rows."""
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(200)], "t long, v double")
+    accs = [Acc("n", "count", F.col("v")), Acc("s", "sum", F.col("v"))]
+    want = [(i, float(i % 7), i, float(sum(j % 7 for j in range(i))) if i else None) for i in range(200)]
+    for most in (10, 1_000):
+        found = slices.scan(df, [], "t", accs, rows=most, exclusive=True)
+        assert rows(found, "t") == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    cut = slices.cuts(df, [], ["t"], accs, F.col("t"), rows=10)
+    assert slices.with_slices(df, [], "t", cut).select(SLICE).distinct().count() == 20
+    assert slices.scan(df.where("t < 0"), [], "t", accs).count() == 0
